@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, quality_rules
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 SQL = {
     "op4_line_dedup": line_dedup.SQL,
+    "op8_quality_rules": quality_rules.SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of frames that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,3 +101,37 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(kind: str, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64, kept from call to call."""
+    have = _POWERS[kind]
+    if len(have) < n:
+        full = np.full(max(n, 2 * len(have)), _BASE if kind == "up" else _INVERSE, np.uint64)
+        full[0] = 1
+        have = _POWERS[kind] = np.multiply.accumulate(full)
+    return have[:n]
+
+
+class PrefixHash:
+    """Prefix polynomial hashes of a sequence: the hash of any stretch takes one subtraction and one product.
+
+    Elements are bytes, spread over 64 bits by a table, or 64-bit values. Arithmetic is modulo 2 ** 64 with an odd base,
+    whose powers can be inverted.
+    """
+
+    def __init__(self, values: np.ndarray):
+        spread = _VALUES[values] if values.dtype == np.uint8 else values
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(spread * _powers("up", len(values)), out=self.sums[1:])
+        self.down = _powers("down", len(values) + 1)
+
+    def of(self, starts: np.ndarray, lengths) -> np.ndarray:
+        """The hashes of the stretches [start, start + length); equal stretches have equal hashes wherever they stand."""
+        return mix((self.sums[starts + lengths] - self.sums[starts]) * self.down[starts] + np.asarray(lengths).astype(np.uint64))

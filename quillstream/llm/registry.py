@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality_rules, token_output
+from . import bpe, decontamination, line_dedup, quality_rules, token_output
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_output": token_output.op7_token_output,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }

@@ -87,6 +87,20 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def word_bounds(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of texts that lie back to back begin and end, and which word is each text's first.
+
+    ``inside`` says of every byte whether it belongs to a word; no word goes on from one text into the next.
+    """
+    padded = np.concatenate([[False], inside, [False]])
+    opens, closes = padded[1:] & ~padded[:-1], padded[:-1] & ~padded[1:]
+    bounds = starts[1:-1]
+    joined = bounds[padded[bounds] & padded[bounds + 1]]
+    opens[joined] = closes[joined] = True
+    begins = np.flatnonzero(opens)
+    return begins, np.flatnonzero(closes), np.searchsorted(begins, starts)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every input bit over all output bits."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

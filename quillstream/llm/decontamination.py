@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SLICE_BYTES, row_slices
-from .common import ROW, PrefixHash, cut, keyed, ranges, utf8_parts
+from .common import ROW, PrefixHash, cut, keyed, ranges, utf8_parts, word_bounds
 
 WINDOW = 13
 #: Words of test items that go to the shards at once.
@@ -38,14 +38,8 @@ INDEX = "rows array<bigint>, ids array<string>, word_starts array<bigint>, terms
 def terms_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words of texts that lie back to back, and which word is each text's first."""
     low = _LOWER[data]
-    inside = np.concatenate([[False], _IN_WORD[low], [False]])
-    first = inside[1:] & ~inside[:-1]  # at i: a word begins at byte i
-    last = inside[:-1] & ~inside[1:]  # at i: a word has ended before byte i
-    bounds = starts[1:-1][(starts[1:-1] > 0) & (starts[1:-1] < len(data))]  # a word doesn't go on into the next text
-    joined = bounds[inside[bounds] & inside[bounds + 1]]
-    first[joined] = last[joined] = True
-    begins, ends = np.flatnonzero(first), np.flatnonzero(last)
-    return PrefixHash(low).of(begins, ends - begins), np.searchsorted(begins, starts)
+    begins, ends, first = word_bounds(_IN_WORD[low], starts)
+    return PrefixHash(low).of(begins, ends - begins), first
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality_rules, token_output
+from . import bpe, decontamination, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_output": token_output.op7_token_output,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 SQL = {
     "op4_line_dedup": line_dedup.SQL,

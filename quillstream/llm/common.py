@@ -59,8 +59,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     That is ``id_col`` itself if it is an integer column, never null and never repeated. Otherwise rows are numbered
     and written once, so that the numbers stay the same when a task runs again; repeated rows are then documents of
-    their own.
+    their own. A frame that has ``ROW`` already keeps it.
     """
+    if ROW in docs.columns:
+        return docs
     if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         per_id = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
         if per_id.where("n > 1 or " + f"`{id_col}` is null").isEmpty():

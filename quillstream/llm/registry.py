@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_output
+from . import bpe, decontamination, line_dedup, quality_rules, shingle_join, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_output": token_output.op7_token_output,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_shingle_join": shingle_join.op10_shingle_join,
 }
 SQL = {
     "op4_line_dedup": line_dedup.SQL,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality_rules, shingle_join, substring_dedup, suffix_dedup, token_output
+from . import bpe, decontamination, line_dedup, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontamination.op6_decontamination,

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import line_dedup
+from quillstream.llm import bpe, decontamination, line_dedup, quality_rules, shingle_join
 from quillstream.llm.common import cut
 
 STAGES = [
+    ("quality rules", quality_rules.stage),
     ("line dedup", line_dedup.stage),
+    ("n-gram Jaccard join", shingle_join.stage),
+    ("benchmark decontamination", decontamination.stage),
+    ("BPE encoding and decoding", bpe.stage),
 ]
 
+#: The last three stages are beyond SQL: similarity groups of any length and a tokenizer. Tests hold them against brute force.
 ORACLE_SQL = None
 
 

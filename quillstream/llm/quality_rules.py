@@ -140,10 +140,10 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """``docs`` with counts, rates and ``kept``.
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are groups of their own.
-    Rows are judged one by one, so repeated rows and ids get the same verdict each. ``docs`` is read twice: once for
-    the sketches, once for the verdicts.
+    Rows are judged one by one, so repeated rows and ids get the same verdict each. The counted rows are
+    written once; sketches and verdicts read them.
     """
-    counted = with_counts(docs, text)
+    counted = cut(with_counts(docs, text))
     return judge(counted, thresholds(counted, lang, source), lang, source)
 
 

@@ -24,6 +24,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
 
     Null and empty texts are one empty line. A document that loses every line keeps an empty text. Rows with a null or
     repeated id are documents of their own, in the order in which they are read. Lines are compared by 128 bits of hash.
+    Columns of ``docs`` with the names of new ones are replaced.
 
     Plan: lines travel as hashes; counts are combined before the shuffle; the join of lines with the repeated hashes
     reads a written table, so that Spark broadcasts it only if it is small and splits hot hashes otherwise. The text

@@ -121,7 +121,7 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", r
         .join(by_lang, F.col("lang").eqNullSafe(F.col("l2")), "left")
         .join(F.broadcast(all_), F.lit(True), "left")  # one row
     )
-    chosen = lambda c: F.when(F.col("n1") >= min_group, F.col(f"{c}_1")).when(F.col("n2") >= min_group, F.col(f"{c}_2")).otherwise(F.col(f"{c}_3")).alias(c)
+    chosen = lambda c: F.when(F.col("n1") >= min_group, F.col(f"{c}_1")).when(F.col("n2") >= min_group, F.col(f"{c}_2")).otherwise(F.col(f"{c}_3")).alias(f"__{c}")
     return cut(met.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[chosen(c) for c in names]))
 
 
@@ -129,9 +129,9 @@ def judge(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: str
     """Adds ``kept``. Spark broadcasts the fences if their written size allows, else it shuffles and splits hot groups."""
     within = ~F.col("base_failed")
     for r, (_, both) in RATES.items():
-        within &= F.col(r) <= F.col(f"{r}_high")
+        within &= F.col(r) <= F.col(f"__{r}_high")
         if both:
-            within &= F.col(r) >= F.col(f"{r}_low")
+            within &= F.col(r) >= F.col(f"__{r}_low")
     met = counted.join(limits, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
     return met.withColumn("kept", F.coalesce(within, F.lit(False))).drop(*limits.columns)
 
@@ -141,7 +141,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are groups of their own.
     Rows are judged one by one, so repeated rows and ids get the same verdict each. The counted rows are
-    written once; sketches and verdicts read them.
+    written once; sketches and verdicts read them. Columns of ``docs`` with the names of new ones are replaced.
     """
     counted = cut(with_counts(docs, text))
     return judge(counted, thresholds(counted, lang, source), lang, source)

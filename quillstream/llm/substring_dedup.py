@@ -78,8 +78,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Words lie between ASCII white space, unchanged; null and empty texts have none, and texts shorter than the window
     lose none. A window counts as repeated if its words also start elsewhere, in the same document or another, overlaps
     included; so all copies of a repeated row lose what they share. ``kept_text`` joins the kept words by one space.
+    Columns of ``docs`` with these names are replaced.
     """
-    docs = keyed(docs, id_col)
+    docs = keyed(docs.drop("n_words", "spans", "kept_text"), id_col)
     members, classes, partly = search(docs, text, word_tokens, LENGTH, GRAM, twins)
     runs = cut(compact(members, classes).unionByName(partly))
     spans = by_document(placed(members, runs))

@@ -104,8 +104,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     Texts are UTF-8 bytes; null and empty ones have none, and texts shorter than the window lose none. A window counts
     as repeated if it also starts elsewhere, in the same document or another, overlaps included; so all copies of a
     repeated row lose what they share. ``kept`` is binary: a cut may part the bytes of a character.
+    Columns of ``docs`` with these names are replaced.
     """
-    docs = keyed(docs, id_col)
+    docs = keyed(docs.drop("n_bytes", "spans", "kept"), id_col)
     members, classes, partly = search(docs, text, byte_tokens, LENGTH, GRAM, twins)
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("one.hi") - F.col("one.lo") + LENGTH).cast("int").alias("stop")))
     runs = cut(classes.where("n > 1").select("h1", "h2", whole.alias("runs")).unionByName(partly))

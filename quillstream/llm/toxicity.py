@@ -219,8 +219,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     Only the texts of ``labels``' rows and their ``label`` are learned from. Null and empty texts have no terms, hence no
     neighbours, and score by the share of positives among examples. Labelled ids that ``docs`` lacks, null ids and null
     labels are skipped; of repeated labels the larger counts. Without any labelled text every score is 0. Rows are scored
-    one by one.
+    one by one. Columns of ``docs`` with the names of new ones are replaced.
     """
+    docs = docs.drop("score", "predicted", "neighbours", "nearness")
     index, base, xs, ys = fit(docs, labels, id_col, text, label, max_examples)
     sent = docs.sparkSession.sparkContext.broadcast((index, base, xs, ys))
     names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -1,0 +1,311 @@
+"""The operators of ``llm`` against brute force, SQL and edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quillstream.llm import bpe, decontamination, line_dedup, quality_rules, registry, secret_scan, shingle_join, substring_dedup, suffix_dedup, token_output, toxicity
+from quillstream.llm.common import ROW
+
+rng = random.Random(5)
+WORDS = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)] + ["Über", "naïve", "x1", "###", "don't", "☃"]
+
+
+def prose(n: int, r=rng) -> str:
+    return "".join(r.choice(WORDS) + r.choice([" ", " ", " ", ", ", "\n", ".  "]) for _ in range(n))
+
+
+PASSAGE, LONG = prose(60), prose(4000)
+TEXTS = [prose(rng.randint(1, 200)) for _ in range(40)]
+TEXTS += [prose(50) + PASSAGE + prose(40) for _ in range(12)] + [TEXTS[5]] * 4 + [TEXTS[6] + " end"] * 3
+TEXTS += [max(TEXTS, key=len).replace(" ", " other ", 1), LONG, LONG + PASSAGE + LONG[:3000], "ab " * 400, "", " \n\t ", None, "a", "one two three"]
+DOCS = list(enumerate(TEXTS))
+CLASHES = ["n_words", "kept", "spans", "h1", "key", "row", "id", "n", "line", "pos", "score", "ids", "decoded", "n_lines", "keys", "first", "label", "kept_text"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "de", None][i % 3], "src" if i % 2 else None, len(t or "")) for i, t in DOCS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, repeated rows, null texts, and columns with names that operators use."""
+    base = PASSAGE + prose(80)
+    rows = [(1, base), (1, base), (None, base), (None, None), (2, "x " + base), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s"))
+    for c in CLASHES:
+        df = df.withColumn(c, F.lit("mine"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def sha(s) -> str:
+    return hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+
+
+def test_suffix_dedup(docs, odd, empty):
+    out = suffix_dedup.suffix_dedup(docs)
+    found = out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("gone"), F.size("spans").alias("k"), F.sha2("kept", 256).alias("h"))
+    assert rows_of(found, "doc_id", "n_bytes", "gone", "k", "h") == sorted(suffix_dedup.brute_force(DOCS), key=str)
+    got = suffix_dedup.suffix_dedup(odd).collect()
+    assert len(got) == 6 and sum(len(r.kept) == 0 for r in got) == 5 and all(r.h1 == "mine" for r in got)
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_suffix_order_is_lexicographic():
+    data = np.frombuffer(b"banana bandana banana band" * 3, np.uint8)
+    at, group = np.arange(40), np.arange(40) % 3
+    order = suffix_dedup.sort_suffixes(suffix_dedup.PrefixHash(data), data, at, group, 20)
+    assert order.tolist() == sorted(range(40), key=lambda i: (group[i], data[at[i] : at[i] + 20].tobytes(), i))
+
+
+def test_substring_dedup(docs, odd, empty):
+    out = substring_dedup.substring_dedup(docs)
+    gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s.stop - s.start)
+    found = out.select("doc_id", "n_words", gone.alias("gone"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("h"))
+    assert rows_of(found, "doc_id", "n_words", "gone", "h") == sorted(substring_dedup.brute_force(DOCS), key=str)
+    got = substring_dedup.substring_dedup(odd).collect()
+    assert len(got) == 6 and sorted(r.kept_text for r in got) == ["", "", "", "", "", "x"]
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def duck(sql, docs, **tables):
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    return con.execute(sql).df().astype(str)
+
+
+def same(df, sql_frame):
+    mine = df.toPandas().astype(str)[list(sql_frame.columns)]
+    key = list(sql_frame.columns)
+    return mine.sort_values(key).reset_index(drop=True).equals(sql_frame.sort_values(key).reset_index(drop=True))
+
+
+def test_line_dedup(docs, odd, empty):
+    out = line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    assert same(out, duck(line_dedup.SQL, docs))
+    got = line_dedup.line_dedup(odd).collect()
+    assert len(got) == 6 and sum(r.n_dropped > 0 for r in got) == 3 and all(r.pos == "mine" for r in got)
+    assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_line_keys_are_ascii_only(spark):
+    texts = ["  ÄBCdefghij\r\nshort\n\x0bSAME line here", "äbcdefghij\nshort\nsame LINE here\t", "ÄBCDEFGHIJ\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(df).collect()}
+    assert kept == {0: texts[0], 1: "äbcdefghij\nshort", 2: ""}
+
+
+def test_quality_rules(spark, docs, odd, empty):
+    out = quality_rules.quality_rules(docs)
+    assert same(out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept"), duck(quality_rules.SQL, docs))
+    assert quality_rules.quality_rules(odd).count() == 6 and quality_rules.quality_rules(empty).count() == 0
+    clean = [(i, prose(120, random.Random(i)).replace("#", ""), "en", "s") for i in range(80)]
+    junk = [(100 + i, " ".join(w + "$$$" for w in prose(120, random.Random(900 + i)).split()), "en", "s") for i in range(8)]
+    df = quality_rules.quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id for r in df.where("kept").collect()} == {i for i, *_ in clean}
+
+
+def test_bpe_equals_the_library(docs, odd, empty):
+    t = bpe.Encoder(bpe.default_tokenizer()).tokenizer
+    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in DOCS}
+    got = bpe.encode(docs).select("doc_id", "ids").collect()
+    assert {r.doc_id: r.ids for r in got} == want
+    whole = bpe.round_trip(docs).select("doc_id", "ids", "decoded").collect()
+    assert {r.doc_id: (r.ids, r.decoded) for r in whole} == {i: (ids, t.decode(ids, skip_special_tokens=False)) for i, ids in want.items()}
+    assert {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs)).select("doc_id", "decoded").collect()} == {r.doc_id: r.decoded for r in whole}
+    assert bpe.round_trip(odd).count() == 6 and bpe.round_trip(empty).count() == 0
+
+
+def test_bpe_on_hard_texts_and_small_memories(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_WORDS", 50)
+    monkeypatch.setattr(bpe, "MAX_PARTS", 50)
+    monkeypatch.setattr(bpe, "MASK", np.uint64(15))
+    e = bpe.Encoder(bpe.default_tokenizer())
+    texts = ["Hello  ,World's é\U0001f600 <|endoftext|>foo!! 123\x1cx\x85y\xa0z", "é ́x ﬁ İstanbul ΣΑΣ", "a" * 5000, "don't WE'LL 'S <|startoftext|> <|start of", "it's'S''d", *[t or "" for t in TEXTS]]
+    raw = [t.encode() for t in texts]
+    data, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw])
+    for _ in range(2):
+        ids, at = e.encode(data, starts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_repairs_joins_that_disagree(monkeypatch):
+    e = bpe.Encoder(bpe.default_tokenizer())
+    text = prose(300).encode()
+    parts = e.words([text[:700].rsplit(b" ", 1)[0], text[len(text[:700].rsplit(b" ", 1)[0]) :]])
+    monkeypatch.setattr(e, "agree", lambda a, b: False)
+    assert e.repaired(text, parts).tolist() == e.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_decontamination(spark, docs, odd, empty):
+    items = [(1, PASSAGE), (2, "one two three"), (3, ""), (4, None), (None, "a"), (10, TEXTS[5][:200]), (1, "zz zz")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("rows", F.lit(1))
+    found = decontamination.decontaminate(docs, bench).select("id", "n_words", "n_hit", F.size("items").alias("k"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("h"), "contaminated")
+    want = sorted(((str(i), *x) for i, *x in decontamination.brute_force(DOCS, items)), key=str)
+    assert rows_of(found, "id", "n_words", "n_hit", "k", "h", "contaminated") == want
+    assert decontamination.decontaminate(odd, bench).count() == 6
+    assert decontamination.decontaminate(empty, bench).count() == 0
+    assert decontamination.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_in_blocks_and_by_proximity(spark, docs, monkeypatch):
+    items = [(i, TEXTS[i]) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    once = rows_of(decontamination.decontaminate(docs, bench), ROW, "n_hit", "items")
+    many = decontamination.blocks_of(bench, "item_id", "text", 13, most=20)
+    index = decontamination.build_index(decontamination.keyed(docs))
+    assert rows_of(decontamination._judged(index, many), ROW, "n_hit", "items") == once
+    words = decontamination.words(TEXTS[8])[:13]
+    loose = " ".join([*words[:6], "zzz", *words[6:]])
+    near = spark.createDataFrame([(1, loose)], "doc_id long, text string")
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert decontamination.proximity_matches(near, item, slop=0).count() == 0
+    assert decontamination.proximity_matches(near, item, slop=1).count() == 1
+
+
+def test_token_output(docs, odd, empty, tmp_path):
+    blocks = token_output.write_tokens(docs, f"file://{tmp_path}/t")
+    got = token_output.checksums(token_output.read_tokens(blocks)).collect()
+    t, at, want = bpe.Encoder(bpe.default_tokenizer()).tokenizer, 0, []
+    for i, x in DOCS:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in got) == want
+    assert token_output.read_document(blocks, 5) == t.encode(TEXTS[5], add_special_tokens=False).ids + [2]
+    assert token_output.read_document(blocks, 10**6) == []
+    assert token_output.read_tokens(token_output.write_tokens(odd, f"file://{tmp_path}/o")).count() == 6
+    assert token_output.read_tokens(token_output.write_tokens(empty, f"file://{tmp_path}/e")).count() == 0
+
+
+@pytest.mark.parametrize("vocabulary", [2, 3, 256, 257, 49408, 50257, 65537, 2**20, 2**31])
+def test_packing(vocabulary):
+    w = token_output.width_of(vocabulary)
+    ids = np.random.default_rng(1).integers(0, vocabulary, 70_001).astype(np.uint32)
+    payload = token_output.pack(ids, w)
+    assert len(payload) == -(-len(ids) * w // 8)
+    for a, b in ((0, len(ids)), (0, 0), (1, 2), (65_530, 65_560), (777, 70_001)):
+        assert np.array_equal(token_output.unpack(payload, w, a, b), ids[a:b])
+
+
+def test_shingle_join(docs, odd, empty):
+    found = shingle_join.shingle_join(docs)
+    assert rows_of(found, "id", "class_id", "copies", "n_links", "group_id") == sorted(shingle_join.brute_force(DOCS), key=str)
+    got = shingle_join.shingle_join(odd).collect()
+    assert len(got) == 6 and sorted(r.copies for r in got) == [1, 2, 2, 3, 3, 3]
+    assert shingle_join.shingle_join(empty).count() == 0
+    links = {(r.a, r.b) for r in shingle_join.similar_pairs(docs).collect()}
+    assert len(links) * 2 == sum(len({r[1] for r in [x]}) * x[3] for x in shingle_join.brute_force(DOCS) if x[0] == x[1])
+
+
+def test_large_families_in_blocks(spark, monkeypatch):
+    base, r = prose(100).split(), random.Random(3)
+    rows = [(i, " ".join(w if k != r.randrange(len(base)) else f"w{i}" for k, w in enumerate(base))) for i in range(60)]
+    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    found = shingle_join.shingle_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(found, "id", "class_id", "copies", "n_links", "group_id") == sorted(shingle_join.brute_force(rows), key=str)
+
+
+def test_depth_reaches_recall():
+    d = shingle_join.depth_for(0.8)
+    miss = lambda depth: (1 - 0.8**depth) ** shingle_join.TREES
+    assert 1 - miss(d) >= shingle_join.RECALL > 1 - miss(d + 1)
+
+
+def test_toxicity(spark, odd, empty):
+    r = random.Random(9)
+    rows = [(i, prose(60, r) + (" vile nasty " + r.choice(["vile", "nasty", "foul"]) if i % 6 == 0 else "") + prose(20, r)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in rows if i % 2 == 0 or i % 3 == 0] + [(None, 1), (5000, 1), (1, None)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.3) for x in out)
+    assert {x.doc_id for x in out if x.predicted} == {i for i, _ in rows if i % 6 == 0}
+    assert all(len(x.neighbours) == len(x.nearness) for x in out)
+    assert toxicity.toxicity(odd, labels).count() == 6 and toxicity.toxicity(empty, labels).count() == 0
+    assert {x.score for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_nearest_examples_are_exact():
+    r = np.random.default_rng(2)
+    n, terms = 700, 60
+    index = toxicity.Index(np.arange(terms, dtype=np.uint64), np.ones(terms))
+    dims = [np.append(np.sort(r.choice(terms, r.integers(0, 6), replace=False)), terms) for _ in range(n)]
+    weights = [(w := r.random(len(d)) + 0.01) / np.linalg.norm(w) for d in dims]
+    index.build(np.arange(n).astype(str), np.zeros(n), np.cumsum([0] + [len(d) for d in dims]), np.concatenate(dims), np.concatenate(weights))
+    dense = np.zeros((n, terms + 1))
+    for i in range(n):
+        dense[i, dims[i]] = weights[i]
+    for q in range(0, n, 23):
+        who, cosine = index.nearest(dims[q], weights[q], skip=q)
+        full = dense @ dense[q]
+        full[q] = -1
+        best = sorted(range(n), key=lambda i: (-round(full[i], 12), i))[: toxicity.K]
+        assert np.allclose(cosine, full[best]) and np.allclose(full[who], full[best])
+
+
+def test_secret_scan(spark, odd, empty):
+    r = random.Random(4)
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    rows, true = [], set()
+    for i in range(300):
+        s = [f'token = "{hexes(40)}"', f"password={hexes(18)}", "AKIA" + "".join(r.choices("ABCDEFGH23456789", k=16)), "4" + "".join(r.choices("0123456789", k=15)), f"x.{r.randrange(99)}@mail3example1.com"][i % 5]
+        rows.append((i, f"é {prose(10, r)} {s} {prose(10, r)}", "src"))
+        if i % 5 < 3:
+            true.add(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.secret_scan(docs).collect()
+    assert {x.id for x in got if x.is_secret} == true
+    assert all(rows[x.id][1][x.start : x.stop] == x.value for x in got)
+    assert secret_scan.secret_scan(odd).count() == 0 and secret_scan.secret_scan(empty).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    r = random.Random(21)
+    base = [prose(90, r).replace("#", "") for _ in range(40)]
+    item = " ".join(w for w in prose(30, r).split())
+    texts = base + [base[3], base[4] + " tail", " ".join(w + "$$$" for w in base[5].split()), base[6] + " " + item, "short", None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {x.doc_id for x in docs.join(quality_rules.quality_rules(docs).where("kept").select("doc_id"), "doc_id").collect()}
+    lines: dict = {}
+    low = lambda s: s.strip(" \t\r\n\x0b\f").translate({c: c + 32 for c in range(65, 91)})
+    for i in sorted(kept):
+        for line in texts[i].split("\n"):
+            if len(low(line)) >= 10:
+                lines.setdefault(low(line), set()).add(i)
+    out = []
+    for i in sorted(kept):
+        drop = lambda line: len(k := low(line)) >= 10 and len(lines[k]) > 1 and min(lines[k]) != i  # noqa: B023, E731
+        out.append((i, "\n".join(line for line in texts[i].split("\n") if not drop(line))))
+    out = [(i, t) for (i, t), x in zip(out, shingle_join.brute_force(out), strict=True) if x[4] == i]
+    out = [(i, t) for (i, t), x in zip(out, decontamination.brute_force(out, [(1, item)]), strict=True) if not x[5]]
+    tok = bpe.Encoder(bpe.default_tokenizer()).tokenizer
+    want = [(i, sha(" ".join(map(str, tok.encode(t, add_special_tokens=False).ids)))) for i, t in out]
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((x.doc_id, x.ids_sha256) for x in found.collect()) == want
+    assert [f for _, f in corpus_pipeline.STAGES][0] is quality_rules.stage and 0 < len(want) < len(kept) < len(texts)
+
+
+def test_registry():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SLICE_BYTES, row_slices
+from .bpe import row_slices
 from .common import ROW, PrefixHash, cut, keyed, ranges, utf8_parts, word_bounds
 
 WINDOW = 13
@@ -26,6 +26,7 @@ WINDOW = 13
 BLOCK_WORDS = 200_000
 #: Candidates that a shard holds at once.
 BLOCK_CANDIDATES = 1_000_000
+SLICE_BYTES = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -266,3 +267,19 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
                     found |= x
         out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+SQL = f"""with docs as (select doc_id, {_TERMS} as ws from documents),
+items as (select coalesce(cast(item_id as varchar), '') as item, ws, least(len(ws), {WINDOW}) as n from (select item_id, {_TERMS} as ws from benchmark)),
+wanted as (select distinct item, n, array_to_string(ws[i : i + n - 1], ' ') as k from (select *, unnest(range(1, len(ws) - n + 2)) as i from items where n > 0)),
+met as (
+  select doc_id, i, n, item from (
+    select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as k
+    from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from docs cross join (select distinct n from wanted)))
+  join wanted using (n, k)),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from met) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from met) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from docs left join hits using (doc_id) left join found using (doc_id)"""

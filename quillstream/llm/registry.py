@@ -18,5 +18,8 @@ QUERIES = {
 }
 SQL = {
     "op4_line_dedup": line_dedup.SQL,
+    "op6_decontamination": decontamination.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
+    "op10_shingle_join": shingle_join.SQL,
 }

@@ -337,3 +337,21 @@ def brute_force(docs: list[tuple], threshold: float = THRESHOLD) -> list[tuple]:
                 root[x] = i
                 wave += near[x]
     return [(i, first[s], copies[s], len(near[first[s]]), root[first[s]]) for (i, _), s in zip(docs, sets, strict=True)]
+
+
+SQL = rf"""with recursive worded as (
+  select doc_id, words, least(len(words), {SHINGLE}) as n
+  from (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') as words from documents)),
+shingles as (
+  select distinct doc_id, array_to_string(words[i : i + n - 1], ' ') as g
+  from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from worded where n > 0)),
+sets as (select doc_id, coalesce(string_agg(g, chr(10) order by g), '') as s, count(g) as n from worded left join shingles using (doc_id) group by doc_id),
+classes as (select s, min(doc_id) as rep, count(*) as copies, any_value(n) as n from sets group by s),
+own as (select rep, n, g from classes join shingles on doc_id = rep),
+links as (
+  select a.rep as a, b.rep as b from own a join own b on a.g = b.g and a.rep <> b.rep group by a.rep, b.rep, a.n, b.n
+  having 10 * count(*) >= {round(10 * THRESHOLD)} * (a.n + b.n - count(*))),
+reached as (select rep as a, rep as b from classes union select r.a, l.b from reached r join links l on r.b = l.a)
+select sets.doc_id, rep as class_id, copies, coalesce(n_links, 0) as n_links, group_id
+from sets join classes using (s) join (select a as rep, min(b) as group_id from reached group by a) using (rep)
+left join (select a as rep, count(*) as n_links from links group by a) using (rep)"""

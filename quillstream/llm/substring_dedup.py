@@ -129,3 +129,15 @@ def brute_force(docs: list[tuple], length: int = LENGTH) -> list[tuple]:
         gone = {p for s in range(len(t) - length + 1) if seen[tuple(t[s : s + length])] > 1 for p in range(s, s + length)}
         out.append((i, len(t), len(gone), hashlib.sha256(b" ".join(w for p, w in enumerate(t) if p not in gone)).hexdigest()))
     return out
+
+
+SQL = rf"""with worded as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') as words from documents),
+windows as (
+  select doc_id, i, array_to_string(words[i : i + {LENGTH - 1}], ' ') as k
+  from (select doc_id, words, unnest(range(1, len(words) - {LENGTH - 2})) as i from worded where len(words) >= {LENGTH})),
+repeated as (select k from windows group by k having count(*) > 1),
+gone as (select doc_id, list(distinct p) as places from (select doc_id, unnest(range(i, i + {LENGTH})) as p from windows join repeated using (k)) group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(places), 0) as bigint) as n_removed,
+  sha256(array_to_string(list_filter(words, lambda w, i: places is null or not list_contains(places, i)), ' ')) as kept_sha256
+from worded left join gone using (doc_id)"""

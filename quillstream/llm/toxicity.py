@@ -4,22 +4,23 @@ Terms are lower-cased words and the beginnings of words, four to eight bytes lon
 those that tell the labels apart are kept (``MAX_TERMS``); their document frequencies are counted over all documents.
 A text is the vector of its kept terms' TF-IDF weights, with one more weight for all its other words.
 
-The examples, ``MAX_EXAMPLES`` labelled rows in the order of a hash of their ids, form blocks of ``BLOCK``. The index has
-each block's postings and each term's largest weight in each block. A query sums these maxima into a bound for every
-block and scores blocks by falling bound, until no block left can hold one of the ``K`` nearest: so the neighbours are
-exact. Their labels, weighted by nearness, are a vote; a monotone curve fitted on the examples' own votes, each without
-itself, turns it into a probability.
+The examples, ``MAX_EXAMPLES`` labelled rows in the order of a hash of their ids, form an inverted index. A term's
+postings lie in blocks with their largest weight. A query reads only blocks whose largest weight, with the most that its
+other terms can add, reaches a bound below the ``K``-th nearest: so the neighbours are exact. Their labels, weighted by
+nearness, are a vote; a monotone curve fitted on the examples' own votes, each without itself, turns it into a
+probability.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import PrefixHash, cut, utf8_parts, word_bounds
+from .common import PrefixHash, cut, ranges, utf8_parts, word_bounds
 
 MAX_EXAMPLES, MAX_TERMS, MIN_SUPPORT, MIN_LIFT = 20_000, 4096, 5, 2.5
 BLOCK, K, PRIOR, BACKGROUND, CUTOFF = 128, 15, 0.5, 0.05, 0.3
@@ -29,8 +30,11 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[97:123] = _IN_WORD[128:] = True
 
 
-def lower_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return utf8_parts(pa.array([(x or "").lower() for x in column.to_pylist()], pa.string()))
+def lowered(column: pa.Array):
+    """(first row, row after the last, bytes, starts) of the lower-cased texts, about 1 MB at a time."""
+    _, starts = utf8_parts(column)
+    for a, b in row_slices(starts, SLICE):
+        yield a, b, *utf8_parts(pc.utf8_lower(column.slice(a, b - a)))
 
 
 def term_counts(data: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,10 +68,9 @@ def select_terms(labelled: DataFrame, base: float, text: str) -> np.ndarray:
 
     def run(batches):
         for whole in batches:
-            data, starts = lower_parts(whole.column(0))
             label = whole.column(1).to_numpy()
-            for a, b in row_slices(starts, SLICE):
-                owner, term, _, _ = term_counts(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+            for a, b, data, starts in lowered(whole.column(0)):
+                owner, term, _, _ = term_counts(data, starts)
                 values, place = np.unique(term, return_inverse=True)
                 pos = np.bincount(place, weights=label[a:b][owner], minlength=len(values))
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.bincount(place, minlength=len(values))), pa.array(pos.astype(np.int64))], names=["term", "n", "pos"])
@@ -86,10 +89,9 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray, text: str) -> tuple
     def run(batches):
         total, rows = np.zeros(len(sent.value), np.int64), 0
         for whole in batches:
-            data, starts = lower_parts(whole.column(0))
             rows += whole.num_rows
-            for a, b in row_slices(starts, SLICE):
-                _, term, _, _ = term_counts(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], sent.value)
+            for _, _, data, starts in lowered(whole.column(0)):
+                _, term, _, _ = term_counts(data, starts, sent.value)
                 total += np.bincount(term.astype(np.int64), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["term", "n"])
@@ -122,41 +124,59 @@ class Index:
         return begins + np.arange(len(begins)), np.insert(term.astype(np.int64), at, len(self.terms)), np.insert(weight / norm[text], at, rest / norm)
 
     def build(self, ids: np.ndarray, labels: np.ndarray, begins: np.ndarray, dims: np.ndarray, weights: np.ndarray) -> Index:
-        self.ids, self.labels, n = ids, labels, len(labels)
+        self.ids, self.labels, n, last = ids, labels, len(labels), len(self.terms)
         self.begins, self.dims, self.weights = begins, dims, weights
-        self.blocks = -(-n // BLOCK)
-        self.most = np.zeros((len(self.terms) + 1, self.blocks), np.float32)
-        self.owner = np.repeat(np.arange(n), np.diff(begins))
-        np.maximum.at(self.most, (dims, self.owner // BLOCK), np.nextafter(weights.astype(np.float32), np.float32(2)))
-        self.edges = begins[np.minimum(np.arange(self.blocks + 1) * BLOCK, n)]
+        owner, rest = np.repeat(np.arange(n), np.diff(begins)), dims == last
+        self.background = np.zeros(n)
+        self.background[owner[rest]] = weights[rest]
+        self.by_background = np.lexsort((np.arange(n), -self.background))
+        order = np.lexsort((owner[~rest], dims[~rest]))
+        self.owner, self.weight = owner[~rest][order], weights[~rest][order]
+        at = np.searchsorted(dims[~rest][order], np.arange(last + 1))
+        blocks = -(-np.diff(at) // BLOCK)
+        self.first_block = np.concatenate([[0], np.cumsum(blocks)])  # of each term
+        nth = ranges(np.zeros(last, np.int64), blocks)
+        self.block_start = np.repeat(at[:-1], blocks) + nth * BLOCK
+        self.block_size = np.minimum(BLOCK, np.repeat(at[1:], blocks) - self.block_start)
+        self.block_max = np.maximum.reduceat(self.weight, self.block_start) if len(self.block_start) else np.zeros(0)
+        self.term_max = np.zeros(last)
+        np.maximum.at(self.term_max, np.repeat(np.arange(last), blocks), self.block_max)
+        self.termless = {k: self.nearest(np.array([last]), np.ones(1), k) for k in (K, K + 1)}
         return self
 
     def nearest(self, dims: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosines, above 0, ties by place, and the cosines; ``skip`` is left out."""
-        query = np.zeros(len(self.terms) + 1)
-        query[dims] = weights
-        bound = weights.astype(np.float64) @ self.most[dims]
-        order = np.argsort(-bound, kind="stable")
-        who, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order):
-            if len(who) >= k:
-                order = order[: at + int(np.searchsorted(-bound[order[at:]], -cosine[k - 1] + 1e-9, "right"))]
-                if at >= len(order):
-                    break
-            for b in order[at : at + step]:
-                s, e = self.edges[b], self.edges[b + 1]
-                first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.labels))
-                score = np.bincount(self.owner[s:e] - first, query[self.dims[s:e]] * self.weights[s:e], last - first)
-                near = np.flatnonzero(score > 0)
-                who, cosine = np.append(who, near + first), np.append(cosine, score[near])
-            at, step = at + step, step * 2
-            keep = who != skip
-            best = np.lexsort((who[keep], -cosine[keep]))[:k]
-            who, cosine = who[keep][best], cosine[keep][best]
-        return who, cosine
+        """The k examples with the largest cosines, above 0, ties by place, and the cosines; ``skip`` is left out.
+
+        The k-th best by the last dimension alone is a bound from below. A block of a term's postings is read only if its
+        largest weight, with the other terms' largest, can reach it; the rest can't hold one of the nearest.
+        """
+        terms, q, rest = dims[:-1], weights[:-1], weights[-1]
+        want = k + (skip >= 0)
+        least = rest * self.background[self.by_background[min(want, len(self.labels)) - 1]] if len(self.labels) >= want else 0.0
+        n_blocks = self.first_block[terms + 1] - self.first_block[terms]
+        block = ranges(self.first_block[terms], n_blocks)
+        of = np.repeat(np.arange(len(terms)), n_blocks)
+        top = q * self.term_max[terms]
+        could = q[of] * self.block_max[block] + (top.sum() - top[of]) + rest * self.background[self.by_background[0]] if len(block) else np.zeros(0)
+        keep = could >= least - 1e-9
+        block, of = block[keep], of[keep]
+        i = ranges(self.block_start[block], self.block_size[block])
+        sums = np.bincount(self.owner[i], np.repeat(q[of], self.block_size[block]) * self.weight[i], len(self.labels))
+        near = np.flatnonzero(sums)
+        other = self.by_background[: want + len(near)]
+        other = other[sums[other] == 0][:want]
+        who = np.concatenate([near, other])
+        cosine = sums[who] + rest * self.background[who]
+        who, cosine = who[(cosine > 0) & (who != skip)], cosine[(cosine > 0) & (who != skip)]
+        best = np.lexsort((who, -cosine))[:k]
+        return who[best], cosine[best]
 
     def vote(self, dims: np.ndarray, weights: np.ndarray, base: float, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        who, cosine = self.nearest(dims, weights, skip=skip)
+        if len(dims) == 1 and weights[0] > 0:  # texts without a kept term are all the same vector
+            who, cosine = self.termless[K if skip < 0 else K + 1]
+            who, cosine = who[who != skip][:K], cosine[who != skip][:K]
+        else:
+            who, cosine = self.nearest(dims, weights, skip=skip)
         return (float(cosine @ self.labels[who]) + PRIOR * base) / (float(cosine.sum()) + PRIOR), who, cosine
 
 
@@ -187,10 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
 
     def run(batches):
         for whole in batches:
-            data, starts = lower_parts(whole.column(1))
-            begins, dims, weights = index.vectors(data, starts)
-            at = pa.array(begins, pa.int32())
-            yield pa.RecordBatch.from_arrays([whole.column(0).cast(pa.string()), whole.column(2), pa.ListArray.from_arrays(at, pa.array(dims)), pa.ListArray.from_arrays(at, pa.array(weights))], names=["id", "label", "dims", "weights"])
+            for a, b, data, starts in lowered(whole.column(1)):
+                begins, dims, weights = index.vectors(data, starts)
+                at = pa.array(begins, pa.int32())
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a).cast(pa.string()), whole.column(2).slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(dims)), pa.ListArray.from_arrays(at, pa.array(weights))], names=["id", "label", "dims", "weights"])
 
     found = labelled.orderBy(id_col).mapInArrow(run, "id string, label int, dims array<bigint>, weights array<double>").collect()  # max_examples rows
     found.sort(key=lambda r: (len(r.id), r.id))
@@ -229,11 +249,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     def run(batches):
         index, base, xs, ys = sent.value
         for whole in batches:
-            data, starts = lower_parts(whole.column(names.index(text)))
-            for a, b in row_slices(starts, SLICE):
+            for a, b, data, starts in lowered(whole.column(names.index(text))):
                 votes, ids, near = [], [], []
                 if index is not None:
-                    begins, dims, weights = index.vectors(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+                    begins, dims, weights = index.vectors(data, starts)
                 for i in range(b - a):
                     if index is None:
                         who, cosine, vote = np.zeros(0, int), np.zeros(0), 0.0

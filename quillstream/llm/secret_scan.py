@@ -20,10 +20,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import row_slices
 from .common import ROW, cut, keyed, text_or_empty, utf8_parts
 
 MIN_LENGTH, MAX_FINDINGS, MAX_WORDS, TREES, DEPTH, SEED = 12, 20_000, 4096, 40, 8, 7
-WORD_BUCKETS, PATH_BUCKETS, CONTEXT = 24, 8, 40
+WORD_BUCKETS, PATH_BUCKETS, CONTEXT, SLICE = 24, 8, 40, 1_000_000
 #: Formats of secrets that are known by themselves.
 KNOWN = [r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36}", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"sk_live_[0-9A-Za-z]{20,}", r"AIza[0-9A-Za-z_-]{35}"]
 #: What assigns a secret to a name.
@@ -83,8 +84,13 @@ def candidates(docs: DataFrame, text: str, path: str | None, words: list[str]) -
     """(row, nth, start, stop, value, before, features) of every candidate; positions count code points."""
     sent = docs.sparkSession.sparkContext.broadcast(set(words))  # MAX_WORDS words
 
-    def run(batches):
+    def slices(batches):
         for whole in batches:
+            for a, b in row_slices(utf8_parts(whole.column(1))[1], SLICE):
+                yield whole.slice(a, b - a)
+
+    def run(batches):
+        for whole in slices(batches):
             data, starts = utf8_parts(whole.column(1))
             inside = np.concatenate([[False], _CLASS[data] > 0, [False]])
             bounds = starts[1:-1]

@@ -5,8 +5,8 @@ length; shares of digits, upper and lower case and hexadecimal characters; entro
 longest run of digits; the share of it that common words of the corpus cover; how the text before it ends; hashes of
 its neighbouring words and of its path. The forest is trained on labelled findings: (feature row, 0 or 1).
 
-The test tables hold no labelled findings. The query labels a bounded sample of candidates (``MAX_FINDINGS``, in the
-order of a hash) by the formats in ``KNOWN`` and by what stands before them, and trains on these.
+The test tables hold no labelled findings. The query labels all candidates by the formats in ``KNOWN`` and by what
+stands before them, and trains on a bounded sample of each label (``MAX_FINDINGS`` in all, in the order of a hash).
 """
 
 from __future__ import annotations
@@ -121,10 +121,16 @@ def candidates(docs: DataFrame, text: str, path: str | None, words: list[str]) -
     return chosen.mapInArrow(run, "row bigint, start bigint, stop bigint, value string, before string, features array<double>")
 
 
+def rule():
+    """Whether a candidate is a secret by its format or by the name it is assigned to."""
+    return F.col("value").rlike("^(" + "|".join(KNOWN) + ")$") | F.col("before").rlike(NAMED)
+
+
 def known_findings(found: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
-    """(features, label): at most ``most`` candidates, labelled by format and by the name they are assigned to."""
-    label = F.col("value").rlike("^(" + "|".join(KNOWN) + ")$") | F.col("before").rlike(NAMED)
-    return found.orderBy(F.xxhash64("value", "row", "start"), "row", "start").limit(most).select("features", label.cast("int").alias("label"))
+    """(features, label): of the candidates of each label, by :func:`rule` over all of them, at most half of ``most``."""
+    labelled = found.withColumn("label", rule().cast("int"))
+    of = lambda k: labelled.where(F.col("label") == k).orderBy(F.xxhash64("value", "row", "start"), "row", "start").limit(most // 2).select("features", "label")
+    return of(1).union(of(0))
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel | None:
@@ -139,16 +145,15 @@ def secret_scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     """(ROW, id, start, stop, value, score, is_secret) of every candidate in ``docs``.
 
     ``findings`` are labelled findings with the features of :func:`features`; without them, see :func:`known_findings`.
-    Null and empty texts have no candidates. Where training finds only one label, that label is everyone's. Rows with a
-    null or repeated id are scanned each by itself.
+    Null and empty texts have no candidates. Findings of only one label train no forest; each candidate is then scored
+    0 or 1 by :func:`rule`. Rows with a null or repeated id are scanned each by itself.
     """
     docs = keyed(docs, id_col)
     found = cut(candidates(docs, text, path, common_words(docs, text)))
     labelled = cut(findings if findings is not None else known_findings(found))
     model = train(labelled)
     if model is None:
-        only = (labelled.agg(F.max("label")).first()[0] or 0) + 0.0
-        scored = found.withColumn("score", F.lit(only))
+        scored = found.withColumn("score", rule().cast("double"))
     else:
         scored = model.transform(found.withColumn("x", array_to_vector("features"))).withColumn("score", vector_to_array("probability")[1])
     ids = docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"))

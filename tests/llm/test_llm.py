@@ -278,6 +278,19 @@ def test_secret_scan(spark, odd, empty):
     assert secret_scan.secret_scan(odd).count() == 0 and secret_scan.secret_scan(empty).count() == 0
 
 
+def test_rare_secrets_are_learned_and_one_label_decides_nothing(spark, monkeypatch):
+    r, whole = random.Random(12), secret_scan.known_findings
+    noise = lambda: f"item {r.randrange(10**12, 10**13)} at {r.randrange(10**11, 10**12)}-{r.randrange(10**4)}"
+    key = lambda: "AKIA" + "".join(r.choices("ABCDEFGH23456789", k=16))
+    rows = [(i, " ".join(noise() for _ in range(5)) + (f" {key()} " if i % 60 == 7 else ""), "src") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    true = {i for i, *_ in rows if i % 60 == 7}
+    monkeypatch.setattr(secret_scan, "known_findings", lambda found: whole(found, 40))
+    assert {x.id for x in secret_scan.secret_scan(docs).where("is_secret").collect()} == true
+    clean = secret_scan.candidates(secret_scan.keyed(docs), "text", "source", []).where("value not like 'AKIA%'").select("features", F.lit(0).alias("label"))
+    assert {x.id for x in secret_scan.secret_scan(docs, clean).where("is_secret").collect()} == true
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     r = random.Random(21)
     base = [prose(90, r).replace("#", "") for _ in range(40)]

@@ -1,9 +1,12 @@
 """Secret scans: candidates by shape, then a random forest removes false positives.
 
-A candidate is a run of 12 or more letters, digits, ``+``, ``/``, ``_`` or ``-`` with a digit in it. Its features: its
-length; shares of digits, upper and lower case and hexadecimal characters; entropy; changes between character classes;
-longest run of digits; the share of it that common words of the corpus cover; how the text before it ends; hashes of
-its neighbouring words and of its path. The forest is trained on labelled findings: (feature row, 0 or 1).
+A candidate is a run of 12 or more letters, digits, ``+``, ``/``, ``_`` or ``-`` with a digit in it; every match of a
+format in ``KNOWN``, also inside a run; and the whole value after a name that ``NAMED`` matches, of any length and
+characters: up to its closing quote on the line, or else up to white space, without closing signs at its end. Candidates
+may overlap; equal ones are one. A candidate's features: its length; shares of digits, upper and lower case and
+hexadecimal characters; entropy; changes between character classes; longest run of digits; the share of it that common
+words of the corpus cover; how the text before it ends; hashes of its neighbouring words and of its path. The forest is
+trained on labelled findings: (feature row, 0 or 1).
 
 The test tables hold no labelled findings. The query labels all candidates by the formats in ``KNOWN`` and by what
 stands before them, and trains on a bounded sample of each label (``MAX_FINDINGS`` in all, in the order of a hash).
@@ -29,6 +32,10 @@ WORD_BUCKETS, PATH_BUCKETS, CONTEXT, SLICE = 24, 8, 40, 1_000_000
 KNOWN = [r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36}", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"sk_live_[0-9A-Za-z]{20,}", r"AIza[0-9A-Za-z_-]{35}"]
 #: What assigns a secret to a name.
 NAMED = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|auth|credential)s?[\"']?\s*[:=]\s*[\"']?$"
+_FORMATS = [re.compile(p.encode()) for p in KNOWN]
+_ASSIGNED = re.compile(NAMED.removesuffix("$").encode())
+_QUOTED = {q: re.compile(rb"(?:\\.|[^%c\\\r\n])++(?=%c)" % (q, q)) for q in b"\"'"}
+_BARE = re.compile(rb"\S+")
 
 _CLASS = np.zeros(256, np.uint8)  # 1 digit, 2 upper, 3 lower, 4 sign
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 1, 2, 3
@@ -80,6 +87,19 @@ def features(value: str, before: str, after: str, path: str, words: set[str]) ->
     ]
 
 
+def told(raw: bytes, start: int, stop: int) -> set[tuple[int, int]]:
+    """(begin, end) in ``raw`` of what has a known format or is assigned to a secret's name, within one text."""
+    out = {m.span() for p in _FORMATS for m in p.finditer(raw, start, stop)}
+    for name in _ASSIGNED.finditer(raw, start, stop):
+        at = name.end()
+        quoted = _QUOTED.get(raw[at - 1])
+        if quoted and (m := quoted.match(raw, at, stop)):
+            out.add(m.span())
+        elif m := _BARE.match(raw, at, stop):
+            out.add((at, at + (len(m[0].rstrip(b",;)]}>\"'`")) or len(m[0]))))
+    return out
+
+
 def candidates(docs: DataFrame, text: str, path: str | None, words: list[str]) -> DataFrame:
     """(row, nth, start, stop, value, before, features) of every candidate; positions count code points."""
     sent = docs.sparkSession.sparkContext.broadcast(set(words))  # MAX_WORDS words
@@ -100,10 +120,12 @@ def candidates(docs: DataFrame, text: str, path: str | None, words: list[str]) -
             a, b = np.flatnonzero(opens), np.flatnonzero(closes)
             digits = np.concatenate([[0], np.cumsum(_CLASS[data] == 1)])
             keep = (b - a >= MIN_LENGTH) & (digits[b] > digits[a])
-            a, b = a[keep], b[keep]
+            raw = data.tobytes()
+            spans = set(zip(a[keep].tolist(), b[keep].tolist(), strict=True)).union(*(told(raw, s, e) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)))
+            a, b = np.array(sorted(spans), np.int64).reshape(-1, 2).T
             owner = np.searchsorted(starts, a, "right") - 1
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # a code point for each leading byte
-            raw, rows, paths = data.tobytes(), whole.column(0).to_pylist(), whole.column(2).to_pylist()
+            rows, paths = whole.column(0).to_pylist(), whole.column(2).to_pylist()
             out = []
             for s, e, k in zip(a.tolist(), b.tolist(), owner.tolist(), strict=True):
                 value = raw[s:e].decode()

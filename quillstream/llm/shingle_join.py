@@ -6,8 +6,8 @@
    levels and are shortened until pairs at the threshold meet in some tree with the target probability
    (:func:`depth_for`). A prefix that two share is a bucket.
 3. In a bucket, signatures that agree in ``LIKELY`` of their places are connected; that is more than six standard
-   deviations below the threshold. Connected representatives over all buckets form candidate families. A bucket gives
-   one edge for each member, not one for each pair.
+   deviations below the threshold. Connected representatives over all buckets form candidate families. A bucket of
+   over ``BLOCK`` rows is split into cells of two blocks. A cell gives one edge for each member, not one for each pair.
 4. A family's sets meet in cells of two blocks of ``BLOCK`` representatives, so a large family is many tasks. A cell
    counts all intersections exactly, by products of 0/1 matrices, adds up each representative's links and gives one edge
    for each member of a linked group.
@@ -125,7 +125,16 @@ def grouped(batches, column: int):
 
 
 def bucket_edges(buckets: DataFrame, likely: float) -> DataFrame:
-    """(a, b): in each bucket of (key, row, sig), a connected group's first row with each of the others."""
+    """(a, b): edges that connect, in each bucket of (key, row, sig, n), what chains of likely pairs connect.
+
+    A bucket of ``n`` rows meets in cells of two blocks of about ``BLOCK`` rows, so each pair is in a cell, and a large
+    bucket is many tasks. A cell gives a connected group's first row with each of the others.
+    """
+    g = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocked = buckets.withColumn("g", g).withColumn("i", F.pmod(F.xxhash64("row"), F.col("g")).cast("int"))
+    cells = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j")).select(
+        F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "row", "sig"
+    )
 
     def run(batches):
         for table, edges in grouped(batches, 0):
@@ -151,7 +160,7 @@ def bucket_edges(buckets: DataFrame, likely: float) -> DataFrame:
                 pairs = np.unique(np.array(out, np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,8 +264,8 @@ def candidates(sketched: DataFrame, likely: float = LIKELY) -> tuple[DataFrame,
     classes = cut(sketched.groupBy("s1", "s2").agg(F.min(ROW).alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias(ROW)), ROW)
     keys = cut(reps.select(F.explode("keys").alias("key"), F.col(ROW).alias("row")))
-    met = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key"))
-    buckets = keys.join(met, "key").join(sketched.select(F.col(ROW).alias("row"), "sig"), "row").select("key", "row", "sig")
+    met = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = keys.join(met, "key").join(sketched.select(F.col(ROW).alias("row"), "sig"), "row").select("key", "row", "sig", "n")
     return classes, components(bucket_edges(buckets, likely).distinct())
 
 

@@ -225,6 +225,21 @@ def test_large_families_in_blocks(spark, monkeypatch):
     assert rows_of(found, "id", "class_id", "copies", "n_links", "group_id") == sorted(shingle_join.brute_force(rows), key=str)
 
 
+def test_large_buckets_in_cells(spark, monkeypatch):
+    sigs = [np.random.default_rng(k).integers(0, 256, 160, dtype=np.uint8).tobytes() for k in range(2)]
+    rows = [(7, i, sigs[i % 2], 400) for i in range(400)] + [(8, 1000, sigs[0], 2), (8, 1001, sigs[0], 2)]
+    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = shingle_join.bucket_edges(spark.createDataFrame(rows, "key long, row long, sig binary, n long"), 0.6)
+        found = edges.where("a < 1000").select("a", "b", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.p for r in found}) > 1  # one key's rows were one task before
+    roots = {(r.node, r.root) for r in shingle_join.components(edges).collect()}
+    assert roots == {(i, i % 2) for i in range(400)} | {(1000, 1000), (1001, 1000)}
+
+
 def test_depth_reaches_recall():
     d = shingle_join.depth_for(0.8)
     miss = lambda depth: (1 - 0.8**depth) ** shingle_join.TREES

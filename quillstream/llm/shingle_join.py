@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact set intersections decide.
+"""N-gram Jaccard join: MinHash banding finds candidates, exact set intersections decide.
 
 1. Every text becomes the set of its shingles (five consecutive words); texts with equal sets are one class, and only
    the classes' representatives, their smallest row keys, go on.
-2. Each of ``TREES`` tries holds the representatives by a sequence of minima. Matched prefixes start at ``DEEPEST``
-   levels and are shortened until pairs at the threshold meet in some tree with the target probability
-   (:func:`depth_for`). A prefix that two share is a bucket.
+2. Each of ``TREES`` bands hashes a prefix of its own sequence of minima to one key. All prefixes are equally long: the
+   most, up to ``DEEPEST``, at which pairs at the threshold share one in some band with the target probability
+   (:func:`depth_for`). There are no tries; the depth does not depend on the data. A key that two share is a bucket.
 3. In a bucket, signatures that agree in ``LIKELY`` of their places are connected; that is more than six standard
    deviations below the threshold. Connected representatives over all buckets form candidate families. A bucket of
    over ``BLOCK`` rows is split into cells of two blocks. A cell gives one edge for each member, not one for each pair.

@@ -1,16 +1,20 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the last ``WINDOW`` bytes picks cut points, each moved on to the next ASCII white space, so equal
-passages of different documents give equal chunks wherever they stand. A chunk that a task has seen is not encoded
-again; of a new one, only words and pre-tokens that the task has not seen go to the tokenizer. Then the joins are repaired: the words
-on both sides of a join are encoded together, and more of them, until that agrees with what the chunks gave; where it
-doesn't, the joint encoding takes their place.
-
-Both memories are bounded (``MAX_WORDS``, ``MAX_PARTS``, ``MAX_CHUNK_BYTES``) and start afresh when full; results don't depend on them.
+1. A rolling hash over the last ``WINDOW`` bytes of a text picks cut points, each moved on to the next ASCII white space
+   of the same text. They depend on the text alone, so equal passages of different documents give equal chunks.
+2. Chunks travel as 128-bit digests. One that stands twice or more in the corpus, from ``SHARED_BYTES`` on, has an owner:
+   its first place. The owner's text is encoded there once; the ids, packed, are joined to all places of the chunk.
+3. Each text is then put together: shared chunks from their ids, all other chunks by encoding their words.
+4. The joins are repaired: the words on both sides of a join are encoded together, and more of them, until that agrees
+   with what the chunks gave; where it doesn't, the joint encoding takes their place.
+
+A worker remembers words and pre-tokens that it has encoded, up to ``MAX_WORDS`` and ``MAX_PARTS``, and starts afresh
+when they are full; results don't depend on it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -19,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import ranges, utf8_parts
+from .common import ROW, cut, keyed, ranges, utf8_parts
 
 WINDOW, MASK = 8, np.uint32(2**11 - 1)
-MAX_WORDS, MAX_PARTS, MAX_CHUNK_BYTES, SLICE_BYTES = 300_000, 500_000, 16_000_000, 1_000_000
+MAX_WORDS, MAX_PARTS, SLICE_BYTES, SHARED_BYTES = 200_000, 250_000, 1_000_000, 128
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Words of these characters are in composed form, and lower-casing keeps their length; the pre-tokens of such a word
@@ -41,7 +45,7 @@ def default_tokenizer() -> str:
 
 
 def cut_points(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where chunks begin in ``data``: at every text's start, and after white space that follows a hash hit."""
+    """Where chunks begin in ``data``: at every text's start, and at the white space that follows a hash hit in it."""
     n = len(data)
     if n <= WINDOW:
         return np.unique(starts[:-1])
@@ -54,8 +58,9 @@ def cut_points(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     hits = np.flatnonzero((h >> np.uint32(16)) & MASK == 0) + WINDOW
     spaces = np.flatnonzero(_SPACE[data])
     at = np.searchsorted(spaces, hits)
-    cuts = spaces[at[at < len(spaces)]]
-    return np.unique(np.concatenate([starts[:-1], cuts]))
+    hits, cuts = hits[at < len(spaces)], spaces[at[at < len(spaces)]]
+    same = np.searchsorted(starts, hits - WINDOW, "right") == np.searchsorted(starts, cuts, "right")  # no cut sees another text
+    return np.unique(np.concatenate([starts[:-1], cuts[same]]))
 
 
 class Numbers(dict):
@@ -101,8 +106,6 @@ class Encoder:
         self.index = Numbers()
         self.names: list[bytes] = []
         self.counts, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.chunks: dict[bytes, np.ndarray] = {}
-        self.chunk_bytes = 0
         self.agreed: set[tuple[int, int]] = set()
 
     def learn_parts(self) -> None:
@@ -163,22 +166,21 @@ class Encoder:
 
     def words(self, chunks: list[bytes]) -> list[np.ndarray]:
         """For each chunk, the numbers of its words."""
-        for c in chunks:
-            if c not in self.chunks:
-                self.chunks[c] = self.index.of(c.split())
-                self.chunk_bytes += len(c)
+        found = [self.index.of(c.split()) for c in chunks]
         if self.index.new:
             self.learn()
-        return [self.chunks[c] for c in chunks]
+        return found
 
     def flat(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, back to back, and how many each has."""
         counts = self.counts[words]
         return self.ids[ranges(self.starts[words], counts)], counts
 
-    def agree(self, left: np.ndarray, right: np.ndarray) -> bool:
+    def agree(self, left: bytes, right: bytes) -> bool:
         """Whether the last word on the left and the first on the right give the same ids together as alone."""
-        pair = (int(left[-1]), int(right[0]))
+        pair = tuple(self.index.of([left, right]).tolist())
+        if self.index.new:
+            self.learn()
         if pair not in self.agreed:
             both = self.tokenizer.encode(b" ".join(self.names[i] for i in pair).decode("utf-8", "replace"), add_special_tokens=False).ids
             if both != self.flat(np.array(pair))[0].tolist():
@@ -186,11 +188,12 @@ class Encoder:
             self.agreed.add(pair)
         return True
 
-    def repaired(self, text: bytes, parts: list[np.ndarray]) -> np.ndarray | None:
+    def repaired(self, text: bytes, chunks: list[bytes]) -> np.ndarray | None:
         """None if all joins agree, else the ids of the text with more and more of it encoded at once."""
-        parts = [p for p in parts if len(p)]
-        if all(self.agree(a, b) for a, b in zip(parts, parts[1:], strict=False)):
+        ends = [(c.split(None, 1)[0], c.rsplit(None, 1)[-1]) for c in chunks if not c.isspace()]
+        if all(self.agree(a[1], b[0]) for a, b in zip(ends, ends[1:], strict=False)):
             return None
+        parts = self.words(chunks)
         words, known = text.split(), np.concatenate(parts)
         ends, span = np.cumsum([len(p) for p in parts])[:-1], 1
         ids = self.flat(known)[0]
@@ -206,25 +209,32 @@ class Encoder:
                 return again
             ids = again
 
-    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts that lie back to back in ``data``, back to back, and where each text's begin."""
-        if len(self.index) > MAX_WORDS or self.chunk_bytes > MAX_CHUNK_BYTES:
+    def encode(self, data: np.ndarray, starts: np.ndarray, given: list[dict[int, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie back to back in ``data``, back to back, and where each text's begin.
+
+        ``given`` has, for each text, the ids of chunks that are known, by the byte at which the chunk begins.
+        """
+        if len(self.index) > MAX_WORDS:
             self.reset()
         if len(self.parts) > MAX_PARTS:
             self.forget_parts()
         raw = data.tobytes()
-        cuts = cut_points(data, starts)
+        cuts = np.minimum(cut_points(data, starts), len(data))
         ends = np.append(cuts[1:], len(data)) if len(cuts) else cuts
-        cuts = np.minimum(cuts, len(data))
-        parts = self.words([raw[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)])
         of_text = np.searchsorted(cuts, starts)
-        ids, counts = self.flat(np.concatenate(parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        n_words = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        begins = upto[n_words[of_text]]
+        chunks = [raw[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+        known = {int(np.searchsorted(cuts, starts[k] + at)): ids for k, some in enumerate(given or ()) for at, ids in some.items()}
+        words = self.words([b"" if i in known else c for i, c in enumerate(chunks)])
+        ids, counts = self.flat(np.concatenate(words)) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        n_words = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)[n_words]
+        if known:
+            pieces = [known[i] if i in known else ids[upto[i] : upto[i + 1]] for i in range(len(chunks))]
+            ids, upto = np.concatenate(pieces).astype(np.int32), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        begins = upto[of_text]
         texts = None
         for k in range(len(starts) - 1):
-            own = parts[of_text[k] : of_text[k + 1]]
+            own = chunks[of_text[k] : of_text[k + 1]]
             if len(own) > 1 and (fixed := self.repaired(raw[starts[k] : starts[k + 1]], own)) is not None:
                 texts = texts or [ids[begins[i] : begins[i + 1]] for i in range(len(starts) - 1)]
                 texts[k] = fixed
@@ -252,40 +262,24 @@ def row_slices(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, out: str = "ids") -> DataFrame:
-    """Adds the token ids of each whole text as array<int> ``out``. Null and empty texts have none.
-
-    Every row is encoded by itself, so ids, order and repeats of rows don't matter. Bytes that aren't UTF-8 count as
-    U+FFFD. A column named as ``out`` is replaced. No shuffle; a task holds a slice of about 1 MB of text, or one longer text, at a time.
-    """
-    docs = docs.drop(out)
-    path = tokenizer or default_tokenizer()
-    schema = StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType(), False), False)])
-    names = docs.columns
-
-    def run(batches):
-        enc = encoder(path)
-        for whole in batches:
-            data, starts = utf8_parts(whole.column(names.index(text)))
-            for a, b in row_slices(starts, SLICE_BYTES):
-                ids, begins = enc.encode(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
-                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, lists], names=[*names, out])
-
-    return docs.mapInArrow(run, schema)
-
-
 class Decoder:
     """``tokenizer.decode(ids, skip_special_tokens=False)`` of tokenizers without a decoder: tokens joined by a space."""
 
     def __init__(self, path: str):
         t = encoder(path).tokenizer
         self.table = np.array([(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size())], object)
+        self.decimals = np.array([b"%d" % i for i in range(len(self.table))], object)
 
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
         tokens, at = self.table[ids], (begins - begins[0]).tolist()
         return pa.array([b" ".join(tokens[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()).cast(pa.string())
 
+    def sha256(self, ids: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Digests of the ids, as decimals joined by one space, and of the decoded text, for each text."""
+        at = (begins - begins[0]).tolist()
+        of = lambda table: pa.array([hashlib.sha256(b" ".join(table[ids[s:e]])).hexdigest() for s, e in zip(at[:-1], at[1:], strict=True)], pa.string())
+        return of(self.decimals), of(self.table)
+
 
 def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str | None = None, out: str = "decoded") -> DataFrame:
     """Adds the decoded text of the ids as ``out``; see :class:`Decoder`. Null ids give an empty text."""
@@ -307,39 +301,115 @@ def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str | None = None, o
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """:func:`encode` and :func:`decode` in one pass, with one Python worker for each core instead of two."""
-    docs = docs.drop("ids", "decoded")
+#: What :func:`round_trip` can add to each row.
+OUTPUTS = {
+    "ids": ArrayType(IntegerType(), False), "decoded": StringType(), "n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()
+}
+
+
+def chunk_places(docs: DataFrame, text: str) -> DataFrame:
+    """(d1, d2, row, start, stop): digest and bytes of every chunk of ``SHARED_BYTES`` or more."""
+
+    def run(batches):
+        for whole in batches:
+            data, starts = utf8_parts(whole.column(1))
+            for a, b in row_slices(starts, SLICE_BYTES):
+                own, at = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+                cuts = np.minimum(cut_points(own, at), len(own))
+                ends = np.append(cuts[1:], len(own)) if len(cuts) else cuts
+                long = ends - cuts >= SHARED_BYTES
+                cuts, ends, raw = cuts[long], ends[long], own.tobytes()
+                digests = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(cuts.tolist(), ends.tolist(), strict=True))
+                d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                owner = np.searchsorted(at, cuts, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d[:, 0]), pa.array(d[:, 1]), whole.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(cuts - at[owner], pa.int32()), pa.array(ends - at[owner], pa.int32())],
+                    names=["d1", "d2", "row", "start", "stop"],
+                )
+
+    return docs.select(ROW, text).mapInArrow(run, "d1 bigint, d2 bigint, row bigint, start int, stop int")
+
+
+def shared_chunks(docs: DataFrame, text: str, path: str) -> DataFrame | None:
+    """(ROW, __given): for each row with shared chunks, an array of (start, ids), ids as packed int32; None without any.
+
+    Places are counted before they are shuffled; a chunk with many places meets its ids in a join, which Spark splits.
+    """
+    places = cut(chunk_places(docs, text))
+    repeated = places.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "stop")).alias("one"))
+    repeated = cut(repeated.where("n > 1").select("d1", "d2", "one.*"))
+    if repeated.isEmpty():
+        return None
+    owned = repeated.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("d1", "d2", "start", "stop")).alias("owned"))
+
+    def run(batches):
+        enc = encoder(path)
+        for batch in batches:
+            data, starts = utf8_parts(batch.column(0))
+            lists, raw = batch.column(1), data.tobytes()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            f = {n: lists.flatten().field(n) for n in ("d1", "d2", "start", "stop")}
+            at, to = (starts[row] + f[n].to_numpy() for n in ("start", "stop"))
+            for i in range(0, len(row), 256):
+                chunks = [raw[s:e] for s, e in zip(at[i : i + 256].tolist(), to[i : i + 256].tolist(), strict=True)]
+                ids, begins = enc.encode(np.frombuffer(b"".join(chunks), np.uint8), np.cumsum([0] + [len(c) for c in chunks]))
+                packed = [ids[s:e].astype("<i4").tobytes() for s, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([f["d1"].slice(i, len(chunks)), f["d2"].slice(i, len(chunks)), pa.array(packed, pa.binary())], names=["d1", "d2", "ids"])
+
+    ids = cut(docs.select(ROW, text).join(owned.hint("shuffle_hash"), ROW).select(text, "owned").mapInArrow(run, "d1 bigint, d2 bigint, ids binary"))
+    return places.join(ids, ["d1", "d2"]).groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("start", "ids")).alias("__given"))
+
+
+def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``outputs``: of each whole text the token ``ids``, the text ``decoded`` from them, their number
+    ``n_tokens``, and the sha256 of the ids (decimals joined by a space) and of the decoded text.
+
+    Null and empty texts have no ids. Bytes that aren't UTF-8 count as U+FFFD. Rows with a null or repeated id are
+    documents of their own; ids, order and repeats of rows don't change what a text gives. An empty table gives an
+    empty one. Columns of ``docs`` with the names of outputs are replaced.
+    The text is shuffled where chunks are shared, not otherwise. A task holds a slice of about 1 MB of text, or one longer text, at a
+    time, and the digests are taken there, so that neither ids nor decoded text need leave it.
+    """
+    docs = keyed(docs.drop(*outputs), id_col)
     path = tokenizer or default_tokenizer()
-    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType(), False), False), StructField("decoded", StringType(), False)])
-    names = docs.columns
+    given = shared_chunks(docs, text, path)
+    joined = docs.withColumn("__given", F.lit(None).cast("array<struct<start: int, ids: binary>>")) if given is None else docs.join(given.hint("shuffle_hash"), ROW, "left")
+    kept = [c for c in docs.columns if c != ROW]
+    joined = joined.select(*kept, "__given")
+    schema = StructType([*joined.schema.fields[:-1], *(StructField(c, OUTPUTS[c], False) for c in outputs)])
+    at = kept.index(text)
 
     def run(batches):
         enc, decoder = encoder(path), Decoder(path)
         for whole in batches:
-            data, starts = utf8_parts(whole.column(names.index(text)))
+            data, starts = utf8_parts(whole.column(at))
             for a, b in row_slices(starts, SLICE_BYTES):
-                ids, begins = enc.encode(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
-                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, lists, decoder.decode(ids, begins)], names=[*names, "ids", "decoded"])
+                some = [{x["start"]: np.frombuffer(x["ids"], "<i4") for x in row or ()} for row in whole.column(len(kept)).slice(a, b - a).to_pylist()]
+                ids, begins = enc.encode(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], some)
+                made = {"ids": lambda: pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids)), "decoded": lambda: decoder.decode(ids, begins), "n_tokens": lambda: pa.array(np.diff(begins))}  # noqa: B023
+                if {"ids_sha256", "decoded_sha256"} & set(outputs):
+                    sums = decoder.sha256(ids, begins)
+                    made |= {"ids_sha256": lambda: sums[0], "decoded_sha256": lambda: sums[1]}  # noqa: B023
+                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns[:-1], *(made[c]() for c in outputs)], names=[*kept, *outputs])
+
+    return joined.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
 
+def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the token ids of each whole text as array<int> ``ids``; see :func:`round_trip`."""
+    return round_trip(docs, text, tokenizer, ("ids",), id_col)
 
-def digests(done: DataFrame) -> list:
-    return [
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    ]
+
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    done = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return done.select("doc_id", *digests(done))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), outputs=DIGESTS).select("doc_id", *DIGESTS)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: each document's id, its ids and their count, and digests of ids and decoded text."""
-    done = round_trip(docs.select("doc_id", "text"))
-    return done.select("doc_id", "ids", *digests(done))
+    """Pipeline stage, the last: each document's id, its ids and their count, and digests of ids and decoded text.
+
+    A row for each row of ``docs``, null and repeated ids included; null and empty texts have no ids.
+    """
+    return round_trip(docs.select("doc_id", "text"), outputs=("ids", *DIGESTS)).select("doc_id", "ids", *DIGESTS)

@@ -132,9 +132,33 @@ def test_bpe_equals_the_library(docs, odd, empty):
     whole = bpe.round_trip(docs).select("doc_id", "ids", "decoded").collect()
     assert {r.doc_id: (r.ids, r.decoded) for r in whole} == {i: (ids, t.decode(ids, skip_special_tokens=False)) for i, ids in want.items()}
     assert {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs)).select("doc_id", "decoded").collect()} == {r.doc_id: r.decoded for r in whole}
+    sums = bpe.round_trip(docs, outputs=bpe.DIGESTS).select("doc_id", *bpe.DIGESTS).collect()
+    assert {tuple(r) for r in sums} == {(i, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))) for i, ids in want.items()}
     assert bpe.round_trip(odd).count() == 6 and bpe.round_trip(empty).count() == 0
 
 
+def test_bpe_encodes_shared_chunks_once(spark):
+    t, r = bpe.Encoder(bpe.default_tokenizer()).tokenizer, random.Random(77)
+    passage = prose(6000, r)
+    rows = [(i, prose(20, r) + passage + prose(20, r)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn(ROW, F.col("doc_id"))
+    given = bpe.shared_chunks(df, "text", bpe.default_tokenizer()).collect()
+    assert len(given) == 12 and all(len(x["__given"]) > 2 for x in given)
+    places = bpe.chunk_places(df, "text")
+    assert places.select("d1", "d2").distinct().count() < places.count() / 2
+    got = bpe.encode(df.drop(ROW)).collect()
+    assert {x.doc_id: x.ids for x in got} == {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
+
+
+def test_bpe_equals_the_library_on_random_texts():
+    e, r = bpe.Encoder(bpe.default_tokenizer()), random.Random(8)
+    alphabet = "abcXYZ0189 '.,-_\n\t\r\x0b\x1c\x85\xa0éÉßﬁİΣς中文\u0301\u200b😀<|>"
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    ids, at = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_on_hard_texts_and_small_memories(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_WORDS", 50)
     monkeypatch.setattr(bpe, "MAX_PARTS", 50)
@@ -151,9 +175,9 @@ def test_bpe_on_hard_texts_and_small_memories(monkeypatch):
 def test_bpe_repairs_joins_that_disagree(monkeypatch):
     e = bpe.Encoder(bpe.default_tokenizer())
     text = prose(300).encode()
-    parts = e.words([text[:700].rsplit(b" ", 1)[0], text[len(text[:700].rsplit(b" ", 1)[0]) :]])
+    at = len(text[:700].rsplit(b" ", 1)[0])
     monkeypatch.setattr(e, "agree", lambda a, b: False)
-    assert e.repaired(text, parts).tolist() == e.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert e.repaired(text, [text[:at], text[at:]]).tolist() == e.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
 
 def test_decontamination(spark, docs, odd, empty):

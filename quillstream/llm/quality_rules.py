@@ -32,10 +32,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 REACH, MIN_GROUP = 3, 50
 
 
-def _repeat_words() -> Column:
-    """Words in a 3-word window found twice or more: windows as hashes above their positions, sorted; equal neighbours."""
+def _repeat_words(spare: int = 0) -> tuple[Column, Column, Column, Column]:
+    """Words in a 3-word window found twice or more, in steps that are columns of their own.
+
+    Windows as hashes above their positions, sorted: equal neighbours may be repeats. The longer the text, the fewer bits
+    of the hash are left, so what these find is sorted again by the windows' words, which decide. ``spare`` bits less of
+    the hash are used.
+    """
     n = F.size("__words") - 2
-    bits = F.length(F.bin(n.cast("bigint")))
+    bits = F.length(F.bin(n.cast("bigint"))) + spare
     packed = F.sort_array(
         F.transform(
             F.slice("__words", 1, n),
@@ -44,14 +49,17 @@ def _repeat_words() -> Column:
     )
     window = lambda x: F.call_function("shiftright", x, F.col("__bits"))
     met = F.filter("__packed", lambda x, i: (window(x) == window(F.get("__packed", i - 1))) | (window(x) == window(F.get("__packed", i + 1))))
-    at = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__bits")) - 1)
-    covered = F.size(F.array_distinct(F.flatten(F.transform(met, lambda x: F.array(at(x), at(x) + 1, at(x) + 2)))))
-    return bits, packed, covered
+    at = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__bits")) - 1).cast("int")
+    word = lambda i: F.get("__words", i)
+    spelled = F.sort_array(F.transform(met, lambda x: F.struct(F.concat_ws(" ", word(at(x)), word(at(x) + 1), word(at(x) + 2)).alias("w"), at(x).alias("i"))))
+    same = F.filter("__met", lambda x, k: (x["w"] == F.get("__met", k - 1)["w"]) | (x["w"] == F.get("__met", k + 1)["w"]))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    return bits, packed, spelled, covered
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_counts(docs: DataFrame, text: str = "text", spare: int = 0) -> DataFrame:
     """Adds the base counts, ``base_failed`` and the rates to ``docs``; null and empty texts count nothing."""
-    bits, packed, covered = _repeat_words()
+    bits, packed, spelled, covered = _repeat_words(spare)
     whole = text_or_empty(text)
     has_word = lambda line: line.rlike(r"[^ \t\n\x0B\f\r]")
     bare = F.col("__bare")
@@ -68,6 +76,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_dup_lines", (F.col("__n_lines") - F.size(F.array_distinct("__lines"))).cast("bigint"))
         .withColumn("__bits", F.when(F.col("n_words") > 3, bits).otherwise(1))
         .withColumn("__packed", F.when(F.col("n_words") > 3, packed))
+        .withColumn("__met", F.when(F.col("n_words") > 3, spelled))
         .withColumn("n_repeat_words", F.when(F.col("n_words") > 3, covered).otherwise(0).cast("bigint"))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("symbol_rate", rate("n_symbols", "word_chars"))
@@ -75,7 +84,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("dup_line_rate", rate("n_dup_lines", "__n_lines"))
         .withColumn("repeat_rate", rate("n_repeat_words", "n_words"))
         .withColumn("mean_word", F.floor(100 * F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))).cast("bigint"))
-        .drop("__words", "__lines", "__bare", "__upper", "__n_lines", "__packed", "__bits")
+        .drop("__words", "__lines", "__bare", "__upper", "__n_lines", "__packed", "__met", "__bits")
     )
 
 

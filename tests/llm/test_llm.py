@@ -124,6 +124,24 @@ def test_quality_rules(spark, docs, odd, empty):
     assert {r.doc_id for r in df.where("kept").collect()} == {i for i, *_ in clean}
 
 
+def test_repeats_are_counted_by_words_not_by_hash(spark):
+    r = random.Random(31)
+    distinct = " ".join(f"w{i}" for i in range(30_000))
+    texts = [distinct, distinct + " w5 w6 w7", "a b c " * 3000 + distinct, " ".join(r.choices("abc", k=2000)), "x y z", "x y z w", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def want(text):
+        w = (text or "").split()
+        at: dict = {}
+        for i in range(len(w) - 2):
+            at.setdefault(tuple(w[i : i + 3]), []).append(i)
+        return len({p for places in at.values() if len(places) > 1 for i in places for p in (i, i + 1, i + 2)})
+
+    for spare in (0, 44):  # with the second, hashes of a few bits
+        got = quality_rules.with_counts(df, spare=spare).select("doc_id", "n_repeat_words").collect()
+        assert {x.doc_id: x.n_repeat_words for x in got} == {i: want(t) for i, t in enumerate(texts)}
+
+
 def test_bpe_equals_the_library(docs, odd, empty):
     t = bpe.Encoder(bpe.default_tokenizer()).tokenizer
     want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in DOCS}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import ROW, cut, keyed, ranges, utf8_parts
+from .common import ROW, cut, digests, keyed, ranges, utf8_parts
 
 WINDOW, MASK = 8, np.uint32(2**11 - 1)
 MAX_WORDS, MAX_PARTS, SLICE_BYTES, SHARED_BYTES = 200_000, 250_000, 1_000_000, 128
@@ -319,11 +319,9 @@ def chunk_places(docs: DataFrame, text: str) -> DataFrame:
                 ends = np.append(cuts[1:], len(own)) if len(cuts) else cuts
                 long = ends - cuts >= SHARED_BYTES
                 cuts, ends, raw = cuts[long], ends[long], own.tobytes()
-                digests = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(cuts.tolist(), ends.tolist(), strict=True))
-                d = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 owner = np.searchsorted(at, cuts, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[:, 0]), pa.array(d[:, 1]), whole.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(cuts - at[owner], pa.int32()), pa.array(ends - at[owner], pa.int32())],
+                    [*digests(raw, cuts, ends), whole.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(cuts - at[owner], pa.int32()), pa.array(ends - at[owner], pa.int32())],
                     names=["d1", "d2", "row", "start", "stop"],
                 )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -119,35 +120,61 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Two primes and a base for each; a hash is a pair of remainders.
+_PRIMES = (2**31 - 1, 2**31 - 19)
+_BASES = (1_220_703_133, 1_664_525_707)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1), modulo 2 ** 64, kept from call to call."""
-    have = _POWERS[kind]
-    if len(have) < n:
-        full = np.full(max(n, 2 * len(have)), _BASE if kind == "up" else _INVERSE, np.uint64)
-        full[0] = 1
-        have = _POWERS[kind] = np.multiply.accumulate(full)
+def _modulo(x: np.ndarray, prime: int) -> np.ndarray:
+    p = np.uint64(prime)
+    return x - (x // p) * p
+
+
+def _powers(k: int, down: bool, n: int) -> np.ndarray:
+    """The first n powers of the k-th base, or of its inverse, kept from call to call."""
+    have = _POWERS.get((k, down), np.ones(1, np.uint64))
+    base = pow(_BASES[k], -1, _PRIMES[k]) if down else _BASES[k]
+    while len(have) < n:
+        have = np.concatenate([have, _modulo(have * np.uint64(pow(base, len(have), _PRIMES[k])), _PRIMES[k])])
+    _POWERS[k, down] = have
     return have[:n]
 
 
 class PrefixHash:
-    """Prefix polynomial hashes of a sequence: the hash of any stretch takes one subtraction and one product.
+    """Prefix polynomial hashes of a sequence: the hash of any stretch takes two subtractions and two products.
 
-    Elements are bytes, spread over 64 bits by a table, or 64-bit values. Arithmetic is modulo 2 ** 64 with an odd base,
-    whose powers can be inverted.
+    Elements are bytes or 64-bit values. Arithmetic is modulo two primes: modulo a power of two,
+    sequences that nest two elements in each other (Thue-Morse) have equal hashes whatever the base.
     """
 
     def __init__(self, values: np.ndarray):
-        spread = _VALUES[values] if values.dtype == np.uint8 else values
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(spread * _powers("up", len(values)), out=self.sums[1:])
-        self.down = _powers("down", len(values) + 1)
+        n, self.sums, self.down = len(values), [], []
+        for k, prime in enumerate(_PRIMES):
+            small = values.dtype == np.uint8
+            v = values.astype(np.uint64) + np.uint64(1) if small else (values >> np.uint64(33) if k else values & np.uint64(2**31 - 1))
+            terms = v * _powers(k, False, n)
+            if not small or n >= 1 << 22:  # else sums stay below 2 ** 63
+                terms = _modulo(terms, prime)
+            self.sums.append(_modulo(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)]), prime))
+            self.down.append(_powers(k, True, n + 1))
+
+    def _pair(self, parts: list[np.ndarray], lengths) -> np.ndarray:
+        return mix(((parts[0] << np.uint64(32)) | parts[1]) ^ mix(np.atleast_1d(np.asarray(lengths)).astype(np.uint64)))
 
     def of(self, starts: np.ndarray, lengths) -> np.ndarray:
         """The hashes of the stretches [start, start + length); equal stretches have equal hashes wherever they stand."""
-        return mix((self.sums[starts + lengths] - self.sums[starts]) * self.down[starts] + np.asarray(lengths).astype(np.uint64))
+        pairs = zip(self.sums, self.down, _PRIMES, strict=True)
+        return self._pair([_modulo((s[starts + lengths] + np.uint64(p) - s[starts]) * d[starts], p) for s, d, p in pairs], lengths)
+
+    def every(self, length: int) -> np.ndarray:
+        """The hashes of all stretches of this length, in order."""
+        pairs, n = zip(self.sums, self.down, _PRIMES, strict=True), max(0, len(self.sums[0]) - length)
+        return self._pair([_modulo((s[length:] + np.uint64(p) - s[:n]) * d[:n], p) for s, d, p in pairs], length)
+
+
+def digests(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """128-bit BLAKE2 digests of stretches of bytes, as two columns of bigint."""
+    found = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
+    halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))

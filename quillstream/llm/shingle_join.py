@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import row_slices
 from .common import ROW, PrefixHash, cut, keyed, mix, utf8_parts
-from .substring_dedup import word_tokens
+from .substring_dedup import word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
 TREES, DEEPEST, LIKELY = 32, 8, 0.6
@@ -42,7 +42,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
     A text of fewer than five words, but not none, is one shingle.
     """
-    words, first, _, _ = word_tokens(data, starts)
+    words, first = word_hashes(data, starts)
     n = np.diff(first)
     size = np.minimum(n, SHINGLE)
     count = np.where(n > 0, n - size + 1, 0)

@@ -1,12 +1,13 @@
 """Substring dedup on a de Bruijn graph of words: words of long passages that stand elsewhere too are removed.
 
-Edges are windows of ``LENGTH`` words, nodes the words that two windows of a text share. ``repeats`` deals out edges
-in stretches, runs of edges with one anchor, and counts them; so a stretch that stands twice or more is a run of
-repeated edges. Runs are compacted into paths: where every place of one run is followed by the same next run, and every
-place of the next is preceded by the first, the node between them does not branch. Successors and predecessors are
-joined to find these nodes, and runs between branching nodes become one path, whose first run's places, times the
-path's length, give the repeated spans. Of stretches that stand once, edges shared with another stretch of their anchor
-give spans of their own, checked word by word at their source coordinates.
+Edges are the k-mers, windows of ``LENGTH`` words; nodes are the words that two consecutive ones share. As graph
+assemblers do, ``repeats`` deals k-mers out by their minimizer (anchor) in stretches, runs of consecutive k-mers with one
+minimizer. A stretch that stands twice or more is a run of repeated edges. Runs are compacted into paths: where every
+place of one run is followed by the same next run, and every place of the next is preceded by the first, the node between
+them does not branch. Successors and predecessors are joined to find these nodes, and runs between branching nodes become
+one path, whose first run's places, times the path's length, give the repeated spans. Of stretches that stand once, edges
+shared with another stretch of their minimizer give spans of their own. Equality is of the words at the source
+coordinates: word by word in a bucket, by 128-bit digests of the words where whole stretches are equal.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import ROW, PrefixHash, cut, keyed, mix, utf8_parts, word_bounds
+from .common import ROW, PrefixHash, cut, keyed, mix, ranges, utf8_parts, word_bounds
 from .repeats import by_document, merged, placed, search
 
 LENGTH, GRAM = 35, 9
@@ -28,34 +29,45 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words between ASCII white space, and which word is each text's first."""
+    begins, ends, first = word_bounds(~_SPACE[data], starts)
+    return PrefixHash(data).of(begins, ends - begins), first
+
+
 def word_tokens(data: np.ndarray, starts: np.ndarray):
-    """Words between ASCII white space, as 64-bit hashes."""
+    """Words between ASCII white space, as hashes, and their places where one space follows each of them."""
     begins, ends, first = word_bounds(~_SPACE[data], starts)
-    return PrefixHash(data).of(begins, ends - begins), first, begins, ends
+    size = ends - begins
+    values = PrefixHash(data).of(begins, size)
+    flat = np.append(data, np.uint8(32))[ranges(begins, size + 1)]
+    stops = np.cumsum(size + 1) - 1
+    flat[stops] = 32
+    return values, first, stops - size, stops, flat
 
 
-def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which edges have an equal one at the same offset in their bucket; equal word by word, not by hash alone."""
+def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which edges have an equal one at the same offset in their bucket; equal in their words, not by hash alone."""
     edge = PrefixHash(values).of(place, length)
     key = mix(edge ^ mix(bucket.astype(np.uint64) * np.uint64(1 << 20) + (offset - offset.min()).astype(np.uint64)))
     order = np.argsort(key, kind="stable")
     a, b = order[:-1], order[1:]
     near = np.flatnonzero((key[a] == key[b]) & (bucket[a] == bucket[b]) & (offset[a] == offset[b]))
-    found, span = np.zeros(len(place), bool), np.arange(length)
-    for i in range(0, len(near), 50_000):
-        part = near[i : i + 50_000]
-        same = (values[place[a[part]][:, None] + span] == values[place[b[part]][:, None] + span]).all(axis=1)
-        found[a[part[same]]] = found[b[part[same]]] = True
+    found, whole = np.zeros(len(place), bool), raw.tobytes()
+    begins, ends = begin[place].tolist(), end[place + length - 1].tolist()
+    for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        if whole[begins[x] : ends[x]] == whole[begins[y] : ends[y]]:
+            found[x] = found[y] = True
     return found
 
 
 def compact(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h1, h2, runs) for the first run of every nonbranching path of repeated runs; ``runs`` is the path's one span.
+    """(d1, d2, runs) for the first run of every nonbranching path of repeated runs; ``runs`` is the path's one span.
 
     ``members`` are the places of all runs, ``classes`` the runs with their number of places ``n``.
     """
-    repeated = classes.where("n > 1").select(F.xxhash64("h1", "h2").alias("id"), "h1", "h2", "n", "one")
-    places = members.join(repeated.select("h1", "h2", "id"), ["h1", "h2"]).select("id", ROW, "lo", "hi")
+    repeated = classes.where("n > 1").select(F.struct("d1", "d2").alias("id"), "n", "one")
+    places = members.join(classes.where("n > 1").select("d1", "d2"), ["d1", "d2"]).select(F.struct("d1", "d2").alias("id"), ROW, "lo", "hi")
     in_text = Window.partitionBy(ROW).orderBy("lo")
     follow = places.withColumn("next", F.when(F.lead("lo").over(in_text) == F.col("hi") + 1, F.lead("id").over(in_text)))
     follow = cut(follow.where("next is not null").groupBy("id", "next").agg(F.count(F.lit(1)).alias("times")))
@@ -67,7 +79,7 @@ def compact(members: DataFrame, classes: DataFrame) -> DataFrame:
     at = Window.partitionBy("one." + ROW).orderBy("one.lo")
     steps = repeated.join(linked, "id", "left").withColumn("path", F.sum(F.when(F.col("inner").isNull(), 1).otherwise(0)).over(at))
     row, path = F.col("one." + ROW).alias("row"), F.col("path")
-    paths = steps.groupBy(row, path).agg(F.min_by(F.struct("h1", "h2"), "one.lo").alias("head"), F.min("one.lo").alias("lo"), F.max("one.hi").alias("hi"))
+    paths = steps.groupBy(row, path).agg(F.min_by("id", "one.lo").alias("head"), F.min("one.lo").alias("lo"), F.max("one.hi").alias("hi"))
     span = F.array(F.struct(F.lit(0).alias("start"), (F.col("hi") - F.col("lo") + LENGTH).cast("int").alias("stop")))
     return paths.select("head.*", span.alias("runs"))
 
@@ -81,8 +93,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Columns of ``docs`` with these names are replaced.
     """
     docs = keyed(docs.drop("n_words", "spans", "kept_text"), id_col)
-    members, classes, partly = search(docs, text, word_tokens, LENGTH, GRAM, twins)
-    runs = cut(compact(members, classes).unionByName(partly))
+    members, classes, partly = search(docs, text, word_tokens, LENGTH, GRAM, twins, seconds=False)
+    alone = partly.join(classes.where("n = 1").select("d1", "d2"), ["d1", "d2"])
+    runs = cut(compact(members, classes).unionByName(alone))
     spans = by_document(placed(members, runs))
     joined = docs.join(spans.hint("shuffle_hash"), ROW, "left").drop(ROW)
     run_type = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))

@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes of long strings that stand elsewhere too are removed.
 
-``repeats`` brings together the places that may be equal. In an anchor's bucket the suffixes that begin at the windows
-are sorted by a mergesort whose comparisons take the longest common extension from prefix polynomial hashes by binary
-search, so a comparison takes a logarithm of the window length; neighbours in the order that agree over a whole window
-are repeats, once their bytes are found equal too.
+``repeats`` brings together the places that may be equal, two of each class of equal stretches. In an anchor's bucket the
+suffixes that begin at the windows are sorted by a mergesort whose comparisons take the longest common extension from
+prefix polynomial hashes by binary search, so a comparison takes a logarithm of the window length; neighbours in the
+order that agree over a whole window are repeats, once their bytes are found equal too. What holds for a class's two
+sorted members holds for its others, whose stretches have the same 128-bit digest.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LENGTH, GRAM = 200, 48
 def byte_tokens(data: np.ndarray, starts: np.ndarray):
     """Every byte is a token."""
     at = np.arange(len(data) + 1)
-    return data, starts, at[:-1], at[1:]
+    return data, starts, at[:-1], at[1:], data
 
 
 def common_extension(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -80,7 +81,7 @@ def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, group:
     return order
 
 
-def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows have an equal one at the same offset in their bucket."""
     key = bucket * (2 * np.abs(offset).max() + 2) + (offset - offset.min())
     _, group = np.unique(key, return_inverse=True)
@@ -107,10 +108,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     Columns of ``docs`` with these names are replaced.
     """
     docs = keyed(docs.drop("n_bytes", "spans", "kept"), id_col)
-    members, classes, partly = search(docs, text, byte_tokens, LENGTH, GRAM, twins)
-    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("one.hi") - F.col("one.lo") + LENGTH).cast("int").alias("stop")))
-    runs = cut(classes.where("n > 1").select("h1", "h2", whole.alias("runs")).unionByName(partly))
-    spans = by_document(placed(members, runs))
+    members, _, runs = search(docs, text, byte_tokens, LENGTH, GRAM, twins, seconds=True)
+    spans = by_document(placed(members, cut(runs)))
     joined = docs.join(spans.hint("shuffle_hash"), ROW, "left").drop(ROW)
     run_type = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
     schema = StructType([*joined.drop("spans").schema.fields, StructField("n_bytes", IntegerType()), StructField("__spans", run_type), StructField("kept", BinaryType())])

@@ -70,6 +70,36 @@ def test_suffix_dedup(docs, odd, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_hashes_tell_nested_patterns_apart():
+    word = lambda k: np.frombuffer("".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(4096)).encode(), np.uint8)
+    for n in (2, 64, 1024, 2048, 4096):
+        x, y = (suffix_dedup.PrefixHash(w[:n]).of(np.zeros(1, int), n)[0] for w in (word(0), word(1)))
+        assert x != y
+    values = suffix_dedup.PrefixHash(word(0)).every(48)
+    x, y = (suffix_dedup.PrefixHash(np.where(w == 97, values[0], values[1])).of(np.zeros(1, int), 4096)[0] for w in (word(0), word(1)))
+    assert x != y
+    whole = suffix_dedup.PrefixHash(np.frombuffer(PASSAGE.encode() * 2, np.uint8))
+    n = len(PASSAGE.encode())
+    assert (whole.of(np.arange(n - 9), 9) == whole.of(np.arange(n - 9) + n, 9)).all() and len(set(whole.every(60)[:n].tolist())) == n
+
+
+@pytest.mark.parametrize("operator", [suffix_dedup, substring_dedup])
+def test_hot_passages_have_no_bucket(spark, monkeypatch, operator):
+    """Common passages shorter than, as long as and longer than a window, each in many surroundings."""
+    r = random.Random(40)
+    passages = [prose(n, r) for n in (12, 20, 30, 33, 34, 35, 36, 45)] + ["Q" * n for n in (60, 195, 199, 200, 205)]
+    rows = [(i, f"{prose(50, r)} {passages[i % len(passages)]}\n{prose(50, r)}") for i in range(len(passages) * 9)]
+    rows += [(1000, rows[0][1]), (1001, rows[13][1] + "!")]
+    monkeypatch.setattr("quillstream.llm.repeats.HOT", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if operator is suffix_dedup:
+        out = suffix_dedup.suffix_dedup(df).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256))
+    else:
+        gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s.stop - s.start)
+        out = substring_dedup.substring_dedup(df).select("doc_id", "n_words", gone, F.sha2(F.col("kept_text").cast("binary"), 256))
+    assert sorted(tuple(x) for x in out.collect()) == sorted(operator.brute_force(rows))
+
+
 def test_suffix_order_is_lexicographic():
     data = np.frombuffer(b"banana bandana banana band" * 3, np.uint8)
     at, group = np.arange(40), np.arange(40) % 3

@@ -1,13 +1,15 @@
-"""N-gram Jaccard join: MinHash banding finds candidates, exact set intersections decide.
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact set intersections decide.
 
 1. Every text becomes the set of its shingles (five consecutive words); texts with equal sets are one class, and only
    the classes' representatives, their smallest row keys, go on.
-2. Each of ``TREES`` bands hashes a prefix of its own sequence of minima to one key. All prefixes are equally long: the
-   most, up to ``DEEPEST``, at which pairs at the threshold share one in some band with the target probability
-   (:func:`depth_for`). There are no tries; the depth does not depend on the data. A key that two share is a bucket.
-3. In a bucket, signatures that agree in ``LIKELY`` of their places are connected; that is more than six standard
-   deviations below the threshold. Connected representatives over all buckets form candidate families. A bucket of
-   over ``BLOCK`` rows is split into cells of two blocks. A cell gives one edge for each member, not one for each pair.
+2. Each has a label in ``TREES`` prefix tries: ``DEEPEST`` minima of its own for each tree. The tries are a table sorted by
+   tree and label, so the rows of a node lie together. Only subtrees are stored that two share at the floor: the depth at
+   which pairs at the threshold share a prefix in some tree with the target recall (:func:`floor_for`).
+3. Long prefixes first: what shares ``TRUNK`` minima in a row is one family at once. Then the matched prefixes are
+   shortened one minimum at a time, down to the floor. A node is looked into only if it holds several families; there
+   signatures that agree in ``LIKELY`` of their places join their families (eight standard deviations below the
+   threshold). So large groups of near copies are one family before their shallow nodes, which are large, come up.
+   A node's rows meet in cells of two blocks of ``BLOCK`` rows; those of its largest family only meet the others.
 4. A family's sets meet in cells of two blocks of ``BLOCK`` representatives, so a large family is many tasks. A cell
    counts all intersections exactly, by products of 0/1 matrices, adds up each representative's links and gives one edge
    for each member of a linked group.
@@ -25,11 +27,11 @@ from .common import ROW, PrefixHash, cut, keyed, mix, utf8_parts
 from .substring_dedup import word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
-TREES, DEEPEST, LIKELY = 32, 8, 0.6
+TREES, DEEPEST, TRUNK, LIKELY = 32, 8, 24, 0.6
 BLOCK, COLUMNS, SLICE = 512, 8192, 1_000_000
 
 
-def depth_for(threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
+def floor_for(threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
     """The longest prefix at which pairs at ``threshold`` share one in some tree with probability ``recall``."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
@@ -71,8 +73,9 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, places: int) -> np.ndarra
     return out
 
 
-def sketch(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """``docs`` (without the text) with the set's hash (s1, s2), its size ``n``, a key for each tree and the signature."""
+def sketch(docs: DataFrame, text: str, floor: int) -> DataFrame:
+    """``docs`` (without the text) with the set's hash (s1, s2), its size ``n``, for each tree the key of its prefix of
+    ``floor`` minima, and the signature: a byte of each of ``DEEPEST`` minima for each tree."""
     names = [c for c in docs.columns if c != text]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
@@ -83,12 +86,12 @@ def sketch(docs: DataFrame, text: str, depth: int) -> DataFrame:
                 hashes, begins = shingle_sets(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(salt)))]) for salt in (1, 2)]
                 s1, s2 = ((s[begins[1:]] - s[begins[:-1]]).view(np.int64) for s in sums)
-                sig = signatures(hashes, begins, TREES * depth)
+                sig = signatures(hashes, begins, TREES * DEEPEST)
                 keys = np.zeros((b - a, TREES), np.uint64)
                 for t in range(TREES):
                     k = np.full(b - a, t + 1, np.uint64)
-                    for d in range(depth):
-                        k = mix(k ^ mix(sig[:, t * depth + d].astype(np.uint64) + np.uint64(d)))
+                    for d in range(floor):
+                        k = mix(k ^ mix(sig[:, t * DEEPEST + d].astype(np.uint64) + np.uint64(d)))
                     keys[:, t] = k
                 raw = (sig & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
@@ -124,38 +127,45 @@ def grouped(batches, column: int):
             yield table, np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
 
 
-def bucket_edges(buckets: DataFrame, likely: float) -> DataFrame:
-    """(a, b): edges that connect, in each bucket of (key, row, sig, n), what chains of likely pairs connect.
+def node_edges(nodes: DataFrame, likely: float) -> DataFrame:
+    """(a, b): edges between families of one node that a likely pair of their rows connects.
 
-    A bucket of ``n`` rows meets in cells of two blocks of about ``BLOCK`` rows, so each pair is in a cell, and a large
-    bucket is many tasks. A cell gives a connected group's first row with each of the others.
+    ``nodes`` has (node, row, root, sig), and of each node the number ``n`` of its rows, its largest family ``major`` and
+    the number ``k`` of the rows outside it. The others meet each other and the largest family, in cells of two blocks of
+    about ``BLOCK`` rows, so a large node is many tasks. A cell gives one edge for each family that it connects.
     """
-    g = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocked = buckets.withColumn("g", g).withColumn("i", F.pmod(F.xxhash64("row"), F.col("g")).cast("int"))
-    cells = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j")).select(
-        F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "row", "sig"
-    )
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    dealt = nodes.withColumn("g", blocks(F.col("k"))).withColumn("h", blocks(F.col("n") - F.col("k"))).withColumn("in_major", F.col("root") == F.col("major"))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("row"), F.when(F.col("in_major"), F.col("h")).otherwise(F.col("g"))).cast("int"))
+    i, upto = F.col("i"), lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(F.col("g")), lambda j: F.struct(F.least(i, j).alias("x"), F.greatest(i, j).alias("y"), F.lit(False).alias("m")))
+    facing = F.transform(upto(F.col("h")), lambda j: F.struct(i.alias("x"), j.alias("y"), F.lit(True).alias("m")))
+    faced = F.transform(upto(F.col("g")), lambda j: F.struct(j.alias("x"), i.alias("y"), F.lit(True).alias("m")))
+    cells = dealt.select("node", "row", "root", "sig", F.explode(F.when(F.col("in_major"), faced).otherwise(F.concat(among, facing))).alias("c"))
+    cells = cells.select(F.xxhash64("node", "c.x", "c.y", "c.m").alias("cell"), "row", "root", "sig")
 
     def run(batches):
         for table, edges in grouped(batches, 0):
-            rows = table.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(rows), -1)
+            roots = table.column(2).to_numpy()
+            sig = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(roots), -1)
             need, out = likely * sig.shape[1], []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                own, left = sig[a:b], np.arange(b - a)
-                while len(left):
-                    reached, wave = [left[0]], [left[0]]
-                    left = left[1:]
-                    while wave and len(left):  # all that a chain of likely pairs reaches
-                        x = wave.pop()
-                        near = (own[left] == own[x]).sum(axis=1) >= need
-                        wave += left[near].tolist()
-                        reached += left[near].tolist()
-                        left = left[~near]
-                    if len(reached) > 1:
-                        found = rows[a + np.array(reached)]
-                        low = found.min()
-                        out += [(low, x) for x in found[found != low]]
+                own, (names, family) = sig[a:b], np.unique(roots[a:b], return_inverse=True)
+                rows_of = np.split(np.argsort(family, kind="stable"), np.cumsum(np.bincount(family))[:-1])
+                left = np.ones(b - a, bool)
+                for f in sorted(range(len(names)), key=lambda f: len(rows_of[f])) if len(names) > 1 else ():
+                    if not left[rows_of[f][0]]:
+                        continue
+                    reached, wave = [f], rows_of[f].tolist()
+                    left[wave] = False
+                    while wave and left.any():  # all that a chain of likely pairs reaches
+                        x, rest = wave.pop(), np.flatnonzero(left)
+                        for g in np.unique(family[rest[(own[rest] == own[x]).sum(axis=1) >= need]]).tolist():
+                            reached.append(g)
+                            wave += rows_of[g].tolist()
+                            left[rows_of[g]] = False
+                    low = names[reached].min()
+                    out += [(low, x) for x in names[reached] if x != low]
             if out:
                 pairs = np.unique(np.array(out, np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -203,7 +213,7 @@ def verify(docs: DataFrame, families: DataFrame, text: str, threshold: float, pa
     ``families`` has (node, root).
     """
     sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    blocked = families.join(sizes, "root").select("node", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    blocked = families.join(sizes.where("m > 1"), "root").select("node", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
     blocked = blocked.withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
 
     def sets(batches):
@@ -259,14 +269,43 @@ def verify(docs: DataFrame, families: DataFrame, text: str, threshold: float, pa
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def candidates(sketched: DataFrame, likely: float = LIKELY) -> tuple[DataFrame, DataFrame]:
+def forest(sketched: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, label, row): the written tries, sorted. ``key`` is a tree's subtree at the floor, ``label`` the minima from the
+    tree's first on, ``TRUNK`` of them. Subtrees with one row are left out."""
+    keys = cut(reps.select(F.posexplode("keys").alias("tree", "key"), F.col(ROW).alias("row")))
+    met = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    label = F.substring(F.concat("sig", "sig"), F.col("tree") * DEEPEST + 1, F.lit(TRUNK))
+    shared = keys.join(met, "key").join(sketched.select(F.col(ROW).alias("row"), "sig"), "row").select("key", label.alias("label"), "row")
+    order = ["key", "label", "row"]
+    return cut(shared.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def descend(tries: DataFrame, signatures: DataFrame, floor: int, likely: float) -> DataFrame:
+    """(row, root): the family of each row of the tries, found by shortening matched prefixes down to the floor."""
+    at = tries.select(F.xxhash64("key", "label").alias("node"), "row")
+    heads = at.groupBy("node").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "a")
+    labels = components(at.join(heads, "node").where("row != a").select("a", F.col("row").alias("b")).distinct())
+    roots = tries.select("row").distinct().join(labels, F.col("row") == F.col("node"), "left")
+    roots = cut(roots.select("row", F.coalesce("root", "row").alias("root")))
+    for depth in range(max(DEEPEST, floor), floor - 1, -1):
+        placed = tries.select(F.xxhash64("key", F.substring("label", 1, depth)).alias("node"), "row").join(roots, "row")
+        families = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("m"))
+        mixed = families.groupBy("node").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("f"), F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"))
+        mixed = cut(mixed.where("f > 1").select("node", "n", "major", (F.col("n") - F.col("most")).alias("k")))
+        if mixed.isEmpty():
+            continue
+        edges = cut(node_edges(placed.join(mixed, "node").join(signatures, "row").select("node", "row", "root", "sig", "n", "major", "k"), likely).distinct())
+        labels = components(edges).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        roots = cut(roots.join(labels, F.col("root") == F.col("old"), "left").select("row", F.coalesce("new", "root").alias("root")))
+    return roots
+
+
+def candidates(sketched: DataFrame, floor: int, likely: float = LIKELY) -> tuple[DataFrame, DataFrame]:
     """(classes, families) of written sketches: classes as (s1, s2, rep, copies), families of reps as (node, root)."""
     classes = cut(sketched.groupBy("s1", "s2").agg(F.min(ROW).alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias(ROW)), ROW)
-    keys = cut(reps.select(F.explode("keys").alias("key"), F.col(ROW).alias("row")))
-    met = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    buckets = keys.join(met, "key").join(sketched.select(F.col(ROW).alias("row"), "sig"), "row").select("key", "row", "sig", "n")
-    return classes, components(bucket_edges(buckets, likely).distinct())
+    roots = descend(forest(sketched, reps), sketched.select(F.col(ROW).alias("row"), "sig"), floor, likely)
+    return classes, roots.select(F.col("row").alias("node"), "root")
 
 
 def shingle_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -277,12 +316,13 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     smallest row key that a chain of such links reaches.
 
     Words lie between ASCII white space. A text of one to four words is one shingle. Null and empty texts have no
-    shingles; they are one class, without links. Rows with a null or repeated id are documents of their own.
+    shingles; they are one class, without links. Rows with a null or repeated id are documents of their own. An empty
+    table gives an empty one. Other columns of ``docs`` are not read, whatever their names.
     """
     docs = keyed(docs, id_col)
-    likely = LIKELY * threshold / THRESHOLD
-    sketched = cut(sketch(docs.select(ROW, F.col(id_col).alias("id"), text), text, depth_for(threshold, recall)))
-    classes, families = candidates(sketched, likely)
+    likely, floor = LIKELY * threshold / THRESHOLD, floor_for(threshold, recall)
+    sketched = cut(sketch(docs.select(ROW, F.col(id_col).alias("id"), text), text, floor))
+    classes, families = candidates(sketched, floor, likely)
     checked = cut(verify(docs, families, text, threshold))
     degrees = checked.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     groups = components(checked.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("group_id"))
@@ -293,10 +333,11 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): all links between class representatives, a < b. As many rows as there are links."""
-    docs = keyed(docs, id_col)
-    sketched = cut(sketch(docs.select(ROW, text), text, depth_for(threshold)))
-    _, families = candidates(sketched, LIKELY * threshold / THRESHOLD)
+    """(a, b): all links between class representatives, a < b. As many rows as there are links; rows without shingles
+    (null and empty texts) have none, and an empty table gives none. See :func:`shingle_join` for ids."""
+    docs, floor = keyed(docs, id_col), floor_for(threshold)
+    sketched = cut(sketch(docs.select(ROW, text), text, floor))
+    _, families = candidates(sketched, floor, LIKELY * threshold / THRESHOLD)
     return verify(docs, families, text, threshold, pairs=True).where("b is not null").select("a", "b").distinct()
 
 
@@ -306,7 +347,10 @@ def op10_shingle_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies, and of exact ones, the document with the smallest key stays."""
+    """Pipeline stage: of each group of near copies, and of exact ones, the document with the smallest key stays.
+
+    Rows with a null or repeated id are documents of their own; of documents without words one stays.
+    """
     docs_k = keyed(docs)
     found = shingle_join(docs_k, id_col=ROW)
     gone = cut(found.where(F.col(ROW) != F.col("group_id")).select(ROW))

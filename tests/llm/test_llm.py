@@ -297,25 +297,36 @@ def test_large_families_in_blocks(spark, monkeypatch):
     assert rows_of(found, "id", "class_id", "copies", "n_links", "group_id") == sorted(shingle_join.brute_force(rows), key=str)
 
 
-def test_large_buckets_in_cells(spark, monkeypatch):
-    sigs = [np.random.default_rng(k).integers(0, 256, 160, dtype=np.uint8).tobytes() for k in range(2)]
-    rows = [(7, i, sigs[i % 2], 400) for i in range(400)] + [(8, 1000, sigs[0], 2), (8, 1001, sigs[0], 2)]
+def test_large_nodes_in_cells(spark, monkeypatch):
+    sigs = [np.random.default_rng(k).integers(0, 256, 256, dtype=np.uint8).tobytes() for k in range(3)]
+    rows = [(7, i, i, sigs[i % 2], 400, 0, 399) for i in range(400)] + [(8, 1000, 1000, sigs[0], 2, 1000, 1), (8, 1001, 1001, sigs[0], 2, 1000, 1)]
+    rows += [(9, 2000 + i, 2000, sigs[2], 103, 2000, 3) for i in range(100)] + [(9, 2100 + i, 2100 + i, sigs[i and 2], 103, 2000, 3) for i in range(3)]
     monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    nodes = spark.createDataFrame(rows, "node long, row long, root long, sig binary, n long, major long, k long")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        edges = shingle_join.bucket_edges(spark.createDataFrame(rows, "key long, row long, sig binary, n long"), 0.6)
+        edges = shingle_join.node_edges(nodes, 0.6)
         found = edges.where("a < 1000").select("a", "b", F.spark_partition_id().alias("p")).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len({r.p for r in found}) > 1  # one key's rows were one task before
+    assert len({r.p for r in found}) > 1  # one key's rows are many tasks
     roots = {(r.node, r.root) for r in shingle_join.components(edges).collect()}
-    assert roots == {(i, i % 2) for i in range(400)} | {(1000, 1000), (1001, 1000)}
+    assert roots == {(i, i % 2) for i in range(400)} | {(1000, 1000), (1001, 1000)} | {(2000, 2000), (2101, 2000), (2102, 2000)}
 
 
-def test_depth_reaches_recall():
-    d = shingle_join.depth_for(0.8)
+def test_forest_is_sorted_and_shortened_until_the_recall(spark, docs):
+    d = shingle_join.floor_for(0.8)
     miss = lambda depth: (1 - 0.8**depth) ** shingle_join.TREES
     assert 1 - miss(d) >= shingle_join.RECALL > 1 - miss(d + 1)
+    base, r = prose(200).split(), random.Random(5)  # near copies whose pairs are just above the threshold
+    rows = [(i, " ".join(w if k not in (a, 97 + a // 2) else f"w{i}" for k, w in enumerate(base))) for i, a in enumerate(r.sample(range(200), 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn(ROW, F.col("doc_id"))
+    sketched = df.sparkSession.createDataFrame(shingle_join.sketch(df.select(ROW, "text"), "text", d).toPandas())
+    tries = shingle_join.forest(sketched, sketched.where("n > 0"))
+    listed = [(x.key, bytes(x.label), x.row) for x in tries.collect()]
+    assert listed == sorted(listed) and len(bytes(listed[0][1])) == shingle_join.TRUNK
+    found = shingle_join.shingle_join(df.drop(ROW))
+    assert rows_of(found, "id", "class_id", "copies", "n_links", "group_id") == sorted(shingle_join.brute_force(rows), key=str)
 
 
 def test_toxicity(spark, odd, empty):

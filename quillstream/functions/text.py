@@ -23,6 +23,7 @@ ALLOWED = ["pdf", "docx", "txt", "md", "ppt", "pptx", "png", "jpg", "jpeg"]
 #: Words that mark a diagram.
 DIAGRAM_WORDS = ["diagram", "architecture", "flow", "model", "lifecycle", "layer", "pipeline"]
 PAGE_MARK = r"\[\[PAGE_(\d+)\]\]"
+TOKEN = r"[a-z][a-z0-9_\-]+"
 
 
 def strip(c: Column) -> Column:
@@ -31,7 +32,9 @@ def strip(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    return F.initcap(c)
+    """Every run of letters with its first one raised and the rest lowered, whatever stands before it."""
+    runs = F.regexp_extract_all(c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 2**31 - 1)))), "")
 
 
 def clean(c: Column) -> Column:
@@ -78,10 +81,30 @@ def heading_text(c: Column, fallback: Column) -> Column:
 
 
 def keyword_tokens(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z0-9_\-]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
+def top_keywords(c: Column, n: int = 8) -> Column:
+    """The ``n`` most frequent tokens of one text, ties by first occurrence; ``_`` becomes a blank after counting.
+
+    Equal tokens are neighbours in a sorted array, so this takes no shuffle and grows as the text does.
+    """
+    placed = F.sort_array(F.transform(keyword_tokens(c), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def ranked(x: Column) -> Column:
+        heads = F.filter(F.transform(x, lambda e, k: F.struct(e["w"].alias("w"), e["i"].alias("i"), k.alias("k"), ((k == 0) | (F.get(x, k - 1)["w"] != e["w"])).alias("head"))), lambda e: e["head"])
+        counted = lambda h: F.transform(h, lambda e, j: F.struct((e["k"] - F.coalesce(F.get(h, j + 1)["k"], F.size(x))).alias("minus"), e["i"].alias("i"), e["w"].alias("w")))
+        return F.transform(F.slice(F.sort_array(once(heads, counted)), 1, n), lambda e: F.replace(e["w"], F.lit("_"), F.lit(" ")))
+
+    return once(placed, ranked)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)``, where ``value`` is evaluated once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def definition(c: Column) -> Column:
     """``term: meaning.`` of a sentence that defines something, else null."""
     p = r"(?i)^([A-Za-z][A-Za-z0-9\s()/\-]{1,60})\s+(is|are|refers to|means)\s+(.+)"
@@ -89,14 +112,37 @@ def definition(c: Column) -> Column:
     return F.when(c.rlike(p), F.concat(strip(F.regexp_extract(c, p, 1)), F.lit(": "), meaning, F.lit(".")))
 
 
+def defined(c: Column) -> Column:
+    """The definitions among the sentences of a text; the pattern is tried only where a defining word stands."""
+    told = F.filter(sentences(c), lambda x: x.rlike(r"(?i)\s(is|are|refers to|means)\s"))
+    return F.filter(F.transform(told, definition), lambda x: x.isNotNull())
+
+
+def first_of_each(items: Column, key) -> Column:
+    """The first of items with equal keys, in their order: neighbours in a sorted array, so n log n."""
+    placed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    heads = once(placed, lambda p: F.filter(F.transform(p, lambda e, k: F.when((k == 0) | (F.get(p, k - 1)["k"] != e["k"]), F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e.isNotNull()))
+    return F.transform(F.sort_array(heads), lambda e: e["x"])
+
+
 def dedupe(items: Column, limit: int | None = None) -> Column:
     """The first of items that are equal but for case and white space; single blanks; no empty ones."""
     flat = F.filter(F.transform(items, lambda x: strip(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    low = F.transform(flat, F.lower)
-    kept = F.filter(flat, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    kept = first_of_each(flat, F.lower)
     return F.slice(kept, 1, limit) if limit else kept
 
 
+def dedupe_stripped(items: Column) -> Column:
+    """The first of items that are equal but for case and white space at their ends; inner white space counts."""
+    return first_of_each(F.filter(F.transform(items, strip), lambda x: x != ""), F.lower)
+
+
+def lower_keys(c: Column) -> Column:
+    """JSON text with all its object keys lower-cased. A key is a string before a colon; strings in values stay."""
+    token = r'"(?:[^"\\\\]|\\\\.)*"\s*:?|[^"]+'
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(token), F.lit(0)), lambda t: F.when(t.rlike(r'(?s)^".*"\s*:$'), F.lower(t)).otherwise(t)), "")
+
+
 def topic(filename: Column, c: Column) -> Column:
     low = F.lower(F.concat(filename, F.lit(" "), c))
     return F.coalesce(*[F.when(low.rlike("|".join(words)), F.lit(name)) for name, words in TOPIC_RULES])
@@ -148,3 +194,8 @@ def target_pages(n: Column) -> tuple[Column, Column]:
     least = F.when(n <= 1, 1).otherwise(F.greatest(F.lit(1), F.bround(n * 0.35)))
     most = F.when(n <= 1, 2).otherwise(F.greatest(F.lit(2), F.bround(n * 0.55)))
     return least.cast("bigint"), most.cast("bigint")
+
+
+def data_url(content: Column, kind: Column) -> Column:
+    """Bytes as a data URL of a media type."""
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))

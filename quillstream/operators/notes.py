@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,62 +14,133 @@ FLUSH, SMALL, EXCERPT = 2200, 350, 600
 FORMATS = ["cornell", "outline", "mindmap", "chart", "sentence"]
 _CHUNK = T.StructType([T.StructField("section_id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("raw_text", T.StringType()), T.StructField("pages", T.ArrayType(T.IntegerType()))])
 
-
-def _fold(items: Column, title: Column) -> Column:
-    """Chunks of (page, text) items: a heading or 2200 characters end one; the title stays until the next heading.
-
-    A frame function can't reset on a threshold, so a document's items are folded in its own row.
+#: The sentences of a section. In braces are columns of a section: its title, the document's, its first
+#: four keywords (or a stand-in), its first and second keyword.
+NO_TEXT = "No extracted text found."
+EXPLANATION = "{title} in {document_title} concentrates on {named_or_central}. This part should be studied as a connected idea rather than as isolated lines from the source material. For exam preparation, focus on what the concept does, how it fits into the larger system, and where it is typically applied."
+KEY_POINTS = [
+    "{title} should be understood by purpose, flow, and relationship to surrounding concepts.",
+    "Important keywords in this section include {named_or_title}.",
+    "Learners should be ready to define the concept, describe its working, and explain one practical use.",
+    "Revision should include comparison, application, and common exam phrasing.",
+]
+EXAMPLES = ["Explain {title} using a short real-world or software-oriented example.", "Relate {focus} to one implementation or workflow scenario."]
+USE_CASES = ["Use {title} while discussing architecture, workflow, or implementation decisions.", "Use the concept to justify design choices or explain system behavior in a written answer."]
+IMPORTANT_NOTES = ["Do not memorize the section line by line; focus on meaning and relationships.", "In exams, strong answers usually include definition, working, use case, and one comparison."]
+WHY_THIS_MATTERS = "This section matters because exams typically test whether the learner can explain the concept clearly, connect it to architecture or workflow, and apply it in context."
+COMMON_MISTAKES = ["Confusing {focus} with nearby related terms.", "Writing only a definition without explaining working or significance.", "Skipping the practical implication or architecture link in long answers."]
+TEST_YOURSELF = ["Can you explain {title} without looking at the source text?", "Can you compare {focus} with another related concept?", "Can you draw or describe the process/architecture from memory if asked in an exam?"]
+CUE = ["What problem does {title} solve?", "How would you explain the flow or working of {title}?", "Where can {title} appear in an exam answer or application scenario?"]
+SUMMARY = "{title} should be revised through concept, flow, and application."
+SENTENCE = "{title} is best revised as a connected study topic that combines definition, role, flow, examples, and likely exam framing."
+DEFINITION_PROMPT = ": a core idea that should be defined in your own words during revision."
+OUTLINE_HEADINGS = ["{title} - Core Idea", "{title} - Definitions and Use", "{title} - Exam Notes"]
+CHART_COLUMNS = ["Topic", "Key Idea", "Explanation"]
+CHART_EXPLANATION = "Study the concept through definition, flow, and exam relevance rather than line-by-line copying."
+#: Type, difficulty, question and hint of a section's questions.
+QUESTIONS = [
+    ("mcq", "medium", "Which option best identifies the main focus of {title}?", "Look for the option that captures the core role of {focus}."),
+    ("conceptual", "medium", "Why is {focus} important when studying {title}?", "Explain the role of {focus}, the problem it solves, and how it connects to {compare}."),
+    ("theory", "hard", "Explain {title} in an exam-style answer and include the role of {term} and {compare}.", "Structure the answer with definition, working, significance, and one example or comparison."),
+    ("application", "hard", "How would you apply the ideas from {title} in a practical scenario or system design discussion?", "Describe a use case where {focus} influences design decisions, implementation, or troubleshooting."),
+]
+#: Revision strategies: for one section, by difficulty, and for all others.
+STRATEGIES = {
+    "single": "Review the note once on the same day, then answer the conceptual and theory questions aloud.",
+    "advanced": "Use a 1-3-7 day revision cycle, redraw the diagrams, and practice long-form theory answers for each section.",
+    "intermediate": "Use a 1-3-7 day revision cycle and alternate between explanation recall, diagram review, and exam-style questions.",
+    "other": "Start with the section summaries, then test yourself with the cue questions and application prompts.",
+}
+VOLUME_RULE = "Generated notes should preserve proportional depth instead of collapsing the document into a short summary."
+#: What a format without content holds.
+EMPTY_FORMATS = {"cornell": '{"cue":[],"notes":"","summary":""}', "outline": '{"sections":[]}', "mindmap": '{"root":"","branches":[]}', "chart": '{"columns":[],"rows":[]}', "sentence": '""'}
+#: Preferences that are not given.
+PREFERENCES = {"note_depth": "deep", "preferred_format": "cornell", "exam_focus": True, "include_examples": True, "include_diagrams": True}
+
+
+def say(template: str) -> Column:
+    """A template as a column; names in braces are columns."""
+    return F.concat(*[F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if x])
+
+
+def say_sql(template: str) -> str:
+    """The same for DuckDB."""
+    return " || ".join(x if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if x)
+
+
+def _bounds(items: Column, title: Column) -> Column:
+    """(title, head_page, start, stop) of each chunk of (page, text, head) items: a heading or over 2200 characters end
+    one; the title stays until the next heading.
+
+    No window frame resets on a threshold, so a document's items are folded in its own row; the fold carries a length and
+    places, never text, and adds to its result only where a chunk ends.
     """
-    texts, ints = "array<string>", "array<int>"
+    done_type = "array<struct<title: string, head_page: int, start: int, stop: int>>"
+
+    def state(title, head_page, start, n, done):
+        return F.struct(title.cast("string").alias("title"), head_page.cast("int").alias("head_page"), start.cast("int").alias("start"), n.cast("int").alias("n"), done.cast(done_type).alias("done"))
 
-    def state(title, parts, pages, done):
-        return F.struct(title.cast("string").alias("title"), parts.cast(texts).alias("parts"), pages.cast(ints).alias("pages"), done.cast(T.ArrayType(_CHUNK)).alias("done"))
+    def ended(a, start, stop):
+        return F.concat(a.done, F.array(F.struct(a.title.alias("title"), a.head_page.alias("head_page"), start.cast("int").alias("start"), stop.cast("int").alias("stop"))))
 
-    def flushed(a, parts, pages):
-        one = F.struct(F.concat(F.lit("section-"), F.size(a.done) + 1).alias("section_id"), a.title.alias("title"), F.array_join(parts, "\n\n").alias("raw_text"), F.array_sort(F.array_distinct(pages)).alias("pages"))
-        return F.concat(a.done, F.array(one))
+    none, zero = F.lit(-1), F.lit(0)
 
     def step(a, x):
-        none = F.array()
-        head = state(fn.heading_text(x.text, a.title), none, F.array(x.page), F.when(F.size(a.parts) > 0, flushed(a, a.parts, a.pages)).otherwise(a.done))
-        parts, pages = F.concat(a.parts, F.array(x.text)), F.concat(a.pages, F.array(x.page))
-        full = F.length(F.array_join(parts, " ")) > FLUSH
-        more = F.when(full, state(a.title, none, none, flushed(a, parts, pages))).otherwise(state(a.title, parts, pages, a.done))
+        head = state(fn.heading_text(x.text, a.title), x.page, none, zero, F.when(a.start >= 0, ended(a, a.start, x.i)).otherwise(a.done))
+        start = F.when(a.start < 0, x.i).otherwise(a.start)
+        n = F.when(a.start < 0, F.length(x.text)).otherwise(a.n + 1 + F.length(x.text))
+        more = F.when(n > FLUSH, state(a.title, F.lit(None), none, zero, ended(a, start, x.i + 1))).otherwise(state(a.title, a.head_page, start, n, a.done))
         return F.when(x.head, head).otherwise(more)
 
-    start = state(title, F.array(), F.array(), F.array())
-    return F.aggregate(items, start, step, lambda a: F.when(F.size(a.parts) > 0, flushed(a, a.parts, a.pages)).otherwise(a.done))
+    numbered = F.transform(items, lambda x, i: F.struct(x.page.alias("page"), x.text.alias("text"), x.head.alias("head"), i.alias("i")))
+    return F.aggregate(numbered, state(title, F.lit(None), none, zero, F.array()), step, lambda a: F.when(a.start >= 0, ended(a, a.start, F.size(items))).otherwise(a.done))
+
+
+def _chunks_of(items: Column, bounds: Column) -> Column:
+    def chunk(b, k):
+        own = F.slice(items, b.start + 1, b.stop - b.start)
+        pages = F.concat(F.transform(own, lambda x: x.page), F.when(b.head_page.isNotNull(), F.array(b.head_page)).otherwise(F.array().cast("array<int>")))
+        return F.struct(F.concat(F.lit("section-"), k + 1).alias("section_id"), b.title.alias("title"), F.array_join(F.transform(own, lambda x: x.text), "\n\n").alias("raw_text"), F.array_sort(F.array_distinct(pages)).alias("pages"))
+
+    return F.transform(bounds, chunk)
 
 
 def _merge(chunks: Column) -> Column:
     """Chunks under 350 characters joined to the one before; the first always stays."""
 
-    def step(kept, c):
-        last = F.element_at(kept, -1)
-        joined = F.struct(last.section_id.alias("section_id"), last.title.alias("title"), F.concat(last.raw_text, F.lit("\n\n"), c.raw_text).alias("raw_text"), F.array_sort(F.array_union(last.pages, c.pages)).alias("pages"))
-        small = (F.size(kept) > 0) & (F.length(c.raw_text) < SMALL)
-        return F.when(small, F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(kept, F.array(c)))
+    def joined(c):
+        heads = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.length(F.get(c, i)["raw_text"]) >= SMALL))
+
+        def one(h, j):
+            own = F.slice(c, h + 1, F.coalesce(F.get(heads, j + 1), F.size(c)) - h)
+            first = F.get(c, h)
+            return F.struct(first["section_id"].alias("section_id"), first["title"].alias("title"), F.array_join(F.transform(own, lambda x: x["raw_text"]), "\n\n").alias("raw_text"), F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda x: x["pages"])))).alias("pages"))
 
-    return F.aggregate(chunks, F.array().cast(T.ArrayType(_CHUNK)), step)
+        return F.transform(heads, one)
+
+    return fn.once(chunks, joined)
 
 
 def chunks(docs: DataFrame, merge: bool = True) -> DataFrame:
-    """(doc_id, nth, section_id, title, raw_text, pages) from (doc_id, filename, text). No shuffle."""
+    """(doc_id, nth, section_id, title, raw_text, pages, document_title, source_pages) from (doc_id, filename, text). No
+    shuffle."""
     title = fn.title_of_file(F.col("filename"))
-    base = docs.select("doc_id", title.alias("__title"), fn.clean(F.coalesce("text", F.lit(""))).alias("__clean"))
-    base = base.withColumn("__pages", fn.pages(F.col("__clean")))
+    base = docs.select("doc_id", title.alias("document_title"), fn.clean(F.coalesce("text", F.lit(""))).alias("__clean"))
+    base = base.withColumn("__pages", fn.pages(F.col("__clean"))).withColumn("source_pages", F.size("__pages").cast("bigint"))
     items = F.flatten(F.transform("__pages", lambda p: F.transform(fn.paragraphs(p.text), lambda x: F.struct(p.page.alias("page"), x.alias("text"), fn.is_heading(x).alias("head")))))
-    base = base.withColumn("__items", items).withColumn("__chunks", _fold(F.col("__items"), F.col("__title")))
-    lone = F.array(F.struct(F.lit("section-1").alias("section_id"), F.col("__title").alias("title"), F.coalesce(F.nullif("__clean", F.lit("")), F.lit("No extracted text found.")).alias("raw_text"), F.array(F.lit(1)).alias("pages")))
-    found = F.when(F.size("__chunks") > 0, F.col("__chunks")).otherwise(lone.cast(T.ArrayType(_CHUNK)))
-    base = base.withColumn("__found", found)
-    return base.select("doc_id", F.posexplode(_merge(F.col("__found")) if merge else F.col("__found")).alias("nth", "c")).select("doc_id", F.col("nth").cast("bigint").alias("nth"), "c.*")
+    base = base.withColumn("__items", items).withColumn("__bounds", _bounds(F.col("__items"), F.col("document_title")))
+    base = base.withColumn("__chunks", _chunks_of(F.col("__items"), F.col("__bounds")))
+    lone = F.array(F.struct(F.lit("section-1").alias("section_id"), F.col("document_title").alias("title"), F.coalesce(F.nullif("__clean", F.lit("")), F.lit(NO_TEXT)).alias("raw_text"), F.array(F.lit(1)).alias("pages")))
+    base = base.withColumn("__found", F.when(F.size("__chunks") > 0, F.col("__chunks")).otherwise(lone.cast(T.ArrayType(_CHUNK))))
+    found = base.select("doc_id", "document_title", "source_pages", F.posexplode(_merge(F.col("__found")) if merge else F.col("__found")).alias("nth", "c"))
+    return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "c.*", "document_title", "source_pages")
 
 
 def keywords(rows: DataFrame, keys: list[str], text: str, n: int = 8) -> DataFrame:
-    """``keys`` with ``keywords``: the n most frequent tokens, ties by first occurrence; ``_`` becomes a blank after
-    counting. Tokens are counted before they are shuffled."""
-    tokens = rows.select(*keys, F.posexplode(fn.keyword_tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "word"))
+    """``keys`` with ``keywords`` of texts of any length: as :func:`fn.top_keywords`, but tokens are counted before they
+    are shuffled, over as many tasks as there are."""
+    tokens = rows.select(*keys, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(fn.TOKEN), F.lit(0))).alias("pos", "word"))
+    tokens = tokens.where((F.length("word") > 2) & ~F.col("word").isin(fn.STOP_WORDS))
     counts = tokens.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= n)
     listed = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("w"))
@@ -76,9 +149,8 @@ def keywords(rows: DataFrame, keys: list[str], text: str, n: int = 8) -> DataFra
 
 def definitions(text: Column, words: Column) -> Column:
     """At most four definitions found in the text, else a prompt for each of the first three keywords."""
-    found = fn.dedupe(F.filter(F.transform(fn.sentences(text), fn.definition), lambda x: x.isNotNull()), 4)
-    prompts = F.transform(F.slice(words, 1, 3), lambda w: F.concat(fn.title_case(w), F.lit(": a core idea that should be defined in your own words during revision.")))
-    return F.when(F.size(found) > 0, found).otherwise(prompts)
+    prompts = F.transform(F.slice(words, 1, 3), lambda w: F.concat(fn.title_case(w), F.lit(DEFINITION_PROMPT)))
+    return fn.once(fn.dedupe(fn.defined(text), 4), lambda found: F.when(F.size(found) > 0, found).otherwise(prompts))
 
 
 def branches(title: Column, words: Column) -> Column:
@@ -87,113 +159,151 @@ def branches(title: Column, words: Column) -> Column:
     return F.transform(F.filter(F.transform(head, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.i % 2 == 0), lambda x: F.struct(fn.title_case(x.w).alias("name"), F.transform(F.slice(head, x.i + 2, 2), fn.title_case).alias("sub")))
 
 
-def mindmap(root: Column, tree: Column, depth: int = 2) -> Column:
-    """Mermaid text of branches and their children, depth first."""
+def branch_lines(tree: Column, depth: int) -> Column:
+    """The lines of branches and their children, depth first."""
     pad = "  " * depth
-    lines = F.transform(tree, lambda b: F.concat(F.lit(f"\n{pad}"), b["name"], F.array_join(F.transform(b["sub"], lambda s: F.concat(F.lit(f"\n{pad}  "), s)), "")))
-    return F.concat(F.lit("mindmap\n  root(("), root, F.lit("))"), F.array_join(lines, ""))
+    return F.array_join(F.transform(tree, lambda b: F.concat(F.lit(f"\n{pad}"), b["name"], F.array_join(F.transform(b["sub"], lambda s: F.concat(F.lit(f"\n{pad}  "), s)), ""))), "")
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """One row for each section, with what the template says about it."""
-    parts = chunks(docs)
-    rows = parts.join(keywords(parts, ["doc_id", "nth"], "raw_text"), ["doc_id", "nth"], "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-    rows = rows.join(docs.select("doc_id", fn.title_of_file(F.col("filename")).alias("document_title")), "doc_id")
-    rows = rows.withColumn("definitions", definitions(F.col("raw_text"), F.col("keywords"))).withColumn("branches", branches(F.col("title"), F.col("keywords")))
-    t, titles = F.col("title"), F.transform("keywords", fn.title_case)
-    first = F.when(F.size("keywords") > 0, F.get(titles, F.lit(0))).otherwise(t)
-    named = F.array_join(F.slice(titles, 1, 4), ", ")
-    say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
-    points = F.array(
-        say(t, " should be understood by purpose, flow, and relationship to surrounding concepts."),
-        say("Important keywords in this section include ", F.when(named != "", named).otherwise(t), "."),
-        F.lit("Learners should be ready to define the concept, describe its working, and explain one practical use."),
-        F.lit("Revision should include comparison, application, and common exam phrasing."),
-    )
-    return rows.select(
-        "doc_id", "nth", "section_id", "document_title", "title", "pages", "raw_text", "keywords", "definitions", "branches",
-        F.substring("raw_text", 1, EXCERPT).alias("excerpt"),
-        F.when(F.size("keywords") > 0, F.slice(titles, 1, 5)).otherwise(F.array(t)).alias("topics"),
-        say(t, " in ", F.col("document_title"), " concentrates on ", F.when(named != "", named).otherwise("the central topic"), ". This part should be studied as a connected idea rather than as isolated lines from the source material. For exam preparation, focus on what the concept does, how it fits into the larger system, and where it is typically applied.").alias("explanation"),
-        points.alias("key_points"),
-        F.array(say("Explain ", t, " using a short real-world or software-oriented example."), say("Relate ", first, " to one implementation or workflow scenario.")).alias("examples"),
-        F.array(say("Use ", t, " while discussing architecture, workflow, or implementation decisions."), F.lit("Use the concept to justify design choices or explain system behavior in a written answer.")).alias("use_cases"),
-        F.array(say("What problem does ", t, " solve?"), say("How would you explain the flow or working of ", t, "?"), say("Where can ", t, " appear in an exam answer or application scenario?")).alias("cue"),
-        say(t, " should be revised through concept, flow, and application.").alias("summary"),
-        say(t, " is best revised as a connected study topic that combines definition, role, flow, examples, and likely exam framing.").alias("sentence"),
-        F.when(F.size("keywords") > 0, F.array_join(F.slice(titles, 1, 3), ", ")).otherwise("Core ideas").alias("chart_idea"),
-        first.alias("focus"), F.when(F.size("keywords") > 1, F.get(titles, F.lit(1))).otherwise("Related Concepts").alias("compare"),
-    )
+def mindmap(root: Column, lines: Column) -> Column:
+    return F.concat(F.lit("mindmap\n  root(("), root, F.lit("))"), lines)
 
 
-def cornell_notes(s: DataFrame) -> Column:
-    """The notes field of a section's Cornell layout."""
-    return F.array_join(F.concat("key_points", "examples", F.slice("use_cases", 1, 1)), "\n")
+def sections(docs: DataFrame) -> DataFrame:
+    """One row for each section, with what the template says about it. No shuffle."""
+    rows = chunks(docs).withColumn("keywords", fn.top_keywords(F.col("raw_text")))
+    rows = rows.withColumn("titles", F.transform("keywords", fn.title_case)).withColumn("definitions", definitions(F.col("raw_text"), F.col("keywords")))
+    named = F.nullif(F.array_join(F.slice("titles", 1, 4), ", "), F.lit(""))
+    t = F.col("title")
+    rows = rows.withColumns({
+        "named_or_central": F.coalesce(named, F.lit("the central topic")), "named_or_title": F.coalesce(named, t),
+        "focus": F.coalesce(F.get("titles", F.lit(0)), fn.title_case(t)), "relate": F.coalesce(F.get("titles", F.lit(0)), t),
+        "compare": F.coalesce(F.get("titles", F.lit(1)), F.lit("Related Concepts")),
+    })
+    rows = rows.withColumn("term", F.when(F.size("definitions") > 0, F.split(F.get("definitions", F.lit(0)), ":", 2)[0]).otherwise(F.col("focus")))
+    # in these lists the first keyword stands as it is, or else the title
+    listed = lambda xs: F.array(*[say(x.replace("{focus}", "{relate}")) for x in xs])
+    return rows.withColumns({
+        "branches": branches(t, F.col("keywords")), "excerpt": F.substring("raw_text", 1, EXCERPT),
+        "topics": F.when(F.size("keywords") > 0, F.slice("titles", 1, 5)).otherwise(F.array(t)), "explanation": say(EXPLANATION), "key_points": listed(KEY_POINTS), "examples": listed(EXAMPLES), "use_cases": listed(USE_CASES),
+        "important_notes": listed(IMPORTANT_NOTES), "why_this_matters": F.lit(WHY_THIS_MATTERS), "common_mistakes": listed(COMMON_MISTAKES), "test_yourself": listed(TEST_YOURSELF), "cue": listed(CUE), "summary": say(SUMMARY), "sentence": say(SENTENCE),
+        "chart": F.array(t, F.coalesce(F.nullif(F.array_join(F.slice("titles", 1, 3), ", "), F.lit("")), F.lit("Core ideas")), F.lit(CHART_EXPLANATION)),
+    }).withColumn("cornell", F.array_join(F.concat("key_points", "examples", F.slice("use_cases", 1, 1)), "\n")).withColumn("outline", outline())
+
+
+def outline() -> Column:
+    """array<struct<heading, points>>: the three parts of a section's outline."""
+    points = [F.slice("key_points", 1, 2), F.concat(F.slice("definitions", 1, 2), F.slice("use_cases", 1, 1)), F.concat(F.slice("important_notes", 1, 2), F.slice("common_mistakes", 1, 1))]
+    return F.array(*[F.struct(say(h).alias("heading"), p.alias("points")) for h, p in zip(OUTLINE_HEADINGS, points, strict=True)])
 
 
 def exam_questions(s: DataFrame) -> DataFrame:
     """Four questions for each section: (doc_id, nth, place, type, difficulty, question, answer_hint)."""
-    t, focus, compare = F.col("title"), F.col("focus"), F.col("compare")
-    term = F.when(F.size("definitions") > 0, F.split(F.get("definitions", F.lit(0)), ":", 2)[0]).otherwise(focus)
-    q = lambda kind, hard, text, hint: F.struct(F.lit(kind).alias("type"), F.lit(hard).alias("difficulty"), text.alias("question"), hint.alias("answer_hint"))
-    say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
-    four = F.array(
-        q("mcq", "medium", say("Which option best identifies the main focus of ", t, "?"), say("Look for the option that captures the core role of ", focus, ".")),
-        q("conceptual", "medium", say("Why is ", focus, " important when studying ", t, "?"), say("Explain the role of ", focus, ", the problem it solves, and how it connects to ", compare, ".")),
-        q("theory", "hard", say("Explain ", t, " in an exam-style answer and include the role of ", term, " and ", compare, "."), F.lit("Structure the answer with definition, working, significance, and one example or comparison.")),
-        q("application", "hard", say("How would you apply the ideas from ", t, " in a practical scenario or system design discussion?"), say("Describe a use case where ", focus, " influences design decisions, implementation, or troubleshooting.")),
-    )
+    four = F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(hard).alias("difficulty"), say(q).alias("question"), say(hint).alias("answer_hint")) for kind, hard, q, hint in QUESTIONS])
     return s.select("doc_id", "nth", F.posexplode(four).alias("place", "q")).select("doc_id", "nth", F.col("place").cast("bigint").alias("place"), "q.*")
 
 
-def in_order(s: DataFrame, *columns: str) -> DataFrame:
-    """(doc_id, s): each document's sections as an array in their order."""
-    return s.groupBy("doc_id", "document_title").agg(F.sort_array(F.collect_list(F.struct("nth", *columns))).alias("s"))
+def package(s: DataFrame, diagrams: DataFrame | None = None) -> DataFrame:
+    """One row for each document: the five layouts over all its sections, summary and totals.
 
-
-def package(s: DataFrame) -> DataFrame:
-    """One row for each document: the five layouts over all its sections, summary and totals."""
-    s = s.withColumn("cornell", cornell_notes(s))
-    whole = in_order(s, "title", "cue", "cornell", "summary", "sentence", "chart_idea", "branches", "raw_text")
+    ``diagrams`` has a row with ``doc_id`` for each diagram. One shuffle, of the sections' notes without their texts.
+    """
+    columns = ["title", "cue", "cornell", "outline", "summary", "sentence", "chart", "branches"]
+    whole = s.groupBy("doc_id", "document_title", "source_pages").agg(F.sort_array(F.collect_list(F.struct("nth", *columns))).alias("s"))
     each = lambda f: F.transform("s", f)
     overview = F.array_join(F.slice(each(lambda x: F.concat(x.title, F.lit(": "), x.summary)), 1, 4), " ")
-    tree = each(lambda x: F.struct(x.title.alias("name"), F.transform(x.branches, lambda b: b["name"]).alias("sub")))
-    return whole.select(
-        "doc_id", "document_title", F.size("s").cast("bigint").alias("total_sections"), (F.size("s") * 4).cast("bigint").alias("total_questions"),
+    tree = F.array_join(each(lambda x: F.concat(F.lit("\n    "), x.title, branch_lines(x.branches, 3))), "")
+    least, most = fn.target_pages(F.col("source_pages"))
+    named = lambda kind: F.concat("document_title", F.lit(f" - {kind}"))
+    made = whole.select(
+        "doc_id", "document_title", F.size("s").cast("bigint").alias("total_sections"), (F.size("s") * len(QUESTIONS)).cast("bigint").alias("total_questions"),
+        "source_pages", least.alias("least_pages"), most.alias("most_pages"), F.lit(VOLUME_RULE).alias("volume_rule"),
+        named("Cornell Notes").alias("cornell_title"), named("Outline").alias("outline_title"), named("Mind Map").alias("mindmap_title"), named("Chart").alias("chart_title"),
         fn.dedupe(F.flatten(each(lambda x: x.cue)), 15).alias("cue"),
         F.array_join(each(lambda x: F.concat(x.title, F.lit("\n"), x.cornell)), "\n\n").alias("notes"),
         F.array_join(F.slice(each(lambda x: x.summary), 1, 6), " ").alias("summary"),
-        F.flatten(each(lambda x: F.array(F.concat(x.title, F.lit(" - Core Idea")), F.concat(x.title, F.lit(" - Definitions and Use")), F.concat(x.title, F.lit(" - Exam Notes"))))).alias("outline"),
+        F.flatten(each(lambda x: x.outline)).alias("outline"),
         mindmap(F.col("document_title"), tree).alias("mindmap"),
-        each(lambda x: F.concat(x.title, F.lit(" | "), x.chart_idea)).alias("chart"),
+        each(lambda x: x.chart).alias("chart"),
         F.concat(overview, F.lit("\n\n"), F.array_join(each(lambda x: x.sentence), "\n\n")).alias("sentence"),
         overview.alias("global_summary"),
     )
+    if diagrams is None:
+        return made.withColumn("total_diagrams", F.lit(0).cast("bigint"))
+    counts = diagrams.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_diagrams"))
+    return made.join(counts, "doc_id", "left").withColumn("total_diagrams", F.coalesce("total_diagrams", F.lit(0).cast("bigint")))
 
 
-def revision_strategy(n_sections: Column, level: Column) -> Column:
+def outline_text(o: Column) -> Column:
+    return F.array_join(F.transform(o, lambda x: F.concat(x.heading, F.lit("\n"), F.array_join(x.points, "\n"))), "\n\n")
+
+
+def format_view(p: DataFrame, wanted: Column) -> Column:
+    """The content of a package in the wanted format, as text; ``full`` is the package as JSON, unknown formats Cornell."""
+    full = F.to_json(F.struct("document_title", "total_sections", "notes", "mindmap", "sentence", "global_summary"))
+    chart = F.array_join(F.transform("chart", lambda r: F.array_join(r, " | ")), "\n")
+    low = F.lower(wanted)
     return (
-        F.when(n_sections <= 1, "Review the note once on the same day, then answer the conceptual and theory questions aloud.")
-        .when(level == "advanced", "Use a 1-3-7 day revision cycle, redraw the diagrams, and practice long-form theory answers for each section.")
-        .when(level == "intermediate", "Use a 1-3-7 day revision cycle and alternate between explanation recall, diagram review, and exam-style questions.")
-        .otherwise("Start with the section summaries, then test yourself with the cue questions and application prompts.")
-    )
+        F.when(low == "full", full).when(low == "sentence", F.col("sentence")).when(low == "mindmap", F.col("mindmap"))
+        .when(low == "outline", F.concat("outline_title", F.lit("\n\n"), outline_text(F.col("outline")))).when(low == "chart", F.concat(F.lit(" | ".join(CHART_COLUMNS) + "\n"), chart)).otherwise(F.col("notes"))
+    )
+
+
+def revision_strategy(n_sections: Column, level: Column) -> Column:
+    return F.when(n_sections <= 1, STRATEGIES["single"]).when(level == "advanced", STRATEGIES["advanced"]).when(level == "intermediate", STRATEGIES["intermediate"]).otherwise(STRATEGIES["other"])
+
+
+def words_of(value: Column, kind: T.DataType) -> Column:
+    """The words in all strings of a value, arrays and structs at any depth; keys and numbers don't count."""
+    zero = F.lit(0).cast("bigint")
+    if isinstance(kind, T.StringType):
+        return F.coalesce(fn.word_count(value).cast("bigint"), zero)
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, zero, lambda n, x: n + words_of(x, kind.elementType)), zero)
+    if isinstance(kind, T.StructType):
+        return sum((words_of(value[f.name], f.dataType) for f in kind.fields), zero)
+    return zero
 
 
 def sections_table(s: DataFrame) -> DataFrame:
-    """(id, note_id, title, order_index, word_count): untitled sections go, then the rest are numbered from 0."""
-    words = fn.word_count(F.concat_ws(" ", "title", F.array_join("topics", " "), F.array_join("cue", " "), cornell_notes(s), "summary", "sentence"))
+    """(id, note_id, title, order_index, word_count): untitled sections go, then the rest are numbered from 0. The count
+    is of the title, the topics and all five layouts."""
+    layouts = F.struct(F.struct("cue", F.col("cornell").alias("notes"), "summary").alias("cornell"), F.struct("title", "outline").alias("outline"), F.struct(F.col("title").alias("root"), mindmap(F.col("title"), branch_lines(F.col("branches"), 2)).alias("mermaid"), "branches").alias("mindmap"), "chart", "sentence")
+    counted = s.withColumn("__text", F.struct("title", "topics", layouts.alias("formats")))
     w = Window.partitionBy("doc_id").orderBy("nth")
-    kept = s.where(F.coalesce("title", F.lit("")) != "").withColumn("order_index", (F.row_number().over(w) - 1).cast("bigint"))
-    return kept.select(F.sha2(F.concat_ws("|", "doc_id", "order_index"), 256).alias("id"), F.col("doc_id").alias("note_id"), "title", "order_index", words.cast("bigint").alias("word_count"))
+    kept = counted.where(F.coalesce("title", F.lit("")) != "").withColumn("order_index", (F.row_number().over(w) - 1).cast("bigint"))
+    return kept.select(F.sha2(F.concat_ws("|", "doc_id", "order_index"), 256).alias("id"), F.col("doc_id").alias("note_id"), "title", "order_index", words_of(F.col("__text"), counted.schema["__text"].dataType).alias("word_count"))
 
 
 def formats_table(s: DataFrame) -> DataFrame:
-    """Five rows for each section: its layouts as text, empty where one is lacking."""
-    content = [F.to_json(F.struct("cue", cornell_notes(s).alias("notes"), "summary")), F.to_json(F.struct(F.col("title"))), mindmap(F.col("title"), F.col("branches")), F.concat("title", F.lit(" | "), "chart_idea"), F.col("sentence")]
-    rows = F.array(*[F.struct(F.lit(k).alias("format_type"), F.coalesce(c, F.lit("")).alias("content")) for k, c in zip(FORMATS, content, strict=True)])
+    """Five rows for each section: its layouts as JSON, or the empty structure of the layout where one is null."""
+    content = [F.struct("cue", F.col("cornell").alias("notes"), "summary"), F.struct("title", F.col("outline").alias("sections")), F.struct(F.col("title").alias("root"), "branches"), F.struct(F.array(*map(F.lit, CHART_COLUMNS)).alias("columns"), F.array("chart").alias("rows")), None]
+    given = ["cornell", "outline", "branches", "chart", "sentence"]
+    rows = F.array(*[F.struct(F.lit(k).alias("format_type"), F.when(F.col(g).isNull(), F.lit(EMPTY_FORMATS[k])).otherwise(F.col("sentence") if c is None else F.to_json(c)).alias("content")) for k, g, c in zip(FORMATS, given, content, strict=True)])
     return s.select("doc_id", "nth", F.inline(rows))
 
 
 def read_time(words: Column, n_sections: Column) -> Column:
+    """Minutes for the words of all sections, 180 a minute, half to even, 1 at least; 0 without sections."""
     return F.when(n_sections == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(words / 180))).cast("bigint")
+
+
+def note_record(s: DataFrame) -> DataFrame:
+    """(note_id, total_sections, word_count, estimated_read_time, progress, is_favorite) of each normalised note."""
+    n = sections_table(s).groupBy("note_id").agg(F.count(F.lit(1)).alias("total_sections"), F.sum("word_count").alias("word_count"))
+    return n.select("note_id", "total_sections", "word_count", read_time(F.col("word_count"), F.col("total_sections")).alias("estimated_read_time"), F.lit(0).alias("progress"), F.lit(False).alias("is_favorite"))
+
+
+def preferences(given: DataFrame) -> DataFrame:
+    """Fills in the preferences that ``given`` has as null."""
+    return given.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in PREFERENCES.items()})
+
+
+def hint_images(images: DataFrame, most: int = 2, max_bytes: int = 4_000_000) -> DataFrame:
+    """(note_id, nth, image_url): data URLs of the images, of at most ``max_bytes``, among each note's first ``most``
+    hints. ``images`` has (note_id, nth, path, content)."""
+    w = Window.partitionBy("note_id").orderBy("nth")
+    first = images.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= most).drop("__rank")
+    kind = F.when(fn.extension(F.col("path")).isin("jpg", "jpeg"), "image/jpeg").otherwise("image/png")
+    taken = first.where((F.coalesce("path", F.lit("")) != "") & F.col("content").isNotNull() & (F.octet_length("content") <= max_bytes))
+    return taken.select("note_id", "nth", fn.data_url(F.col("content"), kind).alias("image_url"))

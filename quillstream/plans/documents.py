@@ -11,19 +11,18 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as fn
 from ..operators import matching, notes, quiz
-from ..sources.tables import table, uploads
+from ..sources.tables import NOTEBOOKS_SQL, notebooks, table, uploads
 from .base import query
 
-#: A text with everything that cleaning handles, made from a document's id and the start of its text.
-_MESSY = "'• ' || doc_id || '\r\n\r\n\r\n\r\n1.2  Big Title:\r\nLine\t\tone  ' || substr(text, 1, 40) || ' \n\nCHAPTER two\n\n' || substr(text, 41, 60)"
+#: A text with everything that cleaning handles, around and within a document's whole text.
+_MESSY = "'• ' || doc_id || '\r\n\r\n\r\n\r\n1.2  Big Title:\r\nLine\t\tone  ' || substr(text, 1, 40) || ' \n\nCHAPTER two\n\n' || substr(text, 41)"
 _STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in fn.STOP_WORDS)
-_TITLE = "upper(substr({0}, 1, 1)) || lower(substr({0}, 2))"
 _RULES = " ".join("when regexp_matches(low, '" + "|".join(words) + f"') then '{name}'" for name, words in fn.TOPIC_RULES)
 
 
 def messy(spark, d) -> DataFrame:
-    e = F.concat(F.lit("• "), "doc_id", F.lit("\r\n\r\n\r\n\r\n1.2  Big Title:\r\nLine\t\tone  "), F.substring("text", 1, 40), F.lit(" \n\nCHAPTER two\n\n"), F.substring("text", 41, 60))
+    e = F.concat(F.lit("• "), "doc_id", F.lit("\r\n\r\n\r\n\r\n1.2  Big Title:\r\nLine\t\tone  "), F.substring("text", 1, 40), F.lit(" \n\nCHAPTER two\n\n"), F.substring("text", 41, 2**31 - 1))
     return table(spark, d, "documents").select("doc_id", e.alias("text"))
 
 
@@ -71,10 +70,10 @@ string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
 _SENT = _SENT_OF.replace("{rows}", "documents")
 
 
-@query("sentences", f"with {_SENT} select doc_id, count(*) as n, cast(sum(length(sentence)) as bigint) as chars from sents group by 1")
+@query("sentences", f"with {_SENT} select doc_id, nth, sentence from sents")
 def sentences(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(fn.sentences(F.col("text"))).alias("s"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(fn.sentences(F.col("text"))).alias("nth", "sentence"))
+    return rows.withColumn("nth", F.col("nth").cast("bigint"))
 
 
 _WORDS = f"""toks as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from (select doc_id, list_filter(regexp_extract_all(lower({{text}}), '[a-z][a-z0-9_\\-]+'), lambda x: length(x) > 2 and x not in ({_STOP})) as w from {{rows}})),
@@ -97,7 +96,7 @@ four as (select doc_id, def, row_number() over (partition by doc_id order by nth
 
 @query("definitions", f"with {_SENT}, {_FOUR} select doc_id, string_agg(def, '|' order by r) as definitions from four group by 1")
 def definitions(spark, d):
-    found = fn.dedupe(F.filter(F.transform(fn.sentences(F.col("text")), fn.definition), lambda x: x.isNotNull()), 4)
+    found = fn.dedupe(fn.defined(F.col("text")), 4)
     return table(spark, d, "documents").select("doc_id", found.alias("f")).where(F.size("f") > 0).select("doc_id", F.array_join("f", "|").alias("definitions"))
 
 
@@ -123,9 +122,15 @@ def file_ext_filter(spark, d):
     return table(spark, d, "pages").select("page_id", fn.extension(name).alias("ext")).where(F.col("ext").isin(fn.ALLOWED))
 
 
-@query("title_from_filename", "select doc_id, 'Src' || substr(source, 4) || ' ' || doc_id as title from documents")
+_CASED = "[\\p{Lu}\\p{Ll}\\p{Lt}]"
+_TITLED = lambda x: f"array_to_string(list_transform(regexp_extract_all({x}, '{_CASED}+|[^{_CASED[1:]}+'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')"
+_FILE_TITLE = lambda x: _TITLED(f"translate(regexp_replace({x}, '\\.[^.]*$', ''), '_-', '  ')")
+
+
+@query("title_from_filename", f"select doc_id, {_FILE_TITLE("doc_id || 'b-o''neil_' || lang || '2x_' || source || '.v1.txt'")} as title from documents")
 def title_from_filename(spark, d):
-    return uploads(spark, d).select("doc_id", fn.title_of_file(F.col("filename")).alias("title"))
+    name = F.concat("doc_id", F.lit("b-o'neil_"), "lang", F.lit("2x_"), "source", F.lit(".v1.txt"))
+    return uploads(spark, d).select("doc_id", fn.title_of_file(name).alias("title"))
 
 
 @query("text_preview", "select doc_id, substr(text, 1, 500) as preview from documents")
@@ -160,11 +165,11 @@ def asset_url(spark, d):
     return table(spark, d, "pages").select("page_id", fn.asset_url(path, "http://host").alias("asset"))
 
 
-@query("strip_json_fence", "select conv_id, turn, role, length(text) as n from conversations")
+@query("strip_json_fence", "select conv_id, turn, role, text from conversations")
 def strip_json_fence(spark, d):
     fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct("text")), F.lit("\n```"))
     bare = F.regexp_replace(fenced, r"^```(json)?\s*|\s*```$", "")
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.length(F.from_json(bare, "text string").text).cast("bigint").alias("n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.from_json(bare, "text string").text.alias("text"))
 
 
 @query("split_pages", f"select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as nth, cast(turn as int) as page, {_STRIP('text')} as text from conversations where {_STRIP('text')} <> ''")
@@ -174,126 +179,214 @@ def split_pages(spark, d):
     return marked.select("conv_id", F.posexplode(fn.pages(F.col("t"))).alias("nth", "p")).select("conv_id", F.col("nth").cast("bigint").alias("nth"), F.col("p.page").alias("page"), F.col("p.text").alias("text"))
 
 
-_CAPS = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
-#: Sections for DuckDB. The driver's documents have no empty lines and no page marks, so each is one section named after
-#: its file; tests hold documents with more sections against hand-written rows.
-_SEC = f"""{_CLEAN.replace("messy as (select doc_id, " + _MESSY + " as t from documents)", "messy as (select doc_id, text as t from documents)")},
-{_WORDS.format(text="text", rows="cleaned")}, {_SENT_OF.replace("{rows}", "cleaned")}, {_FOUR},
-kws as (select doc_id, list(word order by rank) as k from kw group by doc_id), defs as (select doc_id, list(def order by r) as d from four group by doc_id),
+_CLEAN_OF = _CLEAN.replace("with messy as (select doc_id, " + _MESSY + " as t from documents),\nflat", "flat").replace("from messy", "from notebooks")
+_HEAD = lambda b: f"""({b} <> '' and length({b}) <= 90 and (regexp_matches(lower({b}), '^({"|".join(fn.HEADING_PREFIXES)})') or regexp_matches({b}, '^[0-9]+(\\.[0-9]+)*\\s+[A-Za-z].+$')
+  or (len(list_filter(regexp_split_to_array({b}, '\\s+'), lambda x: x <> '')) <= 9 and len(list_filter(regexp_split_to_array({b}, '\\s+'), lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= greatest(1, len(list_filter(regexp_split_to_array({b}, '\\s+'), lambda x: x <> '')) - 2))))"""
+_TRIMMED = lambda p, sep: f"list_filter(list_transform(regexp_split_to_array({p}, '{sep}'), lambda x: {_STRIP('x')}), lambda x: x <> '')"
+#: Chunks for DuckDB, item by item: ``fold`` has after each item the chunk that it went to (m), that chunk's title and
+#: heading page, and the state for the next item.
+_CHUNKS = f"""with recursive {NOTEBOOKS_SQL}, {_CLEAN_OF},
+bits as (select doc_id, text, regexp_extract_all(text, '\\[\\[PAGE_(\\d+)\\]\\]', 1) as nums, regexp_split_to_array(text, '\\[\\[PAGE_\\d+\\]\\]') as b from cleaned),
+marked as (select doc_id, p, page, text from (select doc_id, p, cast(nums[p] as int) as page, {_STRIP("b[p + 1]")} as text from (select *, unnest(range(1, len(nums) + 1)) as p from bits)) where text <> ''),
+pages as (select * from marked union all select doc_id, 1, 1, text from cleaned where doc_id not in (select doc_id from marked)),
+paras as (select doc_id, p, page, unnest(x) as text, unnest(range(len(x))) as q from (select doc_id, p, page, case when len({_TRIMMED("text", chr(92) + "n" + chr(92) + "s*" + chr(92) + "n+")}) > 0 then {_TRIMMED("text", chr(92) + "n" + chr(92) + "s*" + chr(92) + "n+")} else {_TRIMMED("text", chr(92) + "n")} end as x from pages)),
+bared as (select *, row_number() over (partition by doc_id order by p, q) as k, {_STRIP("regexp_replace(text, '^:+|:+$', '', 'g')")} as bare from paras),
+items as (select *, {_HEAD("bare")} as head, nullif({_STRIP("regexp_replace(regexp_replace(text, '^[0-9]+(\\.[0-9]+)*\\s*', ''), '^[:\\- ]+|[:\\- ]+$', '', 'g')")}, '') as ht from bared),
+fold as (
+  select doc_id, cast(0 as bigint) as k, {_FILE_TITLE("filename")} as title, cast(null as int) as hp, false as busy, 0 as n, 0 as c, cast(null as int) as m, cast(null as int) as mp from notebooks
+  union all
+  select doc_id, k, case when head then coalesce(ht, title) else title end, case when head then page when n1 > {notes.FLUSH} then null else hp end,
+    not head and n1 <= {notes.FLUSH}, case when head or n1 > {notes.FLUSH} then 0 else n1 end, c + case when head then cast(busy as int) else cast(n1 > {notes.FLUSH} as int) end, case when head then null else c end, hp
+  from (select f.doc_id, i.k, f.title, f.hp, f.busy, f.c, i.head, i.ht, i.page, cast(length(i.text) + case when f.busy then f.n + 1 else 0 end as int) as n1 from fold f join items i on i.doc_id = f.doc_id and i.k = f.k + 1)),
+found as (
+  select doc_id, m as c, any_value(fold.title) as title, string_agg(text, chr(10) || chr(10) order by k) as raw, list_sort(list_distinct(list_concat(list(page), case when any_value(mp) is null then [] else [any_value(mp)] end))) as pages
+  from fold join items using (doc_id, k) where m is not null group by doc_id, m),
+chunks as (select * from found union all select doc_id, 0, {_FILE_TITLE("filename")}, coalesce(nullif(text, ''), '{notes.NO_TEXT}'), [1] from notebooks join cleaned using (doc_id) where doc_id not in (select doc_id from found)),
+grouped as (select *, sum(case when c = 0 or length(raw) >= {notes.SMALL} then 1 else 0 end) over (partition by doc_id order by c) - 1 as nth from chunks),
+merged as (
+  select doc_id, cast(nth as bigint) as nth, 'section-' || (min(c) + 1) as section_id, arg_min(title, c) as title, string_agg(raw, chr(10) || chr(10) order by c) as raw, list_sort(list_distinct(flatten(list(pages)))) as pages
+  from grouped group by doc_id, nth)"""
+_LIST = lambda xs: "[" + ", ".join(notes.say_sql(x.replace("{focus}", "{relate}")) for x in xs) + "]"
+_SEC = f"""{_CHUNKS},
+toks as (select doc_id, nth, unnest(w) as word, unnest(range(len(w))) as pos from (select doc_id, nth, list_filter(regexp_extract_all(lower(raw), '{fn.TOKEN}'), lambda x: length(x) > 2 and x not in ({_STOP})) as w from merged)),
+cnt as (select doc_id, nth, word, count(*) as n, min(pos) as first from toks group by all),
+kw as (select doc_id, nth, list(replace(word, '_', ' ') order by n desc, first)[1:8] as kws from cnt group by all),
+sents as (select doc_id, nth, unnest(s) as sentence, unnest(range(len(s))) as sn from (select doc_id, nth, list_filter(list_transform(string_split(regexp_replace(raw, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP("x")}), lambda x: x <> '') as s from merged)),
+told as (select doc_id, nth, sn, regexp_replace({_STRIP(f"regexp_extract(sentence, '{_DEF}', 1) || ': ' || regexp_replace({_STRIP(f"regexp_extract(sentence, '{_DEF}', 3)")}, '\\.+$', '') || '.'")}, '\\s+', ' ', 'g') as def from sents where regexp_matches(sentence, '{_DEF}')),
+firsts as (select doc_id, nth, lower(def) as k, min(sn) as sn, arg_min(def, sn) as def from told group by all),
+defs as (select doc_id, nth, list(def order by sn)[1:4] as d from firsts group by all),
 base as (
-  select doc_id, 'Src' || substr(source, 4) || ' ' || doc_id as t, coalesce(nullif(cleaned.text, ''), 'No extracted text found.') as raw, length(documents.text) as size,
-    list_transform(coalesce(k, []), lambda x: {_CAPS("x")}) as tk, d
-  from documents join cleaned using (doc_id) left join kws using (doc_id) left join defs using (doc_id)),
+  select m.*, {_FILE_TITLE("filename")} as document_title, list_transform(coalesce(kws, []), lambda x: {_TITLED("x")}) as titles, coalesce(kws, []) as kws, d
+  from merged m join notebooks using (doc_id) left join kw using (doc_id, nth) left join defs using (doc_id, nth)),
 named as (
-  select *, coalesce(d, list_transform(tk[1:3], lambda x: x || ': a core idea that should be defined in your own words during revision.')) as defs, array_to_string(tk[1:4], ', ') as n4,
-    coalesce(tk[1], t) as focus, coalesce(tk[2], 'Related Concepts') as compare, case when len(tk) > 0 then tk[1:6] else [t] end as head from base),
+  select *, coalesce(d, list_transform(titles[1:3], lambda x: x || '{notes.DEFINITION_PROMPT}')) as definitions, coalesce(nullif(array_to_string(titles[1:4], ', '), ''), 'the central topic') as named_or_central,
+    coalesce(nullif(array_to_string(titles[1:4], ', '), ''), title) as named_or_title, coalesce(titles[1], {_TITLED("title")}) as focus, coalesce(titles[1], title) as relate, coalesce(titles[2], 'Related Concepts') as compare, case when len(kws) > 0 then titles[1:6] else [{_TITLED("lower(title)")}] end as head from base),
+lists as (
+  select *, case when len(definitions) > 0 then split_part(definitions[1], ':', 1) else focus end as term, case when len(kws) > 0 then titles[1:5] else [title] end as topics, {notes.say_sql(notes.EXPLANATION)} as explanation, {_LIST(notes.KEY_POINTS)} as key_points, {_LIST(notes.EXAMPLES)} as examples, {_LIST(notes.USE_CASES)} as use_cases,
+    {_LIST(notes.IMPORTANT_NOTES)} as important_notes, '{notes.WHY_THIS_MATTERS}' as why_this_matters, {_LIST(notes.COMMON_MISTAKES)} as common_mistakes, {_LIST(notes.TEST_YOURSELF)} as test_yourself, {_LIST(notes.CUE)} as cue, {notes.say_sql(notes.SUMMARY)} as summary, {notes.say_sql(notes.SENTENCE)} as sentence,
+    [title, coalesce(nullif(array_to_string(titles[1:3], ', '), ''), 'Core ideas'), '{notes.CHART_EXPLANATION}'] as chart, list_transform(range(1, len(head) + 1, 2), lambda i: {{'name': head[i], 'sub': head[i + 1 : i + 2]}}) as branches from named),
 sec as (
-  select *, [t || ' should be understood by purpose, flow, and relationship to surrounding concepts.', 'Important keywords in this section include ' || coalesce(nullif(n4, ''), t) || '.',
-      'Learners should be ready to define the concept, describe its working, and explain one practical use.', 'Revision should include comparison, application, and common exam phrasing.'] as points,
-    ['Explain ' || t || ' using a short real-world or software-oriented example.', 'Relate ' || focus || ' to one implementation or workflow scenario.'] as examples,
-    ['Use ' || t || ' while discussing architecture, workflow, or implementation decisions.', 'Use the concept to justify design choices or explain system behavior in a written answer.'] as uses,
-    ['What problem does ' || t || ' solve?', 'How would you explain the flow or working of ' || t || '?', 'Where can ' || t || ' appear in an exam answer or application scenario?'] as cue,
-    t || ' should be revised through concept, flow, and application.' as summary,
-    t || ' is best revised as a connected study topic that combines definition, role, flow, examples, and likely exam framing.' as sentence,
-    coalesce(nullif(array_to_string(tk[1:3], ', '), ''), 'Core ideas') as idea from named),
-tree as (select doc_id, i, head[i] as name, head[i + 1 : i + 2] as sub from (select doc_id, head, unnest(range(1, len(head) + 1, 2)) as i from sec)),
-full_sec as (
-  select *, array_to_string(list_concat(points, examples, uses[1:1]), chr(10)) as cornell,
-    'mindmap' || chr(10) || '  root((' || t || '))' || (select string_agg(chr(10) || '    ' || name || coalesce(array_to_string(list_transform(sub, lambda x: chr(10) || '      ' || x), ''), ''), '' order by i) from tree where tree.doc_id = sec.doc_id) as map
-  from sec)"""
+  select *, array_to_string(list_concat(key_points, examples, use_cases[1:1]), chr(10)) as cornell,
+    [{{'heading': {notes.say_sql(notes.OUTLINE_HEADINGS[0])}, 'points': key_points[1:2]}}, {{'heading': {notes.say_sql(notes.OUTLINE_HEADINGS[1])}, 'points': list_concat(definitions[1:2], use_cases[1:1])}}, {{'heading': {notes.say_sql(notes.OUTLINE_HEADINGS[2])}, 'points': list_concat(important_notes[1:2], common_mistakes[1:1])}}] as outline
+  from lists)"""
+_TREE = lambda tree, pad: f"array_to_string(list_transform({tree}, lambda b: chr(10) || '{pad}' || b.name || array_to_string(list_transform(b.sub, lambda x: chr(10) || '{pad}  ' || x), '')), '')"
+_MINDMAP = lambda root, lines: f"'mindmap' || chr(10) || '  root((' || {root} || '))' || {lines}"
 
 
 def _sections(spark, d) -> DataFrame:
-    return notes.sections(uploads(spark, d).select("doc_id", "filename", "text"))
+    return notes.sections(notebooks(spark, d).select("doc_id", "filename", "text"))
 
 
-@query("chunk_sections", f"{_SEC} select doc_id, 0 as nth, 'section-1' as section_id, t as title, length(raw) as n from base")
+@query("chunk_sections", f"{_CHUNKS} select doc_id, c as nth, 'section-' || (c + 1) as section_id, title, length(raw) as n, array_to_string(pages, ',') as pages from chunks")
 def chunk_sections(spark, d):
-    return notes.chunks(uploads(spark, d), merge=False).select("doc_id", "nth", "section_id", "title", F.length("raw_text").alias("n"))
+    return notes.chunks(notebooks(spark, d), merge=False).select("doc_id", "nth", "section_id", "title", F.length("raw_text").alias("n"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query("chunk_merge", f"{_SEC} select doc_id, 0 as nth, 'section-1' as section_id, t as title, raw as raw_text, '1' as pages from base")
+@query("chunk_merge", f"{_CHUNKS} select doc_id, nth, section_id, title, raw as raw_text, array_to_string(pages, ',') as pages from merged")
 def chunk_merge(spark, d):
-    return notes.chunks(uploads(spark, d)).select("doc_id", "nth", "section_id", "title", "raw_text", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+    return notes.chunks(notebooks(spark, d)).select("doc_id", "nth", "section_id", "title", "raw_text", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
 
+_LISTS = ["key_points", "definitions", "topics", "examples", "use_cases", "important_notes", "common_mistakes", "test_yourself", "chart"]
 
-@query("fallback_sections", f"""{_SEC} select doc_id, 0 as nth, 'section-1' as section_id, t as title, t || ' in ' || t || ' concentrates on ' || coalesce(nullif(n4, ''), 'the central topic') || '. This part should be studied as a connected idea rather than as isolated lines from the source material. For exam preparation, focus on what the concept does, how it fits into the larger system, and where it is typically applied.' as explanation,
-array_to_string(points, '|') as key_points, array_to_string(defs, '|') as definitions, coalesce(nullif(array_to_string(tk[1:5], '|'), ''), t) as topics, array_to_string(examples, '|') as examples, array_to_string(uses, '|') as use_cases, sentence from sec""")
+
+@query("fallback_sections", f"{_SEC} select doc_id, nth, section_id, title, explanation, why_this_matters, sentence, {", ".join(f"array_to_string({c}, '|') as {c}" for c in _LISTS)}, array_to_string(list_transform(outline, lambda x: x.heading || ': ' || array_to_string(x.points, '; ')), '|') as outline from sec")
 def fallback_sections(spark, d):
-    j = lambda c: F.array_join(c, "|").alias(c)
-    return _sections(spark, d).select("doc_id", "nth", "section_id", "title", "explanation", j("key_points"), j("definitions"), j("topics"), j("examples"), j("use_cases"), "sentence")
+    flat = F.array_join(F.transform("outline", lambda x: F.concat(x.heading, F.lit(": "), F.array_join(x.points, "; "))), "|")
+    return _sections(spark, d).select("doc_id", "nth", "section_id", "title", "explanation", "why_this_matters", "sentence", *[F.array_join(c, "|").alias(c) for c in _LISTS], flat.alias("outline"))
+
 
+_ASKED = " union all ".join(f"select doc_id, nth, {i} as place, '{kind}' as type, '{hard}' as difficulty, {notes.say_sql(q)} as question, {notes.say_sql(hint)} as answer_hint from sec" for i, (kind, hard, q, hint) in enumerate(notes.QUESTIONS))
 
-@query("exam_questions", f"""{_SEC}, q as (select *, case when len(defs) > 0 then split_part(defs[1], ':', 1) else focus end as term from sec)
-select doc_id, 0 as nth, 0 as place, 'mcq' as type, 'medium' as difficulty, 'Which option best identifies the main focus of ' || t || '?' as question, 'Look for the option that captures the core role of ' || focus || '.' as answer_hint from q
-union all select doc_id, 0, 1, 'conceptual', 'medium', 'Why is ' || focus || ' important when studying ' || t || '?', 'Explain the role of ' || focus || ', the problem it solves, and how it connects to ' || compare || '.' from q
-union all select doc_id, 0, 2, 'theory', 'hard', 'Explain ' || t || ' in an exam-style answer and include the role of ' || term || ' and ' || compare || '.', 'Structure the answer with definition, working, significance, and one example or comparison.' from q
-union all select doc_id, 0, 3, 'application', 'hard', 'How would you apply the ideas from ' || t || ' in a practical scenario or system design discussion?', 'Describe a use case where ' || focus || ' influences design decisions, implementation, or troubleshooting.' from q""")
+
+@query("exam_questions", f"{_SEC} {_ASKED}")
 def exam_questions(spark, d):
     return notes.exam_questions(_sections(spark, d))
 
 
-@query("branch_tree", f"{_SEC} select doc_id, 0 as nth, name, array_to_string(sub, '|') as sub from tree")
+@query("branch_tree", f"{_SEC} select doc_id, nth, b.name, array_to_string(b.sub, '|') as sub from (select doc_id, nth, unnest(branches) as b from sec)")
 def branch_tree(spark, d):
     return _sections(spark, d).select("doc_id", "nth", F.inline("branches")).select("doc_id", "nth", "name", F.array_join("sub", "|").alias("sub"))
 
 
-@query("mermaid_text", f"{_SEC} select doc_id, 0 as nth, map as mermaid from full_sec")
+@query("mermaid_text", f"{_SEC} select doc_id, nth, {_MINDMAP('title', _TREE('branches', '    '))} as mermaid from sec")
 def mermaid_text(spark, d):
-    return _sections(spark, d).select("doc_id", "nth", notes.mindmap(F.col("title"), F.col("branches")).alias("mermaid"))
+    return _sections(spark, d).select("doc_id", "nth", notes.mindmap(F.col("title"), notes.branch_lines(F.col("branches"), 2)).alias("mermaid"))
+
+
+def _package(spark, d) -> DataFrame:
+    diagrams = table(spark, d, "benchmark").select((F.col("item_id") % 50).alias("doc_id"))
+    return notes.package(_sections(spark, d), diagrams)
+
+
+_PKG = f"""{_SEC},
+cues as (select doc_id, list(c order by place) as cue from (select doc_id, arg_min(c, place) as c, min(place) as place from (select doc_id, nth * 10 + i as place, {_STRIP("regexp_replace(cue[i], '\\s+', ' ', 'g')")} as c from (select doc_id, nth, cue, unnest([1, 2, 3]) as i from sec)) group by doc_id, lower(c)) group by doc_id),
+n_pages as (select doc_id, count(*) as source_pages from pages group by doc_id),
+shown as (select item_id % 50 as doc_id, count(*) as total_diagrams from benchmark group by 1),
+pkg as (
+  select doc_id, document_title as t, count(*) as n, array_to_string(list(title || chr(10) || cornell order by nth), chr(10) || chr(10)) as notes, array_to_string(list(summary order by nth)[1:6], ' ') as summary,
+    flatten(list(outline order by nth)) as outline, {_MINDMAP('document_title', "array_to_string(list(chr(10) || '    ' || title || " + _TREE('branches', '      ') + " order by nth), '')")} as mindmap, list(array_to_string(chart, ' | ') order by nth) as chart,
+    array_to_string(list(title || ': ' || summary order by nth)[1:4], ' ') as overview, array_to_string(list(sentence order by nth), chr(10) || chr(10)) as told
+  from sec group by doc_id, document_title),
+package as (select pkg.*, array_to_string(cue[1:15], '|') as cue, overview || chr(10) || chr(10) || told as sentence, source_pages, coalesce(total_diagrams, 0) as total_diagrams,
+  case when source_pages <= 1 then 1 else greatest(1, cast(round_even(source_pages * 0.35::double, 0) as bigint)) end as least_pages, case when source_pages <= 1 then 2 else greatest(2, cast(round_even(source_pages * 0.55::double, 0) as bigint)) end as most_pages
+  from pkg join cues using (doc_id) join n_pages using (doc_id) left join shown using (doc_id))"""
+
+
+@query("agg_cornell", f"{_PKG} select doc_id, t || ' - Cornell Notes' as title, cue, notes, summary from package")
+def agg_cornell(spark, d):
+    return _package(spark, d).select("doc_id", F.col("cornell_title").alias("title"), F.array_join("cue", "|").alias("cue"), "notes", "summary")
+
+
+@query("agg_outline", f"{_PKG} select doc_id, t || ' - Outline' as title, place, outline[place + 1].heading as heading, array_to_string(outline[place + 1].points, '|') as points from (select *, unnest(range(len(outline))) as place from package)")
+def agg_outline(spark, d):
+    rows = _package(spark, d).select("doc_id", F.col("outline_title").alias("title"), F.posexplode("outline").alias("place", "o"))
+    return rows.select("doc_id", "title", F.col("place").cast("bigint").alias("place"), "o.heading", F.array_join("o.points", "|").alias("points"))
 
 
-def _package(spark, d, *columns) -> DataFrame:
-    p = notes.package(_sections(spark, d))
-    return p.select("doc_id", *[F.array_join(c, "|").alias(c) if dict(p.dtypes)[c].startswith("array") else c for c in columns])
+@query("agg_mindmap", f"{_PKG} select doc_id, t || ' - Mind Map' as title, mindmap from package")
+def agg_mindmap(spark, d):
+    return _package(spark, d).select("doc_id", F.col("mindmap_title").alias("title"), "mindmap")
 
 
-_MAP = "'mindmap' || chr(10) || '  root((' || t || '))' || chr(10) || '    ' || t || coalesce((select string_agg(chr(10) || '      ' || name, '' order by i) from tree where tree.doc_id = full_sec.doc_id), '')"
-_PACKAGE = {
-    "agg_cornell": (["cue", "notes", "summary"], "array_to_string(cue, '|') as cue, t || chr(10) || cornell as notes, summary"),
-    "agg_outline": (["outline"], "t || ' - Core Idea|' || t || ' - Definitions and Use|' || t || ' - Exam Notes' as outline"),
-    "agg_mindmap": (["mindmap"], f"{_MAP} as mindmap"),
-    "agg_chart": (["chart"], "t || ' | ' || idea as chart"),
-    "agg_sentence": (["sentence"], "t || ': ' || summary || chr(10) || chr(10) || sentence as sentence"),
-    "global_summary": (["global_summary"], "t || ': ' || summary as global_summary"),
-    "package_totals": (["total_sections", "total_questions"], "1 as total_sections, 4 as total_questions"),
-}
-for _name, (_columns, _sql) in _PACKAGE.items():
-    query(_name, f"{_SEC} select doc_id, {_sql} from full_sec")(lambda spark, d, _columns=_columns: _package(spark, d, *_columns))
+@query("agg_chart", f"{_PKG} select doc_id, t || ' - Chart' as title, '{" | ".join(notes.CHART_COLUMNS)}' as columns, place, chart[place + 1] as line from (select *, unnest(range(len(chart))) as place from package)")
+def agg_chart(spark, d):
+    rows = _package(spark, d).select("doc_id", F.col("chart_title").alias("title"), F.posexplode("chart").alias("place", "c"))
+    return rows.select("doc_id", "title", F.lit(" | ".join(notes.CHART_COLUMNS)).alias("columns"), F.col("place").cast("bigint").alias("place"), F.array_join("c", " | ").alias("line"))
 
 
-@query("revision_strategy", "select doc_id, 'Review the note once on the same day, then answer the conceptual and theory questions aloud.' as strategy from documents")
+@query("agg_sentence", f"{_PKG} select doc_id, sentence from package")
+def agg_sentence(spark, d):
+    return _package(spark, d).select("doc_id", "sentence")
+
+
+@query("global_summary", f"{_PKG} select doc_id, overview as global_summary from package")
+def global_summary(spark, d):
+    return _package(spark, d).select("doc_id", "global_summary")
+
+
+@query("package_totals", f"{_PKG} select doc_id, n as total_sections, n * 4 as total_questions, total_diagrams, source_pages, least_pages, most_pages, '{notes.VOLUME_RULE}' as volume_rule from package")
+def package_totals(spark, d):
+    return _package(spark, d).select("doc_id", "total_sections", "total_questions", "total_diagrams", "source_pages", "least_pages", "most_pages", "volume_rule")
+
+
+_S = notes.STRATEGIES
+
+
+@query("revision_strategy", f"{_CHUNKS}, n as (select doc_id, count(*) as n from merged group by 1) select doc_id, case when n <= 1 then '{_S['single']}' when length(text) < 1500 then '{_S['other']}' when length(text) < 6000 then '{_S['intermediate']}' else '{_S['advanced']}' end as strategy from cleaned join n using (doc_id)")
 def revision_strategy(spark, d):
-    counts = notes.chunks(uploads(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return uploads(spark, d).join(counts, "doc_id").select("doc_id", notes.revision_strategy(F.col("n"), fn.difficulty(F.col("text"))).alias("strategy"))
+    docs = notebooks(spark, d)
+    counts = notes.chunks(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    levels = docs.select("doc_id", fn.difficulty(fn.clean(F.col("text"))).alias("level"))
+    return levels.join(counts, "doc_id").select("doc_id", notes.revision_strategy(F.col("n"), F.col("level")).alias("strategy"))
+
 
+_VIEWS = ["cornell", "Sentence", "mindmap", "outline", "chart", "full", "unknown"]
 
-@query("note_format_view", f"{_SEC} select doc_id, ['cornell', 'sentence', 'mindmap', 'unknown'][doc_id % 4 + 1] as format, case doc_id % 4 when 1 then t || ': ' || summary || chr(10) || chr(10) || sentence when 2 then {_MAP} else t || chr(10) || cornell end as content from full_sec")
+
+@query("note_format_view", f"""{_PKG}, v as (select *, [{", ".join(f"'{v}'" for v in _VIEWS)}][doc_id % {len(_VIEWS)} + 1] as format from package)
+select doc_id, format, case lower(format) when 'sentence' then sentence when 'mindmap' then mindmap when 'outline' then t || ' - Outline' || chr(10) || chr(10) || array_to_string(list_transform(outline, lambda x: x.heading || chr(10) || array_to_string(x.points, chr(10))), chr(10) || chr(10))
+  when 'chart' then '{" | ".join(notes.CHART_COLUMNS)}' || chr(10) || array_to_string(chart, chr(10)) when 'full' then cast(to_json({{'document_title': t, 'total_sections': n, 'notes': notes, 'mindmap': mindmap, 'sentence': sentence, 'global_summary': overview}}) as varchar) else notes end as content from v""")
 def note_format_view(spark, d):
-    p = notes.package(_sections(spark, d))
-    wanted = F.get(F.array(*map(F.lit, ["cornell", "sentence", "mindmap", "unknown"])), (F.col("doc_id") % 4).cast("int"))
-    return p.select("doc_id", wanted.alias("format"), F.when(wanted == "sentence", F.col("sentence")).when(wanted == "mindmap", F.col("mindmap")).otherwise(F.col("notes")).alias("content"))
+    p = _package(spark, d).withColumn("format", F.get(F.array(*map(F.lit, _VIEWS)), (F.col("doc_id") % len(_VIEWS)).cast("int")))
+    return p.select("doc_id", "format", notes.format_view(p, F.col("format")).alias("content"))
+
 
+_COUNT = lambda x: f"cast(len(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+')) as bigint)"
+_FLAT_TREE = "array_to_string(list_transform(branches, lambda b: b.name || ' ' || array_to_string(b.sub, ' ')), ' ')"
+_SECTION_WORDS = _COUNT(f"concat_ws(' ', title, array_to_string(topics, ' '), array_to_string(cue, ' '), cornell, summary, title, array_to_string(list_transform(outline, lambda x: x.heading || ' ' || array_to_string(x.points, ' ')), ' '), title, {_MINDMAP('title', _TREE('branches', '    '))}, {_FLAT_TREE}, array_to_string(chart, ' '), sentence)")
+_COUNTED = f"{_SEC}, counted as (select doc_id, title, row_number() over (partition by doc_id order by nth) - 1 as order_index, {_SECTION_WORDS} as word_count from sec where title <> '')"
 
-@query("sections_table", f"{_SEC} select sha256(doc_id || '|0') as id, doc_id as note_id, t as title, 0 as order_index, cast(len(regexp_extract_all(concat_ws(' ', t, coalesce(nullif(array_to_string(tk[1:5], ' '), ''), t), array_to_string(cue, ' '), cornell, summary, sentence), '[\\p{{L}}\\p{{N}}_]+')) as bigint) as word_count from full_sec")
+
+@query("sections_table", f"{_COUNTED} select sha256(doc_id || '|' || order_index) as id, doc_id as note_id, title, order_index, word_count from counted")
 def sections_table(spark, d):
     return notes.sections_table(_sections(spark, d))
 
 
-@query("formats_table", f"""{_SEC} select doc_id, 0 as nth, unnest(['cornell', 'outline', 'mindmap', 'chart', 'sentence']) as format_type,
-unnest([cast(to_json({{'cue': cue, 'notes': cornell, 'summary': summary}}) as varchar), cast(to_json({{'title': t}}) as varchar), map, t || ' | ' || idea, sentence]) as content from full_sec""")
+@query("note_record", f"{_COUNTED} select doc_id as note_id, count(*) as total_sections, cast(sum(word_count) as bigint) as word_count, greatest(1, cast(round_even(sum(word_count) / 180.0, 0) as bigint)) as estimated_read_time, 0 as progress, false as is_favorite from counted group by 1")
+def note_record(spark, d):
+    return notes.note_record(_sections(spark, d))
+
+
+@query("formats_table", f"""{_SEC}, picked as (select *, (doc_id + nth) % 5 = 0 as bare from sec)
+select doc_id, nth, unnest(['cornell', 'outline', 'mindmap', 'chart', 'sentence']) as format_type,
+unnest([cast(to_json({{'cue': cue, 'notes': cornell, 'summary': summary}}) as varchar), case when bare then '{notes.EMPTY_FORMATS["outline"]}' else cast(to_json({{'title': title, 'sections': outline}}) as varchar) end, cast(to_json({{'root': title, 'branches': branches}}) as varchar),
+  case when bare then '{notes.EMPTY_FORMATS["chart"]}' else cast(to_json({{'columns': [{", ".join(f"'{c}'" for c in notes.CHART_COLUMNS)}], 'rows': [chart]}}) as varchar) end, sentence]) as content from picked""")
 def formats_table(spark, d):
-    return notes.formats_table(_sections(spark, d))
+    """A fifth of the sections lack two of their layouts."""
+    bare = (F.col("doc_id") + F.col("nth")) % 5 == 0
+    s = _sections(spark, d)
+    return notes.formats_table(s.withColumns({c: F.when(~bare, F.col(c)) for c in ("outline", "chart")}))
 
 
-@query("section_word_count", "select doc_id, cast(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) as bigint) as words from documents")
+@query("section_word_count", f"{_SEC} select doc_id, nth, {_SECTION_WORDS} as words from sec")
 def section_word_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", fn.word_count(F.col("text")).cast("bigint").alias("words"))
+    return notes.sections_table(_sections(spark, d)).select(F.col("note_id").alias("doc_id"), F.col("order_index").alias("nth"), F.col("word_count").alias("words"))
 
 
-@query("read_time", "select doc_id, greatest(1, cast(round_even(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) / 180.0, 0) as bigint)) as minutes from documents")
+@query("read_time", f"{_COUNTED} select doc_id, greatest(1, cast(round_even(sum(word_count) / 180.0, 0) as bigint)) as minutes from counted group by 1")
 def read_time(spark, d):
-    return table(spark, d, "documents").select("doc_id", notes.read_time(fn.word_count(F.col("text")), F.lit(1)).alias("minutes"))
+    return notes.note_record(_sections(spark, d)).select(F.col("note_id").alias("doc_id"), F.col("estimated_read_time").alias("minutes"))
 
 
 @query("notes_metadata", "select doc_id as note_id, coalesce(nullif(case when doc_id % 3 = 0 then source end, ''), 'generated') as source, 0 as progress, coalesce(quality = 1, false) as is_favorite from documents left join labels using (doc_id)")

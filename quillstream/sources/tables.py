@@ -52,6 +52,20 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("filename", F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")))
 
 
+def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads with pages and headings: a document's lines as paragraphs, a page mark before every seventh, a numbered
+    heading before every fifth, some with bullets and tabs, line ends of both kinds."""
+    at = lambda n, k: lambda i: i % n == k
+    page, head, bullet = at(7, 0), at(5, 2), at(4, 1)
+    n = lambda i: i.cast("string")
+    line = lambda x, i: F.concat(
+        F.when(page(i), F.concat(F.lit("[[PAGE_"), n((i / 7).cast("int") + 1), F.lit("]]\n"))).otherwise(""),
+        F.when(head(i), F.concat(n((i / 5).cast("int") + 1), F.lit("."), n(i % 3 + 1), F.lit(" Study Of Part "), n(i), F.lit(":\r\n\n"))).otherwise(""),
+        F.when(bullet(i), F.lit("• \t")).otherwise(""), x, F.lit("\n\n\n"),
+    )
+    return uploads(spark, sf_dir).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), line), ""))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """attempt_id, note_id, nth, topic, type, is_correct: a line item is a response, its part the question."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate")
@@ -81,6 +95,12 @@ log as (
     case when kind = 'planner_task_done' then k % 2 = 0 end as done,
     case when kind = 'chat_message' then {_LIST(CHAT_KEYS)}[k % 7 + 1] end as message
   from raw)"""
+NOTEBOOKS_SQL = """notebooks as (
+  select doc_id, source || '_' || doc_id || '.txt' as filename, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k:
+    case when (k - 1) % 7 = 0 then '[[PAGE_' || ((k - 1) // 7 + 1) || ']]' || chr(10) else '' end
+    || case when (k - 1) % 5 = 2 then ((k - 1) // 5 + 1) || '.' || ((k - 1) % 3 + 1) || ' Study Of Part ' || (k - 1) || ':' || chr(13) || chr(10) || chr(10) else '' end
+    || case when (k - 1) % 4 = 1 then '• ' || chr(9) else '' end || x || chr(10) || chr(10) || chr(10)), '') as t
+  from documents)"""
 RESPONSES_SQL = """responses as (
   select l_orderkey as attempt_id, o_custkey as note_id, l_linenumber, l_partkey, l_extendedprice, l_shipdate, p_brand as topic,
          p_type as type, p_name as question, p_size, l_returnflag = 'N' as is_correct

@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Column that identifies a row inside an operator.
@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it back.
 
     Lineage ends there, so a lost executor costs one read, and the optimizer plans what follows with the table's
-    real size. The table goes when the session's process ends.
+    real size. The table goes when the session's process ends, or with :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -43,7 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of frames that nothing refers to any more
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`cut` wrote, once all that reads them is written itself."""
+    for t in tables:
+        _remove(t.sparkSession, t.cut_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -71,6 +79,29 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+#: Bits of a marks table: 131,072 words of 64, some 4 MB however many rows there are.
+MARK_BITS = 1 << 23
+
+
+def _mark(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+
+
+def marks(rows: DataFrame, key: str) -> DataFrame:
+    """(word, bits): a bitmap of the hashes of ``key``, written; small enough to be broadcast by its very form."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (_mark(F.col(key)) % 64).cast("int"))
+    return cut(rows.groupBy((_mark(F.col(key)) / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")))
+
+
+def marked(docs: DataFrame, found: DataFrame, key: str = ROW) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose key may be in ``found``, and rows whose key is not. Neither is shuffled, so of
+    texts only those that a join may need have to move. (A hash of another key may set a row's bit.)"""
+    word, bit = (_mark(F.col(key)) / 64).cast("int"), (_mark(F.col(key)) % 64).cast("int")
+    both = docs.join(F.broadcast(found.withColumnsRenamed({"word": "__word", "bits": "__bits"})), word == F.col("__word"), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.lit(False))
+    return both.where(hit).select(*docs.columns), both.where(~hit).select(*docs.columns)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

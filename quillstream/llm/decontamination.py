@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import ROW, PrefixHash, cut, keyed, ranges, utf8_parts, word_bounds
+from .common import ROW, PrefixHash, cut, keyed, ranges, release, utf8_parts, word_bounds
 
 WINDOW = 13
 #: Words of test items that go to the shards at once.
@@ -235,10 +235,14 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go. Spark broadcasts their row keys only if they are few."""
+    """Pipeline stage: contaminated documents go. Spark broadcasts their row keys only if they are few.
+
+    Rows with a null or repeated id are documents of their own; texts without words stay, and without test items all do.
+    """
     docs_k = keyed(docs)
     index = build_index(docs_k)
     bad = cut(_judged(index, blocks_of(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", WINDOW)).where("contaminated").select(ROW))
+    release(index)
     return docs_k.join(bad, ROW, "left_anti").select(*docs.columns)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import ROW, PrefixHash, cut, digests, utf8_parts
+from .common import ROW, PrefixHash, cut, digests, release, utf8_parts
 
 SLICE, HOT, STEP = 2_000_000, 256, 8
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -224,7 +224,9 @@ def search(docs: DataFrame, text: str, tokens: Tokens, length: int, gram: int, m
     picked = picked.select("h1", "d1", "d2", "k", "second", "m.*")
     pieces = cut(contexts(docs, picked, text, tokens, length))
     runs = shared_windows(pieces.where(F.col("k") <= HOT), tokens, length, method)
-    return members, classes, runs.unionByName(dealt_by_text(pieces.where(F.col("k") > HOT), tokens, length))
+    found = cut(runs.unionByName(dealt_by_text(pieces.where(F.col("k") > HOT), tokens, length)))
+    release(pieces, several)
+    return members, classes, found
 
 
 def placed(members: DataFrame, runs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import ROW, PrefixHash, cut, keyed, mix, utf8_parts
+from .common import ROW, PrefixHash, cut, keyed, mix, release, utf8_parts
 from .substring_dedup import word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -277,7 +277,9 @@ def forest(sketched: DataFrame, reps: DataFrame) -> DataFrame:
     label = F.substring(F.concat("sig", "sig"), F.col("tree") * DEEPEST + 1, F.lit(TRUNK))
     shared = keys.join(met, "key").join(sketched.select(F.col(ROW).alias("row"), "sig"), "row").select("key", label.alias("label"), "row")
     order = ["key", "label", "row"]
-    return cut(shared.repartitionByRange(*order).sortWithinPartitions(*order))
+    tries = cut(shared.repartitionByRange(*order).sortWithinPartitions(*order))
+    release(keys, met)
+    return tries
 
 
 def descend(tries: DataFrame, signatures: DataFrame, floor: int, likely: float) -> DataFrame:
@@ -304,7 +306,9 @@ def candidates(sketched: DataFrame, floor: int, likely: float = LIKELY) -> tuple
     """(classes, families) of written sketches: classes as (s1, s2, rep, copies), families of reps as (node, root)."""
     classes = cut(sketched.groupBy("s1", "s2").agg(F.min(ROW).alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias(ROW)), ROW)
-    roots = descend(forest(sketched, reps), sketched.select(F.col(ROW).alias("row"), "sig"), floor, likely)
+    tries = forest(sketched, reps)
+    roots = descend(tries, sketched.select(F.col(ROW).alias("row"), "sig"), floor, likely)
+    release(tries)
     return classes, roots.select(F.col("row").alias("node"), "root")
 
 

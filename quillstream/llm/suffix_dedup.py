@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import ROW, PrefixHash, cut, keyed, utf8_parts
+from .common import ROW, PrefixHash, keyed, utf8_parts
 from .repeats import by_document, merged, placed, search
 
 LENGTH, GRAM = 200, 48
@@ -109,7 +109,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """
     docs = keyed(docs.drop("n_bytes", "spans", "kept"), id_col)
     members, _, runs = search(docs, text, byte_tokens, LENGTH, GRAM, twins, seconds=True)
-    spans = by_document(placed(members, cut(runs)))
+    spans = by_document(placed(members, runs))
     joined = docs.join(spans.hint("shuffle_hash"), ROW, "left").drop(ROW)
     run_type = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
     schema = StructType([*joined.drop("spans").schema.fields, StructField("n_bytes", IntegerType()), StructField("__spans", run_type), StructField("kept", BinaryType())])

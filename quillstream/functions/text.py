@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that are no keywords.
 STOP_WORDS = (
@@ -137,10 +141,26 @@ def dedupe_stripped(items: Column) -> Column:
     return first_of_each(F.filter(F.transform(items, strip), lambda x: x != ""), F.lower)
 
 
-def lower_keys(c: Column) -> Column:
-    """JSON text with all its object keys lower-cased. A key is a string before a colon; strings in values stay."""
-    token = r'"(?:[^"\\\\]|\\\\.)*"\s*:?|[^"]+'
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(token), F.lit(0)), lambda t: F.when(t.rlike(r'(?s)^".*"\s*:$'), F.lower(t)).otherwise(t)), "")
+def _lowered(value, most: int):
+    if isinstance(value, dict):
+        return {k.lower(): _lowered(v, most) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_lowered(v, most) for v in value]
+    return value.strip()[:most] if isinstance(value, str) else value
+
+
+@F.pandas_udf(StringType())
+def lower_keys(values: pd.Series) -> pd.Series:
+    """JSON text with lower-case object keys and stripped strings of 2000 characters at most, at any depth; null where it
+    is no JSON. (Values of any depth are beyond SQL functions.)"""
+
+    def one(text):
+        try:
+            return json.dumps(_lowered(json.loads(text), 2000), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return values.map(one)
 
 
 def topic(filename: Column, c: Column) -> Column:
@@ -198,4 +218,4 @@ def target_pages(n: Column) -> tuple[Column, Column]:
 
 def data_url(content: Column, kind: Column) -> Column:
     """Bytes as a data URL of a media type."""
-    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s+", ""))

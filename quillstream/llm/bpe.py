@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import ROW, cut, digests, keyed, ranges, utf8_parts
+from .common import ROW, cut, digests, keyed, marked, marks, ranges, utf8_parts
 
 WINDOW, MASK = 8, np.uint32(2**11 - 1)
 MAX_WORDS, MAX_PARTS, SLICE_BYTES, SHARED_BYTES = 200_000, 250_000, 1_000_000, 128
@@ -329,7 +329,7 @@ def chunk_places(docs: DataFrame, text: str) -> DataFrame:
 
 
 def shared_chunks(docs: DataFrame, text: str, path: str) -> DataFrame | None:
-    """(ROW, __given): for each row with shared chunks, an array of (start, ids), ids as packed int32; None without any.
+    """(d1, d2, row, start, ids): the places of shared chunks with their ids, as packed int32; None without any.
 
     Places are counted before they are shuffled; a chunk with many places meets its ids in a join, which Spark splits.
     """
@@ -354,8 +354,9 @@ def shared_chunks(docs: DataFrame, text: str, path: str) -> DataFrame | None:
                 packed = [ids[s:e].astype("<i4").tobytes() for s, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([f["d1"].slice(i, len(chunks)), f["d2"].slice(i, len(chunks)), pa.array(packed, pa.binary())], names=["d1", "d2", "ids"])
 
-    ids = cut(docs.select(ROW, text).join(owned.hint("shuffle_hash"), ROW).select(text, "owned").mapInArrow(run, "d1 bigint, d2 bigint, ids binary"))
-    return places.join(ids, ["d1", "d2"]).groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("start", "ids")).alias("__given"))
+    owners, _ = marked(docs.select(ROW, text), marks(repeated, "row"))
+    ids = cut(owners.join(owned.hint("shuffle_hash"), ROW).select(text, "owned").mapInArrow(run, "d1 bigint, d2 bigint, ids binary"))
+    return places.join(ids, ["d1", "d2"]).select("row", "start", "ids")
 
 
 def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id") -> DataFrame:
@@ -365,13 +366,20 @@ def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None
     Null and empty texts have no ids. Bytes that aren't UTF-8 count as U+FFFD. Rows with a null or repeated id are
     documents of their own; ids, order and repeats of rows don't change what a text gives. An empty table gives an
     empty one. Columns of ``docs`` with the names of outputs are replaced.
-    The text is shuffled where chunks are shared, not otherwise. A task holds a slice of about 1 MB of text, or one longer text, at a
+    Only texts that own or have shared chunks are shuffled, to meet their ids. A task holds a slice of about 1 MB of text, or one longer text, at a
     time, and the digests are taken there, so that neither ids nor decoded text need leave it.
     """
     docs = keyed(docs.drop(*outputs), id_col)
     path = tokenizer or default_tokenizer()
-    given = shared_chunks(docs, text, path)
-    joined = docs.withColumn("__given", F.lit(None).cast("array<struct<start: int, ids: binary>>")) if given is None else docs.join(given.hint("shuffle_hash"), ROW, "left")
+    placed, rest = shared_chunks(docs, text, path), docs
+    given = F.lit(None).cast("array<struct<start: int, ids: binary>>").alias("__given")
+    if placed is not None:
+        some, rest = marked(docs, marks(placed, "row"))
+        listed = placed.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("start", "ids")).alias("__given"))
+        some = some.join(listed.hint("shuffle_hash"), ROW, "left")
+    joined = rest.select("*", given)
+    if placed is not None:
+        joined = joined.unionByName(some.select(joined.columns))
     kept = [c for c in docs.columns if c != ROW]
     joined = joined.select(*kept, "__given")
     schema = StructType([*joined.schema.fields[:-1], *(StructField(c, OUTPUTS[c], False) for c in outputs)])

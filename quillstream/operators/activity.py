@@ -162,19 +162,26 @@ def kpi_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id").agg(F.count_if(F.col("kind") == "quiz_completed").alias("quizzes"), F.count_if((F.col("kind") == "planner_task_done") & F.col("done")).alias("tasks_done"), F.count(F.lit(1)).alias("events"))
 
 
+#: Icon and title of each tip, and what its body says around its value.
+TIPS = [
+    ("📄", "New Upload Detected", "", " was processed. Turn it into notes and a quick quiz next."),
+    ("🎯", "Quiz Feedback", "Your latest quiz score was ", "%. Review the missed concepts before the next session."),
+    ("!", "Recommended Revision", "Focus next on ", ". These came from your latest quiz responses."),
+    ("✅", "Planner Momentum", "You completed ", " planner task(s). Keep the streak moving with a short review block."),
+]
+
+
 def tips(log: DataFrame) -> DataFrame:
-    """(user_id, place, title, body): at most three of the tips that apply, in a fixed order. One pass over the log."""
+    """(user_id, place, icon, title, body): at most three of the tips that apply, in a fixed order. One pass over the log."""
     last = lambda value, kind: F.max_by(F.when(F.col("kind") == kind, value), F.when(F.col("kind") == kind, F.col("event_id")))
+    weak = F.coalesce("weak_topics", F.array().cast("array<string>")) if "weak_topics" in log.columns else F.array().cast("array<string>")
     facts = log.groupBy("user_id").agg(
-        last(F.coalesce("filename", F.lit("Your file")), "upload_processed").alias("file"), last(F.coalesce("score", F.lit(0)), "quiz_completed").alias("score"), F.count_if((F.col("kind") == "planner_task_done") & F.col("done")).alias("tasks")
-    )
-    tip = lambda when, title, *body: F.when(when, F.struct(F.lit(title).alias("title"), F.concat(*body).alias("body")))
-    all_ = F.array(
-        tip(F.col("file").isNotNull(), "New Upload Detected", "file", F.lit(" was processed. Turn it into notes and a quick quiz next.")),
-        tip(F.col("score").isNotNull(), "Quiz Feedback", F.lit("Your latest quiz score was "), "score", F.lit("%. Review the missed concepts before the next session.")),
-        tip(F.col("tasks") > 0, "Planner Momentum", F.lit("You completed "), "tasks", F.lit(" planner task(s). Keep the streak moving with a short review block.")),
-    )
-    return facts.select("user_id", F.posexplode(F.slice(F.filter(all_, lambda t: t.isNotNull()), 1, 3)).alias("place", "t")).select("user_id", F.col("place").cast("bigint").alias("place"), "t.title", "t.body")
+        last(F.coalesce("filename", F.lit("Your file")), "upload_processed").alias("file"), last(F.coalesce("score", F.lit(0)), "quiz_completed").alias("score"),
+        last(F.array_join(F.slice(weak, 1, 3), ", "), "quiz_completed").alias("weak"), F.nullif(F.count_if((F.col("kind") == "planner_task_done") & F.col("done")), F.lit(0)).alias("tasks"),
+    )
+    values = [F.col("file"), F.col("score").cast("string"), F.nullif("weak", F.lit("")), F.col("tasks").cast("string")]
+    all_ = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(icon).alias("icon"), F.lit(title).alias("title"), F.concat(F.lit(before), v, F.lit(after)).alias("body"))) for v, (icon, title, before, after) in zip(values, TIPS, strict=True)])
+    return facts.select("user_id", F.posexplode(F.slice(F.filter(all_, lambda t: t.isNotNull()), 1, 3)).alias("place", "t")).select("user_id", F.col("place").cast("bigint").alias("place"), "t.*")
 
 
 def labels(log: DataFrame) -> DataFrame:
@@ -206,8 +213,20 @@ def dashboard(log: DataFrame, as_of: str | None = None) -> DataFrame:
     )
 
 
+#: What an event may hold besides its kind.
+FIELDS = {
+    "ts": "timestamp_ntz", "topic": "string", "view": "string", "filename": "string", "note_id": "string", "format": "string", "score": "int", "total": "int", "message": "string", "task_id": "int", "done": "boolean",
+}
+
+
 def ingest(raw: DataFrame) -> DataFrame:
-    """Merges the ``extra`` map of raw events last: its fields win, but for ``kind``, which it may not set."""
-    names = ["ts", "topic", "note_id"]
-    given = lambda c: F.coalesce(F.try_element_at("extra", F.lit(c)), F.col(c).cast("string")).alias(c)
-    return raw.select("event_id", "user_id", "kind", *map(given, names)).withColumn("ts", F.expr("try_cast(ts as timestamp_ntz)"))
+    """Merges the ``extra`` map of raw events last: its fields win, but for ``kind``, which it may not set.
+
+    Every field of ``FIELDS`` becomes a column, null where neither has it or its text is of the wrong type; fields of
+    other names stay in ``extra``.
+    """
+    own = lambda c: F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
+    given = lambda c, kind: F.coalesce(F.try_element_at("extra", F.lit(c)), own(c)).try_cast(kind).alias(c)
+    others = F.map_filter("extra", lambda k, _: ~k.isin([*FIELDS, "kind"]))
+    return raw.select("event_id", "user_id", "kind", *[given(c, kind) for c, kind in FIELDS.items()], others.alias("extra"))
+

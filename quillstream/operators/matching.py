@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as fn
+from .quiz import missing
+
+#: What a diagram that lacks them says, around its section's title.
+CAPTION = "Relevant diagram for "
+EXPLANATION = ("This diagram supports the section on ", ". Use it to explain the structure, flow, or relationship between the main concepts in your own words.")
+STEPS = ("Key structure or flow", "Exam explanation point")
 GAP, NEAREST, HINTS = 120, 3, 3
 
 
@@ -33,6 +40,14 @@ def hints(diagrams: DataFrame, sections: DataFrame) -> DataFrame:
     return met.where(F.col("rank") <= HINTS).select("note_id", "nth", "diagram_id", "rank")
 
 
+def enrich(diagrams: DataFrame) -> DataFrame:
+    """Fills in the caption, explanation and chart that a section's diagrams (title, caption, explanation, mermaid_code)
+    lack; empty strings count as lacking."""
+    given = diagrams.withColumn("caption", F.coalesce(missing("caption"), F.concat(F.lit(CAPTION), "title")))
+    given = given.withColumn("explanation", F.coalesce(missing("explanation"), F.concat(F.lit(EXPLANATION[0]), "title", F.lit(EXPLANATION[1]))))
+    return given.withColumn("mermaid_code", F.coalesce(missing("mermaid_code"), fn.mermaid(F.col("title"), F.col("caption"), *STEPS)))
+
+
 def nearby_text(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """(image_id, near): the three nearest blocks within the gap above or below an image, or overlapping it sideways.
 

@@ -307,3 +307,28 @@ def hint_images(images: DataFrame, most: int = 2, max_bytes: int = 4_000_000) ->
     kind = F.when(fn.extension(F.col("path")).isin("jpg", "jpeg"), "image/jpeg").otherwise("image/png")
     taken = first.where((F.coalesce("path", F.lit("")) != "") & F.col("content").isNotNull() & (F.octet_length("content") <= max_bytes))
     return taken.select("note_id", "nth", fn.data_url(F.col("content"), kind).alias("image_url"))
+
+
+def list_notes(static: DataFrame, generated: DataFrame) -> DataFrame:
+    """(origin, id, title, topic, source, progress, is_favorite): static notes (0) before generated ones (1)."""
+    def listed(rows, origin):
+        return rows.select(F.lit(origin).alias("origin"), "id", "title", "topic", F.coalesce("source", F.lit("generated")).alias("source"), F.coalesce("progress", F.lit(0)).alias("progress"), F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"))
+
+    return listed(static, 0).unionByName(listed(generated, 1))
+
+
+def note_content(wanted: DataFrame, packages: DataFrame, static: DataFrame) -> DataFrame:
+    """(note_id, format, content) for (note_id, format): of a generated note the view of its package, else of a static
+    note its format or else its Cornell layout, else nothing. Packages have ``note_id``, static notes (note_id, layouts)
+    with a map from format to content."""
+    made = packages.join(wanted, "note_id").select("note_id", "format", format_view(packages, F.col("format")).alias("__made"))
+    layout = lambda k: F.try_element_at("layouts", k)
+    met = wanted.join(made, ["note_id", "format"], "left").join(static, "note_id", "left")
+    return met.select("note_id", "format", F.coalesce("__made", layout(F.col("format")), layout(F.lit("cornell")), F.lit("")).alias("content"))
+
+
+def stored_record(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """(note_id, record): the stored normalised note as JSON, an empty object where there is none."""
+    fields = [c for c in records.columns if c != "note_id"]
+    found = records.select("note_id", F.to_json(F.struct(*fields)).alias("record"))
+    return wanted.join(found, "note_id", "left").select("note_id", F.coalesce("record", F.lit("{}")).alias("record"))

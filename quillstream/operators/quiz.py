@@ -94,8 +94,20 @@ def questions_for_note(section: DataFrame, package: DataFrame, limit: int = 5) -
     return both.where(F.col("index") <= limit).select("note_id", "index", "question", "total")
 
 
+def correct(options: Column, kind: Column, selected: Column, answer: Column, self_assessment: Column) -> Column:
+    """Whether a response is right: for a choice question the selected option, for others the learner's own word."""
+    return F.when(is_mcq(options, kind), F.coalesce(selected == answer, F.lit(False))).otherwise(F.coalesce(self_assessment, F.lit(False)))
+
+
+def by_type(questions: DataFrame) -> DataFrame:
+    """(note_id, type, place, id): each note's questions of one type, in their order; without a type, general."""
+    kind = F.coalesce(missing("type"), F.lit("general"))
+    w = Window.partitionBy("note_id", "type").orderBy("nth")
+    return questions.withColumn("type", kind).withColumn("place", (F.row_number().over(w) - 1).cast("bigint")).select("note_id", "type", "place", "id")
+
+
 def running_score(responses: DataFrame) -> DataFrame:
-    """(attempt_id, nth, so_far): correct responses up to each one."""
+    """(attempt_id, nth, is_correct, so_far): correct responses up to each one."""
     w = Window.partitionBy("attempt_id").orderBy(*RESPONSE_ORDER)
     rows = responses.withColumn("nth", F.row_number().over(w).cast("bigint"))
-    return rows.select("attempt_id", "nth", F.sum(F.col("is_correct").cast("int")).over(Window.partitionBy("attempt_id").orderBy("nth")).alias("so_far"))
+    return rows.select("attempt_id", "nth", "is_correct", F.sum(F.col("is_correct").cast("int")).over(Window.partitionBy("attempt_id").orderBy("nth")).alias("so_far"))

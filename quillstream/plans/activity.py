@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import activity as act
 from ..operators import planner
-from ..sources.tables import KINDS, LOG_SQL, activity_log, table
+from ..sources.stores import append, read, scratch
+from ..sources.tables import KINDS, LOG_SQL, activity_log, log_of, table
 from ..streaming import log as streams
 from .base import query
 
@@ -162,14 +163,18 @@ def latest_by_kind(spark, d):
     return act.latest_by_kind(activity_log(spark, d))
 
 
+_TIPS = " union all ".join(
+    f"select user_id, {i} as o, '{icon}' as icon, '{title}' as title, '{before}' || {value} || '{after}' as body from f where {when}"
+    for i, ((icon, title, before, after), value, when) in enumerate(zip(act.TIPS, ["file", "score", "weak", "tasks"], ["file is not null", "score is not null", "weak is not null", "tasks > 0"], strict=True))
+)
+
+
 @query(
     "tips",
     f"""{_L}, f as (select user_id, arg_max(filename, event_id) filter (where kind = 'upload_processed') as file, arg_max(score, event_id) filter (where kind = 'quiz_completed') as score,
-  count(*) filter (where kind = 'planner_task_done' and done) as tasks from log group by 1),
-t as (select user_id, 1 as o, 'New Upload Detected' as title, file || ' was processed. Turn it into notes and a quick quiz next.' as body from f where file is not null
-  union all select user_id, 2, 'Quiz Feedback', 'Your latest quiz score was ' || score || '%. Review the missed concepts before the next session.' from f where score is not null
-  union all select user_id, 3, 'Planner Momentum', 'You completed ' || tasks || ' planner task(s). Keep the streak moving with a short review block.' from f where tasks > 0)
-select user_id, row_number() over (partition by user_id order by o) - 1 as place, title, body from t""",
+  nullif(array_to_string(arg_max(weak_topics, event_id) filter (where kind = 'quiz_completed')[1:3], ', '), '') as weak, count(*) filter (where kind = 'planner_task_done' and done) as tasks from log group by 1),
+t as ({_TIPS})
+select user_id, row_number() over (partition by user_id order by o) - 1 as place, icon, title, body from t qualify row_number() over (partition by user_id order by o) <= 3""",
 )
 def tips(spark, d):
     return act.tips(activity_log(spark, d))
@@ -202,12 +207,30 @@ def learner_dashboard(spark, d):
     return act.dashboard(activity_log(spark, d))
 
 
-@query("ingest_merge_extra", "select event_id, user_id, event_type as kind, case when event_id % 3 = 0 then date_trunc('day', cast(ts as timestamp)) else cast(ts as timestamp) end as ts, case when event_id % 2 = 0 then 'extra' else 'own' end as topic, cast(null as varchar) as note_id from events")
+@query(
+    "ingest_merge_extra",
+    """select event_id, user_id, event_type as kind, case when event_id % 3 = 0 then date_trunc('day', cast(ts as timestamp)) else cast(ts as timestamp) end as ts, case when event_id % 2 = 0 then 'extra' else 'own' end as topic,
+cast(null as varchar) as view, 'f' || user_id as filename, case when event_id % 5 = 0 then 'n5' end as note_id, cast(null as varchar) as format, case when event_id % 7 = 0 then null when event_id % 5 = 0 then 42 else cast(user_id % 100 as int) end as score,
+cast(null as int) as total, event_type as message, cast(user_id % 8 as int) as task_id, event_id % 2 = 0 as done, case when event_id % 5 = 0 then 'device' else '' end as others from events""",
+)
 def ingest_merge_extra(spark, d):
     e = table(spark, d, "events")
-    put = lambda when, key, value: F.when(when, F.create_map(F.lit(key), value)).otherwise(F.create_map().cast("map<string,string>"))
-    extra = F.map_concat(put(F.col("event_id") % 3 == 0, "ts", F.to_date("ts").cast("string")), put(F.col("event_id") % 2 == 0, "topic", F.lit("extra")))
-    return act.ingest(e.select("event_id", "user_id", F.col("event_type").alias("kind"), "ts", F.lit("own").alias("topic"), F.lit(None).cast("string").alias("note_id"), extra.alias("extra")))
+    put = lambda when, **fields: F.when(when, F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])).otherwise(F.create_map().cast("map<string,string>"))
+    i = F.col("event_id")
+    extra = F.map_concat(put(i % 3 == 0, ts=F.to_date("ts").cast("string")), put(i % 2 == 0, topic=F.lit("extra"), kind=F.lit("mine")), put(i % 5 == 0, note_id=F.lit("n5"), device=F.lit("phone")), put(i % 7 == 0, score=F.lit("many")), put((i % 5 == 0) & (i % 7 != 0), score=F.lit("42")))
+    raw = e.select("event_id", "user_id", F.col("event_type").alias("kind"), "ts", F.lit("own").alias("topic"), F.concat(F.lit("f"), "user_id").alias("filename"), (F.col("user_id") % 100).alias("score"), F.col("event_type").alias("message"), (F.col("user_id") % 8).alias("task_id"), (i % 2 == 0).alias("done"), extra.alias("extra"))
+    # a score that is no number is null, whatever the event's own
+    return act.ingest(raw).withColumn("others", F.array_join(F.map_keys("extra"), ",")).drop("extra")
+
+
+@query("log_append", f"{_L} select event_id, kind from (select event_id, kind from log where event_id % 3 = 0 union all select event_id + 1000000000, kind from log where event_id % 5 = 0) order by event_id desc limit {act.LOG_CAP}")
+def log_append(spark, d):
+    """Two batches appended to a stored log, of which the last 1000 events stay."""
+    log = activity_log(spark, d).select("event_id", "kind")
+    path = scratch(spark, "log")
+    for batch in (log.where("event_id % 3 = 0"), log.where("event_id % 5 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000)):
+        append(batch, path)
+    return act.log_tail(read(spark, path, "event_id bigint, kind string"))
 
 
 @query("parse_ts", "select event_id, case when event_id % 5 = 0 then null else cast(ts as date) end as day from events where event_id % 5 <> 0")
@@ -248,9 +271,15 @@ def quiz_progress(spark, d):
     return act.current_streak(activity_log(spark, d)).select("user_id", F.floor(100 * F.least(s, F.lit(7)) / 7 + 0.5).alias("percent"), (s % 7).alias("weekday"))
 
 
+def _stream(spark, d):
+    return spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
+
+
 @query("stream_daily_counts", f"{_L} select user_id, cast(ts as date) as day, count(*) as n from log group by all")
 def stream_daily_counts(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    path = f"{d}/events.parquet"
-    stream = spark.readStream.schema(schema).parquet(path + "*" if path.endswith(".parquet") else path).select("user_id", "ts")
-    return streams.drain(streams.daily_counts(stream), f"daily_{abs(hash(d)) % 10**8}")
+    return streams.drain(streams.daily_counts(_stream(spark, d).select("user_id", "ts")), ["user_id", "day"], scratch(spark, "daily"))
+
+
+@query("stream_planner_state", f"{_L}{_STATE} select * from state")
+def stream_planner_state(spark, d):
+    return streams.drain(streams.planner_state(log_of(_stream(spark, d))), ["user_id", "task_id"], scratch(spark, "planner"))

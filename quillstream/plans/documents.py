@@ -106,6 +106,20 @@ def dedupe_lines(spark, d):
     return rows.where(F.size("k") > 0).select("doc_id", F.size("k").cast("bigint").alias("n"), F.array_join("k", "\n").alias("text"))
 
 
+@query("dedupe_stripped", f"with l as (select doc_id, {_STRIP("x")} as line, i from (select doc_id, unnest(string_split(replace(text, '.', '  ' || chr(10) || ' '), chr(10))) as x, unnest(range(len(string_split(replace(text, '.', '  ' || chr(10) || ' '), chr(10))))) as i from documents)), k as (select doc_id, min(i) as i, arg_min(line, i) as line from l where line <> '' group by doc_id, lower(line)) select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as text from k group by 1")
+def dedupe_stripped(spark, d):
+    parts = F.split(F.replace("text", F.lit("."), F.lit("  \n ")), "\n")
+    rows = table(spark, d, "documents").select("doc_id", fn.dedupe_stripped(parts).alias("k"))
+    return rows.where(F.size("k") > 0).select("doc_id", F.size("k").cast("bigint").alias("n"), F.array_join("k", "\n").alias("text"))
+
+
+@query("lower_keys", """select item_id, cast(to_json({'title': trim(text), 'tags': ['A b', 'c'], 'meta': {'page': item_id, 'deep key': {'note': '' || item_id}}}) as varchar) as record from benchmark where item_id % 5 > 0 union all select item_id, null from benchmark where item_id % 5 = 0""")
+def lower_keys(spark, d):
+    i = F.col("item_id")
+    given = F.to_json(F.struct(F.concat(F.lit("  "), "text", F.lit(" \n")).alias("Title"), F.array(F.lit(" A b"), F.lit("c ")).alias("TAGS"), F.struct(i.alias("Page"), F.struct(F.concat(F.lit(" "), i).alias("Note")).alias("Deep Key")).alias("meta")))
+    return table(spark, d, "benchmark").select("item_id", fn.lower_keys(F.when(i % 5 > 0, given).otherwise("{broken")).alias("record"))
+
+
 @query("infer_topic", f"select doc_id, case {_RULES} end as topic from (select doc_id, lower(source || '_' || doc_id || '.txt ' || text) as low from documents)")
 def infer_topic(spark, d):
     return uploads(spark, d).select("doc_id", fn.topic(F.col("filename"), F.col("text")).alias("topic"))
@@ -418,15 +432,24 @@ def diagram_mermaid(spark, d):
     return table(spark, d, "benchmark").select("item_id", fn.mermaid(F.concat(F.lit("Note "), "item_id"), F.substring("text", 1, 20), "Structure or flow", "Exam explanation").alias("mermaid"))
 
 
-@query("diagram_defaults", "select item_id, case when item_id % 2 = 0 then text else 'Relevant diagram for Note' end as caption from benchmark")
+_EXPLAINED = " || title || ".join(f"'{x}'" for x in matching.EXPLANATION)
+
+
+@query(
+    "diagram_defaults",
+    f"""with given as (select item_id, 'Note ' || item_id as title, coalesce(case when item_id % 2 = 0 then nullif(text, '') end, '{matching.CAPTION}Note ' || item_id) as caption from benchmark)
+select item_id, title, caption, case when item_id % 3 = 0 then 'own' else {_EXPLAINED} end as explanation, 'flowchart TD\n  A[' || title || '] --> B[' || caption || ']\n  B --> C[{matching.STEPS[0]}]\n  C --> D[{matching.STEPS[1]}]' as mermaid_code from given""",
+)
 def diagram_defaults(spark, d):
-    given = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("")
-    return table(spark, d, "benchmark").select("item_id", F.coalesce(quiz.missing(given), F.lit("Relevant diagram for Note")).alias("caption"))
+    i = F.col("item_id")
+    given = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Note "), i).alias("title"), F.when(i % 2 == 0, F.col("text")).otherwise("").alias("caption"), F.when(i % 3 == 0, "own").alias("explanation"), F.lit("").alias("mermaid_code"))
+    return matching.enrich(given)
 
 
 def _diagrams(spark, d) -> tuple[DataFrame, DataFrame]:
-    diagrams = table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("note_id"), F.col("item_id").alias("diagram_id"), (F.col("item_id") % 10).cast("int").alias("page"), F.col("text").alias("caption"))
-    s = table(spark, d, "part").select((F.col("p_partkey") % 5).alias("note_id"), F.col("p_partkey").alias("nth"), F.concat(F.lit("s"), "p_partkey").alias("section_id"), F.col("p_brand").alias("title"), F.array(F.substring("p_type", 1, 2), F.lit("the")).alias("topics"), F.array((F.col("p_size") % 10).cast("int")).alias("pages"))
+    """A note has two diagrams and twenty sections."""
+    diagrams = table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 2).alias("note_id"), F.col("item_id").alias("diagram_id"), (F.col("item_id") % 10).cast("int").alias("page"), F.col("text").alias("caption"))
+    s = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("note_id"), F.col("p_partkey").alias("nth"), F.concat(F.lit("s"), "p_partkey").alias("section_id"), F.col("p_brand").alias("title"), F.array(F.substring("p_type", 1, 2), F.lit("the")).alias("topics"), F.array((F.col("p_size") % 10).cast("int")).alias("pages"))
     return diagrams, s
 
 
@@ -434,14 +457,14 @@ def _diagrams(spark, d) -> tuple[DataFrame, DataFrame]:
     "diagram_best_section",
     """with s as (select d.item_id as diagram_id, p_partkey as nth, 's' || p_partkey as section_id, case when p_size % 10 = d.item_id % 10 then 5 else 0 end
  + 3 * (case when contains(lower(text), lower(substr(p_type, 1, 2))) then 1 else 0 end + case when contains(lower(text), 'the') then 1 else 0 end)
- + case when contains(lower(text), lower(p_brand)) then 4 else 0 end as score from benchmark d join part on p_partkey % 5 = d.item_id % 5)
+ + case when contains(lower(text), lower(p_brand)) then 4 else 0 end as score from benchmark d join part on p_partkey // 20 = d.item_id // 2)
 select diagram_id, section_id, cast(score as bigint) as score from s qualify row_number() over (partition by diagram_id order by score desc, nth) = 1""",
 )
 def diagram_best_section(spark, d):
     return matching.best_section(*_diagrams(spark, d))
 
 
-@query("diagram_hints", "with m as (select p_partkey % 5 as note_id, p_partkey as nth, item_id as diagram_id, row_number() over (partition by p_partkey order by item_id) as rank from part join benchmark on p_partkey % 5 = item_id % 5 and p_size % 10 = item_id % 10) select * from m where rank <= 3")
+@query("diagram_hints", "with m as (select p_partkey // 20 as note_id, p_partkey as nth, item_id as diagram_id, row_number() over (partition by p_partkey order by item_id) as rank from part join benchmark on p_partkey // 20 = item_id // 2 and p_size % 10 = item_id % 10) select * from m where rank <= 3")
 def diagram_hints(spark, d):
     return matching.hints(*_diagrams(spark, d))
 

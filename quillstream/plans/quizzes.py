@@ -56,9 +56,10 @@ def attempts_for_note(spark, d):
     return quiz.last_attempts(scored, "note_id", 20).select("note_id", "rank", "attempt_id", "score")
 
 
-@query("response_correctness", f"{_R}, r as (select *, row_number() over (partition by attempt_id order by {_ORDER}) as nth from responses) select attempt_id, nth, cast(sum(cast(is_correct as int)) over (partition by attempt_id order by nth) as bigint) as so_far from r")
+@query("response_correctness", f"{_R}, r as (select attempt_id, row_number() over (partition by attempt_id order by {_ORDER}) as nth, case when n_options > 0 and says_mcq then selected = correct else is_correct end as right_ from responses) select attempt_id, nth, right_ as is_correct, cast(sum(cast(right_ as int)) over (partition by attempt_id order by nth) as bigint) as so_far from r")
 def response_correctness(spark, d):
-    return quiz.running_score(responses(spark, d))
+    judged = responses(spark, d).withColumn("is_correct", quiz.correct(F.col("options"), F.col("kind"), F.col("selected"), F.col("correct"), F.col("self_assessment")))
+    return quiz.running_score(judged)
 
 
 @query("responses_build", f"{_R} select attempt_id, l_linenumber, l_partkey, coalesce(nullif(topic, ''), 'general') as topic, ['A','B','C','D'][p_size % 5] as selected, coalesce(['A','B','C','D'][p_size % 5], '') as answer, l_extendedprice from responses")
@@ -105,9 +106,10 @@ def question_buckets(spark, d):
     return table(spark, d, "part").select("p_partkey", quiz.bucket(kind).alias("bucket"))
 
 
-@query("questions_by_type", "select p_type as type, string_agg(cast(p_partkey as varchar), ',' order by p_partkey) as ids from part group by 1")
+@query("questions_by_type", "select p_partkey // 20 as note_id, case when p_size % 9 = 0 then 'general' else p_type end as type, row_number() over (partition by p_partkey // 20, case when p_size % 9 = 0 then 'general' else p_type end order by p_partkey) - 1 as place, p_partkey as id from part")
 def questions_by_type(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("type")).agg(F.array_join(F.sort_array(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("ids"))
+    rows = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("note_id"), F.when(F.col("p_size") % 9 == 0, "").otherwise(F.col("p_type")).alias("type"), F.col("p_partkey").alias("nth"), F.col("p_partkey").alias("id"))
+    return quiz.by_type(rows)
 
 
 @query("mcq_filter", "select p_partkey from part where p_size % 3 > 0 and (p_partkey % 2 = 0 or p_size % 4 = 0)")

@@ -29,9 +29,14 @@ def lookup(key: Column, pairs: list[tuple]) -> Column:
 
 
 def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, user_id, ts, kind, topic, score, filename, note_id, task_id, done, message of every event."""
+    """event_id, user_id, ts, kind, topic, score, filename, note_id, task_id, done, message, weak_topics of every event."""
+    return log_of(table(spark, sf_dir, "events"))
+
+
+def log_of(events: DataFrame) -> DataFrame:
+    """The activity log of the events table, or of a stream of it."""
     k = F.get_json_object("props", "$.k").cast("int")
-    events = table(spark, sf_dir, "events").withColumn("k", k).withColumn("kind", lookup(F.col("event_type"), [(e, kind) for e, kind, _ in KINDS]))
+    events = events.withColumn("k", k).withColumn("kind", lookup(F.col("event_type"), [(e, kind) for e, kind, _ in KINDS]))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     return events.select(
         "event_id",
@@ -45,6 +50,7 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("planner_task_done", F.col("k") % 8 + 1).alias("task_id"),
         of("planner_task_done", F.col("k") % 2 == 0).alias("done"),
         of("chat_message", F.get(F.array(*map(F.lit, CHAT_KEYS)), F.col("k") % 7)).alias("message"),
+        of("quiz_completed", F.slice(F.array(*map(F.lit, TOPICS)), F.col("k") % 2 + 1, F.col("k") % 5)).alias("weak_topics"),
     )
 
 
@@ -77,6 +83,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("l_orderkey").alias("attempt_id"), F.col("o_custkey").alias("note_id"), F.col("o_orderdate").alias("created_at"), "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate",
             F.col("p_brand").alias("topic"), F.col("p_type").alias("type"), F.col("p_name").alias("question"), F.col("p_size").alias("p_size"), (F.col("l_returnflag") == "N").alias("is_correct"),
+            F.slice(F.array(*map(F.lit, "ABCD")), 1, F.col("p_size") % 5).alias("options"), F.when(F.col("p_size") % 7 > 0, "mcq").otherwise("theory").alias("kind"), (F.col("l_linenumber") % 4).alias("selected"), (F.col("p_size") % 4).alias("correct"), (F.col("l_returnflag") == "N").alias("self_assessment"),
         )
     )
 
@@ -93,7 +100,8 @@ log as (
     case when kind = 'note_view' then cast(k as varchar) end as note_id,
     case when kind = 'planner_task_done' then k % 8 + 1 end as task_id,
     case when kind = 'planner_task_done' then k % 2 = 0 end as done,
-    case when kind = 'chat_message' then {_LIST(CHAT_KEYS)}[k % 7 + 1] end as message
+    case when kind = 'chat_message' then {_LIST(CHAT_KEYS)}[k % 7 + 1] end as message,
+    case when kind = 'quiz_completed' then {_LIST(TOPICS)}[k % 2 + 1 : k % 2 + k % 5] end as weak_topics
   from raw)"""
 NOTEBOOKS_SQL = """notebooks as (
   select doc_id, source || '_' || doc_id || '.txt' as filename, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k:
@@ -103,5 +111,5 @@ NOTEBOOKS_SQL = """notebooks as (
   from documents)"""
 RESPONSES_SQL = """responses as (
   select l_orderkey as attempt_id, o_custkey as note_id, l_linenumber, l_partkey, l_extendedprice, l_shipdate, p_brand as topic,
-         p_type as type, p_name as question, p_size, l_returnflag = 'N' as is_correct
+         p_type as type, p_name as question, p_size, l_returnflag = 'N' as is_correct, p_size % 5 as n_options, p_size % 7 > 0 as says_mcq, l_linenumber % 4 as selected, p_size % 4 as correct
   from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def daily_counts(log: DataFrame, late: str = "1 day") -> DataFrame:
@@ -13,12 +14,23 @@ def daily_counts(log: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def planner_state(log: DataFrame) -> DataFrame:
-    """The last toggle of each task so far; run it in update mode."""
+    """The last toggle of each task so far; the state is one row for each user and task."""
     return log.where("kind = 'planner_task_done'").groupBy("user_id", "task_id").agg(F.max_by("done", "event_id").alias("done"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its result, kept in memory under ``name``; for small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Runs an aggregated stream over all that is there and returns its result.
+
+    Each batch appends the rows that it changed to Parquet under ``path``, where the stream's checkpoint is too; the
+    result is the last row of each key. Nothing passes through the driver.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rest = [c for c in stream.columns if c not in keys]
+    changed = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/rows")
+    return changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")

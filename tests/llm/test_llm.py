@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstream.llm import bpe, decontamination, line_dedup, quality_rules, registry, secret_scan, shingle_join, substring_dedup, suffix_dedup, token_output, toxicity
-from quillstream.llm.common import ROW
+from quillstream.llm.common import ROW, marked, marks
 
 rng = random.Random(5)
 WORDS = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)] + ["Über", "naïve", "x1", "###", "don't", "☃"]
@@ -190,14 +190,23 @@ def test_bpe_encodes_shared_chunks_once(spark):
     passage = prose(6000, r)
     rows = [(i, prose(20, r) + passage + prose(20, r)) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn(ROW, F.col("doc_id"))
-    given = bpe.shared_chunks(df, "text", bpe.default_tokenizer()).collect()
-    assert len(given) == 12 and all(len(x["__given"]) > 2 for x in given)
+    given = bpe.shared_chunks(df, "text", bpe.default_tokenizer()).groupBy("row").count().collect()
+    assert len(given) == 12 and all(x["count"] > 2 for x in given)
     places = bpe.chunk_places(df, "text")
     assert places.select("d1", "d2").distinct().count() < places.count() / 2
     got = bpe.encode(df.drop(ROW)).collect()
     assert {x.doc_id: x.ids for x in got} == {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
 
 
+def test_marks_part_a_table(spark):
+    df = spark.range(2000).withColumn(ROW, F.col("id") * 7 - 5000)
+    wanted = df.where("id % 50 = 3")
+    some, rest = marked(df, marks(wanted, ROW))
+    assert {x.id for x in some.collect()} >= {x.id for x in wanted.collect()} and some.count() < 60
+    assert some.count() + rest.count() == 2000 and some.join(rest, "id").count() == 0
+    assert [x.count() for x in marked(df, marks(df.limit(0), ROW))] == [0, 2000]
+
+
 def test_bpe_equals_the_library_on_random_texts():
     e, r = bpe.Encoder(bpe.default_tokenizer()), random.Random(8)
     alphabet = "abcXYZ0189 '.,-_\n\t\r\x0b\x1c\x85\xa0éÉßﬁİΣς中文\u0301\u200b😀<|>"

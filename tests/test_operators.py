@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as fn
 from quillstream.operators import activity, matching, notes, planner, quiz
+from quillstream.sources import files, stores
+from quillstream.streaming import log as streams
 
 LOG = "event_id long, user_id long, ts timestamp_ntz, kind string, topic string, score int, filename string, note_id string, task_id int, done boolean, message string"
 
@@ -134,10 +136,15 @@ def test_keywords_and_package(spark):
     docs = spark.createDataFrame([(1, "a_b.txt", "graph graph tree_map tree_map the node. A node is a thing. A NODE is a thing.")], "doc_id long, filename string, text string")
     s = notes.sections(docs)
     row = one(s)
-    assert row.keywords == ["node", "graph", "tree map", "thing"] or row.keywords[0] == "node"
-    assert row.definitions == ["A node: a thing."] or row.definitions[0].endswith("a thing.")
+    assert row.keywords == ["node", "graph", "tree map", "thing"]
+    assert row.definitions == ["A node: a thing."]
+    assert row.topics == ["Node", "Graph", "Tree Map", "Thing"] and row.focus == "Node" and row.compare == "Graph"
+    assert row.common_mistakes[0] == "Confusing Node with nearby related terms." and row.why_this_matters.startswith("This section matters")
+    assert [tuple(x) for x in row.outline][1] == ("A B - Definitions and Use", ["A node: a thing.", "Use A B while discussing architecture, workflow, or implementation decisions."])
     p = one(notes.package(s))
-    assert (p.total_sections, p.total_questions, len(p.cue), len(p.outline)) == (1, 4, 3, 3)
+    assert (p.total_sections, p.total_questions, p.total_diagrams, len(p.cue), len(p.outline)) == (1, 4, 0, 3, 3)
+    assert p.mindmap == "mindmap\n  root((A B))\n    A B\n      Node\n        Graph\n        Tree Map\n      Tree Map\n        Thing"
+    assert [list(x)[:2] for x in p.chart] == [["A B", "Node, Graph, Tree Map"]] and (p.least_pages, p.most_pages) == (1, 2)
     assert notes.exam_questions(s).count() == 4 and notes.formats_table(s).count() == 5 and one(notes.sections_table(s)).order_index == 0
 
 
@@ -149,3 +156,86 @@ def test_matching_ties_and_nearest(spark):
     images = spark.createDataFrame([(1, 1, 0.0, 200.0, 50.0, 300.0), (2, 2, 0.0, 0.0, 1.0, 1.0)], "image_id long, page_id long, left double, top double, right double, bottom double")
     blocks = spark.createDataFrame([(1, 1, 90.0, 0.0, 99.0, 80.0, " gap 120 "), (1, 2, 90.0, 0.0, 99.0, 79.0, "gap 121"), (1, 3, 0.0, 900.0, 9.0, 950.0, "beside"), (1, 4, 0.0, 190.0, 9.0, 199.0, "")], "page_id long, nth long, x0 double, y0 double, x1 double, y1 double, text string")
     assert {r.image_id: r.near for r in matching.nearby_text(images, blocks).collect()} == {1: "gap 120 beside", 2: ""}
+
+
+def test_title_case_starts_at_every_run_of_letters(spark):
+    for x in ("b-o'neil 2x_émile", "ABC def", "x1y", "", "don't stop"):
+        assert value(spark, fn.title_case(F.col("t")), t=x) == x.title()
+
+
+def test_first_of_each_keeps_order(spark):
+    assert value(spark, fn.dedupe_stripped(F.col("t")), t=[" b ", "A", "B", "a  x", "a x", " ", "c"]) == ["b", "A", "a  x", "a x", "c"]
+    assert value(spark, fn.dedupe(F.col("t"), 2), t=["z", "Z ", "y", "x"]) == ["z", "y"]
+
+
+def test_lower_keys(spark):
+    given = '{"A b": " x ", "L": [{"K": "\\"Q\\": "}, 3, null, true], "É": {"Deep": "' + "y" * 3000 + '"}}'
+    found = value(spark, fn.lower_keys(F.col("t")), t=given)
+    assert found == '{"a b":"x","l":[{"k":"\\"Q\\":"},3,null,true],"é":{"deep":"' + "y" * 2000 + '"}}'
+    assert value(spark, fn.lower_keys(F.col("t")), t="nope") is None
+
+
+def test_tips_name_weak_topics(spark):
+    events = log(spark, event(kind="quiz_completed", score=40)).withColumn("weak_topics", F.array(*map(F.lit, "abcd")))
+    found = activity.tips(events).orderBy("place").collect()
+    assert [(t.icon, t.title) for t in found] == [("🎯", "Quiz Feedback"), ("!", "Recommended Revision")] and found[1].body.startswith("Focus next on a, b, c. ")
+
+
+def test_correctness_of_choices_and_own_words(spark):
+    rows = [(["x"], "mcq", 1, 1, None, True), (["x"], "mcq", None, 1, True, False), (["x"], None, 0, 1, True, False), ([], "mcq", 1, 1, None, False), (["x"], "theory", 1, 1, True, True), (["x"], "theory", 1, 1, False, False)]
+    df = spark.createDataFrame(rows, "options array<string>, kind string, selected int, answer int, own boolean, want boolean")
+    got = df.select("want", quiz.correct(*[F.col(c) for c in ("options", "kind", "selected", "answer", "own")]).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_files_are_read_as_text(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "a.txt").write_bytes("é ok".encode() + b"\xff!")
+    (tmp_path / "B.MD").write_text("# head")
+    (tmp_path / "x.pptx").write_text("zip")
+    with zipfile.ZipFile(tmp_path / "w.docx", "w") as z:
+        p = "".join(f"<w:p><w:r><w:t>{a}</w:t></w:r><w:r><w:t>{b}</w:t></w:r></w:p>" for a, b in (("one ", "two"), ("", "")))
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{p}</w:body></w:document>')
+    (tmp_path / "bad.docx").write_text("no zip")
+    found = files.read_files(spark, f"file://{tmp_path}")
+    texts = {r.filename: r.text for r in files.extract_text(found).collect()}
+    assert texts["a.txt"] == "é ok\ufffd!" and texts["B.MD"] == "# head" and texts["w.docx"] == "one two\n"
+    assert all(texts[n] == f"[Extracted text from {n} - install PyPDF2/python-docx for real extraction]" for n in ("x.pptx", "bad.docx"))
+    strict = {r.filename: (r.text, r.status) for r in files.extract_text_strict(found).collect()}
+    assert strict["B.MD"] == (None, 400) and strict["w.docx"] == ("one two\n", 200) and strict["a.txt"][1] == 200
+
+
+def test_stores_append_and_tolerate(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    assert stores.read(spark, path, stores.NOTE).count() == 0
+    made = spark.createDataFrame([("k1", "T", None), ("k2", "U", "ml")], "note_key string, document_title string, topic string")
+    assert stores.register(made, path, "now").count() == 2
+    stores.register(made.limit(1), path, "later")
+    (tmp_path / "s" / "part-x.json").write_text('{"id": "z", "progress": "many"}\n[]\n{oops\n')
+    found = stores.read(spark, path, stores.NOTE).collect()
+    assert sorted(r.topic or "" for r in found) == ["", "ML", "UPLOAD", "UPLOAD"] and [r.progress for r in found if r.id == "z"] == [None]
+
+
+def test_streams_keep_the_last_state_over_batches(spark, tmp_path):
+    rows = [log(spark, event(kind="planner_task_done", task=1, done=True)), log(spark, event(kind="planner_task_done", task=1, done=False), event(2, kind="planner_task_done", task=3, done=True)).withColumn("event_id", F.col("event_id") + 10)]
+    rows[0].write.parquet(f"{tmp_path}/in")
+    for k in range(2):
+        if k:
+            rows[1].write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(rows[0].schema).parquet(f"{tmp_path}/in")
+        found = streams.drain(streams.planner_state(stream), ["user_id", "task_id"], f"file://{tmp_path}/out")
+        assert {tuple(r) for r in found.collect()} == ({(1, 1, False), (2, 3, True)} if k else {(1, 1, True)})
+
+
+def test_sequence_ratio(spark):
+    import difflib
+
+    from quillstream.plans import documents
+
+    pairs = [("abcd efgh", "abcd efgx"), ("", "x"), ("same", "same"), ("a" * 50, "b" * 50)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", documents._ratio("a", "b").alias("r")).collect()
+    assert all(abs(x.r - difflib.SequenceMatcher(None, x.a, x.b).ratio()) < 1e-12 for x in got)
+    d = "/root/testdata/sf0.001"
+    items = {r.item_id: " ".join(r.text.lower().split())[:2500] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    assert {r.item_id: r.too_similar for r in documents.too_similar(spark, d).collect()} == {i: difflib.SequenceMatcher(None, items[i], items[i + 1]).ratio() > 0.82 for i in items if i + 1 in items}

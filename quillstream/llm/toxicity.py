@@ -1,14 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and the beginnings of words, four to eight bytes long. Of the terms of the labelled examples
-those that tell the labels apart are kept (``MAX_TERMS``); their document frequencies are counted over all documents.
-A text is the vector of its kept terms' TF-IDF weights, with one more weight for all its other words.
-
-The examples, ``MAX_EXAMPLES`` labelled rows in the order of a hash of their ids, form an inverted index. A term's
-postings lie in blocks with their largest weight. A query reads only blocks whose largest weight, with the most that its
-other terms can add, reaches a bound below the ``K``-th nearest: so the neighbours are exact. Their labels, weighted by
-nearness, are a vote; a monotone curve fitted on the examples' own votes, each without itself, turns it into a
-probability.
+Terms are lower-cased words, and of the beginnings of words, four to eight bytes long, those that mark the positive label.
+A term's weight is its TF-IDF, with document frequencies over all documents. Marking terms (at least ``MIN_SUPPORT``
+positive examples, ``MIN_LIFT`` times the positive label's share) keep it; all other words share a part of the vector
+whose length grows with the text's, ``BACKGROUND`` for one word. No term of an example is left out. A word that no example
+has counts in a text's length as a word that no document has.
+
+The examples, ``MAX_EXAMPLES`` labelled rows in the order of a hash of their texts, form an inverted index. A term's
+postings lie in blocks with their largest weight. A query reads its terms from the one that can add most, in rounds; after
+each, the ``K``-th largest sum so far is a bound from below. A block is read only if its largest weight, with the most that
+the other terms can add, reaches the bound; once few examples can still reach it, theirs are added up in full. So the
+neighbours are exact. Their labels, weighted by nearness, are a vote; a monotone curve fitted on the examples' own votes,
+each without itself, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 from .bpe import row_slices
 from .common import PrefixHash, cut, ranges, utf8_parts, word_bounds
 
-MAX_EXAMPLES, MAX_TERMS, MIN_SUPPORT, MIN_LIFT = 20_000, 4096, 5, 2.5
+MAX_EXAMPLES, MIN_SUPPORT, MIN_LIFT = 10_000, 5, 2.5
 BLOCK, K, PRIOR, BACKGROUND, CUTOFF = 128, 15, 0.5, 0.05, 0.3
+#: Postings that a round reads, and examples that are few enough to be added up in full.
+ROUND, FEW = 60_000, 400
 STARTS = (4, 5, 6, 7, 8)
 SLICE = 1_000_000
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[97:123] = _IN_WORD[128:] = True
+_START = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def lowered(column: pa.Array):
@@ -37,146 +43,175 @@ def lowered(column: pa.Array):
         yield a, b, *utf8_parts(pc.utf8_lower(column.slice(a, b - a)))
 
 
-def term_counts(data: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times, words of each text), sorted by text and term. With ``wanted``, sorted hashes, only these
-    terms, as their places in it."""
-    begins, ends, first = word_bounds(_IN_WORD[data], starts)
-    hashes, size = PrefixHash(data), ends - begins
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    texts, terms = [owner], [hashes.of(begins, size)]
-    for n in STARTS:
-        long = size > n
-        texts.append(owner[long])
-        terms.append(hashes.of(begins[long], n) ^ np.uint64(0xA5A5A5A5))
-    if wanted is not None:
-        bits = np.zeros(1 << 20, bool)
-        bits[(wanted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        for i, t in enumerate(terms):
-            maybe = np.flatnonzero(bits[(t & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(wanted, t[maybe]), max(len(wanted) - 1, 0))
-            hit = wanted[at] == t[maybe] if len(wanted) else np.zeros(0, bool)
-            texts[i], terms[i] = texts[i][maybe[hit]], at[hit]
-    text, term = np.concatenate(texts), np.concatenate(terms)
+def tallied(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times), sorted by text and term."""
     order = np.lexsort((term, text))
     text, term = text[order], term[order]
     head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (term[1:] != term[:-1])])) if len(text) else np.zeros(0, np.int64)
-    return text[head], term[head], np.diff(np.append(head, len(text))), np.diff(first)
+    return text[head], term[head], np.diff(np.append(head, len(text)))
+
+
+def hashed_terms(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(text and hash of each word, words of each text, text and hash of the beginnings of words by length)."""
+    begins, ends, first = word_bounds(_IN_WORD[data], starts)
+    hashes, size = PrefixHash(data), ends - begins
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    heads = [(owner[size > n], hashes.of(begins[size > n], n) ^ _START) for n in STARTS]
+    return owner, hashes.of(begins, size), np.diff(first), heads
+
+
+def places(wanted: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The place of each term in ``wanted``, sorted hashes, or -1."""
+    if not len(wanted):
+        return np.full(len(terms), -1)
+    at = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
+    return np.where(wanted[at] == terms, at, -1)
 
 
-def select_terms(labelled: DataFrame, base: float, text: str) -> np.ndarray:
-    """The hashes of the terms that mark the positive label best, sorted; counted in Spark, ``MAX_TERMS`` at most."""
+class Terms:
+    """The index's terms: ``told`` (marking words and beginnings, sorted hashes) and ``words`` (all other words)."""
+
+    def __init__(self, told: np.ndarray, words: np.ndarray):
+        self.told, self.words, self.size = told, words, len(told) + len(words)
+
+    def count(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times, words of each text), sorted by text; the term of a word that is none is ``size``."""
+        owner, hashes, n_words, heads = hashed_terms(data, starts)
+        text, term, times = tallied(owner, hashes)
+        at = places(self.told, term)
+        rest = at < 0
+        found = places(self.words, term[rest])
+        at[rest] = np.where(found < 0, self.size, found + len(self.told))
+        parts = [(text, at, times)]
+        for own, head in heads:
+            hit = places(self.told, head)
+            parts.append(tallied(own[hit >= 0], hit[hit >= 0]))
+        text, term, times = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(text, kind="stable")
+        return text[order], term[order], times[order], n_words
+
+
+def select_terms(labelled: DataFrame, base: float, text: str) -> Terms:
+    """Every word of the labelled texts, and the terms that mark the positive label; counted in Spark."""
 
     def run(batches):
         for whole in batches:
             label = whole.column(1).to_numpy()
             for a, b, data, starts in lowered(whole.column(0)):
-                owner, term, _, _ = term_counts(data, starts)
-                values, place = np.unique(term, return_inverse=True)
-                pos = np.bincount(place, weights=label[a:b][owner], minlength=len(values))
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.bincount(place, minlength=len(values))), pa.array(pos.astype(np.int64))], names=["term", "n", "pos"])
+                owner, hashes, _, heads = hashed_terms(data, starts)
+                for word, own, term in [(True, owner, hashes), *((False, *h) for h in heads)]:
+                    own, term, _ = tallied(own, term)
+                    values, place = np.unique(term, return_inverse=True)
+                    n, pos = np.bincount(place, minlength=len(values)), np.bincount(place, weights=label[a:b][own], minlength=len(values))
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(values), word)), pa.array(n), pa.array(pos.astype(np.int64))], names=["term", "word", "n", "pos"])
 
-    counts = labelled.select(text, "label").mapInArrow(run, "term bigint, n bigint, pos bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    lift = F.col("pos") / (F.col("n") * F.lit(max(base, 1e-6)))
-    told = counts.where((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LIFT)).select("term", (F.col("pos") * F.log(lift)).alias("worth"))
-    found = told.orderBy(F.desc("worth"), "term").limit(MAX_TERMS).collect()
-    return np.sort(np.array([r.term for r in found], np.int64).view(np.uint64))
+    counts = labelled.select(text, "label").mapInArrow(run, "term bigint, word boolean, n bigint, pos bigint").groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    told = (F.col("pos") >= MIN_SUPPORT) & (F.col("pos") / F.col("n") >= MIN_LIFT * max(base, 1e-6))
+    found = counts.select("term", told.alias("told"), "word").where("told or word").toArrow()
+    term, is_told = found.column("term").to_numpy().view(np.uint64), found.column("told").to_numpy()
+    return Terms(np.unique(term[is_told]), np.unique(term[~is_told]))
 
 
-def document_frequencies(docs: DataFrame, terms: np.ndarray, text: str) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and how many documents there are."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)  # MAX_TERMS hashes
+    sent = docs.sparkSession.sparkContext.broadcast(terms)  # the vocabulary of MAX_EXAMPLES texts, as hashes
 
     def run(batches):
-        total, rows = np.zeros(len(sent.value), np.int64), 0
+        total, rows = np.zeros(sent.value.size + 1, np.int64), 0
         for whole in batches:
             rows += whole.num_rows
             for _, _, data, starts in lowered(whole.column(0)):
-                _, term, _, _ = term_counts(data, starts, sent.value)
-                total += np.bincount(term.astype(np.int64), minlength=len(total))
+                _, term, _, _ = sent.value.count(data, starts)
+                total += np.bincount(term, minlength=len(total))
+        total[-1] = rows
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
-    counts = docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, rows = np.zeros(len(terms), np.int64), 0
-    for r in counts:
-        if r.term < 0:
-            rows = r.n
-        else:
-            df[r.term] = r.n
-    return df, rows
+    counts = docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(terms.size + 1, np.int64)
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    return df[:-1], int(df[-1])
 
 
 class Index:
     """The examples' vectors in blocks, with each term's largest weight in each block."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray):
-        self.terms, self.idf = terms, idf
+    def __init__(self, terms: Terms, df: np.ndarray, n_docs: int):
+        self.terms, self.n_told = terms, len(terms.told)
+        self.idf = np.log((1 + n_docs) / (1 + np.append(df, 0)))  # the last is of unknown words
 
     def vectors(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begins, dims, weights): the unit vector of each text; its last dimension is for all other words."""
-        text, term, times, n_words = term_counts(data, starts, self.terms)
-        weight = (1 + np.log(times)) * self.idf[term.astype(np.int64)]
-        rest = BACKGROUND * np.sqrt(n_words)
-        norm = np.sqrt(np.bincount(text, weight**2, len(n_words)) + rest**2)
-        norm[norm == 0] = 1
-        begins = np.searchsorted(text, np.arange(len(n_words) + 1))
-        at = begins[1:]
-        return begins + np.arange(len(begins)), np.insert(term.astype(np.int64), at, len(self.terms)), np.insert(weight / norm[text], at, rest / norm)
-
-    def build(self, ids: np.ndarray, labels: np.ndarray, begins: np.ndarray, dims: np.ndarray, weights: np.ndarray) -> Index:
-        self.ids, self.labels, n, last = ids, labels, len(labels), len(self.terms)
-        self.begins, self.dims, self.weights = begins, dims, weights
-        owner, rest = np.repeat(np.arange(n), np.diff(begins)), dims == last
-        self.background = np.zeros(n)
-        self.background[owner[rest]] = weights[rest]
-        self.by_background = np.lexsort((np.arange(n), -self.background))
-        order = np.lexsort((owner[~rest], dims[~rest]))
-        self.owner, self.weight = owner[~rest][order], weights[~rest][order]
-        at = np.searchsorted(dims[~rest][order], np.arange(last + 1))
+        """(begins, dims, weights): the unit vector of each text, without its words that no example has."""
+        text, term, times, n_words = self.terms.count(data, starts)
+        weight = (1 + np.log(times)) * self.idf[term]
+        rest = term >= self.n_told
+        length = np.sqrt(np.bincount(text[rest], weight[rest] ** 2, len(n_words)))
+        share = BACKGROUND * np.sqrt(n_words)
+        weight[rest] *= (share / np.where(length > 0, length, 1))[text[rest]]
+        norm = np.sqrt(np.bincount(text, weight**2, len(n_words)))
+        weight /= np.where(norm > 0, norm, 1)[text]
+        known = (term < self.terms.size) & (weight > 0)
+        return np.searchsorted(text[known], np.arange(len(n_words) + 1)), term[known], weight[known]
+
+    def build(self, labels: np.ndarray, ids: np.ndarray, begins: np.ndarray, dims: np.ndarray, weights: np.ndarray) -> Index:
+        self.labels, self.ids, size = labels, ids, self.terms.size
+        self.begins, self.dims, self.weights = begins, dims.astype(np.int32), weights.astype(np.float32)
+        owner = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(begins))
+        order = np.lexsort((owner, self.dims))
+        self.owner, self.weight = owner[order], self.weights[order]
+        at = np.searchsorted(self.dims[order], np.arange(size + 1))
         blocks = -(-np.diff(at) // BLOCK)
         self.first_block = np.concatenate([[0], np.cumsum(blocks)])  # of each term
-        nth = ranges(np.zeros(last, np.int64), blocks)
-        self.block_start = np.repeat(at[:-1], blocks) + nth * BLOCK
+        self.block_start = np.repeat(at[:-1], blocks) + ranges(np.zeros(size, np.int64), blocks) * BLOCK
         self.block_size = np.minimum(BLOCK, np.repeat(at[1:], blocks) - self.block_start)
-        self.block_max = np.maximum.reduceat(self.weight, self.block_start) if len(self.block_start) else np.zeros(0)
-        self.term_max = np.zeros(last)
-        np.maximum.at(self.term_max, np.repeat(np.arange(last), blocks), self.block_max)
-        self.termless = {k: self.nearest(np.array([last]), np.ones(1), k) for k in (K, K + 1)}
+        self.block_max = np.maximum.reduceat(self.weight, self.block_start) if len(self.block_start) else np.zeros(0, np.float32)
+        self.term_max = np.zeros(size)
+        np.maximum.at(self.term_max, np.repeat(np.arange(size), blocks), self.block_max)
+        self.query = np.zeros(size)
         return self
 
+    def cosines(self, who: np.ndarray, dims: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The whole sums of some examples."""
+        self.query[dims] = q
+        n = self.begins[who + 1] - self.begins[who]
+        i = ranges(self.begins[who], n)
+        out = np.bincount(np.repeat(np.arange(len(who)), n), self.query[self.dims[i]] * self.weights[i], len(who))
+        self.query[dims] = 0
+        return out
+
     def nearest(self, dims: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosines, above 0, ties by place, and the cosines; ``skip`` is left out.
-
-        The k-th best by the last dimension alone is a bound from below. A block of a term's postings is read only if its
-        largest weight, with the other terms' largest, can reach it; the rest can't hold one of the nearest.
-        """
-        terms, q, rest = dims[:-1], weights[:-1], weights[-1]
-        want = k + (skip >= 0)
-        least = rest * self.background[self.by_background[min(want, len(self.labels)) - 1]] if len(self.labels) >= want else 0.0
+        """The k examples with the largest cosines, above 0, ties by place, and the cosines; ``skip`` is left out."""
+        n, want = len(self.labels), k + (skip >= 0)
+        most = weights * self.term_max[dims]
+        order = np.argsort(-most)
+        terms, q, most = dims[order], weights[order], most[order]
+        total, after = most.sum(), most.sum() - np.cumsum(most)  # what the terms can add, and those after each
         n_blocks = self.first_block[terms + 1] - self.first_block[terms]
-        block = ranges(self.first_block[terms], n_blocks)
-        of = np.repeat(np.arange(len(terms)), n_blocks)
-        top = q * self.term_max[terms]
-        could = q[of] * self.block_max[block] + (top.sum() - top[of]) + rest * self.background[self.by_background[0]] if len(block) else np.zeros(0)
-        keep = could >= least - 1e-9
-        block, of = block[keep], of[keep]
-        i = ranges(self.block_start[block], self.block_size[block])
-        sums = np.bincount(self.owner[i], np.repeat(q[of], self.block_size[block]) * self.weight[i], len(self.labels))
-        near = np.flatnonzero(sums)
-        other = self.by_background[: want + len(near)]
-        other = other[sums[other] == 0][:want]
-        who = np.concatenate([near, other])
-        cosine = sums[who] + rest * self.background[who]
-        who, cosine = who[(cosine > 0) & (who != skip)], cosine[(cosine > 0) & (who != skip)]
-        best = np.lexsort((who, -cosine))[:k]
+        upto = np.cumsum(n_blocks) * BLOCK
+        sums, bound, done = np.zeros(n), 0.0, 0
+        while done < len(terms):
+            stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + ROUND)))
+            block = ranges(self.first_block[terms[done:stop]], n_blocks[done:stop])
+            of = np.repeat(np.arange(done, min(stop, len(terms))), n_blocks[done:stop])
+            if bound:
+                keep = q[of] * self.block_max[block] + (total - most[of]) >= bound - 1e-6
+                block, of = block[keep], of[keep]
+            i = ranges(self.block_start[block], self.block_size[block])
+            sums += np.bincount(self.owner[i], np.repeat(q[of], self.block_size[block]) * self.weight[i], n)
+            done = min(stop, len(terms))
+            bound = np.partition(sums, n - want)[n - want] if n > want else 0.0
+            left = after[done - 1]
+            if bound > left and np.count_nonzero(sums + left >= bound - 1e-6) <= max(FEW, 2 * want):
+                break
+        who = np.flatnonzero((sums > 0) & (sums + (after[done - 1] if done else 0) >= bound - 1e-6))
+        cosine = self.cosines(who, dims, weights)
+        keep = (who != skip) & (cosine > 0)
+        who, cosine = who[keep], cosine[keep]
+        best = np.lexsort((who, -np.round(cosine, 9)))[:k]
         return who[best], cosine[best]
 
     def vote(self, dims: np.ndarray, weights: np.ndarray, base: float, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        if len(dims) == 1 and weights[0] > 0:  # texts without a kept term are all the same vector
-            who, cosine = self.termless[K if skip < 0 else K + 1]
-            who, cosine = who[who != skip][:K], cosine[who != skip][:K]
-        else:
-            who, cosine = self.nearest(dims, weights, skip=skip)
+        who, cosine = self.nearest(dims, weights, skip=skip)
         return (float(cosine @ self.labels[who]) + PRIOR * base) / (float(cosine.sum()) + PRIOR), who, cosine
 
 
@@ -194,41 +229,45 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_examples: int) -> tuple[Index | None, float, np.ndarray, np.ndarray]:
-    """(index, share of positives, curve) from at most ``max_examples`` labelled rows."""
+    """(index, share of positives, curve) from at most ``max_examples`` labelled rows.
+
+    Ids join labels to texts and name the evidence; which rows are examples, and their order, follow from their texts.
+    """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    some = rows.orderBy(F.xxhash64(id_col), id_col).limit(max_examples)  # small enough to broadcast
+    hashed = docs.select(id_col, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h")).join(rows, id_col)
+    some = hashed.orderBy("__h", "label", id_col).limit(max_examples).select(id_col, "label").distinct()  # small enough to broadcast
     labelled = cut(docs.select(id_col, text).join(F.broadcast(some), id_col).groupBy(id_col, "label").agg(F.min(text).alias(text)).select(id_col, text, "label"))
     base = labelled.agg(F.avg("label")).first()[0]
     if base is None:
         return None, 0.0, np.zeros(1), np.zeros(1)
     terms = select_terms(labelled, base, text)
-    df, n = document_frequencies(docs, terms, text)
-    index = Index(terms, np.log((1 + n) / (1 + df)))
+    index = Index(terms, *document_frequencies(docs, terms, text))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(index)
 
     def run(batches):
         for whole in batches:
             for a, b, data, starts in lowered(whole.column(1)):
-                begins, dims, weights = index.vectors(data, starts)
+                begins, dims, weights = sent.value.vectors(data, starts)
                 at = pa.array(begins, pa.int32())
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a).cast(pa.string()), whole.column(2).slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(dims)), pa.ListArray.from_arrays(at, pa.array(weights))], names=["id", "label", "dims", "weights"])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a).cast(pa.string()), whole.column(2).slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(dims, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weights, pa.float32()))], names=["id", "label", "dims", "weights"])
 
-    found = labelled.orderBy(id_col).mapInArrow(run, "id string, label int, dims array<bigint>, weights array<double>").collect()  # max_examples rows
-    found.sort(key=lambda r: (len(r.id), r.id))
-    begins = np.cumsum([0] + [len(r.dims) for r in found])
-    index.build(np.array([r.id for r in found]), np.array([r.label for r in found], float), begins, np.array([d for r in found for d in r.dims], np.int64), np.array([w for r in found for w in r.weights]))
-    spark = docs.sparkSession
+    in_order = labelled.orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "label")
+    found = in_order.mapInArrow(run, "id string, label int, dims array<int>, weights array<float>").toArrow().combine_chunks()  # max_examples rows
+    lists = found.column("dims").combine_chunks()
+    begins = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+    index.build(found.column("label").to_numpy().astype(float), np.array(found.column("id").to_pylist(), object), begins, lists.flatten().to_numpy(), found.column("weights").combine_chunks().flatten().to_numpy())
     sent = spark.sparkContext.broadcast(index)
 
     def own(batches):
         x = sent.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            votes = [x.vote(x.dims[x.begins[i] : x.begins[i + 1]], x.weights[x.begins[i] : x.begins[i + 1]], base, skip=i)[0] for i in ids]
+            votes = [x.vote(x.dims[x.begins[i] : x.begins[i + 1]], x.weights[x.begins[i] : x.begins[i + 1]].astype(float), base, skip=i)[0] for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes)], names=["id", "vote"])
 
-    votes = spark.range(0, len(found), 1, 64).mapInArrow(own, "id bigint, vote double").collect()
-    order = np.array([r.id for r in votes])
-    xs, ys = monotone(np.array([r.vote for r in votes]), index.labels[order])
+    votes = spark.range(0, len(index.labels), 1, 64).mapInArrow(own, "id bigint, vote double").toArrow()
+    xs, ys = monotone(votes.column("vote").to_numpy(), index.labels[votes.column("id").to_numpy()])
     return index, base, xs, ys
 
 
@@ -237,9 +276,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     ``neighbours`` (ids of the nearest examples, nearest first) and ``nearness`` (their cosines).
 
     Only the texts of ``labels``' rows and their ``label`` are learned from. Null and empty texts have no terms, hence no
-    neighbours, and score by the share of positives among examples. Labelled ids that ``docs`` lacks, null ids and null
+    neighbours, and score by the share of positives among examples. Ties between examples go by their texts. Labelled ids that ``docs`` lacks, null ids and null
     labels are skipped; of repeated labels the larger counts. Without any labelled text every score is 0. Rows are scored
-    one by one. Columns of ``docs`` with the names of new ones are replaced.
+    one by one; an empty table gives an empty one. Columns of ``docs`` with the names of new ones are replaced.
     """
     docs = docs.drop("score", "predicted", "neighbours", "nearness")
     index, base, xs, ys = fit(docs, labels, id_col, text, label, max_examples)

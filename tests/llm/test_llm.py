@@ -351,22 +351,92 @@ def test_toxicity(spark, odd, empty):
     assert {x.score for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_nearest_examples_are_exact():
+def test_nearest_examples_are_exact(monkeypatch):
     r = np.random.default_rng(2)
-    n, terms = 700, 60
-    index = toxicity.Index(np.arange(terms, dtype=np.uint64), np.ones(terms))
-    dims = [np.append(np.sort(r.choice(terms, r.integers(0, 6), replace=False)), terms) for _ in range(n)]
-    weights = [(w := r.random(len(d)) + 0.01) / np.linalg.norm(w) for d in dims]
-    index.build(np.arange(n).astype(str), np.zeros(n), np.cumsum([0] + [len(d) for d in dims]), np.concatenate(dims), np.concatenate(weights))
-    dense = np.zeros((n, terms + 1))
+    n, size = 1500, 300
+    terms = toxicity.Terms(np.arange(20, dtype=np.uint64), np.arange(20, size, dtype=np.uint64))
+    index = toxicity.Index(terms, np.ones(size, int), 10)
+    odds = 1 / np.arange(1, size + 1)
+    dims = [np.sort(r.choice(size, r.integers(1, 60), replace=False, p=odds / odds.sum())) for _ in range(n)]
+    dims[7] = dims[8] = dims[9]
+    weights = [(w := r.random(len(d)) * (np.array([5 if x < 20 else 1 for x in d])) + 0.01) / np.linalg.norm(w) for d in dims]
+    weights[7] = weights[8] = weights[9]
+    index.build(np.zeros(n), np.arange(n).astype(str), np.cumsum([0] + [len(d) for d in dims]), np.concatenate(dims), np.concatenate(weights))
+    dense = np.zeros((n, size))
     for i in range(n):
-        dense[i, dims[i]] = weights[i]
-    for q in range(0, n, 23):
-        who, cosine = index.nearest(dims[q], weights[q], skip=q)
-        full = dense @ dense[q]
-        full[q] = -1
-        best = sorted(range(n), key=lambda i: (-round(full[i], 12), i))[: toxicity.K]
-        assert np.allclose(cosine, full[best]) and np.allclose(full[who], full[best])
+        dense[i, dims[i]] = weights[i].astype(np.float32)
+    for few, around in ((5, 500), (400, 60_000), (0, 1)):
+        monkeypatch.setattr(toxicity, "FEW", few)
+        monkeypatch.setattr(toxicity, "ROUND", around)
+        for q in [*range(0, n, 23), 8]:
+            who, cosine = index.nearest(dims[q], weights[q], skip=q)
+            full = dense @ dense[q]
+            full[q] = -1
+            best = sorted(range(n), key=lambda i: (-round(full[i], 6), i))[: toxicity.K]
+            assert np.allclose(cosine, full[best], atol=1e-5) and np.allclose(full[who], full[best], atol=1e-5)
+            assert len(set(who.tolist())) == toxicity.K and q not in who
+
+
+def test_toxicity_against_brute_force(spark):
+    """Neighbours and scores of every text from plain TF-IDF vectors in dictionaries."""
+    import math
+    import re as regex
+    from collections import Counter
+
+    r = random.Random(3)
+    rows = [(i, prose(r.randint(0, 60), r) + (" vile nasty hating " if i % 5 == 0 else " ") + prose(r.randint(0, 20), r)) for i in range(240)] + [(900, None), (901, ""), (902, "Vile ééé " * 3)]
+    labels = [(i, int(i % 5 == 0)) for i, _ in rows if i % 3 and i < 900]
+    docs, marked_ = spark.createDataFrame(rows, "doc_id long, text string"), dict(labels)
+    out = {x.doc_id: x for x in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    def words(t):
+        return [w.decode() for w in regex.findall(rb"[a-z\x80-\xff]+", (t or "").lower().encode())]
+
+    def terms(t):
+        return Counter(words(t)), Counter((w.encode()[:n],) for w in words(t) for n in toxicity.STARTS if len(w.encode()) > n)
+
+    of = {i: terms(t) for i, t in rows}
+    base = sum(marked_.values()) / len(marked_)
+    n, pos = Counter(), Counter()
+    for i, y in marked_.items():
+        for x in [*of[i][0], *of[i][1]]:
+            n[x] += 1
+            pos[x] += y
+    told = {x for x in n if pos[x] >= toxicity.MIN_SUPPORT and pos[x] / n[x] >= toxicity.MIN_LIFT * base}
+    known = {x for x in n if isinstance(x, str)} | told
+    df = Counter(x for i in of for x in {*of[i][0], *of[i][1]} & known)
+
+    def vector(i):
+        weight = lambda x, c: (1 + math.log(c)) * math.log((1 + len(rows)) / (1 + df[x]))
+        strong = {x: weight(x, c) for part in of[i] for x, c in part.items() if x in told}
+        rest = {x: weight(x, c) for x, c in of[i][0].items() if x not in told}
+        length, size = math.sqrt(sum(w * w for w in rest.values())) or 1, sum(of[i][0].values())
+        rest = {x: w * toxicity.BACKGROUND * math.sqrt(size) / length for x, w in rest.items()}
+        whole = strong | rest
+        norm = math.sqrt(sum(w * w for w in whole.values())) or 1
+        return {x: w / norm for x, w in whole.items() if x in known}
+
+    at = {i: vector(i) for i, _ in rows}
+    assert told and all(0 <= x.score <= 1 for x in out.values())
+    for i, _ in rows:
+        full = sorted((-sum(w * at[j].get(x, 0) for x, w in at[i].items()), j) for j in marked_)
+        want = [-c for c, _ in full[: toxicity.K] if c < -1e-9]
+        assert np.allclose(out[i].nearness, want, atol=1e-4), i
+        found = {int(j): -c for c, j in full}
+        assert all(abs(found[int(j)] - c) < 1e-4 for j, c in zip(out[i].neighbours, out[i].nearness, strict=True))
+    assert out[902].predicted == 1 and out[900].score == out[901].score
+
+
+def test_ids_are_no_input_of_scores(spark):
+    r = random.Random(13)
+    texts = [prose(12, r) for _ in range(60)] * 2
+    labels = [int(k % 4 == 0) for k in range(120)]  # equal texts with different labels
+    scores = []
+    for ids in (range(120), [1000 - 7 * k for k in range(120)]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        found = toxicity.toxicity(docs, spark.createDataFrame(list(zip(ids, labels, strict=True)), "doc_id long, toxic int")).select("text", "score").collect()
+        scores.append(sorted((x.text, round(x.score, 9)) for x in found))
+    assert scores[0] == scores[1]
 
 
 def test_secret_scan(spark, odd, empty):

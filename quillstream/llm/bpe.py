@@ -86,6 +86,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_parts = MAX_WORDS, MAX_PARTS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -214,9 +215,9 @@ class Encoder:
 
         ``given`` has, for each text, the ids of chunks that are known, by the byte at which the chunk begins.
         """
-        if len(self.index) > MAX_WORDS:
+        if len(self.index) > self.most_words:
             self.reset()
-        if len(self.parts) > MAX_PARTS:
+        if len(self.parts) > self.most_parts:
             self.forget_parts()
         raw = data.tobytes()
         cuts = np.minimum(cut_points(data, starts), len(data))

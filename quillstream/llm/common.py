@@ -68,10 +68,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     That is ``id_col`` itself if it is an integer column, never null and never repeated. Otherwise rows are numbered
     and written once, so that the numbers stay the same when a task runs again; repeated rows are then documents of
-    their own. A frame that has ``ROW`` already keeps it.
+    their own. With ``id_col`` ``ROW`` the frame has it already; another column of that name is replaced.
     """
-    if ROW in docs.columns:
+    if id_col == ROW:
         return docs
+    docs = docs.drop(ROW)
     if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         per_id = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
         if per_id.where("n > 1 or " + f"`{id_col}` is null").isEmpty():
@@ -79,6 +80,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with all its columns in one, ``__doc``, beside those that an operator reads: so none of its columns can
+    clash with the operator's."""
+    return docs.select(F.struct(*docs.columns).alias("__doc"), *needed)
+
+
 #: Bits of a marks table: 131,072 words of 64, some 4 MB however many rows there are.
 MARK_BITS = 1 << 23
 

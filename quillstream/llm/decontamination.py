@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import ROW, PrefixHash, cut, keyed, ranges, release, utf8_parts, word_bounds
+from .common import ROW, PrefixHash, cut, keyed, packed, ranges, release, utf8_parts, word_bounds
 
 WINDOW = 13
 #: Words of test items that go to the shards at once.
@@ -92,13 +92,20 @@ class Windows:
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text: str, size: int, most: int = BLOCK_WORDS) -> Iterator[Windows]:
-    """The items in blocks of about ``most`` words, one collected at a time; a longer item is a block of its own."""
-    words = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "[^0-9A-Za-z\\x80-\\x{10FFFF}]+"))
-    total = benchmark.agg(F.sum(words)).first()[0] or 0
-    n = max(1, -(-int(total) // most))
-    picked = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
+    """The items in blocks of about ``most`` words, one collected at a time.
+
+    A longer item is dealt out in parts of half as many words, each with the ``size`` - 1 words before it, so the parts
+    have the item's windows, each once.
+    """
+    part = max(size, most // 2)
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+"), F.lit(0))
+    item = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)), F.lit(part))
+    parts = cut(item.select("i", F.explode(starts).alias("s"), "w").select("i", "s", F.array_join(F.slice("w", F.col("s") + 1, part + size - 1), " ").alias("t")))
+    total = parts.agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 0
+    n = max(1, -(-int(total) // part))
     for k in range(n):
-        block = picked if n == 1 else picked.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+        block = parts if n == 1 else parts.where(F.pmod(F.xxhash64("i", "s", "t"), F.lit(n)) == k)
         yield Windows([(r.i, r.t) for r in block.collect()], size)
 
 
@@ -192,7 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     more. ``items`` are the ids of the items found, as strings, sorted as strings.
 
     Null and empty texts have no words. Items without words match nothing; repeated items count once by their id; a
-    null item id is the empty string. Rows with a null or repeated id are documents of their own.
+    null item id is the empty string. Rows with a null or repeated id are documents of their own. An empty table gives an
+    empty one, and without test items nothing is hit. Other columns of ``docs`` are not read, whatever their names.
     """
     return _judged(build_index(keyed(docs, id_col), id_col, text), blocks_of(benchmark, item_col, item_text, window))
 
@@ -217,7 +225,11 @@ def _judged(index: DataFrame, blocks: Iterable[Windows]) -> DataFrame:
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(row, item, start, stop) of windows whose terms all stand within ``slop`` words of their places."""
+    """(row, item, start, stop) of windows whose terms all stand within ``slop`` words of their places.
+
+    Null and empty texts and items match nothing; rows with a null or repeated id are documents of their own, told apart
+    by ``row``. Empty tables give none.
+    """
     return find(build_index(keyed(docs, id_col), id_col, text), blocks_of(benchmark, item_col, item_text, window), slop)
 
 
@@ -239,11 +251,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null or repeated id are documents of their own; texts without words stay, and without test items all do.
     """
-    docs_k = keyed(docs)
+    docs_k = keyed(packed(docs, "doc_id", "text"))
     index = build_index(docs_k)
     bad = cut(_judged(index, blocks_of(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", WINDOW)).where("contaminated").select(ROW))
     release(index)
-    return docs_k.join(bad, ROW, "left_anti").select(*docs.columns)
+    return docs_k.join(bad, ROW, "left_anti").select("__doc.*")
 
 
 # Brute force, for tests.

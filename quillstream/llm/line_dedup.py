@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACES, cut, keyed, text_or_empty
+from .common import ROW, SPACES, cut, keyed, packed, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,7 +24,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
 
     Null and empty texts are one empty line. A document that loses every line keeps an empty text. Rows with a null or
     repeated id are documents of their own, in the order in which they are read. Lines are compared by 128 bits of hash.
-    Columns of ``docs`` with the names of new ones are replaced.
+    Columns of ``docs`` with the names of new ones are replaced. An empty table gives an empty one.
 
     Plan: lines travel as hashes; counts are combined before the shuffle; the join of lines with the repeated hashes
     reads a written table, so that Spark broadcasts it only if it is small and splits hot hashes otherwise. The text
@@ -63,9 +63,14 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with their kept lines as text and its length as n_chars."""
-    out = line_dedup(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("bigint"))
-    return out.select(*docs.columns)
+    """Pipeline stage: the documents with their kept lines as text and its length as n_chars.
+
+    No row goes: a document that loses every line has an empty text. Rows with a null or repeated id are documents of
+    their own. Other columns stay as they are, whatever their names.
+    """
+    out = line_dedup(packed(docs, "doc_id", "text"))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
+    return out.select(*[new.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 LINES_SQL = r"""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, text_or_empty
+from .common import SPACE_CLASS, cut, packed, text_or_empty
 
 #: Rate: (least distance of the fence from its quartile, whether there is a lower fence as well).
 #: Per thousand word characters or words or lines; the mean word length is in hundredths of a character.
@@ -149,7 +149,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """``docs`` with counts, rates and ``kept``.
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are groups of their own.
-    Rows are judged one by one, so repeated rows and ids get the same verdict each. The counted rows are
+    Rows are judged one by one, so repeated rows and ids get the same verdict each. An empty table gives an empty one. The counted rows are
     written once; sketches and verdicts read them. Columns of ``docs`` with the names of new ones are replaced.
     """
     counted = cut(with_counts(docs, text))
@@ -163,8 +163,11 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    """Pipeline stage: documents that the rules reject go; the others keep all their columns, whatever their names.
+
+    Rows are judged one by one: repeated rows and ids get the same verdict each. Null and empty texts go.
+    """
+    return quality_rules(packed(docs, "text", "lang", "source")).where("kept").select("__doc.*")
 
 
 _WS = r"[ \t\n\x0B\f\r]"

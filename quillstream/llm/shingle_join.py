@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import ROW, PrefixHash, cut, keyed, mix, release, utf8_parts
+from .common import ROW, PrefixHash, cut, keyed, mix, packed, release, utf8_parts
 from .substring_dedup import word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -355,10 +355,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null or repeated id are documents of their own; of documents without words one stays.
     """
-    docs_k = keyed(docs)
+    docs_k = keyed(packed(docs, "doc_id", "text"))
     found = shingle_join(docs_k, id_col=ROW)
     gone = cut(found.where(F.col(ROW) != F.col("group_id")).select(ROW))
-    return docs_k.join(gone, ROW, "left_anti").select(*docs.columns)
+    return docs_k.join(gone, ROW, "left_anti").select("__doc.*")
 
 
 def brute_force(docs: list[tuple], threshold: float = THRESHOLD) -> list[tuple]:

@@ -1,7 +1,7 @@
 """Token-ID output: ids bit-packed at a fixed width, in blocks with offsets.
 
 Format, as rows of a Parquet table: ``shard`` and ``block`` number the blocks; a block holds whole documents, in order:
-``doc_ids``, the ``offsets`` of their first ids in the block (one more than documents), ``width`` in bits and
+their first and last id, all ``doc_ids``, the ``offsets`` of their first ids in the block (one more than documents), ``width`` in bits and
 ``payload``, where id i takes bits i * width to (i + 1) * width, low bits first. Any id is found by arithmetic, any
 document by its block's offsets, and a block unpacks in a few numpy steps. Shards, blocks and documents ascend by document
 id.
@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from .bpe import SLICE_BYTES, default_tokenizer, encoder, row_slices
 from .common import ROW, shared_dir, utf8_parts
 
 END_ID = 2
+#: Words and pre-tokens that a worker remembers: more than in :mod:`bpe`, as nothing else is done with a text here.
+MOST_WORDS, MOST_PARTS = 300_000, 500_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -54,7 +57,7 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return ((value >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype("<u4")
 
 
-BLOCKS = "shard int, block int, doc_ids array<bigint>, offsets array<bigint>, width int, payload binary"
+BLOCKS = "shard int, block int, first_id bigint, last_id bigint, doc_ids array<bigint>, offsets array<bigint>, width int, payload binary"
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -65,11 +68,13 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     from Spark's sample of ids, which decides where files begin, not what is written.
     """
     at = tokenizer or default_tokenizer()
-    ranged = docs.select(F.col(id_col).cast("bigint").alias(ROW), text).repartitionByRange(ROW)
-    ordered = ranged.sortWithinPartitions(ROW, text).select(F.spark_partition_id().alias("shard"), ROW, text)
+    head = F.substring(text, 1, 64)  # rows of one id are dealt out too
+    ranged = docs.select(F.col(id_col).cast("bigint").alias(ROW), F.col(text).alias("text"), head.alias("head")).repartitionByRange(ROW, "head")
+    ordered = ranged.sortWithinPartitions(ROW, "head", "text").select(F.spark_partition_id().alias("shard"), ROW, "text")
 
     def run(batches):
         enc = encoder(at)
+        enc.most_words, enc.most_parts = MOST_WORDS, MOST_PARTS
         width, block = width_of(enc.tokenizer.get_vocab_size()), 0
         for whole in batches:
             data, starts = utf8_parts(whole.column(2))
@@ -81,12 +86,14 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
                     [
                         pa.array([whole.column(0)[0].as_py()], pa.int32()),
                         pa.array([block], pa.int32()),
+                        pa.array([pc.min(whole.column(1).slice(a, b - a)).as_py()], pa.int64()),
+                        pa.array([pc.max(whole.column(1).slice(a, b - a)).as_py()], pa.int64()),
                         pa.ListArray.from_arrays([0, b - a], whole.column(1).slice(a, b - a)),
                         pa.ListArray.from_arrays([0, b - a + 1], pa.array(offsets, pa.int64())),
                         pa.array([width], pa.int32()),
                         pa.array([pack(ids, width)], pa.binary()),
                     ],
-                    names=["shard", "block", "doc_ids", "offsets", "width", "payload"],
+                    names=["shard", "block", "first_id", "last_id", "doc_ids", "offsets", "width", "payload"],
                 )
                 block += 1
 
@@ -117,8 +124,10 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
 
 
 def read_document(blocks: DataFrame, doc_id: int) -> list[int]:
-    """The ids of one document, by random access: only its block's row is read, only its bits are unpacked."""
-    found = blocks.where(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).select("doc_ids", "offsets", "width", "payload").limit(1).collect()
+    """The ids of one document, by random access: blocks whose range of ids does not hold it are skipped by the file's
+    statistics, and only its bits are unpacked. Of repeated ids the first document; an id that is not there gives none."""
+    within = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
+    found = blocks.where(within).where(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).orderBy("shard", "block").select("doc_ids", "offsets", "width", "payload").limit(1).collect()
     if not found:
         return []
     k = found[0].doc_ids.index(doc_id)

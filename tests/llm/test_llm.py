@@ -531,5 +531,38 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert [f for _, f in corpus_pipeline.STAGES][0] is quality_rules.stage and 0 < len(want) < len(kept) < len(texts)
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null texts, clashing columns, an empty table: all columns stay as they are."""
+    r = random.Random(2)
+    texts = [prose(120, random.Random(k)).replace("#", "") for k in range(60)]
+    rows = [(None if k % 9 == 0 else k % 50, t) for k, t in enumerate(texts)] + [(5, texts[5]), (5, texts[5]), (7, None), (None, ""), (8, "x " * r.randint(1, 9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    for c in [*CLASHES, "__row", "__doc", "__words", "__dropped", "group_id", "contaminated"]:
+        df = df.withColumn(c, F.lit("mine"))
+    spark.createDataFrame([(None, texts[3]), (1, None), (1, " ".join(texts[4].split()[:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, counts = df, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        counts.append(len(got))
+        assert docs.columns == df.columns and all(x.n_lines == x["__row"] == x["__doc"] == x.kept == "mine" for x in got), name
+    assert counts == [62, 62, 61, 59]  # the copies of a text lost the same lines, so one of them goes
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(last) == 59 and all(x.n_tokens == len(x.ids) for x in last)
+    nothing = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_long_items_are_dealt_out_in_parts(spark, docs):
+    bench = spark.createDataFrame([(1, LONG), (2, "a b"), (3, None)], "item_id long, text string")
+    index = decontamination.build_index(decontamination.keyed(docs))
+    blocks = list(decontamination.blocks_of(bench, "item_id", "text", 13, most=400))
+    assert len(blocks) > 5 and all(b.lengths.size < 1000 for b in blocks)
+    found = decontamination._judged(index, blocks).select("id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated").collect()
+    want = [(str(i), *x) for i, *x in decontamination.brute_force(DOCS, [(1, LONG), (2, "a b"), (3, None)])]
+    assert sorted(tuple(x) for x in found) == sorted(want)
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)

@@ -102,11 +102,24 @@ def topic_summary(log: DataFrame) -> DataFrame:
     return known.unionByName(other)
 
 
+def mastered(log: DataFrame) -> DataFrame:
+    """(user_id, topics_mastered): topics of the summary at 80 percent or more, from one count per topic."""
+    is_base = F.col("topic").isin([t for t, _, _ in BASE_TOPICS])
+    counts = topic_counts(log).withColumn("base", is_base)
+    rank = F.row_number().over(Window.partitionBy("user_id", "base").orderBy(F.desc("n"), "first"))
+    shown = F.when(F.col("base"), _pct(12)).when(rank <= TOPIC_ROWS - len(BASE_TOPICS), _pct(10))
+    return counts.withColumn("pct", shown).groupBy("user_id").agg(F.count_if(F.col("pct") >= 80).alias("topics_mastered"))
+
+
 def mastery(log: DataFrame) -> DataFrame:
     """(user_id, topics_mastered, mastery)."""
-    done = topic_summary(log).groupBy("user_id").agg(F.count_if(F.col("pct") >= 80).alias("topics_mastered"))
     events = log.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
-    return events.join(done, "user_id").select("user_id", "topics_mastered", F.least(F.lit(99), F.col("events") * 2 + F.col("topics_mastered") * 3).alias("mastery"))
+    return events.join(mastered(log), "user_id", "left").select("user_id", *_mastery())
+
+
+def _mastery() -> list[Column]:
+    n = F.coalesce("topics_mastered", F.lit(0)).cast("bigint")
+    return [n.alias("topics_mastered"), F.least(F.lit(99), F.col("events") * 2 + n * 3).alias("mastery")]
 
 
 def daily_counts(log: DataFrame) -> DataFrame:
@@ -206,11 +219,16 @@ def long_term_stats(log: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def dashboard(log: DataFrame, as_of: str | None = None) -> DataFrame:
-    """One row per learner: every KPI of the dashboard."""
-    facts = log.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.sum(minutes()).alias("study_minutes"), F.count_if(F.col("kind") == "quiz_completed").alias("quizzes"), F.count_distinct(day()).alias("active_days"))
-    return facts.join(current_streak(log, as_of), "user_id").join(mastery(log), "user_id").select(
-        "user_id", "events", "study_minutes", F.concat(F.floor(F.col("study_minutes") / 60), F.format_string("h %02dm", F.col("study_minutes") % 60)).alias("study_time"), "quizzes", "active_days", "streak", "topics_mastered", "mastery"
+    """One row per learner: every KPI of the dashboard. Two aggregates of the log, by day and by topic."""
+    days = log.groupBy("user_id", day().alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(minutes()).alias("m"), F.count_if(F.col("kind") == "quiz_completed").alias("q"))
+    last = F.lit(as_of).cast("date") if as_of else F.col("as_of")
+    dated = days if as_of else days.crossJoin(F.broadcast(log.agg(F.max(day()).alias("as_of"))))  # one row
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day")))
+    facts = dated.withColumn("run", F.date_diff(last, F.col("day")) == place - 1).groupBy("user_id").agg(
+        F.sum("n").alias("events"), F.sum("m").alias("study_minutes"), F.sum("q").alias("quizzes"), F.count("day").alias("active_days"), F.count_if("run").alias("streak")
     )
+    time = F.concat(F.floor(F.col("study_minutes") / 60), F.format_string("h %02dm", F.col("study_minutes") % 60))
+    return facts.join(mastered(log), "user_id", "left").select("user_id", "events", "study_minutes", time.alias("study_time"), "quizzes", "active_days", "streak", *_mastery())
 
 
 #: What an event may hold besides its kind.

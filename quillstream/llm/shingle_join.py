@@ -284,6 +284,8 @@ def forest(sketched: DataFrame, reps: DataFrame) -> DataFrame:
 
 def descend(tries: DataFrame, signatures: DataFrame, floor: int, likely: float) -> DataFrame:
     """(row, root): the family of each row of the tries, found by shortening matched prefixes down to the floor."""
+    if tries.isEmpty():  # no two texts share a prefix
+        return cut(tries.select("row", F.col("row").alias("root")))
     at = tries.select(F.xxhash64("key", "label").alias("node"), "row")
     heads = at.groupBy("node").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "a")
     labels = components(at.join(heads, "node").where("row != a").select("a", F.col("row").alias("b")).distinct())

@@ -10,7 +10,7 @@ compares all windows that may be equal, with one row for about (length - gram) /
 2. Stretches of one digest are a class. Of each class one member, and on demand a second one, sends its tokens to the
    anchor's bucket; there a method of the operator finds the windows that two stretches share and compares their tokens.
 3. An anchor of more than ``HOT`` stretches, a common passage in many surroundings, has no bucket. Its windows are dealt
-   out by their text: first by the text that ``STEP`` neighbouring windows share, and where that stands twice, window by
+   out by their text: first ``STEP`` neighbouring windows at once, and where only a part of these agrees, window by
    window; counts of digests are combined before the shuffle, so no task grows with the anchor.
 4. Classes' repeated runs are joined to their members, and members to their documents.
 
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import ROW, PrefixHash, cut, digests, release, utf8_parts
+from .common import ROW, cut, digests, gram_hashes, release, utf8_parts
 
-SLICE, HOT, STEP = 2_000_000, 256, 8
+SLICE, HOT, STEP = 2_000_000, 1024, 8
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 #: (data, text starts) -> (token values, first token of each text, first byte of each token, byte after each token, the
@@ -50,7 +50,7 @@ def stretches_of(values: np.ndarray, first: np.ndarray, length: int, gram: int)
     n, width = len(values), length - gram + 1
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
-    grams = PrefixHash(values).every(gram)
+    grams = gram_hashes(values, gram)
     # a hash's upper half orders grams; on ties the left one wins, wherever the text stands
     anchor = (window_minima((grams & ~_LOW32) | np.arange(len(grams), dtype=np.uint64), width) & _LOW32).astype(np.int64)
     sizes = np.diff(first)
@@ -167,11 +167,11 @@ def shared_windows(pieces: DataFrame, tokens: Tokens, length: int, method: Share
 
 
 def window_digests(pieces: DataFrame, tokens: Tokens, length: int, step: int) -> DataFrame:
-    """(c1, c2, d1, d2, second, i, o): a row for each group of ``step`` windows of each piece, dealt by the anchor's
-    offsets in them: the digest of the tokens that all windows of the group share, wherever the piece has just some of them.
+    """(c1, c2, u1, u2, d1, d2, second, i, m, o): a row for each group ``o`` of each piece: its windows, ``m`` from ``i``
+    on, in which the anchor's offset divided by ``step`` is ``o``.
 
-    ``o`` is the group's number and ``i`` its first window (with ``step`` 1, the window). Where ``pieces`` has
-    ``wanted``, groups of ``STEP``, only these are taken.
+    Digests: c of the tokens that all windows of a full group share, wherever the piece has just some of them, and u of
+    the tokens that the piece's windows cover. Where ``pieces`` has ``wanted``, groups of ``STEP``, only these are taken.
     """
     chosen = "wanted" in pieces.columns
 
@@ -189,21 +189,35 @@ def window_digests(pieces: DataFrame, tokens: Tokens, length: int, step: int) ->
                     pairs = np.repeat(np.arange(b - a), np.diff(wanted.offsets.to_numpy())) * length + wanted.flatten().to_numpy()
                     keep = np.isin(owner * length + o * step // STEP, pairs)
                     owner, o = owner[keep], o[keep]
-                token = first[owner] + at[owner] - step * o
-                c1, c2 = digests(raw.tobytes(), begin[token], end[token + length - step])
+                base, at, n, raw = first[owner], at[owner], n[owner], raw.tobytes()
+                i, last = np.maximum(at - step * o - step + 1, 0), np.minimum(at - step * o, n - 1)
+                core = base + at - step * o
+                c1, c2 = digests(raw, begin[core], end[core + length - step])
+                u1, u2 = (c1, c2) if step == 1 else digests(raw, begin[base + i], end[base + last + length - 1])
                 take = pa.array(owner + a)
-                yield pa.RecordBatch.from_arrays([c1, c2, *(whole.column(k).take(take) for k in (0, 1, 5)), pa.array((at[owner] - step * o).astype(np.int32)), pa.array(o.astype(np.int32))], names=["c1", "c2", "d1", "d2", "second", "i", "o"])
+                yield pa.RecordBatch.from_arrays([c1, c2, u1, u2, *(whole.column(k).take(take) for k in (0, 1, 5)), *(pa.array(x.astype(np.int32)) for x in (i, last - i + 1, o))], names=["c1", "c2", "u1", "u2", "d1", "d2", "second", "i", "m", "o"])
 
     columns = ["d1", "d2", "at", "n", "piece", "second"] + ["wanted"] * chosen
-    return pieces.select(*columns).mapInArrow(run, "c1 bigint, c2 bigint, d1 bigint, d2 bigint, second boolean, i int, o int")
+    return pieces.select(*columns).mapInArrow(run, "c1 bigint, c2 bigint, u1 bigint, u2 bigint, d1 bigint, d2 bigint, second boolean, i int, m int, o int")
 
 
 def dealt_by_text(pieces: DataFrame, tokens: Tokens, length: int) -> DataFrame:
-    """What :func:`shared_windows` gives, for pieces of hot anchors, by counts of digests of their windows."""
-    twice = lambda d: d.join(cut(d.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("c1", "c2")), ["c1", "c2"])
-    near = twice(window_digests(pieces, tokens, length, STEP)).groupBy("d1", "d2", "second").agg(F.collect_set("o").alias("wanted"))
-    found = twice(window_digests(pieces.join(cut(near), ["d1", "d2", "second"]), tokens, length, 1)).where("not second")
-    return found.groupBy("d1", "d2").agg(F.collect_list(F.struct(F.col("i").alias("start"), (F.col("i") + length).alias("stop"))).alias("runs"))
+    """What :func:`shared_windows` gives, for pieces of hot anchors, by counts of digests.
+
+    A group of windows whose whole text stands twice is repeated at once. Of groups with the same core and different
+    texts, one piece for each text has its windows counted; so copies, however many, are one row there.
+    """
+    groups = cut(window_digests(pieces, tokens, length, STEP))
+    core, text = ["c1", "c2"], ["u1", "u2"]
+    texts = cut(groups.groupBy(*core, *text).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d1", "d2", "second", "o")).alias("one")))
+    whole = groups.where("not second").join(texts.where("copies > 1").select(*core, *text), [*core, *text]).select("d1", "d2", "i", "m")
+    mixed = texts.groupBy(*core).agg(F.count(F.lit(1)).alias("k"), F.min("copies").alias("least")).where("k > 1 and least = 1").select(*core)
+    near = texts.join(mixed, core).groupBy("one.d1", "one.d2", "one.second").agg(F.collect_set("one.o").alias("wanted"))
+    windows = cut(window_digests(pieces.join(cut(near), ["d1", "d2", "second"]), tokens, length, 1))
+    twice = windows.groupBy(*core).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(*core)
+    single = windows.where("not second").join(twice, core).select("d1", "d2", "i", "m")
+    runs = F.collect_list(F.struct(F.col("i").alias("start"), (F.col("i") + F.col("m") - 1 + length).cast("int").alias("stop")))
+    return whole.unionByName(single).groupBy("d1", "d2").agg(runs.alias("runs"))
 
 
 def search(docs: DataFrame, text: str, tokens: Tokens, length: int, gram: int, method: Shared, seconds: bool) -> tuple[DataFrame, DataFrame, DataFrame]:

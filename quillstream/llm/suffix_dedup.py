@@ -31,8 +31,8 @@ def byte_tokens(data: np.ndarray, starts: np.ndarray):
 
 
 def common_extension(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """How many elements from ``a`` and from ``b`` on agree, up to ``most``: a binary search over prefix hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most)
+    """How many elements from ``a`` and from ``b`` on agree, up to ``most`` - 1: a binary search over prefix hashes."""
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), most - 1)
     while (low < high).any():
         mid = (low + high + 1) >> 1
         same = hashes.of(a, mid) == hashes.of(b, mid)
@@ -47,6 +47,7 @@ def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, group:
     sister run that go before it, found by binary search.
     """
     order = np.argsort(group, kind="stable")
+    whole = hashes.of(at, length)  # equal suffixes need no search
     sizes = np.bincount(group)
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     nth, size = np.arange(len(at)) - begin, np.repeat(sizes, sizes)
@@ -59,18 +60,19 @@ def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, group:
         low = np.minimum((run + np.where(left, 1, -1)) * width, size[live])
         sister = low.copy()
         high = np.minimum(low + width, size[live])
-        mine = at[order[live]]
+        mine = order[live]
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 break
             mid = (low[open_] + high[open_]) >> 1
-            other = at[order[b[open_] + mid]]
+            other = order[b[open_] + mid]
             x = mine[open_]
-            ext = common_extension(hashes, x, other, length)
-            tie = ext >= length
-            k = np.minimum(ext, length - 1)
-            before = np.where(tie, ~left[open_], values[other + k] < values[x + k])  # on ties the left run goes first
+            before = ~left[open_]  # on ties the left run goes first
+            apart = np.flatnonzero(whole[x] != whole[other])
+            one, two = at[x[apart]], at[other[apart]]
+            k = common_extension(hashes, one, two, length)
+            before[apart] = values[two + k] < values[one + k]
             low[open_] = np.where(before, mid + 1, low[open_])
             high[open_] = np.where(before, high[open_], mid)
         to = b + (run - (run % 2)) * width + (p - run * width) + (low - sister)
@@ -90,12 +92,29 @@ def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.
     a, b = order[:-1], order[1:]
     near = np.flatnonzero(group[a] == group[b])
     near = near[hashes.of(place[a[near]], length) == hashes.of(place[b[near]], length)]
+    return confirmed(a[near], b[near], place, raw.tobytes(), length)
+
+
+def confirmed(a: np.ndarray, b: np.ndarray, place: np.ndarray, raw: bytes, length: int) -> np.ndarray:
+    """Which windows are in one of the pairs (a, b) whose bytes are equal. Pairs that follow each other at the same
+    distance overlap, so their bytes are compared as one run."""
     found = np.zeros(len(place), bool)
-    for i in range(0, len(near), 20_000):  # the bytes themselves decide
-        part = near[i : i + 20_000]
-        span = np.arange(length)
-        same = (values[place[a[part]][:, None] + span] == values[place[b[part]][:, None] + span]).all(axis=1)
-        found[a[part[same]]] = found[b[part[same]]] = True
+    if not len(a):
+        return found
+    low, far = np.minimum(place[a], place[b]), np.abs(place[a] - place[b])
+    order = np.lexsort((low, far))
+    a, b, low, far = a[order], b[order], low[order], far[order]
+    head = np.flatnonzero(np.concatenate([[True], (far[1:] != far[:-1]) | (low[1:] != low[:-1] + 1)]))
+    tail = np.append(head[1:], len(a))
+    same = np.zeros(len(a), bool)
+    for x, y, s, e, d in zip(head.tolist(), tail.tolist(), low[head].tolist(), low[tail - 1].tolist(), far[head].tolist(), strict=True):
+        if raw[s : e + length] == raw[s + d : e + length + d]:
+            same[x:y] = True
+        else:
+            for k in range(x, y):
+                w = s + k - x
+                same[k] = raw[w : w + length] == raw[w + d : w + d + length]
+    found[a[same]] = found[b[same]] = True
     return found
 
 

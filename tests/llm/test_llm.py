@@ -100,6 +100,15 @@ def test_hot_passages_have_no_bucket(spark, monkeypatch, operator):
     assert sorted(tuple(x) for x in out.collect()) == sorted(operator.brute_force(rows))
 
 
+def test_pairs_are_confirmed_by_their_bytes():
+    raw = b"abcdefgh-abcdefgh-abcdXfgh"
+    place = np.array([0, 1, 2, 3, 9, 10, 11, 12, 18, 19, 20, 21])
+    a, b = np.array([0, 1, 2, 3, 0, 1, 2, 3]), np.array([4, 5, 6, 7, 8, 9, 10, 11])
+    assert suffix_dedup.confirmed(a[:4], b[:4], place, raw, 5).tolist() == [True] * 8 + [False] * 4
+    assert suffix_dedup.confirmed(a[4:], b[4:], place, raw, 4).tolist() == [True] + [False] * 7 + [True] + [False] * 3
+    assert not suffix_dedup.confirmed(a[:0], b[:0], place, raw, 4).any()
+
+
 def test_suffix_order_is_lexicographic():
     data = np.frombuffer(b"banana bandana banana band" * 3, np.uint8)
     at, group = np.arange(40), np.arange(40) % 3

@@ -218,8 +218,8 @@ _WRAPPED: dict[str, np.ndarray] = {}
 
 
 def _wrapped(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_WRAPPED.get(kind, ())) < n:
-        full = np.full(n, base, np.uint64)
+    if len(_WRAPPED.get(kind, ())) < n or kind not in _WRAPPED:
+        full = np.full(max(n, 1), base, np.uint64)
         full[0] = 1
         _WRAPPED[kind] = np.multiply.accumulate(full)
     return _WRAPPED[kind][:n]
@@ -234,6 +234,18 @@ def gram_hashes(values: np.ndarray, length: int) -> np.ndarray:
     return mix((sums[length:] - sums[:n]) * _wrapped("down", _ODD_INVERSE, len(values))[:n])
 
 
+class ShortHash:
+    """Hashes of short stretches of bytes, modulo 2 ** 64: cheaper than :class:`PrefixHash`, and sound for a few bytes,
+    where no pattern can nest deep enough to cancel."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _wrapped("up", _ODD, len(data)))])
+        self.down = _wrapped("down", _ODD_INVERSE, len(data))
+
+    def of(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return mix((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
+
+
 def digests(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """128-bit BLAKE2 digests of stretches of bytes, as two columns of bigint."""
     found = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True))

@@ -19,11 +19,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import row_slices
-from .common import PrefixHash, cut, ranges, utf8_parts, word_bounds
+from .common import PrefixHash, ShortHash, cut, ranges, utf8_parts, word_bounds
 
 MAX_EXAMPLES, MIN_SUPPORT, MIN_LIFT = 10_000, 5, 2.5
 BLOCK, K, PRIOR, BACKGROUND, CUTOFF = 128, 15, 0.5, 0.05, 0.3
@@ -56,7 +57,8 @@ def hashed_terms(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     begins, ends, first = word_bounds(_IN_WORD[data], starts)
     hashes, size = PrefixHash(data), ends - begins
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    heads = [(owner[size > n], hashes.of(begins[size > n], n) ^ _START) for n in STARTS]
+    short = ShortHash(data)
+    heads = [(owner[size > n], short.of(begins[size > n], n) ^ (_START + np.uint64(n))) for n in STARTS]
     return owner, hashes.of(begins, size), np.diff(first), heads
 
 
@@ -128,6 +130,7 @@ def document_frequencies(docs: DataFrame, terms: Terms, text: str) -> tuple[np.n
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
     counts = docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     df = np.zeros(terms.size + 1, np.int64)
     df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
     return df[:-1], int(df[-1])
@@ -138,7 +141,7 @@ class Index:
 
     def __init__(self, terms: Terms, df: np.ndarray, n_docs: int):
         self.terms, self.n_told = terms, len(terms.told)
-        self.idf = np.log((1 + n_docs) / (1 + np.append(df, 0)))  # the last is of unknown words
+        self.idf = np.log((1 + n_docs) / (1 + np.append(df, 0))).astype(np.float32)  # the last is of unknown words
 
     def vectors(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begins, dims, weights): the unit vector of each text, without its words that no example has."""
@@ -154,9 +157,22 @@ class Index:
         return np.searchsorted(text[known], np.arange(len(n_words) + 1)), term[known], weight[known]
 
     def build(self, labels: np.ndarray, ids: np.ndarray, begins: np.ndarray, dims: np.ndarray, weights: np.ndarray) -> Index:
-        self.labels, self.ids, size = labels, ids, self.terms.size
+        self.labels, self.ids = labels, ids
         self.begins, self.dims, self.weights = begins, dims.astype(np.int32), weights.astype(np.float32)
-        owner = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(begins))
+        return self.inverted()
+
+    def __getstate__(self) -> dict:
+        """What is sent: the vectors; each worker inverts them for itself."""
+        return {k: v for k, v in self.__dict__.items() if k in ("terms", "n_told", "idf", "labels", "ids", "begins", "dims", "weights")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if "dims" in state:
+            self.inverted()
+
+    def inverted(self) -> Index:
+        size = self.terms.size
+        owner = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.begins))
         order = np.lexsort((owner, self.dims))
         self.owner, self.weight = owner[order], self.weights[order]
         at = np.searchsorted(self.dims[order], np.arange(size + 1))
@@ -228,8 +244,8 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([t / n for _, n, t in pools]), np.array([(s + 0.05) / (n + 1) for s, n, _ in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_examples: int) -> tuple[Index | None, float, np.ndarray, np.ndarray]:
-    """(index, share of positives, curve) from at most ``max_examples`` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_examples: int) -> tuple[Broadcast | None, float, np.ndarray, np.ndarray]:
+    """(index, sent to the workers, share of positives, curve) from at most ``max_examples`` labelled rows.
 
     Ids join labels to texts and name the evidence; which rows are examples, and their order, follow from their texts.
     """
@@ -256,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     found = in_order.mapInArrow(run, "id string, label int, dims array<int>, weights array<float>").toArrow().combine_chunks()  # max_examples rows
     lists = found.column("dims").combine_chunks()
     begins = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+    sent.destroy()
     index.build(found.column("label").to_numpy().astype(float), np.array(found.column("id").to_pylist(), object), begins, lists.flatten().to_numpy(), found.column("weights").combine_chunks().flatten().to_numpy())
     sent = spark.sparkContext.broadcast(index)
 
@@ -268,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
 
     votes = spark.range(0, len(index.labels), 1, 64).mapInArrow(own, "id bigint, vote double").toArrow()
     xs, ys = monotone(votes.column("vote").to_numpy(), index.labels[votes.column("id").to_numpy()])
-    return index, base, xs, ys
+    return sent, base, xs, ys
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", cutoff: float = CUTOFF, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -281,12 +298,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     one by one; an empty table gives an empty one. Columns of ``docs`` with the names of new ones are replaced.
     """
     docs = docs.drop("score", "predicted", "neighbours", "nearness")
-    index, base, xs, ys = fit(docs, labels, id_col, text, label, max_examples)
-    sent = docs.sparkSession.sparkContext.broadcast((index, base, xs, ys))
+    sent, base, xs, ys = fit(docs, labels, id_col, text, label, max_examples)
     names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
-        index, base, xs, ys = sent.value
+        index = sent.value if sent else None
         for whole in batches:
             for a, b, data, starts in lowered(whole.column(names.index(text))):
                 votes, ids, near = [], [], []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import ROW, PrefixHash, keyed, utf8_parts
+from .common import ROW, PrefixHash, keyed, mix, utf8_parts
 from .repeats import by_document, merged, placed, search
 
 LENGTH, GRAM = 200, 48
@@ -84,14 +84,20 @@ def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, group:
 
 
 def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which windows have an equal one at the same offset in their bucket."""
+    """Which windows have an equal one at the same offset in their bucket. Those whose hash no other has can't, and are
+    not sorted."""
     key = bucket * (2 * np.abs(offset).max() + 2) + (offset - offset.min())
-    _, group = np.unique(key, return_inverse=True)
     hashes = PrefixHash(values)
-    order = sort_suffixes(hashes, values, place, group, length)
+    whole = mix(hashes.of(place, length) ^ mix(key.astype(np.uint64)))
+    by_hash = np.argsort(whole)
+    same = whole[by_hash[1:]] == whole[by_hash[:-1]]
+    live = np.sort(by_hash[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+    _, group = np.unique(key[live], return_inverse=True)
+    order = sort_suffixes(hashes, values, place[live], group, length)
     a, b = order[:-1], order[1:]
     near = np.flatnonzero(group[a] == group[b])
-    near = near[hashes.of(place[a[near]], length) == hashes.of(place[b[near]], length)]
+    a, b = live[a[near]], live[b[near]]
+    near = hashes.of(place[a], length) == hashes.of(place[b], length)
     return confirmed(a[near], b[near], place, raw.tobytes(), length)
 
 

@@ -64,11 +64,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds the bigint ``ROW`` that tells rows apart.
+    """Adds the bigint ``ROW`` that tells rows apart and is in the order of ids.
 
-    That is ``id_col`` itself if it is an integer column, never null and never repeated. Otherwise rows are numbered
-    and written once, so that the numbers stay the same when a task runs again; repeated rows are then documents of
-    their own. With ``id_col`` ``ROW`` the frame has it already; another column of that name is replaced.
+    That is ``id_col`` itself if it is an integer column, never null and never repeated. Otherwise rows are sorted by id,
+    nulls last, and among equal ids by a hash of the row, and numbered in that order, and written once, so that the numbers
+    stay the same when a task runs again: repeated rows are documents of their own, the smallest number is a row of the
+    smallest id, and how the table was split does not matter. With ``id_col`` ``ROW`` the frame has it already; another
+    column of that name is replaced.
     """
     if id_col == ROW:
         return docs
@@ -77,7 +79,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         per_id = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
         if per_id.where("n > 1 or " + f"`{id_col}` is null").isEmpty():
             return docs.withColumn(ROW, F.col(id_col).cast("bigint"))
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    order = [F.col(f"`{id_col}`").asc_nulls_last(), F.col("__tie"), F.col("__read")]  # the last parts rows that are all equal
+    numbered = docs.withColumns({"__tie": hashed, "__read": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(numbered.drop("__tie", "__read").withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def packed(docs: DataFrame, *needed: str) -> DataFrame:

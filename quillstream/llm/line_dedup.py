@@ -23,7 +23,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     ``min_docs`` documents or more, loses its lines in all of them but the one with the smallest row key.
 
     Null and empty texts are one empty line. A document that loses every line keeps an empty text. Rows with a null or
-    repeated id are documents of their own, in the order in which they are read. Lines are compared by 128 bits of hash.
+    repeated id are documents of their own, in order of ids, null last. Lines are compared by 128 bits of hash.
     Columns of ``docs`` with the names of new ones are replaced. An empty table gives an empty one.
 
     Plan: lines travel as hashes; counts are combined before the shuffle; the join of lines with the repeated hashes

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_dedup, token_output, toxicity
+from . import bpe, conversation_repair, decontamination, line_dedup, mixing, quality_rules, ranked_search, secret_scan, shingle_join
+from . import substring_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_shingle_join": shingle_join.op10_shingle_join,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_mixing": mixing.op13_mixing,
 }
 SQL = {
     "op4_line_dedup": line_dedup.SQL,
@@ -22,4 +26,7 @@ SQL = {
     "op8_quality_rules": quality_rules.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_shingle_join": shingle_join.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
+    "op12_ranked_search": ranked_search.SQL,
+    "op13_mixing": mixing.SQL,
 }

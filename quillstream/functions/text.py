@@ -60,8 +60,7 @@ def pages(c: Column) -> Column:
 def paragraphs(c: Column) -> Column:
     """Parts between empty lines, or lines where there is no such part."""
     parts = lambda p: F.filter(F.transform(F.split(c, p), strip), lambda x: x != "")
-    by_blank = parts(r"\n\s*\n+")
-    return F.when(F.size(by_blank) > 0, by_blank).otherwise(parts("\n"))
+    return once(parts(r"\n\s*\n+"), lambda by_blank: F.when(F.size(by_blank) > 0, by_blank).otherwise(parts("\n")))
 
 
 def sentences(c: Column) -> Column:
@@ -69,14 +68,19 @@ def sentences(c: Column) -> Column:
 
 
 def is_heading(c: Column) -> Column:
-    bare = strip(F.regexp_replace(c, "^:+|:+$", ""))
-    low = F.lower(bare)
-    prefixed = low.rlike("^(" + "|".join(HEADING_PREFIXES) + ")")
-    numbered = bare.rlike(r"^[0-9]+(\.[0-9]+)*\s+[A-Za-z].+$")
-    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    titled = (F.size(words) <= 9) & (capital >= F.greatest(F.lit(1), F.size(words) - 2))
-    return (bare != "") & (F.length(bare) <= 90) & (prefixed | numbered | titled)
+    """Whether a line looks like a heading. Lambdas share nothing, so each part of it is bound once; the cheap tests come
+    first, and long lines see no pattern."""
+
+    def titled(bare: Column) -> Column:
+        words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+        return once(words, lambda ws: (F.size(ws) <= 9) & (F.size(F.filter(ws, lambda w: w.rlike(r"^\p{Lu}"))) >= F.greatest(F.lit(1), F.size(ws) - 2)))
+
+    def judged(bare: Column) -> Column:
+        prefixed = F.lower(bare).rlike("^(" + "|".join(HEADING_PREFIXES) + ")")
+        numbered = bare.rlike(r"^[0-9]+(\.[0-9]+)*\s+[A-Za-z].+$")
+        return (bare != "") & (F.length(bare) <= 90) & (prefixed | numbered | titled(bare))
+
+    return once(strip(F.regexp_replace(c, "^:+|:+$", "")), judged)
 
 
 def heading_text(c: Column, fallback: Column) -> Column:

@@ -104,8 +104,12 @@ def topic_summary(log: DataFrame) -> DataFrame:
 
 def mastered(log: DataFrame) -> DataFrame:
     """(user_id, topics_mastered): topics of the summary at 80 percent or more, from one count per topic."""
-    is_base = F.col("topic").isin([t for t, _, _ in BASE_TOPICS])
-    counts = topic_counts(log).withColumn("base", is_base)
+    return mastered_of(topic_counts(log))
+
+
+def mastered_of(counts: DataFrame) -> DataFrame:
+    """:func:`mastered` of what :func:`topic_counts` gives."""
+    counts = counts.withColumn("base", F.col("topic").isin([t for t, _, _ in BASE_TOPICS]))
     rank = F.row_number().over(Window.partitionBy("user_id", "base").orderBy(F.desc("n"), "first"))
     shown = F.when(F.col("base"), _pct(12)).when(rank <= TOPIC_ROWS - len(BASE_TOPICS), _pct(10))
     return counts.withColumn("pct", shown).groupBy("user_id").agg(F.count_if(F.col("pct") >= 80).alias("topics_mastered"))
@@ -231,6 +235,54 @@ def dashboard(log: DataFrame, as_of: str | None = None) -> DataFrame:
     return facts.join(mastered(log), "user_id", "left").select("user_id", "events", "study_minutes", time.alias("study_time"), "quizzes", "active_days", "streak", *_mastery())
 
 
+def day_sums(log: DataFrame) -> DataFrame:
+    """(user_id, day, n, m, q): events, study minutes and quizzes; sums that add up over parts of a log."""
+    return log.groupBy("user_id", day().alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(minutes()).alias("m"), F.count_if(F.col("kind") == "quiz_completed").alias("q"))
+
+
+def topic_sums(log: DataFrame) -> DataFrame:
+    """(user_id, topic, n, first, scores, scored): :func:`topic_counts` in parts that add up."""
+    score = F.when(F.col("kind") == "quiz_completed", F.col("score").cast("int"))
+    return log.where("topic is not null and topic <> ''").groupBy("user_id", "topic").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.coalesce(F.sum(score), F.lit(0)).alias("scores"), F.count(score).alias("scored")
+    )
+
+
+def day_runs(log: DataFrame) -> DataFrame:
+    """(user_id, runs): the runs of consecutive active days, as first and last days."""
+    days = log.groupBy("user_id").agg(F.collect_set(day()).alias("days"))
+    return days.select("user_id", F.transform("days", lambda d: F.struct(d.alias("first"), d.alias("last"))).alias("runs"))
+
+
+def joined_runs(column: str) -> Column:
+    """Aggregates lists of runs into one, in order; runs that overlap or follow each other are one run."""
+    runs = F.array_sort(F.flatten(F.collect_list(column)))
+    none = F.array().cast("array<struct<first:date,last:date>>")
+
+    def add(joined: Column, run: Column) -> Column:
+        end = F.element_at(joined, -1)
+        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], run["last"]).alias("last"))
+        meets = (F.size(joined) > 0) & (run["first"] <= F.date_add(F.try_element_at(joined, F.lit(-1))["last"], 1))
+        return F.when(meets, F.concat(F.slice(joined, 1, F.size(joined) - 1), F.array(longer))).otherwise(F.concat(joined, F.array(run)))
+
+    return F.aggregate(runs, none, add)
+
+
+def dashboard_of_sums(days: DataFrame, topics: DataFrame, runs: DataFrame, as_of: str | None = None) -> DataFrame:
+    """:func:`dashboard` from sums by day, sums by topic and runs of active days."""
+    last = F.lit(as_of).cast("date") if as_of else F.col("as_of")
+    dated = runs if as_of else runs.crossJoin(F.broadcast(days.agg(F.max("day").alias("as_of"))))  # one row
+    length = lambda r, end: F.date_diff(end, r["first"]) + 1
+    now = F.filter("runs", lambda r: (r["first"] <= last) & (r["last"] >= last))
+    streak = F.coalesce(length(F.try_element_at(now, F.lit(1)), last), F.lit(0)).cast("bigint")
+    active = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + length(r, r["last"]))
+    facts = days.groupBy("user_id").agg(F.sum("n").alias("events"), F.sum("m").alias("study_minutes"), F.sum("q").alias("quizzes"))
+    facts = facts.join(dated.select("user_id", active.alias("active_days"), streak.alias("streak")), "user_id")
+    counts = topics.select("user_id", "topic", "n", "first", F.when(F.col("scored") > 0, F.col("scores") / F.col("scored")).alias("average"))
+    time = F.concat(F.floor(F.col("study_minutes") / 60), F.format_string("h %02dm", F.col("study_minutes") % 60))
+    return facts.join(mastered_of(counts), "user_id", "left").select("user_id", "events", "study_minutes", time.alias("study_time"), "quizzes", "active_days", "streak", *_mastery())
+
+
 #: What an event may hold besides its kind.
 FIELDS = {
     "ts": "timestamp_ntz", "topic": "string", "view": "string", "filename": "string", "note_id": "string", "format": "string", "score": "int", "total": "int", "message": "string", "task_id": "int", "done": "boolean",

@@ -37,13 +37,20 @@ DEFINITION_PROMPT = ": a core idea that should be defined in your own words duri
 OUTLINE_HEADINGS = ["{title} - Core Idea", "{title} - Definitions and Use", "{title} - Exam Notes"]
 CHART_COLUMNS = ["Topic", "Key Idea", "Explanation"]
 CHART_EXPLANATION = "Study the concept through definition, flow, and exam relevance rather than line-by-line copying."
-#: Type, difficulty, question and hint of a section's questions.
+#: Type, difficulty, question and hint of a section's questions; then their options and explanations.
 QUESTIONS = [
     ("mcq", "medium", "Which option best identifies the main focus of {title}?", "Look for the option that captures the core role of {focus}."),
     ("conceptual", "medium", "Why is {focus} important when studying {title}?", "Explain the role of {focus}, the problem it solves, and how it connects to {compare}."),
     ("theory", "hard", "Explain {title} in an exam-style answer and include the role of {term} and {compare}.", "Structure the answer with definition, working, significance, and one example or comparison."),
     ("application", "hard", "How would you apply the ideas from {title} in a practical scenario or system design discussion?", "Describe a use case where {focus} influences design decisions, implementation, or troubleshooting."),
 ]
+QUESTION_OPTIONS = {"mcq": ["Understanding {focus} and its role", "Only memorizing isolated syntax", "Ignoring system interactions", "Studying unrelated background trivia"]}
+QUESTION_EXPLANATIONS = {
+    "mcq": "The section centers on {focus} as a core concept rather than isolated facts.",
+    "conceptual": "Strong answers should connect {focus} to purpose, flow, and exam relevance.",
+    "theory": "This question checks whether the learner can write a full descriptive answer, not just a definition.",
+    "application": "Application questions measure whether the concept can be used beyond rote memorization.",
+}
 #: Revision strategies: for one section, by difficulty, and for all others.
 STRATEGIES = {
     "single": "Review the note once on the same day, then answer the conceptual and theory questions aloud.",
@@ -121,19 +128,30 @@ def _merge(chunks: Column) -> Column:
     return fn.once(chunks, joined)
 
 
-def chunks(docs: DataFrame, merge: bool = True) -> DataFrame:
-    """(doc_id, nth, section_id, title, raw_text, pages, document_title, source_pages) from (doc_id, filename, text). No
-    shuffle."""
-    title = fn.title_of_file(F.col("filename"))
-    base = docs.select("doc_id", title.alias("document_title"), fn.clean(F.coalesce("text", F.lit(""))).alias("__clean"))
+def cleaned(docs: DataFrame) -> DataFrame:
+    """(doc_id, document_title, __clean, level, source_pages, __items): the clean text, its difficulty, and its paragraphs as
+    (page, text, head)."""
+    base = docs.select("doc_id", fn.title_of_file(F.col("filename")).alias("document_title"), fn.clean(F.coalesce("text", F.lit(""))).alias("__clean"))
+    base = base.withColumn("level", fn.difficulty(F.col("__clean")))
     base = base.withColumn("__pages", fn.pages(F.col("__clean"))).withColumn("source_pages", F.size("__pages").cast("bigint"))
     items = F.flatten(F.transform("__pages", lambda p: F.transform(fn.paragraphs(p.text), lambda x: F.struct(p.page.alias("page"), x.alias("text"), fn.is_heading(x).alias("head")))))
-    base = base.withColumn("__items", items).withColumn("__bounds", _bounds(F.col("__items"), F.col("document_title")))
+    return base.withColumn("__items", items).drop("__pages")
+
+
+def chunks(docs: DataFrame, merge: bool = True) -> DataFrame:
+    """(doc_id, nth, section_id, title, raw_text, pages, document_title, source_pages, level) from (doc_id, filename, text).
+    No shuffle."""
+    base = cleaned(docs).withColumn("__bounds", _bounds(F.col("__items"), F.col("document_title")))
     base = base.withColumn("__chunks", _chunks_of(F.col("__items"), F.col("__bounds")))
-    lone = F.array(F.struct(F.lit("section-1").alias("section_id"), F.col("document_title").alias("title"), F.coalesce(F.nullif("__clean", F.lit("")), F.lit(NO_TEXT)).alias("raw_text"), F.array(F.lit(1)).alias("pages")))
-    base = base.withColumn("__found", F.when(F.size("__chunks") > 0, F.col("__chunks")).otherwise(lone.cast(T.ArrayType(_CHUNK))))
-    found = base.select("doc_id", "document_title", "source_pages", F.posexplode(_merge(F.col("__found")) if merge else F.col("__found")).alias("nth", "c"))
-    return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "c.*", "document_title", "source_pages")
+    base = base.withColumn("__found", F.when(F.size("__chunks") > 0, F.col("__chunks")).otherwise(lone_chunk()))
+    found = base.select("doc_id", "document_title", "source_pages", "level", F.posexplode(_merge(F.col("__found")) if merge else fn.once(F.col("__found"), lambda c: c)).alias("nth", "c"))
+    return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "c.*", "document_title", "source_pages", "level")
+
+
+def lone_chunk() -> Column:
+    """The chunk of a document without any: all its text."""
+    text = F.coalesce(F.nullif("__clean", F.lit("")), F.lit(NO_TEXT))
+    return F.array(F.struct(F.lit("section-1").alias("section_id"), F.col("document_title").alias("title"), text.alias("raw_text"), F.array(F.lit(1)).alias("pages"))).cast(T.ArrayType(_CHUNK))
 
 
 def keywords(rows: DataFrame, keys: list[str], text: str, n: int = 8) -> DataFrame:
@@ -197,24 +215,56 @@ def outline() -> Column:
     return F.array(*[F.struct(say(h).alias("heading"), p.alias("points")) for h, p in zip(OUTLINE_HEADINGS, points, strict=True)])
 
 
+def questions_of() -> Column:
+    """The four questions of a section: type, difficulty, question, options, answer_index, answer_hint, explanation."""
+    none = F.array().cast("array<string>")
+
+    def one(kind: str, hard: str, question: str, hint: str) -> Column:
+        options = F.array(*map(say, QUESTION_OPTIONS[kind])) if kind in QUESTION_OPTIONS else none
+        told = say(QUESTION_EXPLANATIONS[kind]).alias("explanation")
+        return F.struct(F.lit(kind).alias("type"), F.lit(hard).alias("difficulty"), say(question).alias("question"), options.alias("options"), F.lit(0).alias("answer_index"), say(hint).alias("answer_hint"), told)
+
+    return F.array(*[one(*q) for q in QUESTIONS])
+
+
 def exam_questions(s: DataFrame) -> DataFrame:
-    """Four questions for each section: (doc_id, nth, place, type, difficulty, question, answer_hint)."""
-    four = F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(hard).alias("difficulty"), say(q).alias("question"), say(hint).alias("answer_hint")) for kind, hard, q, hint in QUESTIONS])
-    return s.select("doc_id", "nth", F.posexplode(four).alias("place", "q")).select("doc_id", "nth", F.col("place").cast("bigint").alias("place"), "q.*")
+    """Four questions for each section: (doc_id, nth, place) and the fields of :func:`questions_of`."""
+    return s.select("doc_id", "nth", F.posexplode(questions_of()).alias("place", "q")).select("doc_id", "nth", F.col("place").cast("bigint").alias("place"), "q.*")
+
+
+def tree_of(branches: Column) -> Column:
+    """Branches as nodes with ``sub_branches``."""
+    leaf = lambda name: F.struct(name.alias("name"), F.array().cast("array<string>").alias("sub_branches"))
+    return F.transform(branches, lambda b: F.struct(b["name"].alias("name"), F.transform(b["sub"], leaf).alias("sub_branches")))
+
 
+#: What the full view of a package has of each section, after its place.
+SECTION_FIELDS = {
+    "section_id": "section_id", "title": "title", "page_numbers": "pages", "source_excerpt": "excerpt", "topics": "topics", "explanation": "explanation", "key_points": "key_points",
+    "definitions": "definitions", "examples": "examples", "use_cases": "use_cases", "important_notes": "important_notes", "why_this_matters": "why_this_matters",
+    "common_mistakes": "common_mistakes", "test_yourself": "test_yourself",
+}
 
-def package(s: DataFrame, diagrams: DataFrame | None = None) -> DataFrame:
+
+def package(s: DataFrame, diagrams: DataFrame | None = None, full: bool = False) -> DataFrame:
     """One row for each document: the five layouts over all its sections, summary and totals.
 
-    ``diagrams`` has a row with ``doc_id`` for each diagram. One shuffle, of the sections' notes without their texts.
+    ``diagrams`` has a row with ``doc_id`` for each diagram. One shuffle, of the sections' notes without their texts. With
+    ``full`` also ``sections`` and ``questions``, as lists, and ``diagrams``, which then are those of
+    :func:`matching.attached`, with ``doc_id``.
     """
     columns = ["title", "cue", "cornell", "outline", "summary", "sentence", "chart", "branches"]
-    whole = s.groupBy("doc_id", "document_title", "source_pages").agg(F.sort_array(F.collect_list(F.struct("nth", *columns))).alias("s"))
+    if full:
+        s = s.withColumn("section", F.struct(*[F.col(c).alias(k) for k, c in SECTION_FIELDS.items()])).withColumn("questions", questions_of())
+        columns += ["section", "questions"]
+    whole = s.groupBy("doc_id", "document_title", "source_pages", "level").agg(F.sort_array(F.collect_list(F.struct("nth", *columns))).alias("s"))
     each = lambda f: F.transform("s", f)
     overview = F.array_join(F.slice(each(lambda x: F.concat(x.title, F.lit(": "), x.summary)), 1, 4), " ")
-    tree = F.array_join(each(lambda x: F.concat(F.lit("\n    "), x.title, branch_lines(x.branches, 3))), "")
+    lines = F.array_join(each(lambda x: F.concat(F.lit("\n    "), x.title, branch_lines(x.branches, 3))), "")
+    tree = each(lambda x: F.struct(x.title.alias("name"), tree_of(x.branches).alias("sub_branches")))
     least, most = fn.target_pages(F.col("source_pages"))
     named = lambda kind: F.concat("document_title", F.lit(f" - {kind}"))
+    lists = [each(lambda x: x.section).alias("sections"), F.flatten(each(lambda x: x.questions)).alias("questions")] if full else []
     made = whole.select(
         "doc_id", "document_title", F.size("s").cast("bigint").alias("total_sections"), (F.size("s") * len(QUESTIONS)).cast("bigint").alias("total_questions"),
         "source_pages", least.alias("least_pages"), most.alias("most_pages"), F.lit(VOLUME_RULE).alias("volume_rule"),
@@ -223,30 +273,49 @@ def package(s: DataFrame, diagrams: DataFrame | None = None) -> DataFrame:
         F.array_join(each(lambda x: F.concat(x.title, F.lit("\n"), x.cornell)), "\n\n").alias("notes"),
         F.array_join(F.slice(each(lambda x: x.summary), 1, 6), " ").alias("summary"),
         F.flatten(each(lambda x: x.outline)).alias("outline"),
-        mindmap(F.col("document_title"), tree).alias("mindmap"),
+        mindmap(F.col("document_title"), lines).alias("mindmap"), tree.alias("tree"),
         each(lambda x: x.chart).alias("chart"),
         F.concat(overview, F.lit("\n\n"), F.array_join(each(lambda x: x.sentence), "\n\n")).alias("sentence"),
-        overview.alias("global_summary"),
+        overview.alias("global_summary"), F.col("level").alias("difficulty_level"), revision_strategy(F.size("s"), F.col("level")).alias("revision"), *lists,
     )
     if diagrams is None:
-        return made.withColumn("total_diagrams", F.lit(0).cast("bigint"))
-    counts = diagrams.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_diagrams"))
-    return made.join(counts, "doc_id", "left").withColumn("total_diagrams", F.coalesce("total_diagrams", F.lit(0).cast("bigint")))
-
-
-def outline_text(o: Column) -> Column:
-    return F.array_join(F.transform(o, lambda x: F.concat(x.heading, F.lit("\n"), F.array_join(x.points, "\n"))), "\n\n")
+        none = made.withColumn("total_diagrams", F.lit(0).cast("bigint"))
+        return none.withColumn("diagrams", F.array().cast("array<string>")) if full else none
+    shown = F.struct("diagram_id", "section_id", F.col("page").alias("page_number"), "caption", "explanation", "mermaid_code") if full else None
+    counts = diagrams.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_diagrams"), *([F.sort_array(F.collect_list(shown)).alias("diagrams")] if full else []))
+    met = made.join(counts, "doc_id", "left").withColumn("total_diagrams", F.coalesce("total_diagrams", F.lit(0).cast("bigint")))
+    return met.withColumn("diagrams", F.coalesce("diagrams", F.array().cast(counts.schema["diagrams"].dataType))) if full else met
+
+
+def layouts(p: DataFrame) -> dict[str, Column]:
+    """The layouts of a package as structs, the sentence as text."""
+    called = lambda kind: (F.col(f"{kind}_title").alias("title"), F.lit(kind).alias("format"))
+    return {
+        "cornell": F.struct(*called("cornell"), "cue", "notes", "summary"),
+        "outline": F.struct(*called("outline"), F.col("outline").alias("sections")),
+        "mindmap": F.struct(*called("mindmap"), F.col("document_title").alias("root"), F.col("mindmap").alias("mermaid"), F.col("tree").alias("branches")),
+        "chart": F.struct(*called("chart"), F.array(*map(F.lit, CHART_COLUMNS)).alias("columns"), F.col("chart").alias("rows")),
+        "sentence": F.col("sentence"),
+    }
+
+
+def full_view(p: DataFrame) -> Column:
+    """A full package as JSON: its sections, layouts, diagrams, questions, summary, difficulty, strategy and volume."""
+    notes = F.struct(*[c.alias(k) for k, c in layouts(p).items()]).alias("notes")
+    least_most = F.struct(F.col("least_pages").alias("min"), F.col("most_pages").alias("max")).alias("target_note_pages")
+    policy = F.struct("source_pages", least_most, F.col("volume_rule").alias("rule")).alias("note_volume_policy")
+    strategy = F.col("revision").alias("recommended_revision_strategy")
+    return F.to_json(F.struct("document_title", "total_sections", "sections", notes, "diagrams", "questions", "global_summary", "difficulty_level", strategy, policy))
 
 
 def format_view(p: DataFrame, wanted: Column) -> Column:
-    """The content of a package in the wanted format, as text; ``full`` is the package as JSON, unknown formats Cornell."""
-    full = F.to_json(F.struct("document_title", "total_sections", "notes", "mindmap", "sentence", "global_summary"))
-    chart = F.array_join(F.transform("chart", lambda r: F.array_join(r, " | ")), "\n")
-    low = F.lower(wanted)
-    return (
-        F.when(low == "full", full).when(low == "sentence", F.col("sentence")).when(low == "mindmap", F.col("mindmap"))
-        .when(low == "outline", F.concat("outline_title", F.lit("\n\n"), outline_text(F.col("outline")))).when(low == "chart", F.concat(F.lit(" | ".join(CHART_COLUMNS) + "\n"), chart)).otherwise(F.col("notes"))
-    )
+    """The content of a package in the wanted format: the sentences as text, all else as JSON; ``full`` is the whole package,
+    where it was built with ``full``, and unknown formats are Cornell."""
+    low, known = F.lower(wanted), layouts(p)
+    view = F.when(low == "full", full_view(p)) if "sections" in p.columns else F.when(F.lit(False), F.lit(""))
+    for kind in ("sentence", "mindmap", "outline", "chart"):
+        view = view.when(low == kind, known[kind] if kind == "sentence" else F.to_json(known[kind]))
+    return view.otherwise(F.to_json(known["cornell"]))
 
 
 def revision_strategy(n_sections: Column, level: Column) -> Column:
@@ -265,22 +334,39 @@ def words_of(value: Column, kind: T.DataType) -> Column:
     return zero
 
 
+def section_words(s: DataFrame) -> Column:
+    """The words of a section's title, topics and five layouts."""
+    mapped = mindmap(F.col("title"), branch_lines(F.col("branches"), 2)).alias("mermaid")
+    shapes = [
+        F.struct("cue", F.col("cornell").alias("notes"), "summary").alias("cornell"), F.struct("title", "outline").alias("outline"),
+        F.struct(F.col("title").alias("root"), mapped, "branches").alias("mindmap"), "chart", "sentence",
+    ]
+    whole = F.struct("title", "topics", F.struct(*shapes).alias("formats"))
+    return words_of(whole, s.select(whole.alias("w")).schema["w"].dataType)
+
+
 def sections_table(s: DataFrame) -> DataFrame:
     """(id, note_id, title, order_index, word_count): untitled sections go, then the rest are numbered from 0. The count
     is of the title, the topics and all five layouts."""
-    layouts = F.struct(F.struct("cue", F.col("cornell").alias("notes"), "summary").alias("cornell"), F.struct("title", "outline").alias("outline"), F.struct(F.col("title").alias("root"), mindmap(F.col("title"), branch_lines(F.col("branches"), 2)).alias("mermaid"), "branches").alias("mindmap"), "chart", "sentence")
-    counted = s.withColumn("__text", F.struct("title", "topics", layouts.alias("formats")))
     w = Window.partitionBy("doc_id").orderBy("nth")
-    kept = counted.where(F.coalesce("title", F.lit("")) != "").withColumn("order_index", (F.row_number().over(w) - 1).cast("bigint"))
-    return kept.select(F.sha2(F.concat_ws("|", "doc_id", "order_index"), 256).alias("id"), F.col("doc_id").alias("note_id"), "title", "order_index", words_of(F.col("__text"), counted.schema["__text"].dataType).alias("word_count"))
+    kept = s.where(F.coalesce("title", F.lit("")) != "").withColumn("order_index", (F.row_number().over(w) - 1).cast("bigint"))
+    return kept.select(F.sha2(F.concat_ws("|", "doc_id", "order_index"), 256).alias("id"), F.col("doc_id").alias("note_id"), "title", "order_index", section_words(kept).alias("word_count"))
+
+
+def format_rows() -> Column:
+    """array<struct<format_type, content>>: a section's layouts as JSON, or the empty structure where one is null."""
+    content = {
+        "cornell": ("cornell", F.struct("cue", F.col("cornell").alias("notes"), "summary")), "outline": ("outline", F.struct("title", F.col("outline").alias("sections"))),
+        "mindmap": ("branches", F.struct(F.col("title").alias("root"), "branches")), "chart": ("chart", F.struct(F.array(*map(F.lit, CHART_COLUMNS)).alias("columns"), F.array("chart").alias("rows"))),
+        "sentence": ("sentence", None),
+    }
+    made = lambda k, given, c: F.when(F.col(given).isNull(), F.lit(EMPTY_FORMATS[k])).otherwise(F.col("sentence") if c is None else F.to_json(c))
+    return F.array(*[F.struct(F.lit(k).alias("format_type"), made(k, *content[k]).alias("content")) for k in FORMATS])
 
 
 def formats_table(s: DataFrame) -> DataFrame:
-    """Five rows for each section: its layouts as JSON, or the empty structure of the layout where one is null."""
-    content = [F.struct("cue", F.col("cornell").alias("notes"), "summary"), F.struct("title", F.col("outline").alias("sections")), F.struct(F.col("title").alias("root"), "branches"), F.struct(F.array(*map(F.lit, CHART_COLUMNS)).alias("columns"), F.array("chart").alias("rows")), None]
-    given = ["cornell", "outline", "branches", "chart", "sentence"]
-    rows = F.array(*[F.struct(F.lit(k).alias("format_type"), F.when(F.col(g).isNull(), F.lit(EMPTY_FORMATS[k])).otherwise(F.col("sentence") if c is None else F.to_json(c)).alias("content")) for k, g, c in zip(FORMATS, given, content, strict=True)])
-    return s.select("doc_id", "nth", F.inline(rows))
+    """Five rows for each section: :func:`format_rows`."""
+    return s.select("doc_id", "nth", F.inline(format_rows()))
 
 
 def read_time(words: Column, n_sections: Column) -> Column:
@@ -309,6 +395,21 @@ def hint_images(images: DataFrame, most: int = 2, max_bytes: int = 4_000_000) ->
     return taken.select("note_id", "nth", fn.data_url(F.col("content"), kind).alias("image_url"))
 
 
+def hint_files(hints: DataFrame, path: str, most: int = 2, max_bytes: int = 4_000_000) -> DataFrame:
+    """(note_id, nth, image_url): :func:`hint_images` of files, in folders ``image=<name>`` under ``path``. ``hints`` has
+    (note_id, nth, path), ``path`` being the image's name.
+
+    The sizes come from the listing, so files over ``max_bytes`` are never opened, and names prune folders.
+    """
+    spark = hints.sparkSession
+    w = Window.partitionBy("note_id").orderBy("nth")
+    first = hints.withColumn("__rank", F.row_number().over(w)).where((F.col("__rank") <= most) & (F.coalesce("path", F.lit("")) != ""))
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes).select("image", "content")
+    met = first.join(files, first.path == files.image)
+    kind = F.when(fn.extension(F.col("image")).isin("jpg", "jpeg"), "image/jpeg").otherwise("image/png")
+    return met.select("note_id", "nth", fn.data_url(F.col("content"), kind).alias("image_url"))
+
+
 def list_notes(static: DataFrame, generated: DataFrame) -> DataFrame:
     """(origin, id, title, topic, source, progress, is_favorite): static notes (0) before generated ones (1)."""
     def listed(rows, origin):

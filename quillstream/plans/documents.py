@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as fn
-from ..operators import matching, notes, quiz
+from ..operators import chunking, matching, notes, quiz
 from ..sources.tables import NOTEBOOKS_SQL, notebooks, table, uploads
 from .base import query
 
@@ -256,6 +256,16 @@ def chunk_sections(spark, d):
     return notes.chunks(notebooks(spark, d), merge=False).select("doc_id", "nth", "section_id", "title", F.length("raw_text").alias("n"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
+@query("chunk_sections_rows", f"{_CHUNKS} select doc_id, c as nth, 'section-' || (c + 1) as section_id, title, raw as raw_text, array_to_string(pages, ',') as pages from chunks")
+def chunk_sections_rows(spark, d):
+    """The same chunks of documents that are tables of paragraphs."""
+    base = notes.cleaned(notebooks(spark, d).select("doc_id", "filename", "text"))
+    rows = base.select("doc_id", "document_title", F.posexplode("__items").alias("k", "x")).select("doc_id", "document_title", F.col("k").cast("bigint").alias("k"), "x.*")
+    found = chunking.chunk_rows(rows)
+    lone = base.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("bigint").alias("nth"), F.inline(notes.lone_chunk()))
+    return found.unionByName(lone).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
 @query("chunk_merge", f"{_CHUNKS} select doc_id, nth, section_id, title, raw as raw_text, array_to_string(pages, ',') as pages from merged")
 def chunk_merge(spark, d):
     return notes.chunks(notebooks(spark, d)).select("doc_id", "nth", "section_id", "title", "raw_text", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
@@ -270,12 +280,17 @@ def fallback_sections(spark, d):
     return _sections(spark, d).select("doc_id", "nth", "section_id", "title", "explanation", "why_this_matters", "sentence", *[F.array_join(c, "|").alias(c) for c in _LISTS], flat.alias("outline"))
 
 
-_ASKED = " union all ".join(f"select doc_id, nth, {i} as place, '{kind}' as type, '{hard}' as difficulty, {notes.say_sql(q)} as question, {notes.say_sql(hint)} as answer_hint from sec" for i, (kind, hard, q, hint) in enumerate(notes.QUESTIONS))
+_OPTIONS_SQL = {k: "[" + ", ".join(map(notes.say_sql, v)) + "]" for k, v in notes.QUESTION_OPTIONS.items()}
+_ASKED = " union all ".join(
+    f"select doc_id, nth, {i} as place, '{kind}' as type, '{hard}' as difficulty, {notes.say_sql(q)} as question, array_to_string({_OPTIONS_SQL.get(kind, '[]')}, '|') as options,"
+    f" 0 as answer_index, {notes.say_sql(hint)} as answer_hint, {notes.say_sql(notes.QUESTION_EXPLANATIONS[kind])} as explanation from sec"
+    for i, (kind, hard, q, hint) in enumerate(notes.QUESTIONS)
+)
 
 
 @query("exam_questions", f"{_SEC} {_ASKED}")
 def exam_questions(spark, d):
-    return notes.exam_questions(_sections(spark, d))
+    return notes.exam_questions(_sections(spark, d)).withColumn("options", F.array_join("options", "|"))
 
 
 @query("branch_tree", f"{_SEC} select doc_id, nth, b.name, array_to_string(b.sub, '|') as sub from (select doc_id, nth, unnest(branches) as b from sec)")
@@ -300,6 +315,7 @@ shown as (select item_id % 50 as doc_id, count(*) as total_diagrams from benchma
 pkg as (
   select doc_id, document_title as t, count(*) as n, array_to_string(list(title || chr(10) || cornell order by nth), chr(10) || chr(10)) as notes, array_to_string(list(summary order by nth)[1:6], ' ') as summary,
     flatten(list(outline order by nth)) as outline, {_MINDMAP('document_title', "array_to_string(list(chr(10) || '    ' || title || " + _TREE('branches', '      ') + " order by nth), '')")} as mindmap, list(array_to_string(chart, ' | ') order by nth) as chart,
+    list(chart order by nth) as chart_rows, list({{'name': title, 'sub_branches': list_transform(branches, lambda b: {{'name': b.name, 'sub_branches': list_transform(b.sub, lambda x: {{'name': x, 'sub_branches': cast([] as varchar[])}})}})}} order by nth) as tree,
     array_to_string(list(title || ': ' || summary order by nth)[1:4], ' ') as overview, array_to_string(list(sentence order by nth), chr(10) || chr(10)) as told
   from sec group by doc_id, document_title),
 package as (select pkg.*, array_to_string(cue[1:15], '|') as cue, overview || chr(10) || chr(10) || told as sentence, source_pages, coalesce(total_diagrams, 0) as total_diagrams,
@@ -358,11 +374,61 @@ def revision_strategy(spark, d):
 _VIEWS = ["cornell", "Sentence", "mindmap", "outline", "chart", "full", "unknown"]
 
 
-@query("note_format_view", f"""{_PKG}, v as (select *, [{", ".join(f"'{v}'" for v in _VIEWS)}][doc_id % {len(_VIEWS)} + 1] as format from package)
-select doc_id, format, case lower(format) when 'sentence' then sentence when 'mindmap' then mindmap when 'outline' then t || ' - Outline' || chr(10) || chr(10) || array_to_string(list_transform(outline, lambda x: x.heading || chr(10) || array_to_string(x.points, chr(10))), chr(10) || chr(10))
-  when 'chart' then '{" | ".join(notes.CHART_COLUMNS)}' || chr(10) || array_to_string(chart, chr(10)) when 'full' then cast(to_json({{'document_title': t, 'total_sections': n, 'notes': notes, 'mindmap': mindmap, 'sentence': sentence, 'global_summary': overview}}) as varchar) else notes end as content from v""")
+_LAYOUTS_SQL = {
+    "cornell": "{'title': t || ' - Cornell Notes', 'format': 'cornell', 'cue': string_split(cue, '|'), 'notes': notes, 'summary': summary}",
+    "outline": "{'title': t || ' - Outline', 'format': 'outline', 'sections': outline}",
+    "mindmap": "{'title': t || ' - Mind Map', 'format': 'mindmap', 'root': t, 'mermaid': mindmap, 'branches': tree}",
+    "chart": f"{{'title': t || ' - Chart', 'format': 'chart', 'columns': [{', '.join(repr(c) for c in notes.CHART_COLUMNS)}], 'rows': chart_rows}}",
+}
+_FIELDS_SQL = ", ".join(f"'{k}': {({'excerpt': f'substr(raw, 1, {notes.EXCERPT})'}).get(c, c)}" for k, c in notes.SECTION_FIELDS.items())
+_QUESTION_SQL = ", ".join(
+    f"{{'type': '{kind}', 'difficulty': '{hard}', 'question': {notes.say_sql(q)}, 'options': {_OPTIONS_SQL.get(kind, 'cast([] as varchar[])')}, 'answer_index': 0,"
+    f" 'answer_hint': {notes.say_sql(hint)}, 'explanation': {notes.say_sql(notes.QUESTION_EXPLANATIONS[kind])}}}"
+    for kind, hard, q, hint in notes.QUESTIONS
+)
+#: Diagrams of a document's sections: each with its best section, as in ``matching.attached``.
+_ATTACHED = f"""shown_of as (select item_id as diagram_id, item_id % 50 as doc_id, cast(item_id % 10 as int) as page, text as caption from benchmark),
+scored as (
+  select d.*, s.nth, s.section_id, s.title, case when list_contains(s.pages, page) then 5 else 0 end + 3 * len(list_filter(topics, lambda x: contains(lower(caption), lower(x))))
+    + case when title <> '' and contains(lower(caption), lower(title)) then 4 else 0 end as score
+  from shown_of d join sec s using (doc_id)),
+attached as (
+  select doc_id, nth, section_id, diagram_id, page, caption, '{matching.BELONGS[0]}' || title || '{matching.BELONGS[1]}' as explanation,
+    'flowchart TD\n  A[' || title || '] --> B[' || caption || ']\n  B --> C[{matching.SHOWN[0]}]\n  C --> D[{matching.SHOWN[1]}]' as mermaid_code
+  from scored qualify row_number() over (partition by diagram_id order by score desc, nth) = 1)"""
+_FULL = f"""{_PKG}, {_ATTACHED},
+gathered as (select doc_id, list({{{_FIELDS_SQL}}} order by nth) as sections, flatten(list([{_QUESTION_SQL}] order by nth)) as questions from sec group by doc_id),
+pictures as (select doc_id, list({{'diagram_id': diagram_id, 'section_id': section_id, 'page_number': page, 'caption': caption, 'explanation': explanation, 'mermaid_code': mermaid_code}} order by diagram_id) as diagrams from attached group by doc_id),
+levels as (select doc_id, case when length(text) < 1500 then 'beginner' when length(text) < 6000 then 'intermediate' else 'advanced' end as level from cleaned),
+fulls as (
+  select package.*, sections, questions, coalesce(diagrams, []) as diagrams, level,
+    case when n <= 1 then '{_S["single"]}' when level = 'beginner' then '{_S["other"]}' when level = 'intermediate' then '{_S["intermediate"]}' else '{_S["advanced"]}' end as strategy
+  from package join gathered using (doc_id) join levels using (doc_id) left join pictures using (doc_id))"""
+_FULL_SQL = (
+    "{'document_title': t, 'total_sections': n, 'sections': sections, 'notes': {" + ", ".join(f"'{k}': {v}" for k, v in _LAYOUTS_SQL.items()) + ", 'sentence': sentence}, 'diagrams': diagrams,"
+    " 'questions': questions, 'global_summary': overview, 'difficulty_level': level, 'recommended_revision_strategy': strategy,"
+    f" 'note_volume_policy': {{'source_pages': source_pages, 'target_note_pages': {{'min': least_pages, 'max': most_pages}}, 'rule': '{notes.VOLUME_RULE}'}}}}"
+)
+_AS_JSON = lambda x: f"cast(to_json({x}) as varchar)"
+
+
+def attached_diagrams(spark, d, sections) -> DataFrame:
+    """The items of ``benchmark`` as diagrams of the documents 0 to 49, with their best sections."""
+    i = F.col("item_id")
+    shown = table(spark, d, "benchmark").select((i % 50).alias("note_id"), i.alias("diagram_id"), (i % 10).cast("int").alias("page"), F.col("text").alias("caption"))
+    return matching.attached(shown, sections.withColumnRenamed("doc_id", "note_id")).withColumnRenamed("note_id", "doc_id")
+
+
+@query(
+    "note_format_view",
+    f"""{_FULL}, v as (select *, [{", ".join(f"'{v}'" for v in _VIEWS)}][doc_id % {len(_VIEWS)} + 1] as format from fulls)
+select doc_id, format, case lower(format) when 'sentence' then sentence when 'mindmap' then {_AS_JSON(_LAYOUTS_SQL["mindmap"])} when 'outline' then {_AS_JSON(_LAYOUTS_SQL["outline"])}
+  when 'chart' then {_AS_JSON(_LAYOUTS_SQL["chart"])} when 'full' then {_AS_JSON(_FULL_SQL)} else {_AS_JSON(_LAYOUTS_SQL["cornell"])} end as content from v""",
+)
 def note_format_view(spark, d):
-    p = _package(spark, d).withColumn("format", F.get(F.array(*map(F.lit, _VIEWS)), (F.col("doc_id") % len(_VIEWS)).cast("int")))
+    s = _sections(spark, d)
+    p = notes.package(s, attached_diagrams(spark, d, s), full=True)
+    p = p.withColumn("format", F.get(F.array(*map(F.lit, _VIEWS)), (F.col("doc_id") % len(_VIEWS)).cast("int")))
     return p.select("doc_id", "format", notes.format_view(p, F.col("format")).alias("content"))
 
 

@@ -32,9 +32,39 @@ def question_types(spark, d):
     return quiz.question_types(responses(spark, d))
 
 
-@query("quiz_attempts", f"{_R}{_SCORES}{_WEAK} select s.attempt_id, total, correct, score, n_types, coalesce(weak_topics, '') as weak_topics from scores s join (select attempt_id, count(distinct type) as n_types from responses group by 1) t using (attempt_id) left join weak using (attempt_id)")
+_TYPES = ", types as (select attempt_id, string_agg(type || ':' || n, '|' order by type) as types from (select attempt_id, type, count(*) as n from responses group by all) group by 1)"
+
+
+def _listed(made):
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e.key, F.lit(":"), e.value)), "|")
+    return made.withColumns({"weak_topics": F.array_join("weak_topics", "|"), "types": types})
+
+
+@query(
+    "quiz_attempts",
+    f"""{_R}{_SCORES}{_WEAK}{_TYPES}
+select s.attempt_id, total, correct, score, coalesce(weak_topics, '') as weak_topics, types from scores s join types using (attempt_id) left join weak using (attempt_id)""",
+)
 def quiz_attempts(spark, d):
-    return quiz.attempts(responses(spark, d)).withColumn("weak_topics", F.array_join("weak_topics", "|"))
+    return _listed(quiz.attempts(responses(spark, d)))
+
+
+@query(
+    "quiz_attempts_given",
+    f"""{_R}{_SCORES}{_WEAK}{_TYPES}, told as (
+  select s.attempt_id, coalesce(nullif(o_custkey % 4, 0), total) as total, case when s.attempt_id % 5 > 0 then o_custkey % 3 else 0 end as correct, nullif(o_custkey % 7, 0) as told_score,
+         case when s.attempt_id % 3 = 0 then o_orderstatus || '|given' else coalesce(weak_topics, '') end as weak_topics, types
+  from scores s join orders on o_orderkey = s.attempt_id join types using (attempt_id) left join weak using (attempt_id))
+select attempt_id, total, correct, coalesce(told_score, cast(round_even(100.0 * correct / greatest(total, 1), 0) as bigint)) as score, weak_topics, types from told""",
+)
+def quiz_attempts_given(spark, d):
+    """Attempts whose payload says some of what would be derived, weak topics among it."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    given = table(spark, d, "orders").select(
+        o.alias("attempt_id"), (c % 4).alias("total"), F.when(o % 5 > 0, c % 3).alias("correct"), (c % 7).alias("score"),
+        F.when(o % 3 == 0, F.array("o_orderstatus", F.lit("given"), F.col("o_orderstatus"))).when(o % 3 == 1, F.array().cast("array<string>")).alias("weak_topics"),
+    )
+    return _listed(quiz.attempts(responses(spark, d), given))
 
 
 @query(
@@ -136,6 +166,42 @@ def quiz_sample(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name").orderBy(F.md5(F.col("p_partkey").cast("string")), "p_partkey").limit(5)
 
 
+_BANK = """bank as (select lower(p_brand) as topic, p_partkey as id from part union all select 'all', p_partkey from part),
+placed as (select topic, id, row_number() over (partition by topic order by md5(cast(id as varchar)), id) - 1 as place, count(*) over (partition by topic) as total from bank),
+own as (select l_partkey % 500 as note_id, l_orderkey * 10 + l_linenumber as id from lineitem where l_partkey % 5 = 0 group by all),
+gen as (select note_id, id, row_number() over (partition by note_id order by id) as nth, count(*) over (partition by note_id) as total from own),
+asked as (
+  select c_custkey as request_id, case c_custkey % 4 when 0 then 'all' when 1 then 'nothing' else 'Brand#' || (c_custkey % 5 + 1) || (c_custkey % 3 + 1) end as topic,
+         case when c_custkey % 5 = 0 then c_custkey % 500 end as note_id, c_custkey % 7 as lim from customer)"""
+
+
+@query(
+    "quiz_served",
+    f"""with {_BANK}, sized as (select a.*, coalesce(t.total, 0) as of_topic, coalesce(g.total, 0) as of_note
+  from asked a left join (select topic, max(total) as total from placed group by 1) t on t.topic = lower(a.topic) left join (select note_id, max(total) as total from gen group by 1) g on g.note_id = a.note_id),
+drawn as (select request_id, unnest(range(1, least(lim, of_topic) + 1)) as nth from sized where note_id is null),
+got as (
+  select request_id, d.nth, p.id from drawn d join sized s using (request_id)
+  join placed p on p.topic = lower(s.topic) and p.place = (d.nth * {quiz.STRIDE} + cast('0x' || substr(md5(cast(request_id as varchar)), 1, 8) as bigint)) % of_topic
+  union all select request_id, nth, id from sized join gen using (note_id) where nth <= lim)
+select request_id, case when note_id is not null then coalesce(c_mktsegment, 'generated') else topic end as topic,
+       case when note_id is not null then coalesce(c_name, 'Generated Note') when topic = 'all' then 'Mixed Quiz' else upper(topic) end as topic_label,
+       note_id, case when note_id is not null then of_note else of_topic end as total, nth, id
+from sized left join got using (request_id) left join customer on c_custkey = note_id""",
+)
+def quiz_served(spark, d):
+    """Quizzes by topic, over all topics, of a topic without questions, and of notes; limits of 0 to 6."""
+    c = F.col("c_custkey")
+    brand = F.concat(F.lit("Brand#"), c % 5 + 1, c % 3 + 1)
+    topic = F.when(c % 4 == 0, "all").when(c % 4 == 1, "nothing").otherwise(brand)
+    asked = table(spark, d, "customer").select(c.alias("request_id"), topic.alias("topic"), F.when(c % 5 == 0, c % 500).alias("note_id"), (c % 7).alias("limit"))
+    bank = table(spark, d, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("id"))
+    lines = table(spark, d, "lineitem").where("l_partkey % 5 = 0")
+    own = lines.select((F.col("l_partkey") % 500).alias("note_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).distinct()
+    notes = table(spark, d, "customer").select(c.alias("note_id"), F.col("c_mktsegment").alias("topic"), F.col("c_name").alias("title"))
+    return quiz.serve(asked, bank, own.withColumn("nth", F.col("id")), notes)
+
+
 @query("answer_valid", "select conv_id, turn, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 12 or turn % 5 = 0 as valid from conversations")
 def answer_valid(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", quiz.answer_valid(F.col("text"), F.col("turn") % 5 == 0).alias("valid"))

@@ -8,7 +8,7 @@ from ..operators import notes
 from ..sources import files, stores
 from ..sources.tables import notebooks, table
 from .base import query
-from .documents import _COUNTED, _PKG, _sections
+from .documents import _AS_JSON, _COUNTED, _LAYOUTS_SQL, _PKG, _sections
 
 
 @query("notes_store", "select 'n' || c_custkey as id, c_name as title, upper(c_mktsegment) as topic, case when c_custkey % 2 = 0 then 'generated' else 'static' end as source, cast(c_custkey % 100 as int) as progress, c_custkey % 3 = 0 as is_favorite from customer")
@@ -41,12 +41,21 @@ def missing_store(spark, d):
     return stores.read(spark, stores.scratch(spark, "none"), stores.ATTEMPT).select("id")
 
 
-@query("register_notes", "select sha256(cast(doc_id as varchar)) as id, source as title, case when doc_id % 3 = 0 then 'UPLOAD' else upper(lang) end as topic, 'generated' as source, '2024-01-31 10:00' as updated from documents")
+@query(
+    "register_notes",
+    """select sha256(cast(doc_id as varchar)) as id, case when doc_id % 4 = 0 then source || ', again' else source end as title, case when doc_id % 3 = 0 then 'UPLOAD' else upper(lang) end as topic,
+'generated' as source, case when doc_id % 4 = 0 then '2024-02-01 09:00' else '2024-01-31 10:00' end as updated from documents""",
+)
 def register_notes(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("note_key"), F.col("source").alias("document_title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("topic"))
-    path = stores.scratch(spark, "registered")
-    stores.register(rows, path, "2024-01-31 10:00")
-    return stores.read(spark, path, stores.NOTE).select("id", "title", "topic", "source", "updated")
+    """Notes registered, some of them again under another title, and compacted in between: one record each."""
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(i.alias("note_key"), F.col("source").alias("document_title"), F.when(i % 3 == 0, "").otherwise(F.col("lang")).alias("topic"))
+    store = stores.note_store(spark, stores.scratch(spark, "registered"))
+    stores.register(rows, store, "2024-01-31 10:00")
+    store.compact()
+    again = rows.where("note_key % 4 = 0").withColumn("document_title", F.concat("document_title", F.lit(", again")))
+    stores.register(again, store, "2024-02-01 09:00")
+    return store.read().select("id", "title", "topic", "source", "updated")
 
 
 _NAME = "source || '_' || doc_id || ['.txt', '.MD', '.ppt', '', '.Txt'][doc_id % 5 + 1]"
@@ -83,6 +92,22 @@ def hint_images(spark, d):
     return notes.hint_images(table(spark, d, "benchmark").select(F.floor(i / 4).alias("note_id"), i.alias("nth"), path.alias("path"), F.encode("text", "utf-8").alias("content")))
 
 
+@query(
+    "hint_files",
+    """select note_id, nth, 'data:image/' || case when nth % 3 = 0 then 'png' else 'jpeg' end || ';base64,' || base64(encode(text || chr(10))) as image_url
+from (select item_id // 4 as note_id, item_id as nth, text, row_number() over (partition by item_id // 4 order by item_id) as r from benchmark) where r <= 2 and nth % 5 > 0 and nth <> 9""",
+)
+def hint_files(spark, d):
+    """The same of files, one of which is too large."""
+    i = F.col("item_id")
+    name = F.concat(F.lit("img"), i, F.get(F.array(*map(F.lit, [".png", ".jpg", ".JPEG"])), (i % 3).cast("int")))
+    path = stores.scratch(spark, "images")
+    text = F.when(i == 9, F.repeat("text", F.ceil(F.lit(5_000_000) / F.length("text")).cast("int"))).otherwise(F.col("text"))
+    table(spark, d, "benchmark").select(text.alias("text"), name.alias("image")).write.partitionBy("image").text(path)
+    hints = table(spark, d, "benchmark").select(F.floor(i / 4).alias("note_id"), i.alias("nth"), F.when(i % 5 == 0, "").otherwise(name).alias("path"))
+    return notes.hint_files(hints, path)
+
+
 @query("notes_list", "select 0 as origin, 's' || page_id as id, url as title, 'web' as topic, 'static' as source, 0 as progress, false as is_favorite from pages union all select 1, 'g' || doc_id, source, lang, 'generated', cast(doc_id % 100 as int), coalesce(quality = 1, false) from documents left join labels using (doc_id)")
 def notes_list(spark, d):
     null = lambda kind: F.lit(None).cast(kind)
@@ -94,8 +119,15 @@ def notes_list(spark, d):
 _FORMATS = ["cornell", "outline", "sentence", "nothing"]
 
 
-@query("note_content", f"""{_PKG}, wanted as (select doc_id, [{", ".join(f"'{x}'" for x in _FORMATS)}][doc_id % 4 + 1] as format from documents), made as (select doc_id, format, case format when 'sentence' then sentence when 'outline' then t || ' - Outline' || chr(10) || chr(10) || array_to_string(list_transform(outline, lambda x: x.heading || chr(10) || array_to_string(x.points, chr(10))), chr(10) || chr(10)) else notes end as content from wanted join package using (doc_id) where doc_id % 2 = 0)
-select doc_id as note_id, format, coalesce(content, case when doc_id % 3 = 0 then case when format = 'outline' then 'static outline' else 'static notes' end end, '') as content from wanted left join made using (doc_id, format)""")
+@query(
+    "note_content",
+    f"""{_PKG}, wanted as (select doc_id, [{", ".join(f"'{x}'" for x in _FORMATS)}][doc_id % 4 + 1] as format from documents),
+made as (
+  select doc_id, format, case format when 'sentence' then sentence when 'outline' then {_AS_JSON(_LAYOUTS_SQL["outline"])} else {_AS_JSON(_LAYOUTS_SQL["cornell"])} end as content
+  from wanted join package using (doc_id) where doc_id % 2 = 0)
+select doc_id as note_id, format, coalesce(content, case when doc_id % 3 = 0 then case when format = 'outline' then 'static outline' else 'static notes' end end, '') as content
+from wanted left join made using (doc_id, format)""",
+)
 def note_content(spark, d):
     i = F.col("note_id")
     ids = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"))

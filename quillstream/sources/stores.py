@@ -1,4 +1,5 @@
-"""Stores of notes, attempts and events: folders of JSON lines that are appended to and read with tolerance.
+"""Stores of attempts, events and imported notes: folders of JSON lines that are appended to and read with tolerance; and
+of registered notes, which are replaced by id.
 
 Appending never rewrites what is there, so a store may grow without bound and many jobs may write to it.
 """
@@ -14,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versioned import VersionedStore, last_wins
+
 NOTE = "id string, title string, topic string, updated string, source string, progress int, is_favorite boolean"
 ATTEMPT = "id string, note_id string, topic string, topic_label string, score int, total int, correct int, weak_topics array<string>, duration_seconds int"
 
@@ -47,15 +50,22 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.where(some).select(*names)
 
 
-def register(notes: DataFrame, path: str, now: str) -> DataFrame:
-    """Appends notes (note_key, document_title, topic) to a store under new ids; gives (note_key, id).
+def note_store(spark: SparkSession, path: str) -> VersionedStore:
+    """Registered notes by id; of an id's records the one with the latest ``version`` counts."""
+    names = [f.split(" ")[0] for f in NOTE.split(", ")]
+    return VersionedStore(spark, path, f"{NOTE}, version bigint", ["id"], last_wins([*names[1:], "version"]))
+
 
-    The id is a hash of the key, so a job that runs again gives the same one; a note without a topic is an upload.
+def register(notes: DataFrame, store: VersionedStore, now: str) -> DataFrame:
+    """Puts notes (note_key, document_title, topic) into a store under new ids; gives (note_key, id).
+
+    The id is a hash of the key, so a job that runs again gives the same one, and a note that is registered again replaces
+    its record, the later ``now`` winning. A note without a topic is an upload.
     """
     made = notes.withColumn("id", F.sha2(F.col("note_key").cast("string"), 256))
     topic = F.upper(F.coalesce(F.nullif("topic", F.lit("")), F.lit("upload")))
-    rows = made.select("id", F.col("document_title").alias("title"), topic.alias("topic"), F.lit(now).alias("updated"), F.lit("generated").alias("source"), F.lit(0).alias("progress"), F.lit(False).alias("is_favorite"))
-    append(rows, path)
+    fixed = {"updated": F.lit(now), "source": F.lit("generated"), "progress": F.lit(0), "is_favorite": F.lit(False), "version": F.unix_micros(F.lit(now).cast("timestamp"))}
+    store.put(made.select("id", F.col("document_title").alias("title"), topic.alias("topic"), *[c.alias(k) for k, c in fixed.items()]))
     return made.select("note_key", "id")
 
 

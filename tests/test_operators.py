@@ -72,8 +72,10 @@ def test_attempts_given_values_win_but_a_score_of_zero(spark):
     responses = spark.createDataFrame(rows, "attempt_id long, l_linenumber int, l_partkey long, l_extendedprice double, l_shipdate timestamp, topic string, type string, is_correct boolean")
     made = one(quiz.attempts(responses))
     assert (made.total, made.correct, made.score, made.weak_topics) == (4, 1, 25, ["x", "y"])
-    given = spark.createDataFrame([(1, 8, 5, 0)], "attempt_id long, total long, correct long, score long")
-    assert one(quiz.attempts(responses, given)).score == 62
+    assert made.types == {"mcq": 4}
+    given = spark.createDataFrame([(1, 8, 5, 0, None)], "attempt_id long, total long, correct long, score long, weak_topics array<string>")
+    assert one(quiz.attempts(responses, given)).score == 62 and one(quiz.attempts(responses, given)).weak_topics == ["x", "y"]
+    assert one(quiz.attempts(responses, given.withColumn("weak_topics", F.array(*map(F.lit, "qpq"))))).weak_topics == ["q", "p"]
     assert quiz.last_attempts(quiz.attempts(responses), "total", 0).count() == 0
 
 
@@ -209,12 +211,19 @@ def test_files_are_read_as_text(spark, tmp_path):
 def test_stores_append_and_tolerate(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     assert stores.read(spark, path, stores.NOTE).count() == 0
-    made = spark.createDataFrame([("k1", "T", None), ("k2", "U", "ml")], "note_key string, document_title string, topic string")
-    assert stores.register(made, path, "now").count() == 2
-    stores.register(made.limit(1), path, "later")
+    spark.createDataFrame([("k1", "ML")], "id string, topic string").write.json(path)
     (tmp_path / "s" / "part-x.json").write_text('{"id": "z", "progress": "many"}\n[]\n{oops\n')
     found = stores.read(spark, path, stores.NOTE).collect()
-    assert sorted(r.topic or "" for r in found) == ["", "ML", "UPLOAD", "UPLOAD"] and [r.progress for r in found if r.id == "z"] == [None]
+    assert sorted(r.topic or "" for r in found) == ["", "ML"] and [r.progress for r in found if r.id == "z"] == [None]
+
+
+def test_notes_registered_again_replace_their_record(spark, tmp_path):
+    store = stores.note_store(spark, f"file://{tmp_path}/s")
+    made = spark.createDataFrame([("k1", "T", None), ("k2", "U", "ml")], "note_key string, document_title string, topic string")
+    assert stores.register(made, store, "2024-01-02 10:00").count() == 2
+    stores.register(made.withColumn("document_title", F.lit("newer")).limit(1), store, "2024-01-03 10:00")
+    stores.register(made.withColumn("document_title", F.lit("older")), store, "2024-01-01 10:00")
+    assert sorted((r.title, r.topic) for r in store.read().collect()) == [("U", "ML"), ("newer", "UPLOAD")]
 
 
 def test_streams_keep_the_last_state_over_batches(spark, tmp_path):

@@ -63,6 +63,15 @@ def attempts(responses: DataFrame, given: DataFrame | None = None) -> DataFrame:
 STRIDE = 2_147_483_647
 
 
+def replies(messages: DataFrame, rules: list[tuple[str, str]], default: str) -> DataFrame:
+    """Adds ``topic``, the first key of ``rules`` (key, reply) that stands in ``message``, and ``response``, its reply or else
+    ``default``; case does not count. The topic is null where no key stands."""
+    low = F.lower(F.coalesce("message", F.lit("")))
+    met = [(low.contains(k), k, reply) for k, reply in rules]
+    topic = F.coalesce(*[F.when(hit, F.lit(k)) for hit, k, _ in met])
+    return messages.withColumns({"topic": topic, "response": F.coalesce(*[F.when(hit, F.lit(reply)) for hit, _, reply in met], F.lit(default))})
+
+
 def numbered(bank: DataFrame, by: str) -> DataFrame:
     """Adds ``total``, the questions of each ``by``, and ``place``, 0 and up in order of a hash of ``id``. Slices of the
     hash count their own, so no task sorts a whole bank."""

@@ -318,7 +318,7 @@ pkg as (
     list(chart order by nth) as chart_rows, list({{'name': title, 'sub_branches': list_transform(branches, lambda b: {{'name': b.name, 'sub_branches': list_transform(b.sub, lambda x: {{'name': x, 'sub_branches': cast([] as varchar[])}})}})}} order by nth) as tree,
     array_to_string(list(title || ': ' || summary order by nth)[1:4], ' ') as overview, array_to_string(list(sentence order by nth), chr(10) || chr(10)) as told
   from sec group by doc_id, document_title),
-package as (select pkg.*, array_to_string(cue[1:15], '|') as cue, overview || chr(10) || chr(10) || told as sentence, source_pages, coalesce(total_diagrams, 0) as total_diagrams,
+package as (select pkg.*, array_to_string(cue[1:15], '|') as cue, cue[1:15] as cue_list, overview || chr(10) || chr(10) || told as sentence, source_pages, coalesce(total_diagrams, 0) as total_diagrams,
   case when source_pages <= 1 then 1 else greatest(1, cast(round_even(source_pages * 0.35::double, 0) as bigint)) end as least_pages, case when source_pages <= 1 then 2 else greatest(2, cast(round_even(source_pages * 0.55::double, 0) as bigint)) end as most_pages
   from pkg join cues using (doc_id) join n_pages using (doc_id) left join shown using (doc_id))"""
 
@@ -375,7 +375,7 @@ _VIEWS = ["cornell", "Sentence", "mindmap", "outline", "chart", "full", "unknown
 
 
 _LAYOUTS_SQL = {
-    "cornell": "{'title': t || ' - Cornell Notes', 'format': 'cornell', 'cue': string_split(cue, '|'), 'notes': notes, 'summary': summary}",
+    "cornell": "{'title': t || ' - Cornell Notes', 'format': 'cornell', 'cue': cue_list, 'notes': notes, 'summary': summary}",
     "outline": "{'title': t || ' - Outline', 'format': 'outline', 'sections': outline}",
     "mindmap": "{'title': t || ' - Mind Map', 'format': 'mindmap', 'root': t, 'mermaid': mindmap, 'branches': tree}",
     "chart": f"{{'title': t || ' - Chart', 'format': 'chart', 'columns': [{', '.join(repr(c) for c in notes.CHART_COLUMNS)}], 'rows': chart_rows}}",

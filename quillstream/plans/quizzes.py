@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chat
 from ..functions import text as fn
 from ..operators import matching, quiz
 from ..sources.tables import CHAT_KEYS, RESPONSES_SQL, activity_log, lookup, responses, table
@@ -216,6 +217,16 @@ def chat_route(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(*[F.when(low.contains(k), F.lit(k)) for k in CHAT_KEYS], F.lit("default")).alias("route"))
 
 
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_REPLY_SQL = " ".join(f"when contains(lower(text), '{k}') then {_QUOTED(reply)}" for k, reply in chat.REPLIES)
+
+
+@query("chat_replies", f"select conv_id, turn, case {_ROUTE} end as topic, case {_REPLY_SQL} else {_QUOTED(chat.DEFAULT)} end as response from conversations")
+def chat_replies(spark, d):
+    messages = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("message"))
+    return quiz.replies(messages, chat.REPLIES, chat.DEFAULT).drop("message")
+
+
 @query("chat_messages_topic", "with x as (select event_id, cast(json_extract_string(props, '$.k') as int) % 7 as k from events where event_type = 'click') select event_id, " + "[" + ", ".join(f"'{k}'" for k in CHAT_KEYS) + "][k + 1] as topic from x")
 def chat_messages_topic(spark, d):
     log = activity_log(spark, d).where("kind = 'chat_message'")

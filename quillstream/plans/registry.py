@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, documents, live, nested, normalized, quizzes, stores  # noqa: F401  (they register their queries)
+from . import activity, documents, live, nested, normalized, quizzes, stores, uploads  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

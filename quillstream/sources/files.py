@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import logging
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -23,22 +25,27 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def docx_text(content: bytes | None) -> str | None:
-    """The paragraphs of a Word file, a line each; null if it is none."""
+    """The paragraphs of a Word file, a line each; null if it is none, or damaged, or encrypted."""
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
             body = ElementTree.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return None
+    except (zipfile.BadZipFile, zlib.error, KeyError, RuntimeError, NotImplementedError, EOFError, ElementTree.ParseError):
+        return None  # a member may be damaged, encrypted or packed by a method that is not known
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in body.iter(f"{_W}p"))
 
 
 def pdf_text(content: bytes | None, marks: bool) -> str | None:
-    """The pages of a PDF file, each behind its mark or without marks; null where no PDF library is installed."""
+    """The pages of a PDF file, each behind its mark or without marks; null where no PDF library is installed, and for a
+    file that the library can't read, so that one damaged file does not end a job."""
     try:
         from PyPDF2 import PdfReader
     except ImportError:
         return None
-    pages = [page.extract_text() or "" for page in PdfReader(io.BytesIO(content or b"")).pages]
+    try:
+        pages = [page.extract_text() or "" for page in PdfReader(io.BytesIO(content or b"")).pages]
+    except Exception:  # of whatever kind: damaged files raise all sorts
+        logging.getLogger(__name__).warning("a PDF file of %d bytes can't be read", len(content or b""), exc_info=True)
+        return None
     return "\n\n".join(f"[[PAGE_{i}]]\n{t}" for i, t in enumerate(pages, 1)) if marks else "".join(t + "\n" for t in pages if t)
 
 

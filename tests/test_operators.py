@@ -208,6 +208,34 @@ def test_files_are_read_as_text(spark, tmp_path):
     assert strict["B.MD"] == (None, 400) and strict["w.docx"] == ("one two\n", 200) and strict["a.txt"][1] == 200
 
 
+def test_damaged_files_are_no_text(monkeypatch):
+    import io
+    import sys
+    import types
+    import zipfile
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<a>" + "text " * 500 + "</a>")
+    good = packed.getvalue()
+    broken = good[:60] + bytes(b ^ 255 for b in good[60:90]) + good[90:]
+    locked = bytearray(good)
+    for at in (6, good.rindex(b"PK\x01\x02") + 8):  # says that the member is encrypted
+        locked[at] |= 1
+    assert files.docx_text(good) == "" and [files.docx_text(x) for x in (broken, bytes(locked), good[:40], b"", None)] == [None] * 5
+
+    class Reader:
+        def __init__(self, stream):
+            text = stream.read().decode()
+            if not text:
+                raise ValueError("damaged")
+            self.pages = [types.SimpleNamespace(extract_text=lambda x=x: x) for x in text.split("|")]
+
+    monkeypatch.setitem(sys.modules, "PyPDF2", types.SimpleNamespace(PdfReader=Reader))
+    assert files.pdf_text(b"a||b", True) == "[[PAGE_1]]\na\n\n[[PAGE_2]]\n\n\n[[PAGE_3]]\nb" and files.pdf_text(b"a||b", False) == "a\nb\n"
+    assert files.pdf_text(b"", True) is None and files.pdf_text(None, False) is None
+
+
 def test_stores_append_and_tolerate(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     assert stores.read(spark, path, stores.NOTE).count() == 0

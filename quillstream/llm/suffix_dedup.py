@@ -1,10 +1,14 @@
 """Suffix-array dedup: bytes of long strings that stand elsewhere too are removed.
 
-``repeats`` brings together the places that may be equal, two of each class of equal stretches. In an anchor's bucket the
-suffixes that begin at the windows are sorted by a mergesort whose comparisons take the longest common extension from
-prefix polynomial hashes by binary search, so a comparison takes a logarithm of the window length; neighbours in the
-order that agree over a whole window are repeats, once their bytes are found equal too. What holds for a class's two
-sorted members holds for its others, whose stretches have the same 128-bit digest.
+``repeats`` brings the places that may be equal together in buckets, by an anchor that equal windows share. In a bucket the
+suffixes that begin at the anchors are sorted, and so are the texts before the anchors, read backwards. Both sorts are
+mergesorts whose comparisons take the longest common extension of two suffixes from prefix polynomial hashes by binary
+search, so a comparison takes a logarithm of the window length. What neighbours in an order have in common, checked byte
+by byte, is all that is needed: two suffixes agree over n bytes where all neighbours between them do. So for each place of
+a window around its anchor the suffixes that agree far enough behind it are runs of one order, those that agree far
+enough before it are runs of the other, and windows in the same two runs are equal.
+
+What holds for a class's two sorted members holds for its others, whose stretches have the same 128-bit digest.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import ROW, PrefixHash, keyed, mix, utf8_parts
+from .common import ROW, PrefixHash, keyed, utf8_parts
 from .repeats import by_document, merged, placed, search
 
 LENGTH, GRAM = 200, 48
@@ -30,25 +34,28 @@ def byte_tokens(data: np.ndarray, starts: np.ndarray):
     return data, starts, at[:-1], at[1:], data
 
 
-def common_extension(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """How many elements from ``a`` and from ``b`` on agree, up to ``most`` - 1: a binary search over prefix hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most - 1)
-    while (low < high).any():
-        mid = (low + high + 1) >> 1
-        same = hashes.of(a, mid) == hashes.of(b, mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+def common_extension(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, most: np.ndarray, forward: bool) -> np.ndarray:
+    """How many elements from ``a`` and from ``b`` on (or before them, going back) agree, up to ``most``: a binary search
+    over prefix hashes."""
+    low, high = np.zeros(len(a), np.int64), most.copy()
+    while len(open_ := np.flatnonzero(low < high)):
+        mid = (low[open_] + high[open_] + 1) >> 1
+        x, y = (a[open_], b[open_]) if forward else (a[open_] - mid, b[open_] - mid)
+        same = hashes.of(x, mid) == hashes.of(y, mid)
+        low[open_] = np.where(same, mid, low[open_])
+        high[open_] = np.where(same, high[open_], mid - 1)
     return low
 
 
-def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """The order of the suffixes at ``at``, of ``length`` elements, within ascending groups: a stable bottom-up mergesort.
+def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, room: np.ndarray, group: np.ndarray, forward: bool) -> np.ndarray:
+    """The order of the suffixes at ``at``, of ``room`` elements, within groups: a stable bottom-up mergesort. Backwards, the
+    elements before ``at``, read from there. A suffix goes before those that it is the beginning of.
 
     All merges of a round run at once: an element's place is its place in its run plus the number of elements of the
     sister run that go before it, found by binary search.
     """
     order = np.argsort(group, kind="stable")
-    whole = hashes.of(at, length)  # equal suffixes need no search
-    sizes = np.bincount(group)
+    sizes = np.unique(group, return_counts=True)[1]
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     nth, size = np.arange(len(at)) - begin, np.repeat(sizes, sizes)
     width = 1
@@ -66,13 +73,15 @@ def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, group:
             if not len(open_):
                 break
             mid = (low[open_] + high[open_]) >> 1
-            other = order[b[open_] + mid]
-            x = mine[open_]
-            before = ~left[open_]  # on ties the left run goes first
-            apart = np.flatnonzero(whole[x] != whole[other])
-            one, two = at[x[apart]], at[other[apart]]
-            k = common_extension(hashes, one, two, length)
-            before[apart] = values[two + k] < values[one + k]
+            x, y = mine[open_], order[b[open_] + mid]
+            most = np.minimum(room[x], room[y])
+            k = common_extension(hashes, at[x], at[y], most, forward)
+            inner = np.minimum(k, np.maximum(most - 1, 0))  # in bounds where a suffix ends; not looked at there
+            one, two = (at[x] + inner, at[y] + inner) if forward else (at[x] - 1 - inner, at[y] - 1 - inner)
+            last = len(values) - 1
+            less = values[np.clip(two, 0, last)] < values[np.clip(one, 0, last)]
+            shorter = (room[y] < room[x]) | ((room[y] == room[x]) & ~left[open_])  # on ties the left run goes first
+            before = np.where(k < most, less, shorter)
             low[open_] = np.where(before, mid + 1, low[open_])
             high[open_] = np.where(before, high[open_], mid)
         to = b + (run - (run % 2)) * width + (p - run * width) + (low - sister)
@@ -83,44 +92,52 @@ def sort_suffixes(hashes: PrefixHash, values: np.ndarray, at: np.ndarray, group:
     return order
 
 
-def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which windows have an equal one at the same offset in their bucket. Those whose hash no other has can't, and are
-    not sorted."""
-    key = bucket * (2 * np.abs(offset).max() + 2) + (offset - offset.min())
-    hashes = PrefixHash(values)
-    whole = mix(hashes.of(place, length) ^ mix(key.astype(np.uint64)))
-    by_hash = np.argsort(whole)
-    same = whole[by_hash[1:]] == whole[by_hash[:-1]]
-    live = np.sort(by_hash[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
-    _, group = np.unique(key[live], return_inverse=True)
-    order = sort_suffixes(hashes, values, place[live], group, length)
+def neighbours(hashes: PrefixHash, values: np.ndarray, raw: bytes, at: np.ndarray, room: np.ndarray, group: np.ndarray, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes, and what each but the last has in common with the next one: -1 at the end of a group. An
+    extension that a collision of hashes made too long is cut to what the bytes say."""
+    order = sort_suffixes(hashes, values, at, room, group, forward)
     a, b = order[:-1], order[1:]
-    near = np.flatnonzero(group[a] == group[b])
-    a, b = live[a[near]], live[b[near]]
-    near = hashes.of(place[a], length) == hashes.of(place[b], length)
-    return confirmed(a[near], b[near], place, raw.tobytes(), length)
+    found = common_extension(hashes, at[a], at[b], np.minimum(room[a], room[b]), forward)
+    found[group[a] != group[b]] = -1
+    starts = (at[a], at[b]) if forward else (at[a] - found, at[b] - found)
+    for i, x, y, n in zip(range(len(found)), starts[0].tolist(), starts[1].tolist(), found.tolist(), strict=True):
+        if n > 0 and raw[x : x + n] != raw[y : y + n]:
+            one, two = (raw[x : x + n], raw[y : y + n]) if forward else (raw[x : x + n][::-1], raw[y : y + n][::-1])
+            found[i] = next(k for k in range(n) if one[k] != two[k])
+    return order, found
+
+
+def runs_of(order: np.ndarray, extensions: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix the run of the order in which all neighbours have ``least`` elements or more in common."""
+    run = np.empty(len(order), np.int64)
+    run[order] = np.concatenate([[0], np.cumsum(extensions < least)])
+    return run
 
 
-def confirmed(a: np.ndarray, b: np.ndarray, place: np.ndarray, raw: bytes, length: int) -> np.ndarray:
-    """Which windows are in one of the pairs (a, b) whose bytes are equal. Pairs that follow each other at the same
-    distance overlap, so their bytes are compared as one run."""
+def twins(bucket: np.ndarray, offset: np.ndarray, place: np.ndarray, values: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which windows have an equal one at the same offset in their bucket.
+
+    Windows that follow each other around one anchor are a stretch; its suffix goes from the anchor to the end of its last
+    window, and back from the anchor to the start of its first.
+    """
     found = np.zeros(len(place), bool)
-    if not len(a):
+    if not len(place):
         return found
-    low, far = np.minimum(place[a], place[b]), np.abs(place[a] - place[b])
-    order = np.lexsort((low, far))
-    a, b, low, far = a[order], b[order], low[order], far[order]
-    head = np.flatnonzero(np.concatenate([[True], (far[1:] != far[:-1]) | (low[1:] != low[:-1] + 1)]))
-    tail = np.append(head[1:], len(a))
-    same = np.zeros(len(a), bool)
-    for x, y, s, e, d in zip(head.tolist(), tail.tolist(), low[head].tolist(), low[tail - 1].tolist(), far[head].tolist(), strict=True):
-        if raw[s : e + length] == raw[s + d : e + length + d]:
-            same[x:y] = True
-        else:
-            for k in range(x, y):
-                w = s + k - x
-                same[k] = raw[w : w + length] == raw[w + d : w + d + length]
-    found[a[same]] = found[b[same]] = True
+    head = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1]))
+    count = np.diff(np.append(head, len(place)))
+    group, anchor = bucket[head], (place - offset)[head]
+    back = anchor - place[head]
+    ahead = length + count - 1 - back
+    hashes, whole = PrefixHash(values), raw.tobytes()
+    behind = neighbours(hashes, values, whole, anchor, ahead, group, True)
+    before = neighbours(hashes, values, whole, anchor, back, group, False)
+    least = back - count + 1
+    for o in range(int(least.min()), int(back.max()) + 1):
+        live = np.flatnonzero((least <= o) & (o <= back))
+        key = runs_of(*behind, length - o)[live] * len(head) + runs_of(*before, o)[live]
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        same = live[times[which] > 1]
+        found[head[same] + back[same] - o] = True
     return found
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -100,20 +101,57 @@ def test_hot_passages_have_no_bucket(spark, monkeypatch, operator):
     assert sorted(tuple(x) for x in out.collect()) == sorted(operator.brute_force(rows))
 
 
-def test_pairs_are_confirmed_by_their_bytes():
-    raw = b"abcdefgh-abcdefgh-abcdXfgh"
-    place = np.array([0, 1, 2, 3, 9, 10, 11, 12, 18, 19, 20, 21])
-    a, b = np.array([0, 1, 2, 3, 0, 1, 2, 3]), np.array([4, 5, 6, 7, 8, 9, 10, 11])
-    assert suffix_dedup.confirmed(a[:4], b[:4], place, raw, 5).tolist() == [True] * 8 + [False] * 4
-    assert suffix_dedup.confirmed(a[4:], b[4:], place, raw, 4).tolist() == [True] + [False] * 7 + [True] + [False] * 3
-    assert not suffix_dedup.confirmed(a[:0], b[:0], place, raw, 4).any()
+def stretches_of(r, data: bytes, length: int, buckets: int) -> tuple:
+    """Windows of random stretches of ``data``, each around an anchor that its bucket's others have too."""
+    bucket, offset, place, out, at = [], [], [], b"", 0
+    for b in range(buckets):
+        anchors = [r.randrange(length, len(data) - length) for _ in range(r.randint(1, 9))]
+        for a in anchors:
+            high, low = r.randrange(length - 2), 0
+            low = r.randint(max(0, high - 9), high)  # offsets of the windows' starts before the anchor
+            piece = data[a - high : a - low + length]
+            bucket += [b] * (high - low + 1)
+            offset += [-o for o in range(high, low - 1, -1)]
+            place += [at + i for i in range(high - low + 1)]
+            out, at = out + piece, at + len(piece)
+    return tuple(map(np.array, (bucket, offset, place))) + (np.frombuffer(out, np.uint8),)
+
+
+def test_twins_equal_all_pairs_and_need_both_orders(monkeypatch):
+    """Equal windows at one offset of a bucket, on texts of few letters; without sorted suffixes they are not found."""
+    r, apart = random.Random(8), 0
+    for trial in range(60):
+        data = bytes(r.choices(b"ab", weights=[9, 1], k=300)) if trial % 2 else bytes(r.choices(b"ab", k=7)) * 50
+        bucket, offset, place, raw = stretches_of(r, data, 20, 4)
+        keys = Counter((b, o, raw[p : p + 20].tobytes()) for b, o, p in zip(bucket.tolist(), offset.tolist(), place.tolist(), strict=True))
+        want = [keys[b, o, raw[p : p + 20].tobytes()] > 1 for b, o, p in zip(bucket.tolist(), offset.tolist(), place.tolist(), strict=True)]
+        assert suffix_dedup.twins(bucket, offset, place, raw, None, None, raw, 20).tolist() == want
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "sort_suffixes", lambda h, v, at, room, group, forward: np.argsort(group, kind="stable"))
+            apart += suffix_dedup.twins(bucket, offset, place, raw, None, None, raw, 20).tolist() != want
+    assert apart > 20
+
+
+def test_collisions_of_hashes_are_cut_by_the_bytes(monkeypatch):
+    class Blind(suffix_dedup.PrefixHash):
+        def of(self, starts, lengths):
+            return np.zeros(len(np.atleast_1d(starts)), np.uint64)  # all stretches look alike
+
+    raw = np.frombuffer(b"xxabcabcabyyxxabcabcaczz", np.uint8)
+    order, found = suffix_dedup.neighbours(Blind(raw), raw, raw.tobytes(), np.array([2, 14]), np.array([8, 8]), np.zeros(2, int), True)
+    assert sorted(order.tolist()) == [0, 1] and found.tolist() == [7]
+    order, found = suffix_dedup.neighbours(Blind(raw), raw, raw.tobytes(), np.array([12, 24]), np.array([9, 9]), np.zeros(2, int), False)
+    assert found.tolist() == [0]
 
 
 def test_suffix_order_is_lexicographic():
     data = np.frombuffer(b"banana bandana banana band" * 3, np.uint8)
-    at, group = np.arange(40), np.arange(40) % 3
-    order = suffix_dedup.sort_suffixes(suffix_dedup.PrefixHash(data), data, at, group, 20)
-    assert order.tolist() == sorted(range(40), key=lambda i: (group[i], data[at[i] : at[i] + 20].tobytes(), i))
+    r = np.random.default_rng(1)
+    at, room, group = r.integers(20, 58, 40), r.integers(0, 20, 40), np.arange(40) % 3
+    order = suffix_dedup.sort_suffixes(suffix_dedup.PrefixHash(data), data, at, room, group, True)
+    assert order.tolist() == sorted(range(40), key=lambda i: (group[i], data[at[i] : at[i] + room[i]].tobytes(), i))
+    order = suffix_dedup.sort_suffixes(suffix_dedup.PrefixHash(data), data, at, room, group, False)
+    assert order.tolist() == sorted(range(40), key=lambda i: (group[i], data[at[i] - room[i] : at[i]].tobytes()[::-1], i))
 
 
 def test_substring_dedup(docs, odd, empty):
@@ -390,7 +428,6 @@ def test_toxicity_against_brute_force(spark):
     """Neighbours and scores of every text from plain TF-IDF vectors in dictionaries."""
     import math
     import re as regex
-    from collections import Counter
 
     r = random.Random(3)
     rows = [(i, prose(r.randint(0, 60), r) + (" vile nasty hating " if i % 5 == 0 else " ") + prose(r.randint(0, 20), r)) for i in range(240)] + [(900, None), (901, ""), (902, "Vile ééé " * 3)]

@@ -98,7 +98,10 @@ def topic_summary(log: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "first"))
     label = F.when(F.col("topic") == "generated", "Generated Notes").otherwise(F.initcap(F.replace(F.col("topic"), F.lit("_"), F.lit(" "))))
     other = topic_unknown(log).withColumn("place", (rank + len(BASE_TOPICS) - 1).cast("bigint")).where(F.col("place") < TOPIC_ROWS)
-    other = other.select("user_id", "place", F.col("topic").alias("id"), label.alias("name"), F.concat("n", F.lit(" recent actions")).alias("sub"), _pct(10).alias("pct"), F.get(F.array(*map(F.lit, COLORS)), (F.col("place") % 3).cast("int")).alias("color"))
+    other = other.select(
+        "user_id", "place", F.col("topic").alias("id"), label.alias("name"), F.concat("n", F.lit(" recent actions")).alias("sub"),
+        _pct(10).alias("pct"), F.get(F.array(*map(F.lit, COLORS)), (F.col("place") % 3).cast("int")).alias("color"),
+    )
     return known.unionByName(other)
 
 
@@ -151,7 +154,9 @@ def monthly_bar(log: DataFrame, as_of: str | None = None) -> DataFrame:
     users = with_as_of(log, as_of).select("user_id", F.trunc("as_of", "MM").alias("now")).distinct()
     months = users.select("user_id", F.posexplode(F.sequence(F.add_months("now", 1 - MONTHS), "now", F.expr("interval 1 month"))).alias("place", "month"))
     value = F.least(F.lit(100), F.coalesce("n", F.lit(0)) * 6)
-    return months.join(monthly_counts(log), ["user_id", "month"], "left").select("user_id", F.col("place").cast("bigint").alias("place"), F.date_format("month", "MMM").alias("month"), value.alias("value"))
+    return months.join(monthly_counts(log), ["user_id", "month"], "left").select(
+        "user_id", F.col("place").cast("bigint").alias("place"), F.date_format("month", "MMM").alias("month"), value.alias("value"),
+    )
 
 
 def bar_normalized(log: DataFrame) -> DataFrame:
@@ -176,7 +181,10 @@ def latest_by_kind(log: DataFrame) -> DataFrame:
 
 
 def kpi_counts(log: DataFrame) -> DataFrame:
-    return log.groupBy("user_id").agg(F.count_if(F.col("kind") == "quiz_completed").alias("quizzes"), F.count_if((F.col("kind") == "planner_task_done") & F.col("done")).alias("tasks_done"), F.count(F.lit(1)).alias("events"))
+    return log.groupBy("user_id").agg(
+        F.count_if(F.col("kind") == "quiz_completed").alias("quizzes"),
+        F.count_if((F.col("kind") == "planner_task_done") & F.col("done")).alias("tasks_done"), F.count(F.lit(1)).alias("events"),
+    )
 
 
 #: Icon and title of each tip, and what its body says around its value.
@@ -197,7 +205,14 @@ def tips(log: DataFrame) -> DataFrame:
         last(F.array_join(F.slice(weak, 1, 3), ", "), "quiz_completed").alias("weak"), F.nullif(F.count_if((F.col("kind") == "planner_task_done") & F.col("done")), F.lit(0)).alias("tasks"),
     )
     values = [F.col("file"), F.col("score").cast("string"), F.nullif("weak", F.lit("")), F.col("tasks").cast("string")]
-    all_ = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(icon).alias("icon"), F.lit(title).alias("title"), F.concat(F.lit(before), v, F.lit(after)).alias("body"))) for v, (icon, title, before, after) in zip(values, TIPS, strict=True)])
+    all_ = F.array(
+        *[
+            F.when(
+                v.isNotNull(),
+                F.struct(F.lit(icon).alias("icon"), F.lit(title).alias("title"), F.concat(F.lit(before), v, F.lit(after)).alias("body")),
+            ) for v, (icon, title, before, after) in zip(values, TIPS, strict=True)
+        ]
+    )
     return facts.select("user_id", F.posexplode(F.slice(F.filter(all_, lambda t: t.isNotNull()), 1, 3)).alias("place", "t")).select("user_id", F.col("place").cast("bigint").alias("place"), "t.*")
 
 

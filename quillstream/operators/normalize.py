@@ -68,7 +68,10 @@ def normalize(sections: DataFrame, subjects: DataFrame, diagrams: DataFrame) ->
     rows.write.parquet(path)
     kept = rows.sparkSession.read.schema(rows.schema).parquet(path)
     own = kept.where("section_id is not null")
-    totals = kept.groupBy("note_id").agg(F.first("document_title").alias("title"), F.first("level").alias("difficulty"), F.count("section_id").alias("total_sections"), F.sum("word_count").alias("words"))
+    totals = kept.groupBy("note_id").agg(
+        F.first("document_title").alias("title"), F.first("level").alias("difficulty"), F.count("section_id").alias("total_sections"),
+        F.sum("word_count").alias("words"),
+    )
     subject = F.coalesce(F.nullif("subject", F.lit("")), F.lit("general"))
     note = totals.join(subjects, "note_id", "left").select(
         "note_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Note")).alias("title"), subject.alias("subject"), "difficulty",

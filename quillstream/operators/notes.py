@@ -12,12 +12,21 @@ from ..functions import text as fn
 
 FLUSH, SMALL, EXCERPT = 2200, 350, 600
 FORMATS = ["cornell", "outline", "mindmap", "chart", "sentence"]
-_CHUNK = T.StructType([T.StructField("section_id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("raw_text", T.StringType()), T.StructField("pages", T.ArrayType(T.IntegerType()))])
+_CHUNK = T.StructType(
+    [
+        T.StructField("section_id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("raw_text", T.StringType()),
+        T.StructField("pages", T.ArrayType(T.IntegerType())),
+    ]
+)
 
 #: The sentences of a section. In braces are columns of a section: its title, the document's, its first
 #: four keywords (or a stand-in), its first and second keyword.
 NO_TEXT = "No extracted text found."
-EXPLANATION = "{title} in {document_title} concentrates on {named_or_central}. This part should be studied as a connected idea rather than as isolated lines from the source material. For exam preparation, focus on what the concept does, how it fits into the larger system, and where it is typically applied."
+EXPLANATION = (
+    "{title} in {document_title} concentrates on {named_or_central}. This part should be studied as a connected idea rather than as isolated lines "
+    "from the source material. For exam preparation, focus on what the concept does, how it fits into the larger system, and where it is typically "
+    "applied."
+)
 KEY_POINTS = [
     "{title} should be understood by purpose, flow, and relationship to surrounding concepts.",
     "Important keywords in this section include {named_or_title}.",
@@ -28,8 +37,14 @@ EXAMPLES = ["Explain {title} using a short real-world or software-oriented examp
 USE_CASES = ["Use {title} while discussing architecture, workflow, or implementation decisions.", "Use the concept to justify design choices or explain system behavior in a written answer."]
 IMPORTANT_NOTES = ["Do not memorize the section line by line; focus on meaning and relationships.", "In exams, strong answers usually include definition, working, use case, and one comparison."]
 WHY_THIS_MATTERS = "This section matters because exams typically test whether the learner can explain the concept clearly, connect it to architecture or workflow, and apply it in context."
-COMMON_MISTAKES = ["Confusing {focus} with nearby related terms.", "Writing only a definition without explaining working or significance.", "Skipping the practical implication or architecture link in long answers."]
-TEST_YOURSELF = ["Can you explain {title} without looking at the source text?", "Can you compare {focus} with another related concept?", "Can you draw or describe the process/architecture from memory if asked in an exam?"]
+COMMON_MISTAKES = [
+    "Confusing {focus} with nearby related terms.", "Writing only a definition without explaining working or significance.",
+    "Skipping the practical implication or architecture link in long answers.",
+]
+TEST_YOURSELF = [
+    "Can you explain {title} without looking at the source text?", "Can you compare {focus} with another related concept?",
+    "Can you draw or describe the process/architecture from memory if asked in an exam?",
+]
 CUE = ["What problem does {title} solve?", "How would you explain the flow or working of {title}?", "Where can {title} appear in an exam answer or application scenario?"]
 SUMMARY = "{title} should be revised through concept, flow, and application."
 SENTENCE = "{title} is best revised as a connected study topic that combines definition, role, flow, examples, and likely exam framing."
@@ -107,7 +122,10 @@ def _chunks_of(items: Column, bounds: Column) -> Column:
     def chunk(b, k):
         own = F.slice(items, b.start + 1, b.stop - b.start)
         pages = F.concat(F.transform(own, lambda x: x.page), F.when(b.head_page.isNotNull(), F.array(b.head_page)).otherwise(F.array().cast("array<int>")))
-        return F.struct(F.concat(F.lit("section-"), k + 1).alias("section_id"), b.title.alias("title"), F.array_join(F.transform(own, lambda x: x.text), "\n\n").alias("raw_text"), F.array_sort(F.array_distinct(pages)).alias("pages"))
+        return F.struct(
+            F.concat(F.lit("section-"), k + 1).alias("section_id"), b.title.alias("title"),
+            F.array_join(F.transform(own, lambda x: x.text), "\n\n").alias("raw_text"), F.array_sort(F.array_distinct(pages)).alias("pages"),
+        )
 
     return F.transform(bounds, chunk)
 
@@ -121,7 +139,11 @@ def _merge(chunks: Column) -> Column:
         def one(h, j):
             own = F.slice(c, h + 1, F.coalesce(F.get(heads, j + 1), F.size(c)) - h)
             first = F.get(c, h)
-            return F.struct(first["section_id"].alias("section_id"), first["title"].alias("title"), F.array_join(F.transform(own, lambda x: x["raw_text"]), "\n\n").alias("raw_text"), F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda x: x["pages"])))).alias("pages"))
+            return F.struct(
+                first["section_id"].alias("section_id"), first["title"].alias("title"),
+                F.array_join(F.transform(own, lambda x: x["raw_text"]), "\n\n").alias("raw_text"),
+                F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda x: x["pages"])))).alias("pages"),
+            )
 
         return F.transform(heads, one)
 
@@ -174,7 +196,10 @@ def definitions(text: Column, words: Column) -> Column:
 def branches(title: Column, words: Column) -> Column:
     """array<struct<name, sub>>: every other keyword of six with the two that follow it."""
     head = F.when(F.size(words) > 0, F.slice(words, 1, 6)).otherwise(F.array(F.lower(title)))
-    return F.transform(F.filter(F.transform(head, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.i % 2 == 0), lambda x: F.struct(fn.title_case(x.w).alias("name"), F.transform(F.slice(head, x.i + 2, 2), fn.title_case).alias("sub")))
+    return F.transform(
+        F.filter(F.transform(head, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.i % 2 == 0),
+        lambda x: F.struct(fn.title_case(x.w).alias("name"), F.transform(F.slice(head, x.i + 2, 2), fn.title_case).alias("sub")),
+    )
 
 
 def branch_lines(tree: Column, depth: int) -> Column:
@@ -222,7 +247,10 @@ def questions_of() -> Column:
     def one(kind: str, hard: str, question: str, hint: str) -> Column:
         options = F.array(*map(say, QUESTION_OPTIONS[kind])) if kind in QUESTION_OPTIONS else none
         told = say(QUESTION_EXPLANATIONS[kind]).alias("explanation")
-        return F.struct(F.lit(kind).alias("type"), F.lit(hard).alias("difficulty"), say(question).alias("question"), options.alias("options"), F.lit(0).alias("answer_index"), say(hint).alias("answer_hint"), told)
+        return F.struct(
+            F.lit(kind).alias("type"), F.lit(hard).alias("difficulty"), say(question).alias("question"), options.alias("options"),
+            F.lit(0).alias("answer_index"), say(hint).alias("answer_hint"), told,
+        )
 
     return F.array(*[one(*q) for q in QUESTIONS])
 
@@ -377,7 +405,10 @@ def read_time(words: Column, n_sections: Column) -> Column:
 def note_record(s: DataFrame) -> DataFrame:
     """(note_id, total_sections, word_count, estimated_read_time, progress, is_favorite) of each normalised note."""
     n = sections_table(s).groupBy("note_id").agg(F.count(F.lit(1)).alias("total_sections"), F.sum("word_count").alias("word_count"))
-    return n.select("note_id", "total_sections", "word_count", read_time(F.col("word_count"), F.col("total_sections")).alias("estimated_read_time"), F.lit(0).alias("progress"), F.lit(False).alias("is_favorite"))
+    return n.select(
+        "note_id", "total_sections", "word_count", read_time(F.col("word_count"), F.col("total_sections")).alias("estimated_read_time"),
+        F.lit(0).alias("progress"), F.lit(False).alias("is_favorite"),
+    )
 
 
 def preferences(given: DataFrame) -> DataFrame:
@@ -413,7 +444,10 @@ def hint_files(hints: DataFrame, path: str, most: int = 2, max_bytes: int = 4_00
 def list_notes(static: DataFrame, generated: DataFrame) -> DataFrame:
     """(origin, id, title, topic, source, progress, is_favorite): static notes (0) before generated ones (1)."""
     def listed(rows, origin):
-        return rows.select(F.lit(origin).alias("origin"), "id", "title", "topic", F.coalesce("source", F.lit("generated")).alias("source"), F.coalesce("progress", F.lit(0)).alias("progress"), F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"))
+        return rows.select(
+            F.lit(origin).alias("origin"), "id", "title", "topic", F.coalesce("source", F.lit("generated")).alias("source"),
+            F.coalesce("progress", F.lit(0)).alias("progress"), F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"),
+        )
 
     return listed(static, 0).unionByName(listed(generated, 1))
 

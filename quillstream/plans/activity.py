@@ -35,7 +35,9 @@ _MASTERY = """, mastered as (
   select l.user_id, topics_mastered, least(99, events * 2 + topics_mastered * 3) as mastery
   from (select user_id, count(*) as events from log group by 1) l
   join (select user_id, count(*) filter (where pct >= 80) as topics_mastered from summary group by 1) s using (user_id))"""
-_TASKS = "tasks(task_id, title, topic, priority, est, day, date) as (values " + ", ".join("(" + ", ".join("null" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in t) + ")" for t in planner.TASKS) + ")"
+_TASKS = "tasks(task_id, title, topic, priority, est, day, date) as (values " + ", ".join(
+    "(" + ", ".join("null" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in t) + ")" for t in planner.TASKS
+) + ")"
 _STATE = ", state as (select user_id, task_id, arg_max(done, event_id) as done from log where kind = 'planner_task_done' group by all)"
 _BARS = f""", months as (select user_id, unnest(range(12)) as place from (select distinct user_id from log)),
 dated as (select user_id, place, cast(date_trunc('month', {_AS_OF}) - to_months(cast(11 - place as int)) as date) as m from months),
@@ -50,7 +52,11 @@ def study_minutes(spark, d):
     return act.study_minutes(activity_log(spark, d))
 
 
-@query("study_time_fmt", f"{_L}, m as (select user_id, cast(sum({_MIN}) as bigint) as m from log group by 1) select user_id, cast(m // 60 as varchar) as value, printf('h %02dm', m % 60) as suffix from m")
+@query(
+    "study_time_fmt",
+    f"{_L}, m as (select user_id, cast(sum({_MIN}) as bigint) as m from log group by 1) select user_id, cast(m // 60 as varchar) as value, "
+    f"printf('h %02dm', m % 60) as suffix from m",
+)
 def study_time_fmt(spark, d):
     return act.study_time(activity_log(spark, d))
 
@@ -65,7 +71,12 @@ def current_streak(spark, d):
     return act.current_streak(activity_log(spark, d))
 
 
-@query("longest_streak", f"{_L}, days as (select distinct user_id, cast(ts as date) as d from log), i as (select *, d - cast(row_number() over (partition by user_id order by d) as int) as g from days), r as (select user_id, g, count(*) as n from i group by all) select user_id, max(n) as longest from r group by 1")
+@query(
+    "longest_streak",
+    f"{_L}, days as (select distinct user_id, cast(ts as date) as d from log), i as (select *, d - cast(row_number() over (partition by user_id "
+    f"order by d) as int) as g from days), r as (select user_id, g, count(*) as n from i group by all) select user_id, max(n) as longest from r "
+    f"group by 1",
+)
 def longest_streak(spark, d):
     return act.longest_streak(activity_log(spark, d))
 
@@ -110,7 +121,11 @@ def mastery_kpi(spark, d):
     return act.mastery(activity_log(spark, d))
 
 
-@query("kpi_counts", f"{_L} select user_id, count(*) filter (where kind = 'quiz_completed') as quizzes, count(*) filter (where kind = 'planner_task_done' and done) as tasks_done, count(*) as events from log group by 1")
+@query(
+    "kpi_counts",
+    f"{_L} select user_id, count(*) filter (where kind = 'quiz_completed') as quizzes, count(*) filter (where kind = 'planner_task_done' and done) "
+    f"as tasks_done, count(*) as events from log group by 1",
+)
 def kpi_counts(spark, d):
     return act.kpi_counts(activity_log(spark, d))
 
@@ -217,13 +232,25 @@ def ingest_merge_extra(spark, d):
     e = table(spark, d, "events")
     put = lambda when, **fields: F.when(when, F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])).otherwise(F.create_map().cast("map<string,string>"))
     i = F.col("event_id")
-    extra = F.map_concat(put(i % 3 == 0, ts=F.to_date("ts").cast("string")), put(i % 2 == 0, topic=F.lit("extra"), kind=F.lit("mine")), put(i % 5 == 0, note_id=F.lit("n5"), device=F.lit("phone")), put(i % 7 == 0, score=F.lit("many")), put((i % 5 == 0) & (i % 7 != 0), score=F.lit("42")))
-    raw = e.select("event_id", "user_id", F.col("event_type").alias("kind"), "ts", F.lit("own").alias("topic"), F.concat(F.lit("f"), "user_id").alias("filename"), (F.col("user_id") % 100).alias("score"), F.col("event_type").alias("message"), (F.col("user_id") % 8).alias("task_id"), (i % 2 == 0).alias("done"), extra.alias("extra"))
+    extra = F.map_concat(
+        put(i % 3 == 0, ts=F.to_date("ts").cast("string")), put(i % 2 == 0, topic=F.lit("extra"), kind=F.lit("mine")),
+        put(i % 5 == 0, note_id=F.lit("n5"), device=F.lit("phone")), put(i % 7 == 0, score=F.lit("many")),
+        put((i % 5 == 0) & (i % 7 != 0), score=F.lit("42")),
+    )
+    raw = e.select(
+        "event_id", "user_id", F.col("event_type").alias("kind"), "ts", F.lit("own").alias("topic"),
+        F.concat(F.lit("f"), "user_id").alias("filename"), (F.col("user_id") % 100).alias("score"), F.col("event_type").alias("message"),
+        (F.col("user_id") % 8).alias("task_id"), (i % 2 == 0).alias("done"), extra.alias("extra"),
+    )
     # a score that is no number is null, whatever the event's own
     return act.ingest(raw).withColumn("others", F.array_join(F.map_keys("extra"), ",")).drop("extra")
 
 
-@query("log_append", f"{_L} select event_id, kind from (select event_id, kind from log where event_id % 3 = 0 union all select event_id + 1000000000, kind from log where event_id % 5 = 0) order by event_id desc limit {act.LOG_CAP}")
+@query(
+    "log_append",
+    f"{_L} select event_id, kind from (select event_id, kind from log where event_id % 3 = 0 union all select event_id + 1000000000, kind from log "
+    f"where event_id % 5 = 0) order by event_id desc limit {act.LOG_CAP}",
+)
 def log_append(spark, d):
     """Two batches appended to a stored log, of which the last 1000 events stay."""
     log = activity_log(spark, d).select("event_id", "kind")
@@ -245,7 +272,11 @@ def planner_state(spark, d):
     return planner.state(activity_log(spark, d))
 
 
-@query("planner_tasks", f"{_L}{_STATE}, {_TASKS} select u.user_id, t.*, coalesce(done, false) as done from (select distinct user_id from log) u cross join tasks t left join state s on s.user_id = u.user_id and s.task_id = t.task_id")
+@query(
+    "planner_tasks",
+    f"{_L}{_STATE}, {_TASKS} select u.user_id, t.*, coalesce(done, false) as done from (select distinct user_id from log) u cross join tasks t left "
+    f"join state s on s.user_id = u.user_id and s.task_id = t.task_id",
+)
 def planner_tasks(spark, d):
     return planner.board(activity_log(spark, d))
 
@@ -255,12 +286,22 @@ def planner_deadlines(spark, d):
     return planner.deadlines(spark)
 
 
-@query("planner_progress", f"{_L}{_STATE}, {_TASKS}, b as (select u.user_id, day, coalesce(done, false) as done from (select distinct user_id from log) u cross join tasks t left join state s on s.user_id = u.user_id and s.task_id = t.task_id), p as (select user_id, count(*) as today, count(*) filter (where done) as done from b where day = 'today' group by 1) select user_id, today, done, cast(floor(100 * done / today + 0.5) as bigint) as percent from p")
+@query(
+    "planner_progress",
+    f"{_L}{_STATE}, {_TASKS}, b as (select u.user_id, day, coalesce(done, false) as done from (select distinct user_id from log) u cross join tasks "
+    f"t left join state s on s.user_id = u.user_id and s.task_id = t.task_id), p as (select user_id, count(*) as today, count(*) filter (where "
+    f"done) as done from b where day = 'today' group by 1) select user_id, today, done, cast(floor(100 * done / today + 0.5) as bigint) as percent "
+    f"from p",
+)
 def planner_progress(spark, d):
     return planner.progress(activity_log(spark, d))
 
 
-@query("planner_toggle_enrich", f"{_L}, {_TASKS} select event_id, l.task_id, done, title, lower(t.topic) as topic from log l left join tasks t on t.task_id = l.task_id where kind = 'planner_task_done'")
+@query(
+    "planner_toggle_enrich",
+    f"{_L}, {_TASKS} select event_id, l.task_id, done, title, lower(t.topic) as topic from log l left join tasks t on t.task_id = l.task_id where "
+    f"kind = 'planner_task_done'",
+)
 def planner_toggle_enrich(spark, d):
     return planner.toggles(activity_log(spark, d))
 

@@ -59,7 +59,11 @@ def heading_lines(spark, d):
     return lines.where(fn.is_heading(F.col("line")))
 
 
-@query("headings_norm", "select p_partkey, coalesce(nullif(trim(regexp_replace(regexp_replace(p_size || '.' || (p_partkey % 9) || ' ' || p_type || ': -', '^[0-9]+(\\.[0-9]+)*\\s*', ''), '^[:\\- ]+|[:\\- ]+$', '', 'g')), ''), p_brand) as heading from part")
+@query(
+    "headings_norm",
+    "select p_partkey, coalesce(nullif(trim(regexp_replace(regexp_replace(p_size || '.' || (p_partkey % 9) || ' ' || p_type || ': -', "
+    "'^[0-9]+(\\.[0-9]+)*\\s*', ''), '^[:\\- ]+|[:\\- ]+$', '', 'g')), ''), p_brand) as heading from part",
+)
 def headings_norm(spark, d):
     line = F.concat("p_size", F.lit("."), F.col("p_partkey") % 9, F.lit(" "), "p_type", F.lit(": -"))
     return table(spark, d, "part").select("p_partkey", fn.heading_text(line, F.col("p_brand")).alias("heading"))
@@ -100,23 +104,43 @@ def definitions(spark, d):
     return table(spark, d, "documents").select("doc_id", found.alias("f")).where(F.size("f") > 0).select("doc_id", F.array_join("f", "|").alias("definitions"))
 
 
-@query("dedupe_lines", f"with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents), f as (select doc_id, pos, {_STRIP("regexp_replace(line, '\\s+', ' ', 'g')")} as line from l), k as (select doc_id, lower(line) as k, min(pos) as pos, arg_min(line, pos) as line from f where line <> '' group by all) select doc_id, count(*) as n, string_agg(line, chr(10) order by pos) as text from k group by 1")
+@query(
+    "dedupe_lines",
+    f"with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from "
+    f"documents), f as (select doc_id, pos, {_STRIP("regexp_replace(line, '\\s+', ' ', 'g')")} as line from l), k as (select doc_id, lower(line) as "
+    f"k, min(pos) as pos, arg_min(line, pos) as line from f where line <> '' group by all) select doc_id, count(*) as n, string_agg(line, chr(10) "
+    f"order by pos) as text from k group by 1",
+)
 def dedupe_lines(spark, d):
     rows = table(spark, d, "documents").select("doc_id", fn.dedupe(F.split("text", "\n")).alias("k"))
     return rows.where(F.size("k") > 0).select("doc_id", F.size("k").cast("bigint").alias("n"), F.array_join("k", "\n").alias("text"))
 
 
-@query("dedupe_stripped", f"with l as (select doc_id, {_STRIP("x")} as line, i from (select doc_id, unnest(string_split(replace(text, '.', '  ' || chr(10) || ' '), chr(10))) as x, unnest(range(len(string_split(replace(text, '.', '  ' || chr(10) || ' '), chr(10))))) as i from documents)), k as (select doc_id, min(i) as i, arg_min(line, i) as line from l where line <> '' group by doc_id, lower(line)) select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as text from k group by 1")
+@query(
+    "dedupe_stripped",
+    f"with l as (select doc_id, {_STRIP("x")} as line, i from (select doc_id, unnest(string_split(replace(text, '.', '  ' || chr(10) || ' '), "
+    f"chr(10))) as x, unnest(range(len(string_split(replace(text, '.', '  ' || chr(10) || ' '), chr(10))))) as i from documents)), k as (select "
+    f"doc_id, min(i) as i, arg_min(line, i) as line from l where line <> '' group by doc_id, lower(line)) select doc_id, count(*) as n, "
+    f"string_agg(line, chr(10) order by i) as text from k group by 1",
+)
 def dedupe_stripped(spark, d):
     parts = F.split(F.replace("text", F.lit("."), F.lit("  \n ")), "\n")
     rows = table(spark, d, "documents").select("doc_id", fn.dedupe_stripped(parts).alias("k"))
     return rows.where(F.size("k") > 0).select("doc_id", F.size("k").cast("bigint").alias("n"), F.array_join("k", "\n").alias("text"))
 
 
-@query("lower_keys", """select item_id, cast(to_json({'title': trim(text), 'tags': ['A b', 'c'], 'meta': {'page': item_id, 'deep key': {'note': '' || item_id}}}) as varchar) as record from benchmark where item_id % 5 > 0 union all select item_id, null from benchmark where item_id % 5 = 0""")
+@query(
+    "lower_keys",
+    """select item_id, cast(to_json({'title': trim(text), 'tags': ['A b', 'c'], 'meta': {'page': item_id, 'deep key': {'note': '' || item_id}}}) as varchar) as record from benchmark where item_id % 5 > 0 union all select item_id, null from benchmark where item_id % 5 = 0""",
+)
 def lower_keys(spark, d):
     i = F.col("item_id")
-    given = F.to_json(F.struct(F.concat(F.lit("  "), "text", F.lit(" \n")).alias("Title"), F.array(F.lit(" A b"), F.lit("c ")).alias("TAGS"), F.struct(i.alias("Page"), F.struct(F.concat(F.lit(" "), i).alias("Note")).alias("Deep Key")).alias("meta")))
+    given = F.to_json(
+        F.struct(
+            F.concat(F.lit("  "), "text", F.lit(" \n")).alias("Title"), F.array(F.lit(" A b"), F.lit("c ")).alias("TAGS"),
+            F.struct(i.alias("Page"), F.struct(F.concat(F.lit(" "), i).alias("Note")).alias("Deep Key")).alias("meta"),
+        )
+    )
     return table(spark, d, "benchmark").select("item_id", fn.lower_keys(F.when(i % 5 > 0, given).otherwise("{broken")).alias("record"))
 
 
@@ -130,7 +154,10 @@ def doc_difficulty(spark, d):
     return table(spark, d, "documents").select("doc_id", fn.difficulty(F.col("text")).alias("difficulty"))
 
 
-@query("file_ext_filter", "select page_id, ext from (select page_id, case when contains(url, '.') then lower(list_last(string_split(url, '.'))) else '' end as ext from (select page_id, url || ['.PDF', '.html', '.md', '/x'][page_id % 4 + 1] as url from pages)) where ext in (" + ", ".join(f"'{x}'" for x in fn.ALLOWED) + ")")
+@query(
+    "file_ext_filter",
+    "select page_id, ext from (select page_id, case when contains(url, '.') then lower(list_last(string_split(url, '.'))) else '' end as ext from (select page_id, url || ['.PDF', '.html', '.md', '/x'][page_id % 4 + 1] as url from pages)) where ext in (" + ", ".join(f"'{x}'" for x in fn.ALLOWED) + ")",
+)
 def file_ext_filter(spark, d):
     name = F.concat("url", F.get(F.array(*map(F.lit, [".PDF", ".html", ".md", "/x"])), (F.col("page_id") % 4).cast("int")))
     return table(spark, d, "pages").select("page_id", fn.extension(name).alias("ext")).where(F.col("ext").isin(fn.ALLOWED))
@@ -167,7 +194,11 @@ def trim_2000(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring(fn.strip(F.col("text")), 1, 2000).alias("text"))
 
 
-@query("target_pages", "select p_size, case when p_size <= 1 then 1 else greatest(1, cast(round_even(p_size * 0.35::double, 0) as bigint)) end as least, case when p_size <= 1 then 2 else greatest(2, cast(round_even(p_size * 0.55::double, 0) as bigint)) end as most from (select distinct p_size from part)")
+@query(
+    "target_pages",
+    "select p_size, case when p_size <= 1 then 1 else greatest(1, cast(round_even(p_size * 0.35::double, 0) as bigint)) end as least, case when "
+    "p_size <= 1 then 2 else greatest(2, cast(round_even(p_size * 0.55::double, 0) as bigint)) end as most from (select distinct p_size from part)",
+)
 def target_pages(spark, d):
     least, most = fn.target_pages(F.col("p_size"))
     return table(spark, d, "part").select("p_size").distinct().select("p_size", least.alias("least"), most.alias("most"))
@@ -186,11 +217,24 @@ def strip_json_fence(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.from_json(bare, "text string").text.alias("text"))
 
 
-@query("split_pages", f"select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as nth, cast(turn as int) as page, {_STRIP('text')} as text from conversations where {_STRIP('text')} <> ''")
+@query(
+    "split_pages",
+    f"select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as nth, cast(turn as int) as page, {_STRIP('text')} as "
+    f"text from conversations where {_STRIP('text')} <> ''",
+)
 def split_pages(spark, d):
     """Conversations as documents of marked pages, split again at their marks."""
-    marked = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.concat(F.lit("[[PAGE_"), r.turn, F.lit("]] "), r.text)), "\n").alias("t"))
-    return marked.select("conv_id", F.posexplode(fn.pages(F.col("t"))).alias("nth", "p")).select("conv_id", F.col("nth").cast("bigint").alias("nth"), F.col("p.page").alias("page"), F.col("p.text").alias("text"))
+    marked = table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.array_join(
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.concat(F.lit("[[PAGE_"), r.turn, F.lit("]] "), r.text),
+            ),
+            "\n",
+        ).alias("t")
+    )
+    return marked.select("conv_id", F.posexplode(fn.pages(F.col("t"))).alias("nth", "p")).select(
+        "conv_id", F.col("nth").cast("bigint").alias("nth"), F.col("p.page").alias("page"), F.col("p.text").alias("text"),
+    )
 
 
 _CLEAN_OF = _CLEAN.replace("with messy as (select doc_id, " + _MESSY + " as t from documents),\nflat", "flat").replace("from messy", "from notebooks")
@@ -253,7 +297,10 @@ def _sections(spark, d) -> DataFrame:
 
 @query("chunk_sections", f"{_CHUNKS} select doc_id, c as nth, 'section-' || (c + 1) as section_id, title, length(raw) as n, array_to_string(pages, ',') as pages from chunks")
 def chunk_sections(spark, d):
-    return notes.chunks(notebooks(spark, d), merge=False).select("doc_id", "nth", "section_id", "title", F.length("raw_text").alias("n"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+    return notes.chunks(notebooks(spark, d), merge=False).select(
+        "doc_id", "nth", "section_id", "title", F.length("raw_text").alias("n"),
+        F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"),
+    )
 
 
 @query("chunk_sections_rows", f"{_CHUNKS} select doc_id, c as nth, 'section-' || (c + 1) as section_id, title, raw as raw_text, array_to_string(pages, ',') as pages from chunks")
@@ -274,7 +321,12 @@ def chunk_merge(spark, d):
 _LISTS = ["key_points", "definitions", "topics", "examples", "use_cases", "important_notes", "common_mistakes", "test_yourself", "chart"]
 
 
-@query("fallback_sections", f"{_SEC} select doc_id, nth, section_id, title, explanation, why_this_matters, sentence, {", ".join(f"array_to_string({c}, '|') as {c}" for c in _LISTS)}, array_to_string(list_transform(outline, lambda x: x.heading || ': ' || array_to_string(x.points, '; ')), '|') as outline from sec")
+@query(
+    "fallback_sections",
+    f"{_SEC} select doc_id, nth, section_id, title, explanation, why_this_matters, sentence, "
+    f"{", ".join(f"array_to_string({c}, '|') as {c}" for c in _LISTS)}, array_to_string(list_transform(outline, lambda x: x.heading || ': ' || "
+    f"array_to_string(x.points, '; ')), '|') as outline from sec",
+)
 def fallback_sections(spark, d):
     flat = F.array_join(F.transform("outline", lambda x: F.concat(x.heading, F.lit(": "), F.array_join(x.points, "; "))), "|")
     return _sections(spark, d).select("doc_id", "nth", "section_id", "title", "explanation", "why_this_matters", "sentence", *[F.array_join(c, "|").alias(c) for c in _LISTS], flat.alias("outline"))
@@ -328,7 +380,11 @@ def agg_cornell(spark, d):
     return _package(spark, d).select("doc_id", F.col("cornell_title").alias("title"), F.array_join("cue", "|").alias("cue"), "notes", "summary")
 
 
-@query("agg_outline", f"{_PKG} select doc_id, t || ' - Outline' as title, place, outline[place + 1].heading as heading, array_to_string(outline[place + 1].points, '|') as points from (select *, unnest(range(len(outline))) as place from package)")
+@query(
+    "agg_outline",
+    f"{_PKG} select doc_id, t || ' - Outline' as title, place, outline[place + 1].heading as heading, array_to_string(outline[place + 1].points, "
+    f"'|') as points from (select *, unnest(range(len(outline))) as place from package)",
+)
 def agg_outline(spark, d):
     rows = _package(spark, d).select("doc_id", F.col("outline_title").alias("title"), F.posexplode("outline").alias("place", "o"))
     return rows.select("doc_id", "title", F.col("place").cast("bigint").alias("place"), "o.heading", F.array_join("o.points", "|").alias("points"))
@@ -339,7 +395,11 @@ def agg_mindmap(spark, d):
     return _package(spark, d).select("doc_id", F.col("mindmap_title").alias("title"), "mindmap")
 
 
-@query("agg_chart", f"{_PKG} select doc_id, t || ' - Chart' as title, '{" | ".join(notes.CHART_COLUMNS)}' as columns, place, chart[place + 1] as line from (select *, unnest(range(len(chart))) as place from package)")
+@query(
+    "agg_chart",
+    f"{_PKG} select doc_id, t || ' - Chart' as title, '{" | ".join(notes.CHART_COLUMNS)}' as columns, place, chart[place + 1] as line from (select "
+    f"*, unnest(range(len(chart))) as place from package)",
+)
 def agg_chart(spark, d):
     rows = _package(spark, d).select("doc_id", F.col("chart_title").alias("title"), F.posexplode("chart").alias("place", "c"))
     return rows.select("doc_id", "title", F.lit(" | ".join(notes.CHART_COLUMNS)).alias("columns"), F.col("place").cast("bigint").alias("place"), F.array_join("c", " | ").alias("line"))
@@ -355,7 +415,11 @@ def global_summary(spark, d):
     return _package(spark, d).select("doc_id", "global_summary")
 
 
-@query("package_totals", f"{_PKG} select doc_id, n as total_sections, n * 4 as total_questions, total_diagrams, source_pages, least_pages, most_pages, '{notes.VOLUME_RULE}' as volume_rule from package")
+@query(
+    "package_totals",
+    f"{_PKG} select doc_id, n as total_sections, n * 4 as total_questions, total_diagrams, source_pages, least_pages, most_pages, "
+    f"'{notes.VOLUME_RULE}' as volume_rule from package",
+)
 def package_totals(spark, d):
     return _package(spark, d).select("doc_id", "total_sections", "total_questions", "total_diagrams", "source_pages", "least_pages", "most_pages", "volume_rule")
 
@@ -363,7 +427,12 @@ def package_totals(spark, d):
 _S = notes.STRATEGIES
 
 
-@query("revision_strategy", f"{_CHUNKS}, n as (select doc_id, count(*) as n from merged group by 1) select doc_id, case when n <= 1 then '{_S['single']}' when length(text) < 1500 then '{_S['other']}' when length(text) < 6000 then '{_S['intermediate']}' else '{_S['advanced']}' end as strategy from cleaned join n using (doc_id)")
+@query(
+    "revision_strategy",
+    f"{_CHUNKS}, n as (select doc_id, count(*) as n from merged group by 1) select doc_id, case when n <= 1 then '{_S['single']}' when length(text) "
+    f"< 1500 then '{_S['other']}' when length(text) < 6000 then '{_S['intermediate']}' else '{_S['advanced']}' end as strategy from cleaned join n "
+    f"using (doc_id)",
+)
 def revision_strategy(spark, d):
     docs = notebooks(spark, d)
     counts = notes.chunks(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -434,7 +503,11 @@ def note_format_view(spark, d):
 
 _COUNT = lambda x: f"cast(len(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+')) as bigint)"
 _FLAT_TREE = "array_to_string(list_transform(branches, lambda b: b.name || ' ' || array_to_string(b.sub, ' ')), ' ')"
-_SECTION_WORDS = _COUNT(f"concat_ws(' ', title, array_to_string(topics, ' '), array_to_string(cue, ' '), cornell, summary, title, array_to_string(list_transform(outline, lambda x: x.heading || ' ' || array_to_string(x.points, ' ')), ' '), title, {_MINDMAP('title', _TREE('branches', '    '))}, {_FLAT_TREE}, array_to_string(chart, ' '), sentence)")
+_SECTION_WORDS = _COUNT(
+    f"concat_ws(' ', title, array_to_string(topics, ' '), array_to_string(cue, ' '), cornell, summary, title, "
+    f"array_to_string(list_transform(outline, lambda x: x.heading || ' ' || array_to_string(x.points, ' ')), ' '), title, "
+    f"{_MINDMAP('title', _TREE('branches', '    '))}, {_FLAT_TREE}, array_to_string(chart, ' '), sentence)"
+)
 _COUNTED = f"{_SEC}, counted as (select doc_id, title, row_number() over (partition by doc_id order by nth) - 1 as order_index, {_SECTION_WORDS} as word_count from sec where title <> '')"
 
 
@@ -443,7 +516,11 @@ def sections_table(spark, d):
     return notes.sections_table(_sections(spark, d))
 
 
-@query("note_record", f"{_COUNTED} select doc_id as note_id, count(*) as total_sections, cast(sum(word_count) as bigint) as word_count, greatest(1, cast(round_even(sum(word_count) / 180.0, 0) as bigint)) as estimated_read_time, 0 as progress, false as is_favorite from counted group by 1")
+@query(
+    "note_record",
+    f"{_COUNTED} select doc_id as note_id, count(*) as total_sections, cast(sum(word_count) as bigint) as word_count, greatest(1, "
+    f"cast(round_even(sum(word_count) / 180.0, 0) as bigint)) as estimated_read_time, 0 as progress, false as is_favorite from counted group by 1",
+)
 def note_record(spark, d):
     return notes.note_record(_sections(spark, d))
 
@@ -469,11 +546,18 @@ def read_time(spark, d):
     return notes.note_record(_sections(spark, d)).select(F.col("note_id").alias("doc_id"), F.col("estimated_read_time").alias("minutes"))
 
 
-@query("notes_metadata", "select doc_id as note_id, coalesce(nullif(case when doc_id % 3 = 0 then source end, ''), 'generated') as source, 0 as progress, coalesce(quality = 1, false) as is_favorite from documents left join labels using (doc_id)")
+@query(
+    "notes_metadata",
+    "select doc_id as note_id, coalesce(nullif(case when doc_id % 3 = 0 then source end, ''), 'generated') as source, 0 as progress, "
+    "coalesce(quality = 1, false) as is_favorite from documents left join labels using (doc_id)",
+)
 def notes_metadata(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left")
     given = F.when(F.col("doc_id") % 3 == 0, F.col("source"))
-    return rows.select(F.col("doc_id").alias("note_id"), F.coalesce(quiz.missing(given), F.lit("generated")).alias("source"), F.lit(0).alias("progress"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_favorite"))
+    return rows.select(
+        F.col("doc_id").alias("note_id"), F.coalesce(quiz.missing(given), F.lit("generated")).alias("source"), F.lit(0).alias("progress"),
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_favorite"),
+    )
 
 
 @query("upload_history", "select doc_id, row_number() over (partition by source order by doc_id desc) as rank, source from documents where doc_id % 3 <> 0")
@@ -487,13 +571,21 @@ def diagram_filter(spark, d):
     return table(spark, d, "benchmark").select("item_id", fn.is_diagram(F.col("item_id"), F.lit(1000), F.col("text")).alias("is_diagram"))
 
 
-@query("captions", f"select item_id, case when item_id % 4 = 0 then 'Diagram extracted from page ' || item_id % 10 else substr({_STRIP("regexp_replace(text, '\\s+', ' ', 'g')")}, 1, 140) end as caption from benchmark")
+@query(
+    "captions",
+    f"select item_id, case when item_id % 4 = 0 then 'Diagram extracted from page ' || item_id % 10 else "
+    f"substr({_STRIP("regexp_replace(text, '\\s+', ' ', 'g')")}, 1, 140) end as caption from benchmark",
+)
 def captions(spark, d):
     near = F.when(F.col("item_id") % 4 == 0, "").otherwise(F.col("text"))
     return table(spark, d, "benchmark").select("item_id", fn.caption(F.col("item_id") % 10, near).alias("caption"))
 
 
-@query("diagram_mermaid", "select item_id, 'flowchart TD\n  A[Note ' || item_id || '] --> B[' || substr(text, 1, 20) || ']\n  B --> C[Structure or flow]\n  C --> D[Exam explanation]' as mermaid from benchmark")
+@query(
+    "diagram_mermaid",
+    "select item_id, 'flowchart TD\n  A[Note ' || item_id || '] --> B[' || substr(text, 1, 20) || ']\n  B --> C[Structure or flow]\n  C --> D[Exam "
+    "explanation]' as mermaid from benchmark",
+)
 def diagram_mermaid(spark, d):
     return table(spark, d, "benchmark").select("item_id", fn.mermaid(F.concat(F.lit("Note "), "item_id"), F.substring("text", 1, 20), "Structure or flow", "Exam explanation").alias("mermaid"))
 
@@ -508,14 +600,24 @@ select item_id, title, caption, case when item_id % 3 = 0 then 'own' else {_EXPL
 )
 def diagram_defaults(spark, d):
     i = F.col("item_id")
-    given = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Note "), i).alias("title"), F.when(i % 2 == 0, F.col("text")).otherwise("").alias("caption"), F.when(i % 3 == 0, "own").alias("explanation"), F.lit("").alias("mermaid_code"))
+    given = table(spark, d, "benchmark").select(
+        "item_id", F.concat(F.lit("Note "), i).alias("title"), F.when(i % 2 == 0, F.col("text")).otherwise("").alias("caption"),
+        F.when(i % 3 == 0, "own").alias("explanation"), F.lit("").alias("mermaid_code"),
+    )
     return matching.enrich(given)
 
 
 def _diagrams(spark, d) -> tuple[DataFrame, DataFrame]:
     """A note has two diagrams and twenty sections."""
-    diagrams = table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 2).alias("note_id"), F.col("item_id").alias("diagram_id"), (F.col("item_id") % 10).cast("int").alias("page"), F.col("text").alias("caption"))
-    s = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("note_id"), F.col("p_partkey").alias("nth"), F.concat(F.lit("s"), "p_partkey").alias("section_id"), F.col("p_brand").alias("title"), F.array(F.substring("p_type", 1, 2), F.lit("the")).alias("topics"), F.array((F.col("p_size") % 10).cast("int")).alias("pages"))
+    diagrams = table(spark, d, "benchmark").select(
+        F.floor(F.col("item_id") / 2).alias("note_id"), F.col("item_id").alias("diagram_id"), (F.col("item_id") % 10).cast("int").alias("page"),
+        F.col("text").alias("caption"),
+    )
+    s = table(spark, d, "part").select(
+        F.floor(F.col("p_partkey") / 20).alias("note_id"), F.col("p_partkey").alias("nth"), F.concat(F.lit("s"), "p_partkey").alias("section_id"),
+        F.col("p_brand").alias("title"), F.array(F.substring("p_type", 1, 2), F.lit("the")).alias("topics"),
+        F.array((F.col("p_size") % 10).cast("int")).alias("pages"),
+    )
     return diagrams, s
 
 
@@ -530,7 +632,11 @@ def diagram_best_section(spark, d):
     return matching.best_section(*_diagrams(spark, d))
 
 
-@query("diagram_hints", "with m as (select p_partkey // 20 as note_id, p_partkey as nth, item_id as diagram_id, row_number() over (partition by p_partkey order by item_id) as rank from part join benchmark on p_partkey // 20 = item_id // 2 and p_size % 10 = item_id % 10) select * from m where rank <= 3")
+@query(
+    "diagram_hints",
+    "with m as (select p_partkey // 20 as note_id, p_partkey as nth, item_id as diagram_id, row_number() over (partition by p_partkey order by "
+    "item_id) as rank from part join benchmark on p_partkey // 20 = item_id // 2 and p_size % 10 = item_id % 10) select * from m where rank <= 3",
+)
 def diagram_hints(spark, d):
     return matching.hints(*_diagrams(spark, d))
 
@@ -545,8 +651,14 @@ select image_id, coalesce(string_agg(text, ' ' order by rank), '') as near from
 )
 def nearby_text(spark, d):
     p, num = F.col("p_partkey"), lambda x: F.lit(float(x))
-    blocks = table(spark, d, "part").select(F.col("p_size").cast("bigint").alias("page_id"), p.alias("nth"), (p % 97 * num(5)).alias("x0"), (p % 31 * num(20)).alias("y0"), (p % 97 * num(5) + 60).alias("x1"), (p % 31 * num(20) + 12).alias("y1"), F.col("p_brand").alias("text"))
-    images = table(spark, d, "benchmark").select(F.col("item_id").alias("image_id"), (F.col("item_id") % 50 + 1).alias("page_id"), num(100).alias("left"), num(200).alias("top"), num(180).alias("right"), num(260).alias("bottom"))
+    blocks = table(spark, d, "part").select(
+        F.col("p_size").cast("bigint").alias("page_id"), p.alias("nth"), (p % 97 * num(5)).alias("x0"), (p % 31 * num(20)).alias("y0"),
+        (p % 97 * num(5) + 60).alias("x1"), (p % 31 * num(20) + 12).alias("y1"), F.col("p_brand").alias("text"),
+    )
+    images = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("image_id"), (F.col("item_id") % 50 + 1).alias("page_id"), num(100).alias("left"), num(200).alias("top"),
+        num(180).alias("right"), num(260).alias("bottom"),
+    )
     return matching.nearby_text(images, blocks)
 
 

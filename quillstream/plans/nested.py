@@ -26,7 +26,9 @@ def _nodes(spark, d):
     region, nation, customer = (table(spark, d, t) for t in ("region", "nation", "customer"))
     s = lambda *xs: F.concat(*[x if not isinstance(x, str) or "_" in x else F.lit(x) for x in xs])
     of = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    row = lambda df, tree, node, parent, place, name: df.select(F.col(tree).alias("tree"), node.alias("node"), parent.alias("parent"), place.cast("bigint").alias("place"), F.col(name).alias("name"))
+    row = lambda df, tree, node, parent, place, name: df.select(
+        F.col(tree).alias("tree"), node.alias("node"), parent.alias("parent"), place.cast("bigint").alias("place"), F.col(name).alias("name"),
+    )
     segment = s("m", "n_nationkey", "c_mktsegment")
     return (
         row(region, "r_regionkey", s("r", "r_regionkey"), F.lit(None).cast("string"), F.lit(0), "r_name")

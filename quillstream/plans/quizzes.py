@@ -81,23 +81,39 @@ def attempt_defaults(spark, d):
     )
 
 
-@query("attempts_for_note", f"{_R}{_SCORES}, n as (select s.*, o_custkey as note_id, row_number() over (partition by o_custkey order by attempt_id desc) as rank from scores s join orders on attempt_id = o_orderkey) select note_id, rank, attempt_id, score from n where rank <= 20")
+@query(
+    "attempts_for_note",
+    f"{_R}{_SCORES}, n as (select s.*, o_custkey as note_id, row_number() over (partition by o_custkey order by attempt_id desc) as rank from "
+    f"scores s join orders on attempt_id = o_orderkey) select note_id, rank, attempt_id, score from n where rank <= 20",
+)
 def attempts_for_note(spark, d):
     scored = quiz.attempt_scores(responses(spark, d)).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("attempt_id"), F.col("o_custkey").alias("note_id")), "attempt_id")
     return quiz.last_attempts(scored, "note_id", 20).select("note_id", "rank", "attempt_id", "score")
 
 
-@query("response_correctness", f"{_R}, r as (select attempt_id, row_number() over (partition by attempt_id order by {_ORDER}) as nth, case when n_options > 0 and says_mcq then selected = correct else is_correct end as right_ from responses) select attempt_id, nth, right_ as is_correct, cast(sum(cast(right_ as int)) over (partition by attempt_id order by nth) as bigint) as so_far from r")
+@query(
+    "response_correctness",
+    f"{_R}, r as (select attempt_id, row_number() over (partition by attempt_id order by {_ORDER}) as nth, case when n_options > 0 and says_mcq "
+    f"then selected = correct else is_correct end as right_ from responses) select attempt_id, nth, right_ as is_correct, cast(sum(cast(right_ as "
+    f"int)) over (partition by attempt_id order by nth) as bigint) as so_far from r",
+)
 def response_correctness(spark, d):
     judged = responses(spark, d).withColumn("is_correct", quiz.correct(F.col("options"), F.col("kind"), F.col("selected"), F.col("correct"), F.col("self_assessment")))
     return quiz.running_score(judged)
 
 
-@query("responses_build", f"{_R} select attempt_id, l_linenumber, l_partkey, coalesce(nullif(topic, ''), 'general') as topic, ['A','B','C','D'][p_size % 5] as selected, coalesce(['A','B','C','D'][p_size % 5], '') as answer, l_extendedprice from responses")
+@query(
+    "responses_build",
+    f"{_R} select attempt_id, l_linenumber, l_partkey, coalesce(nullif(topic, ''), 'general') as topic, ['A','B','C','D'][p_size % 5] as selected, "
+    f"coalesce(['A','B','C','D'][p_size % 5], '') as answer, l_extendedprice from responses",
+)
 def responses_build(spark, d):
     options = F.array(*map(F.lit, "ABCD"))
     picked = F.when(F.col("p_size") % 5 > 0, F.try_element_at(options, F.greatest(F.col("p_size") % 5, F.lit(1))))
-    return responses(spark, d).select("attempt_id", "l_linenumber", "l_partkey", F.coalesce(quiz.missing("topic"), F.lit("general")).alias("topic"), picked.alias("selected"), F.coalesce(picked, F.lit("")).alias("answer"), "l_extendedprice")
+    return responses(spark, d).select(
+        "attempt_id", "l_linenumber", "l_partkey", F.coalesce(quiz.missing("topic"), F.lit("general")).alias("topic"), picked.alias("selected"),
+        F.coalesce(picked, F.lit("")).alias("answer"), "l_extendedprice",
+    )
 
 
 @query(
@@ -137,9 +153,16 @@ def question_buckets(spark, d):
     return table(spark, d, "part").select("p_partkey", quiz.bucket(kind).alias("bucket"))
 
 
-@query("questions_by_type", "select p_partkey // 20 as note_id, case when p_size % 9 = 0 then 'general' else p_type end as type, row_number() over (partition by p_partkey // 20, case when p_size % 9 = 0 then 'general' else p_type end order by p_partkey) - 1 as place, p_partkey as id from part")
+@query(
+    "questions_by_type",
+    "select p_partkey // 20 as note_id, case when p_size % 9 = 0 then 'general' else p_type end as type, row_number() over (partition by p_partkey "
+    "// 20, case when p_size % 9 = 0 then 'general' else p_type end order by p_partkey) - 1 as place, p_partkey as id from part",
+)
 def questions_by_type(spark, d):
-    rows = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("note_id"), F.when(F.col("p_size") % 9 == 0, "").otherwise(F.col("p_type")).alias("type"), F.col("p_partkey").alias("nth"), F.col("p_partkey").alias("id"))
+    rows = table(spark, d, "part").select(
+        F.floor(F.col("p_partkey") / 20).alias("note_id"), F.when(F.col("p_size") % 9 == 0, "").otherwise(F.col("p_type")).alias("type"),
+        F.col("p_partkey").alias("nth"), F.col("p_partkey").alias("id"),
+    )
     return quiz.by_type(rows)
 
 
@@ -227,13 +250,21 @@ def chat_replies(spark, d):
     return quiz.replies(messages, chat.REPLIES, chat.DEFAULT).drop("message")
 
 
-@query("chat_messages_topic", "with x as (select event_id, cast(json_extract_string(props, '$.k') as int) % 7 as k from events where event_type = 'click') select event_id, " + "[" + ", ".join(f"'{k}'" for k in CHAT_KEYS) + "][k + 1] as topic from x")
+@query(
+    "chat_messages_topic",
+    "with x as (select event_id, cast(json_extract_string(props, '$.k') as int) % 7 as k from events where event_type = 'click') select event_id, " + "[" + ", ".join(f"'{k}'" for k in CHAT_KEYS) + "][k + 1] as topic from x",
+)
 def chat_messages_topic(spark, d):
     log = activity_log(spark, d).where("kind = 'chat_message'")
     return log.select("event_id", lookup(F.col("message"), [(k, k) for k in CHAT_KEYS]).alias("topic"))
 
 
-@query("markdown_html", r"select conv_id, turn, role, replace(regexp_replace(regexp_replace(regexp_replace('**' || role || '** *' || text || '* `x`' || chr(10), '\*\*(.*?)\*\*', '<strong>\1</strong>', 'g'), '\*(.*?)\*', '<em>\1</em>', 'g'), '`(.*?)`', '<code>\1</code>', 'g'), chr(10), '<br>') as html from conversations")
+@query(
+    "markdown_html",
+    r"select conv_id, turn, role, replace(regexp_replace(regexp_replace(regexp_replace('**' || role || '** *' || text || '* `x`' || chr(10), "
+    r"'\*\*(.*?)\*\*', '<strong>\1</strong>', 'g'), '\*(.*?)\*', '<em>\1</em>', 'g'), '`(.*?)`', '<code>\1</code>', 'g'), chr(10), '<br>') as html "
+    r"from conversations",
+)
 def markdown_html(spark, d):
     text = F.concat(F.lit("**"), "role", F.lit("** *"), "text", F.lit("* `x`\n"))
     return table(spark, d, "conversations").select("conv_id", "turn", "role", fn.markdown(text).alias("html"))
@@ -251,7 +282,11 @@ def note_lookup(spark, d):
     return matching.first_choice(both, "note_id", [F.when(F.col("origin") == "generated", 0).otherwise(1)])
 
 
-@query("default_note", "select c_nationkey as user_id, coalesce(min(c_custkey) filter (where c_acctbal < 0), max(c_custkey) filter (where c_custkey % 2 = 0), min(c_custkey)) as note_id from customer group by 1")
+@query(
+    "default_note",
+    "select c_nationkey as user_id, coalesce(min(c_custkey) filter (where c_acctbal < 0), max(c_custkey) filter (where c_custkey % 2 = 0), "
+    "min(c_custkey)) as note_id from customer group by 1",
+)
 def default_note(spark, d):
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("note_id"), "c_acctbal")
     even = F.col("note_id") % 2 == 0

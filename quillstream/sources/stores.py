@@ -73,5 +73,8 @@ def save_attempts(attempts: DataFrame, path: str) -> None:
     """Appends attempts with what they lack filled in: topic, label, numbers and lists. Empty strings count as lacking."""
     given = lambda c, v: F.coalesce(F.nullif(c, F.lit("")), F.lit(v)).alias(c)
     number = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
-    rows = attempts.select("id", "note_id", given("topic", "all"), given("topic_label", "Quiz"), *map(number, ["score", "total", "correct"]), F.coalesce("weak_topics", F.array().cast("array<string>")).alias("weak_topics"), number("duration_seconds"))
+    rows = attempts.select(
+        "id", "note_id", given("topic", "all"), given("topic_label", "Quiz"), *map(number, ["score", "total", "correct"]),
+        F.coalesce("weak_topics", F.array().cast("array<string>")).alias("weak_topics"), number("duration_seconds"),
+    )
     append(rows, path)

@@ -29,7 +29,7 @@ from .common import ROW, ShortHash, cut, keyed, ranges, release, utf8_parts, wor
 BEST = 10
 SLICE_BYTES = 2_000_000
 #: Postings of a shard, and terms of a block of queries, on average.
-SHARD_POSTINGS, BLOCK_TERMS = 2_000_000, 100_000
+SHARD_POSTINGS, BLOCK_TERMS = 1_000_000, 100_000
 #: Bits of the bitmap of the queries' terms: 1 MB however many there are.
 MARK_BITS = 1 << 23
 #: Postings of each list that are read at first; then twice as many each time.

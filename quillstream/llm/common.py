@@ -167,6 +167,8 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 _PRIMES = (2**31 - 1, 2**31 - 19)
 _BASES = (1_220_703_133, 1_664_525_707)
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Powers that a worker keeps from call to call; those of a longer text go with it.
+_KEPT = 1 << 22
 
 
 def _modulo(x: np.ndarray, prime: int) -> np.ndarray:
@@ -180,7 +182,7 @@ def _powers(k: int, down: bool, n: int) -> np.ndarray:
     base = pow(_BASES[k], -1, _PRIMES[k]) if down else _BASES[k]
     while len(have) < n:
         have = np.concatenate([have, _modulo(have * np.uint64(pow(base, len(have), _PRIMES[k])), _PRIMES[k])])
-    _POWERS[k, down] = have
+    _POWERS[k, down] = have[:_KEPT] if len(have) <= _KEPT else have[:_KEPT].copy()
     return have[:n]
 
 
@@ -226,7 +228,10 @@ def _wrapped(kind: str, base: np.uint64, n: int) -> np.ndarray:
     if len(_WRAPPED.get(kind, ())) < n or kind not in _WRAPPED:
         full = np.full(max(n, 1), base, np.uint64)
         full[0] = 1
-        _WRAPPED[kind] = np.multiply.accumulate(full)
+        powers = np.multiply.accumulate(full)
+        if n > _KEPT:
+            return powers
+        _WRAPPED[kind] = powers
     return _WRAPPED[kind][:n]
 
 

@@ -305,8 +305,10 @@ def descend(tries: DataFrame, signatures: DataFrame, floor: int, likely: float)
 
 
 def candidates(sketched: DataFrame, floor: int, likely: float = LIKELY) -> tuple[DataFrame, DataFrame]:
-    """(classes, families) of written sketches: classes as (s1, s2, rep, copies), families of reps as (node, root)."""
-    classes = cut(sketched.groupBy("s1", "s2").agg(F.min(ROW).alias("rep"), F.count(F.lit(1)).alias("copies")))
+    """(classes, families) of written sketches: classes as (s1, s2, rep, copies), with ``rep_id`` where sketches have ``id``;
+    families of reps as (node, root)."""
+    named = [F.min_by("id", ROW).alias("rep_id")] if "id" in sketched.columns else []
+    classes = cut(sketched.groupBy("s1", "s2").agg(F.min(ROW).alias("rep"), F.count(F.lit(1)).alias("copies"), *named))
     reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias(ROW)), ROW)
     tries = forest(sketched, reps)
     roots = descend(tries, sketched.select(F.col(ROW).alias("row"), "sig"), floor, likely)
@@ -315,11 +317,12 @@ def candidates(sketched: DataFrame, floor: int, likely: float = LIKELY) -> tuple
 
 
 def shingle_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: (ROW, id, class_id, copies, n_links, group_id).
+    """One row for each row of ``docs``: (ROW, id, class_id, copies, n_links, group_id, class_doc, group_doc).
 
     ``class_id`` is the smallest row key with the same set of shingles, ``copies`` the rows of that class, ``n_links``
     the number of other classes whose sets have a Jaccard similarity of ``threshold`` or more, and ``group_id`` the
-    smallest row key that a chain of such links reaches.
+    smallest row key that a chain of such links reaches. ``class_doc`` and ``group_doc`` are the ids of these two rows:
+    row keys are in the order of ids, so they are the smallest ids, null only where no row has one.
 
     Words lie between ASCII white space. A text of one to four words is one shingle. Null and empty texts have no
     shingles; they are one class, without links. Rows with a null or repeated id are documents of their own. An empty
@@ -332,10 +335,13 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     checked = cut(verify(docs, families, text, threshold))
     degrees = checked.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     groups = components(checked.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("group_id"))
-    per_class = cut(classes.join(degrees, "rep", "left").join(groups, "rep", "left"))
+    roots = groups.join(classes.select(F.col("rep").alias("group_id"), F.col("rep_id").alias("group_doc")), "group_id")
+    per_class = cut(classes.join(degrees, "rep", "left").join(roots, "rep", "left"))
+    in_group = F.col("group_id").isNotNull()
     return sketched.select(ROW, "id", "s1", "s2").join(per_class, ["s1", "s2"]).select(
-        ROW, "id", F.col("rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("group_id", "rep").alias("group_id")
-    )
+        ROW, "id", F.col("rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+        F.coalesce("group_id", "rep").alias("group_id"), F.col("rep_id").alias("class_doc"), F.when(in_group, F.col("group_doc")).otherwise(F.col("rep_id")).alias("group_doc"),
+    )
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -349,7 +355,7 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
 
 def op10_shingle_join(spark, sf_dir: str) -> DataFrame:
     found = shingle_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "copies", "n_links", "group_id")
+    return found.select(F.col("id").alias("doc_id"), F.col("class_doc").alias("class_id"), "copies", "n_links", F.col("group_doc").alias("group_id"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import conversation_repair as repair
-from quillstream.llm import line_dedup, mixing, registry
+from quillstream.llm import common, line_dedup, mixing, registry, shingle_join
 from quillstream.llm import ranked_search as search
 from quillstream.llm.common import ROW, keyed
 
@@ -260,3 +260,29 @@ def test_ids_decide_and_not_the_order_of_reading(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         assert {r.doc_id: r.kept_text for r in line_dedup.line_dedup(df).collect() if r.doc_id != 9} == {3: shared, 50: "", None: ""}
         assert [r.doc_id for r in keyed(df).orderBy(ROW).collect()] == [3, 9, 9, 50, None]
+
+
+def test_joined_classes_are_named_by_ids(spark, tmp_path):
+    """Ids are printed, not row keys, although one is repeated and one is null; groups by chains of near copies."""
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    near = words[:100] + ["other"] + words[101:]
+    rows = [(50, " ".join(words)), (30, " ".join(words)), (None, " ".join(words)), (9, "alone " * 9), (9, "apart " * 9), (70, " ".join(near)), (None, "lost")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((x.doc_id, x.class_id, x.copies, x.n_links, x.group_id) for x in shingle_join.op10_shingle_join(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(50, 30, 3, 1, 30), (30, 30, 3, 1, 30), (None, 30, 3, 1, 30), (9, 9, 1, 0, 9), (9, 9, 1, 0, 9), (70, 70, 1, 1, 30), (None, None, 1, 0, None)], key=str)
+
+
+def test_hashes_of_long_texts_leave_no_tables(monkeypatch):
+    monkeypatch.setattr(common, "_KEPT", 1000)
+    monkeypatch.setattr(common, "_POWERS", {})
+    monkeypatch.setattr(common, "_WRAPPED", {})
+    data = np.random.default_rng(0).integers(0, 256, 5000).astype(np.uint8)
+    for values in (data, data[:700], np.concatenate([data, data])):
+        hashes, short = common.PrefixHash(values), common.ShortHash(values)
+        twice = common.PrefixHash(np.concatenate([values, values]))
+        at = np.arange(0, len(values) - 50, 7)
+        assert (hashes.of(at, 50) == twice.of(at + len(values), 50)).all()
+        assert (short.of(at[1:], 9) == common.ShortHash(values[7:]).of(at[1:] - 7, 9)).all()
+        assert len(common.gram_hashes(values, 20)) == len(values) - 19
+    assert all(len(x) <= 1000 for x in [*common._POWERS.values(), *common._WRAPPED.values()])

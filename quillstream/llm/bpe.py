@@ -283,7 +283,8 @@ class Decoder:
 
 
 def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str | None = None, out: str = "decoded") -> DataFrame:
-    """Adds the decoded text of the ids as ``out``; see :class:`Decoder`. Null ids give an empty text."""
+    """Adds the decoded text of the ids as ``out``; see :class:`Decoder`. Null and empty ids give an empty text, an empty
+    table an empty one; rows are decoded one by one, so repeated ones are too."""
     encoded = encoded.drop(out)
     path = tokenizer or default_tokenizer()
     schema = StructType([*encoded.schema.fields, StructField(out, StringType(), False)])
@@ -393,7 +394,10 @@ def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None
             for a, b in row_slices(starts, SLICE_BYTES):
                 some = [{x["start"]: np.frombuffer(x["ids"], "<i4") for x in row or ()} for row in whole.column(len(kept)).slice(a, b - a).to_pylist()]
                 ids, begins = enc.encode(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], some)
-                made = {"ids": lambda: pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids)), "decoded": lambda: decoder.decode(ids, begins), "n_tokens": lambda: pa.array(np.diff(begins))}  # noqa: B023
+                made = {
+                    "ids": lambda: pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids)),
+                    "decoded": lambda: decoder.decode(ids, begins), "n_tokens": lambda: pa.array(np.diff(begins)),
+                }  # noqa: B023
                 if {"ids_sha256", "decoded_sha256"} & set(outputs):
                     sums = decoder.sha256(ids, begins)
                     made |= {"ids_sha256": lambda: sums[0], "decoded_sha256": lambda: sums[1]}  # noqa: B023
@@ -417,6 +421,7 @@ def op5_bpe(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: each document's id, its ids and their count, and digests of ids and decoded text.
 
-    A row for each row of ``docs``, null and repeated ids included; null and empty texts have no ids.
+    A row for each row of ``docs``, null and repeated ids included; null and empty texts have no ids; an empty table stays
+    one. Long texts are encoded slice by slice.
     """
     return round_trip(docs.select("doc_id", "text"), outputs=("ids", *DIGESTS)).select("doc_id", "ids", *DIGESTS)

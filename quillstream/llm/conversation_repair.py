@@ -324,7 +324,9 @@ _TURN_NAMES = [x.split(" ")[0] for x in TURNS.split(", ")]
 _TURN_TYPES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
 
 
-def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_bits: int = PIECE_BITS) -> tuple[DataFrame, DataFrame]:
+def repair(
+    rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_bits: int = PIECE_BITS,
+) -> tuple[DataFrame, DataFrame]:
     """(report, turns) of conversations. ``conv`` in both is the id as a string, null where it is.
 
     Report, a row for each conversation: gaps, blank, duplicate, truncated, illegal, cost. Turns: ``TURNS``, the edits in

@@ -66,7 +66,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their kept lines as text and its length as n_chars.
 
     No row goes: a document that loses every line has an empty text. Rows with a null or repeated id are documents of
-    their own. Other columns stay as they are, whatever their names.
+    their own, in order of ids, null last. Other columns stay as they are, whatever their names; an empty table stays one.
     """
     out = line_dedup(packed(docs, "doc_id", "text"))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}

@@ -186,7 +186,12 @@ def blocks(parts: DataFrame, seed: int = SEED) -> DataFrame:
 def placed(docs: DataFrame, id_col: str, text: str, source: str, share: int, most: int, weights: tuple[int, ...], seed: int) -> DataFrame:
     """Every document with ``size``, its source's number ``s``, ``source_size``, ``target`` and ``limit`` (words that the mix
     takes of the source), and ``start``, its place in the source's stream; written, without texts."""
-    sized = cut(keyed(docs, id_col).select(ROW, F.col(id_col).alias("id"), F.col(source).alias("source"), words_in(text_or_empty(text)).alias("size"), drawn_key(seed, F.col(id_col)).alias("drawn")))
+    sized = cut(
+        keyed(docs, id_col).select(
+            ROW, F.col(id_col).alias("id"), F.col(source).alias("source"), words_in(text_or_empty(text)).alias("size"),
+            drawn_key(seed, F.col(id_col)).alias("drawn"),
+        )
+    )
     n_bits = max(0, math.ceil(math.log2(max(1, sized.count() / BUCKET_ROWS))))
     wanted = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     limit = F.least(_long(F.floor(F.col("target") + 0.5)), F.col("source_size") * most)
@@ -226,7 +231,9 @@ def mix(
     )
     first, last = F.greatest("begin", F.col("block") * block_words), F.least("end", (F.col("block") + 1) * block_words)
     place = F.xxhash64(F.lit(seed), "shard", "s", "block", "round", ROW)
-    spans = stretches.join(shard_of, ["s", "block"]).select(ROW, "id", "shard", place.alias("place"), "s", "block", "round", (first - F.col("begin")).alias("first"), (last - first).alias("n"))
+    spans = stretches.join(shard_of, ["s", "block"]).select(
+        ROW, "id", "shard", place.alias("place"), "s", "block", "round", (first - F.col("begin")).alias("first"), (last - first).alias("n"),
+    )
     return documents, spans
 
 

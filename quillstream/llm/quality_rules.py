@@ -97,7 +97,9 @@ def _bin(x: Column) -> Column:
 def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, rate, bin, n) over the rows that passed the base rules."""
     rates = F.inline(F.array(*[F.struct(F.lit(r).alias("rate"), _bin(F.col(r)).alias("bin")) for r in RATES]))
-    return counted.where(~F.col("base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), rates).groupBy("lang", "source", "rate", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(~F.col("base_failed")).select(
+        F.col(lang).alias("lang"), F.col(source).alias("source"), rates,
+    ).groupBy("lang", "source", "rate", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fences(sketch: DataFrame, by: list[str], reach: int = REACH) -> DataFrame:
@@ -165,7 +167,8 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; the others keep all their columns, whatever their names.
 
-    Rows are judged one by one: repeated rows and ids get the same verdict each. Null and empty texts go.
+    Rows are judged one by one: repeated rows and ids get the same verdict each. Null and empty texts go; an empty table
+    stays one. A long text is one row of arrays of its words.
     """
     return quality_rules(packed(docs, "text", "lang", "source")).where("kept").select("__doc.*")
 

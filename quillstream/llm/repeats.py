@@ -195,7 +195,10 @@ def window_digests(pieces: DataFrame, tokens: Tokens, length: int, step: int) ->
                 c1, c2 = digests(raw, begin[core], end[core + length - step])
                 u1, u2 = (c1, c2) if step == 1 else digests(raw, begin[base + i], end[base + last + length - 1])
                 take = pa.array(owner + a)
-                yield pa.RecordBatch.from_arrays([c1, c2, u1, u2, *(whole.column(k).take(take) for k in (0, 1, 5)), *(pa.array(x.astype(np.int32)) for x in (i, last - i + 1, o))], names=["c1", "c2", "u1", "u2", "d1", "d2", "second", "i", "m", "o"])
+                yield pa.RecordBatch.from_arrays(
+                    [c1, c2, u1, u2, *(whole.column(k).take(take) for k in (0, 1, 5)), *(pa.array(x.astype(np.int32)) for x in (i, last - i + 1, o))],
+                    names=["c1", "c2", "u1", "u2", "d1", "d2", "second", "i", "m", "o"],
+                )
 
     columns = ["d1", "d2", "at", "n", "piece", "second"] + ["wanted"] * chosen
     return pieces.select(*columns).mapInArrow(run, "c1 bigint, c2 bigint, u1 bigint, u2 bigint, d1 bigint, d2 bigint, second boolean, i int, m int, o int")
@@ -234,7 +237,9 @@ def search(docs: DataFrame, text: str, tokens: Tokens, length: int, gram: int, m
     pair = (F.col("n") > 1) & F.lit(seconds)
     several = cut(classes.groupBy("h1").agg(F.sum(F.when(pair, 2).otherwise(1)).alias("k")).where("k > 1"))
     member = lambda c, second: F.struct(F.col(c).alias("m"), F.lit(second).alias("second"))
-    picked = classes.join(several, "h1").select("h1", "d1", "d2", "k", F.inline(F.when(pair, F.array(member("one", False), member("other", True))).otherwise(F.array(member("one", False)))))
+    picked = classes.join(several, "h1").select(
+        "h1", "d1", "d2", "k", F.inline(F.when(pair, F.array(member("one", False), member("other", True))).otherwise(F.array(member("one", False)))),
+    )
     picked = picked.select("h1", "d1", "d2", "k", "second", "m.*")
     pieces = cut(contexts(docs, picked, text, tokens, length))
     runs = shared_windows(pieces.where(F.col("k") <= HOT), tokens, length, method)

@@ -191,10 +191,16 @@ def candidates(docs: DataFrame, text: str, path: str | None, common: np.ndarray)
 
 #: Names and contexts of made findings; the second of each pair is kept for tests.
 _NAMES = ["token", "secret", "password", "api_key", "auth", "pwd", "client_secret", "access_token"], ["credential", "passphrase", "apikey", "db_password", "auth_token"]
-_AROUND = [("{w} {n} = \"", "\" {w}"), ("{n}: ", "\n{w}"), ("{w}\n{n}='", "'; {w}"), ("\"{n}\": \"", "\", \"{w}\": 1"), ("export {n}=", "\n{w}")], [("{w} my {n}: \"", "\". {w}"), ("<{n}=\"", "\"> {w}"), ("{n} = ", " # {w}")]
+_AROUND = [
+    ("{w} {n} = \"", "\" {w}"), ("{n}: ", "\n{w}"), ("{w}\n{n}='", "'; {w}"), ("\"{n}\": \"", "\", \"{w}\": 1"), ("export {n}=", "\n{w}"),
+], [("{w} my {n}: \"", "\". {w}"), ("<{n}=\"", "\"> {w}"), ("{n} = ", " # {w}")]
 _PLAIN = [("{w} ", " {w}"), ("{w}, ", ". {w}"), ("({w} ", ") {w}"), ("{w}\n", "\n{w}")], [("see {w}: ", " {w}"), ("{w} | ", " | {w}")]
-_HASHES = [("commit ", " {w}"), ("sha256: ", "\n{w}"), ("md5 = \"", "\" {w}"), ("etag: \"", "\"\n{w}"), ("checksum=", " {w}")], [("revision ", ". {w}"), ("digest: ", " {w}"), ("blob ", "\n")]
-_IDS = [("id=", "&{w}=1"), ("order ", " {w}"), ("user_id: ", ", {w}"), ("uuid = \"", "\" {w}"), ("build-", " {w}")], [("session page ", " {w}"), ("ticket #", ": {w}"), ("trace ", " {w}")]
+_HASHES = [
+    ("commit ", " {w}"), ("sha256: ", "\n{w}"), ("md5 = \"", "\" {w}"), ("etag: \"", "\"\n{w}"), ("checksum=", " {w}"),
+], [("revision ", ". {w}"), ("digest: ", " {w}"), ("blob ", "\n")]
+_IDS = [
+    ("id=", "&{w}=1"), ("order ", " {w}"), ("user_id: ", ", {w}"), ("uuid = \"", "\" {w}"), ("build-", " {w}"),
+], [("session page ", " {w}"), ("ticket #", ": {w}"), ("trace ", " {w}")]
 _PATHS = ["config/app.yml", "src/main.py", "docs/readme.md", "deploy/prod.env", "notes.txt", "web", "src1", "src12"], ["settings.ini", "log/run.log", "src7"]
 
 
@@ -205,15 +211,48 @@ def _made(r: random.Random, held_out: bool) -> tuple[str, str, str, str, int]:
     hexes, mixed, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
     camel = lambda: "".join(word().capitalize() for _ in range(r.randint(2, 4)))
     uuid = lambda: "-".join(some(hexes, n, n) for n in (8, 4, 4, 4, 12))
-    weak = lambda: r.choice([lambda: word() + some(string.digits, 1, 4), lambda: some(mixed + "!@#._", 3, 9), lambda: word() + r.choice(".!@_\\ ") + word() + r.choice(["", ".", "!", " "]) + some(mixed, 0, 2), lambda: word().replace("a", "ä").replace("o", "ö") + some("äöüé1", 1, 3)])()
-    random_value = lambda: r.choice([weak, weak, weak, lambda: some(hexes, 24, 64), lambda: some(mixed, 16, 48), lambda: some(mixed + "+/_-", 20, 60), lambda: camel() + some("0123456789!#%", 1, 4), lambda: camel(), lambda: some(mixed + "!@#%^&*.", 8, 20)])()
+    weak = lambda: r.choice(
+        [
+            lambda: word() + some(string.digits, 1, 4), lambda: some(mixed + "!@#._", 3, 9),
+            lambda: word() + r.choice(".!@_\\ ") + word() + r.choice(["", ".", "!", " "]) + some(mixed, 0, 2),
+            lambda: word().replace("a", "ä").replace("o", "ö") + some("äöüé1", 1, 3),
+        ]
+    )()
+    random_value = lambda: r.choice(
+        [
+            weak, weak, weak, lambda: some(hexes, 24, 64), lambda: some(mixed, 16, 48), lambda: some(mixed + "+/_-", 20, 60),
+            lambda: camel() + some("0123456789!#%", 1, 4), lambda: camel(), lambda: some(mixed + "!@#%^&*.", 8, 20),
+        ]
+    )()
     known = lambda: r.choice([
         lambda: "AKIA" + some(upper, 16, 16), lambda: "gh" + r.choice("pousr") + "_" + some(mixed, 36, 36), lambda: "xox" + r.choice("abprs") + "-" + some(mixed, 12, 40), lambda: "sk_live_" + some(mixed, 20, 30), lambda: "AIza" + some(mixed, 35, 35),
         lambda: "eyJ" + some(mixed, 20, 40) + "." + some(mixed, 20, 80) + "." + some(mixed + "_-", 30, 43), lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + some(mixed + "+/", 60, 200) + "\n-----END RSA PRIVATE KEY-----",
     ])()
-    fake = lambda: r.choice([lambda: r.choice(["changeme", "your-token-here", "example", "xxxxxxxxxxxx", "****", "<token>", "${TOKEN}", "{{ secret }}", "null", "None", "TODO", "placeholder", "%ENV%", "redacted"]), lambda: "your_" + word(), lambda: "${" + word().upper() + "}", lambda: "x" * r.randint(4, 30), lambda: word(), lambda: "<" + word() + ">"])()
-    number = lambda: r.choice([lambda: some("0123456789", 12, 19), lambda: f"+1 ({some(string.digits, 3, 3)}) 555-{some(string.digits, 4, 4)}", lambda: f"20{some(string.digits, 2, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T0{r.randint(0, 9)}-{some(string.digits, 2, 6)}", lambda: f"v{r.randint(0, 20)}_{some(string.digits, 8, 12)}"])()
-    named = lambda: r.choice([lambda: word() + "_" + some(string.digits, 6, 12), lambda: f"img/{word()}/{word()}-{some(string.digits, 2, 6)}", lambda: word() + "-" + word() + "-" + some(string.digits, 4, 8), lambda: "get" + camel() + camel() + str(r.randint(1, 9)), lambda: camel() + camel()])()
+    fake = lambda: r.choice(
+        [
+            lambda: r.choice(
+                [
+                    "changeme", "your-token-here", "example", "xxxxxxxxxxxx", "****", "<token>", "${TOKEN}", "{{ secret }}", "null", "None", "TODO",
+                    "placeholder", "%ENV%", "redacted",
+                ]
+            ),
+            lambda: "your_" + word(), lambda: "${" + word().upper() + "}", lambda: "x" * r.randint(4, 30), lambda: word(), lambda: "<" + word() + ">",
+        ]
+    )()
+    number = lambda: r.choice(
+        [
+            lambda: some("0123456789", 12, 19), lambda: f"+1 ({some(string.digits, 3, 3)}) 555-{some(string.digits, 4, 4)}",
+            lambda: f"20{some(string.digits, 2, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T0{r.randint(0, 9)}-{some(string.digits, 2, 6)}",
+            lambda: f"v{r.randint(0, 20)}_{some(string.digits, 8, 12)}",
+        ]
+    )()
+    named = lambda: r.choice(
+        [
+            lambda: word() + "_" + some(string.digits, 6, 12), lambda: f"img/{word()}/{word()}-{some(string.digits, 2, 6)}",
+            lambda: word() + "-" + word() + "-" + some(string.digits, 4, 8), lambda: "get" + camel() + camel() + str(r.randint(1, 9)),
+            lambda: camel() + camel(),
+        ]
+    )()
     kind = r.choice(["assigned", "assigned", "assigned", "known", "url", "fake", "fake", "hash", "number", "id", "name"])
     if kind == "assigned":
         value, (before, after) = random_value(), pick(_AROUND)

@@ -65,7 +65,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     Null and empty texts are the end id alone. Every row has its place: null ids come first, and rows of one id follow
     each other in the order of their texts. The one shuffle deals the texts out by ranges of the id; its bounds come
-    from Spark's sample of ids, which decides where files begin, not what is written.
+    from Spark's sample of ids, which decides where files begin, not what is written. An empty table gives no block. A
+    long text is encoded slice by slice; its ids are one row of its block.
     """
     at = tokenizer or default_tokenizer()
     head = F.substring(text, 1, 64)  # rows of one id are dealt out too
@@ -102,7 +103,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every document in the files: ``start`` counts the ids of all documents before it."""
+    """(doc_id, start, ids) of every document in the files: ``start`` counts the ids of all documents before it. Null and
+    repeated ids come back as they were written, each document once; files without blocks give none."""
     sizes = blocks.groupBy("shard", "block").agg(F.sum(F.element_at("offsets", -1)).alias("n"))
     # a row for each block: first within its shard, then over the shards, of which there are as many as files
     within = sizes.withColumn("in_shard", F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n"))
@@ -127,7 +129,9 @@ def read_document(blocks: DataFrame, doc_id: int) -> list[int]:
     """The ids of one document, by random access: blocks whose range of ids does not hold it are skipped by the file's
     statistics, and only its bits are unpacked. Of repeated ids the first document; an id that is not there gives none."""
     within = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
-    found = blocks.where(within).where(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).orderBy("shard", "block").select("doc_ids", "offsets", "width", "payload").limit(1).collect()
+    found = blocks.where(within).where(
+        F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))
+    ).orderBy("shard", "block").select("doc_ids", "offsets", "width", "payload").limit(1).collect()
     if not found:
         return []
     k = found[0].doc_ids.index(doc_id)
@@ -142,7 +146,10 @@ def checksums(tokens: DataFrame) -> DataFrame:
             lists = batch.column(2)
             at, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
             sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
 
     return tokens.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

@@ -105,9 +105,14 @@ def select_terms(labelled: DataFrame, base: float, text: str) -> Terms:
                     own, term, _ = tallied(own, term)
                     values, place = np.unique(term, return_inverse=True)
                     n, pos = np.bincount(place, minlength=len(values)), np.bincount(place, weights=label[a:b][own], minlength=len(values))
-                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(values), word)), pa.array(n), pa.array(pos.astype(np.int64))], names=["term", "word", "n", "pos"])
-
-    counts = labelled.select(text, "label").mapInArrow(run, "term bigint, word boolean, n bigint, pos bigint").groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(values.view(np.int64)), pa.array(np.full(len(values), word)), pa.array(n), pa.array(pos.astype(np.int64))],
+                        names=["term", "word", "n", "pos"],
+                    )
+
+    counts = labelled.select(text, "label").mapInArrow(
+        run, "term bigint, word boolean, n bigint, pos bigint",
+    ).groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     told = (F.col("pos") >= MIN_SUPPORT) & (F.col("pos") / F.col("n") >= MIN_LIFT * max(base, 1e-6))
     found = counts.select("term", told.alias("told"), "word").where("told or word").toArrow()
     term, is_told = found.column("term").to_numpy().view(np.uint64), found.column("told").to_numpy()
@@ -266,14 +271,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
             for a, b, data, starts in lowered(whole.column(1)):
                 begins, dims, weights = sent.value.vectors(data, starts)
                 at = pa.array(begins, pa.int32())
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a).cast(pa.string()), whole.column(2).slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(dims, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weights, pa.float32()))], names=["id", "label", "dims", "weights"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        whole.column(0).slice(a, b - a).cast(pa.string()), whole.column(2).slice(a, b - a),
+                        pa.ListArray.from_arrays(at, pa.array(dims, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weights, pa.float32())),
+                    ],
+                    names=["id", "label", "dims", "weights"],
+                )
 
     in_order = labelled.orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "label")
     found = in_order.mapInArrow(run, "id string, label int, dims array<int>, weights array<float>").toArrow().combine_chunks()  # max_examples rows
     lists = found.column("dims").combine_chunks()
     begins = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
     sent.destroy()
-    index.build(found.column("label").to_numpy().astype(float), np.array(found.column("id").to_pylist(), object), begins, lists.flatten().to_numpy(), found.column("weights").combine_chunks().flatten().to_numpy())
+    index.build(
+        found.column("label").to_numpy().astype(float), np.array(found.column("id").to_pylist(), object), begins, lists.flatten().to_numpy(),
+        found.column("weights").combine_chunks().flatten().to_numpy(),
+    )
     sent = spark.sparkContext.broadcast(index)
 
     def own(batches):
@@ -288,7 +302,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     return sent, base, xs, ys
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", cutoff: float = CUTOFF, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", cutoff: float = CUTOFF,
+    max_examples: int = MAX_EXAMPLES,
+) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 if the score is ``cutoff`` or more) and the evidence:
     ``neighbours`` (ids of the nearest examples, nearest first) and ``nearness`` (their cosines).
 

@@ -611,4 +611,4 @@ def test_long_items_are_dealt_out_in_parts(spark, docs):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14)) and set(registry.SQL) <= set(registry.QUERIES)

@@ -31,15 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it back.
 
+    A writer and a reader hold a row group, so where rows are megabytes ``group_rows`` says how many rows one may have.
+
     Lineage ends there, so a lost executor costs one read, and the optimizer plans what follows with the table's
     real size. The table goes when the session's process ends, or with :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", group_rows) if group_rows else writer).parquet(path)
     atexit.register(_remove, spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of frames that nothing refers to any more

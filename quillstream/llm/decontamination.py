@@ -26,7 +26,9 @@ WINDOW = 13
 BLOCK_WORDS = 200_000
 #: Candidates that a shard holds at once.
 BLOCK_CANDIDATES = 1_000_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+#: Slices that a task holds at once when it writes or reads the index, however many its file has.
+GROUP_ROWS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -44,7 +46,7 @@ def terms_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index of ``docs``, which carry ``ROW``: a row for each slice of about 4 MB of text."""
+    """The stored index of ``docs``, which carry ``ROW``: a row for each slice of about 2 MB of text."""
 
     def run(batches):
         for whole in batches:
@@ -67,7 +69,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                     names=["rows", "ids", "word_starts", "terms", "term_starts", "positions"],
                 )
 
-    return cut(docs.select(ROW, F.col(id_col).cast("string").alias("id"), text).mapInArrow(run, INDEX))
+    return cut(docs.select(ROW, F.col(id_col).cast("string").alias("id"), text).mapInArrow(run, INDEX), GROUP_ROWS)
 
 
 class Windows:

@@ -20,7 +20,8 @@ from . import notes
 SLICE, BUCKET = 4096, 256
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written and read back, so that what reads it twice does not make it twice."""
     path = scratch(df.sparkSession, "chunking")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -52,11 +53,11 @@ def following(items: DataFrame, most: int = notes.FLUSH) -> DataFrame:
 
 def chunk_starts(first: DataFrame, pointers: DataFrame) -> DataFrame:
     """(doc_id, k) of all items that pointers lead to from ``first`` (doc_id, k). The longest chain of n takes log2 n rounds."""
-    found, pointers = _written(first), _written(pointers)
+    found, pointers = written(first), written(pointers)
     while not pointers.isEmpty():
-        found = _written(found.unionByName(found.join(pointers, ["doc_id", "k"]).select("doc_id", F.col("next").alias("k"))))
+        found = written(found.unionByName(found.join(pointers, ["doc_id", "k"]).select("doc_id", F.col("next").alias("k"))))
         hop = pointers.select("doc_id", F.col("k").alias("next"), F.col("next").alias("then"))
-        pointers = _written(pointers.join(hop, ["doc_id", "next"]).select("doc_id", "k", F.col("then").alias("next")))
+        pointers = written(pointers.join(hop, ["doc_id", "next"]).select("doc_id", "k", F.col("then").alias("next")))
     return found
 
 
@@ -65,7 +66,7 @@ def chunk_rows(paragraphs: DataFrame) -> DataFrame:
     :func:`notes.chunks` gives without merging. Documents with nothing but headings have no row."""
     head, text = F.col("head"), F.col("text")
     named = F.when(head, F.nullif(fn.heading_text(text, F.lit("")), F.lit("")))
-    rows = _written(with_sums(paragraphs.withColumn("named", named), block=head.cast("int"), titled=F.col("named").isNotNull().cast("int"), high=F.when(head, 0).otherwise(F.length(text) + 1)))
+    rows = written(with_sums(paragraphs.withColumn("named", named), block=head.cast("int"), titled=F.col("named").isNotNull().cast("int"), high=F.when(head, 0).otherwise(F.length(text) + 1)))
     items = rows.where(~head).withColumn("low", F.col("high") - F.length("text") - 1)
     first = items.groupBy("doc_id", "block").agg(F.min("k").alias("k")).select("doc_id", "k")
     starts = chunk_starts(first, following(items.select("doc_id", "k", "block", "low", "high"))).withColumn("starts", F.lit(1))

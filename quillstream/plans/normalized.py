@@ -19,7 +19,7 @@ def _tables(spark, d) -> norm.Tables:
     s = _sections(spark, d)
     docs = table(spark, d, "documents")
     subjects = docs.select(F.col("doc_id").alias("note_id"), F.when(F.col("doc_id") % 3 > 0, F.upper("lang")).otherwise("").alias("subject"))
-    return norm.normalize(s, subjects, attached_diagrams(spark, d, s).withColumnRenamed("doc_id", "note_id"))
+    return norm.normalize(s, subjects, attached_diagrams(spark, d).withColumnRenamed("doc_id", "note_id"))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Note packages to six linked tables, from one written pass over their sections.
+"""Note packages to six linked tables, from one written pass over their sections, or one of them from its own.
 
 Keys are hashes of the note and the section's place in it, so a job that runs again gives the same ones, and every table is
 made from the same written rows: what links one to another is a column that both copy. Only the note and its quiz counts
@@ -49,13 +49,15 @@ def trimmed(c: Column) -> Column:
     return F.substring(fn.strip(F.coalesce(c, F.lit(""))), 1, MOST)
 
 
-def normalize(sections: DataFrame, subjects: DataFrame, diagrams: DataFrame) -> Tables:
+def normalize(sections: DataFrame, subjects: DataFrame, diagrams: DataFrame, written: bool = True) -> Tables:
     """The tables of ``sections`` (:func:`notes.sections`, a package's sections), ``subjects`` (note_id, subject) and
     ``diagrams`` (:func:`matching.attached`).
 
     Sections without a title go, and the rest are numbered from 0; lists lose what repeats but for case and outer blanks;
     texts are stripped and cut at 2000 characters. A note without titled sections keeps its row, with nothing to read.
     ``quiz`` has a row for each question with its group: mcq, short or long.
+
+    Where one table alone is wanted, without ``written`` it evaluates of the sections what it has of them, and no more.
     """
     titled = F.coalesce("title", F.lit("")) != ""
     place = F.row_number().over(Window.partitionBy("doc_id", titled).orderBy("nth")) - 1
@@ -64,9 +66,11 @@ def normalize(sections: DataFrame, subjects: DataFrame, diagrams: DataFrame) ->
         F.col("doc_id").alias("note_id"), "nth", F.when(titled, F.sha2(F.concat_ws("|", "doc_id", "order_index"), 256)).alias("section_id"), trimmed(F.col("title")).alias("title"), "order_index", "word_count",
         "document_title", "level", *[trimmed(F.col(c)).alias(c) for c in TEXTS], *[fn.dedupe_stripped(F.col(c)).alias(c) for c in LISTS], "questions", notes.format_rows().alias("formats"),
     )
-    path = scratch(rows.sparkSession, "normal")
-    rows.write.parquet(path)
-    kept = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    kept = rows
+    if written:
+        path = scratch(rows.sparkSession, "normal")
+        rows.write.parquet(path)
+        kept = rows.sparkSession.read.schema(rows.schema).parquet(path)
     own = kept.where("section_id is not null")
     totals = kept.groupBy("note_id").agg(
         F.first("document_title").alias("title"), F.first("level").alias("difficulty"), F.count("section_id").alias("total_sections"),

@@ -15,11 +15,11 @@ _KEYED = f"""{_COUNTED}, kept as (select sec.*, order_index, word_count, sha256(
 _SUBJECT = "case when doc_id % 3 > 0 then upper(lang) else '' end"
 
 
-def _tables(spark, d) -> norm.Tables:
+def _tables(spark, d, written: bool = False) -> norm.Tables:
     s = _sections(spark, d)
     docs = table(spark, d, "documents")
     subjects = docs.select(F.col("doc_id").alias("note_id"), F.when(F.col("doc_id") % 3 > 0, F.upper("lang")).otherwise("").alias("subject"))
-    return norm.normalize(s, subjects, attached_diagrams(spark, d).withColumnRenamed("doc_id", "note_id"))
+    return norm.normalize(s, subjects, attached_diagrams(spark, d).withColumnRenamed("doc_id", "note_id"), written)
 
 
 @query(
@@ -86,4 +86,4 @@ union all select 'diagrams', 'sections', count(*), 0 from attached union all sel
 )
 def normalized_links(spark, d):
     """Rows of each table, and those that lead nowhere: none."""
-    return _tables(spark, d).orphans()
+    return _tables(spark, d, written=True).orphans()

@@ -54,3 +54,8 @@ def test_one_normalised_table_evaluates_its_own_columns(spark):
     for name in ("normalized_sections", "normalized_note"):
         text = plan(registry.QUERIES[name](spark, DIR))
         assert "_most_frequent" in text and "to_json" not in text and notes.WHY_THIS_MATTERS not in text, name  # sections, not the written rows
+
+
+def test_summaries_take_no_keywords(spark):
+    for name in ("global_summary", "package_totals"):
+        assert "_most_frequent" not in plan(registry.QUERIES[name](spark, DIR)), name

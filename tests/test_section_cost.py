@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as fn
 from quillstream.operators import notes
 from quillstream.plans import registry
+from quillstream.sources.tables import notebooks
 
 DIR = "/root/testdata/sf0.001"
 
@@ -50,6 +53,23 @@ def test_strip_and_clean(spark):
     assert got[2].c == "x\n\ny z"
 
 
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    n = 2000
+    rows = {"doc_id": list(range(n)), "text": [f"text {i * i} " * 20 for i in range(n)], "lang": ["en"] * n, "source": ["web"] * n}
+    pq.write_table(pa.table(rows), tmp_path / "documents.parquet", compression="none", use_dictionary=False)
+    size = (tmp_path / "documents.parquet").stat().st_size
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 16))
+    try:
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() >= 8  # parts, of which one has the rows
+        got = notebooks(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in got) == n and len(got) >= 8 and max(r["count"] for r in got) < n / 4
+
+
 def test_one_normalised_table_evaluates_its_own_columns(spark):
     for name in ("normalized_sections", "normalized_note"):
         text = plan(registry.QUERIES[name](spark, DIR))

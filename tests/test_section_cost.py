@@ -79,3 +79,7 @@ def test_one_normalised_table_evaluates_its_own_columns(spark):
 def test_summaries_take_no_keywords(spark):
     for name in ("global_summary", "package_totals"):
         assert "_most_frequent" not in plan(registry.QUERIES[name](spark, DIR)), name
+
+
+def test_uploads_are_told_from_what_was_written(spark):
+    assert "PAGE_" not in plan(registry.QUERIES["upload_flow"](spark, DIR))  # no preview from a text that is read again

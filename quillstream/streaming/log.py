@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -115,7 +114,11 @@ class LiveDashboard:
 
 
 class _Toggles(StatefulProcessor):
-    """The last toggle of one task of one user: the one with the highest event id, in whatever order toggles come."""
+    """The last toggle of one task of one user: the one with the highest event id, in whatever order toggles come.
+
+    Each call to the state goes to Spark and back, so a toggle takes two: a task has one timer, which is not moved by
+    later toggles but moves on when it fires.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
@@ -124,23 +127,26 @@ class _Toggles(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "event_id bigint, done boolean, seen bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.last.get()
         newest, seen = (held[0], held[1]) if held else (-1, None), held[2] if held else 0
-        for part in rows:
-            at = part["event_id"].idxmax()
-            newest = max(newest, (int(part["event_id"][at]), bool(part["done"][at])), key=lambda x: x[0])
-            seen = max(seen, int(part["at"].max()))
+        for row in rows:
+            if row.event_id > newest[0]:
+                newest = (row.event_id, row.done)
+            seen = max(seen, row.at)
         if not held or newest[0] > held[0] or seen > held[2]:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
             self.last.update((newest[0], newest[1], seen))
+        if not held:
             self.handle.registerTimer(seen + self.keep_ms)
         if not held or newest[0] > held[0]:
-            yield pd.DataFrame({"user_id": [key[0]], "task_id": [key[1]], "event_id": [newest[0]], "done": [newest[1]]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+            yield Row(user_id=key[0], task_id=key[1], event_id=newest[0], done=newest[1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
+        if held and held[2] + self.keep_ms > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(held[2] + self.keep_ms)  # toggled since: the one timer of a task moves on when it fires
+        else:
+            self.last.clear()
         return iter(())
 
     def close(self) -> None:
@@ -157,7 +163,7 @@ def planner_toggles(log: DataFrame, late: str = "1 day", keep_days: int = 90) ->
     timed = log.where("kind = 'planner_task_done'").select("user_id", "task_id", "event_id", "done", F.col("ts").cast("timestamp").alias("ts"))
     timed = timed.withColumn("at", F.unix_millis("ts")).withWatermark("ts", late)
     schema = "user_id bigint, task_id int, event_id bigint, done boolean"
-    return timed.groupBy("user_id", "task_id").transformWithStateInPandas(_Toggles(keep_days * 86_400_000), schema, "Update", "EventTime")
+    return timed.groupBy("user_id", "task_id").transformWithState(_Toggles(keep_days * 86_400_000), schema, "Update", "EventTime")
 
 
 def last_toggles(log: DataFrame, path: str, late: str = "1 day", keep_days: int = 90) -> DataFrame:

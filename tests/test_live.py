@@ -7,6 +7,7 @@ import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillstream.operators import activity as act
@@ -231,3 +232,43 @@ def test_toggles_are_forgotten_after_their_time(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert told == [(0, 1, 5), (1, 2, 6), (2, 1, 3)]
+
+
+def test_a_toggle_takes_two_calls_to_its_state():
+    """A held toggle is read and written, its timer stays; when that fires early it moves on, and later it ends the state."""
+    calls = []
+
+    class Last:
+        value = (5, True, 100)
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Fired:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    toggles = streams._Toggles(10)
+    toggles.last, toggles.handle = Last(), Handle()
+    rows = [Row(user_id=1, task_id=2, event_id=i, done=i % 2 == 0, at=at) for i, at in ((4, 130), (8, 120), (7, 125))]
+    assert [tuple(r) for r in toggles.handleInputRows((1, 2), iter(rows), None)] == [(1, 2, 8, True)]
+    assert calls == ["get", "update"] and toggles.last.value == (8, True, 130)
+    list(toggles.handleExpiredTimer((1, 2), None, Fired(110)))
+    assert toggles.last.value == (8, True, 130) and calls[-1] == 140
+    list(toggles.handleExpiredTimer((1, 2), None, Fired(140)))
+    assert toggles.last.value is None

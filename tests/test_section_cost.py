@@ -83,3 +83,11 @@ def test_summaries_take_no_keywords(spark):
 
 def test_uploads_are_told_from_what_was_written(spark):
     assert "PAGE_" not in plan(registry.QUERIES["upload_flow"](spark, DIR))  # no preview from a text that is read again
+
+
+def test_keywords_of_rows_and_of_repeated_keys(spark):
+    rows = [(1, "bbb aaa aaa the"), (2, "ccc"), (2, "ddd ddd ccc_c"), (None, "eee"), (None, "fff eee"), (3, "a the"), (4, None)]
+    got = {r.k: r.keywords for r in notes.keywords(spark.createDataFrame(rows, "k int, t string"), ["k"], "t").collect()}
+    assert {k: sorted(v) if k == 2 else v for k, v in got.items()} == {1: ["aaa", "bbb"], 2: ["ccc", "ccc c", "ddd"], None: ["eee", "fff"]}
+    text = plan(registry.QUERIES["doc_keywords"](spark, DIR))
+    assert text.count("_most_frequent") == 1 and "Aggregate" not in text  # a text is counted once, in its row

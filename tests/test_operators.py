@@ -276,3 +276,18 @@ def test_sequence_ratio(spark):
     d = "/root/testdata/sf0.001"
     items = {r.item_id: " ".join(r.text.lower().split())[:2500] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
     assert {r.item_id: r.too_similar for r in documents.too_similar(spark, d).collect()} == {i: difflib.SequenceMatcher(None, items[i], items[i + 1]).ratio() > 0.82 for i in items if i + 1 in items}
+
+
+def test_uploads_are_the_same_with_and_without_written_sections(spark, tmp_path):
+    from quillstream.operators.upload import upload
+    from quillstream.sources import stores
+
+    text = "1.1 Study Of Trees:\n\nA tree is a graph. Trees have leaves.\n\n\nMore about leaves and graphs."
+    files = spark.createDataFrame([("a.txt", text.encode()), ("b.exe", b"x"), ("c.md", b"")], "filename string, content binary")
+    shown = spark.createDataFrame([("a.txt", 1, 1, "a tree diagram")], "filename string, diagram_id long, page int, caption string")
+    got = []
+    for i, written in enumerate((True, False)):
+        store = stores.note_store(spark, f"file://{tmp_path}/notes{i}")
+        tables = upload(files, shown, store, f"file://{tmp_path}/log{i}", "2024-01-31 10:00", written)
+        got.append([sorted(map(str, t.collect())) for t in tables] + [store.read().count()])
+    assert got[0] == got[1] and list(map(len, got[0][:3])) == [3, 2, 1] and got[0][3] == 2

@@ -97,6 +97,42 @@ def test_chunks_of_a_document_dealt_over_many_tasks(spark, monkeypatch, heads):
     assert found == {d: chunks for d, items in docs.items() if (chunks := python_chunks(items, "Doc"))}
 
 
+def test_chunks_longer_than_slices_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "SLICE", 4)
+    monkeypatch.setattr(chunking, "BUCKET", 512)
+    r = random.Random(5)
+    docs = {d: [(1 + i // 5, "Title" if r.random() < 0.03 else "y" * r.choice([1, 60, 300, 2500 if d == 1 else 90]), False) for i in range(n)] for d, n in ((1, 120), (2, 4), (3, 5), (4, 33))}
+    docs = {d: [(p, t, t == "Title") for p, t, _ in items] for d, items in docs.items()}
+    rows = [(d, k, p, t, h, "Doc") for d, items in docs.items() for k, (p, t, h) in enumerate(items)] + [(None, 0, 1, "of no document", False, "Doc")]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, k long, page int, text string, head boolean, document_title string")
+    found: dict = {}
+    for c in chunking.chunk_rows(df).orderBy("doc_id", "nth").collect():
+        found.setdefault(c.doc_id, []).append((c.section_id, c.title, c.raw_text, list(c.pages)))
+    assert found == {d: chunks for d, items in docs.items() if (chunks := python_chunks(items, "Doc"))}
+
+
+def test_texts_of_chunks_are_shuffled_once_and_not_written(spark, tmp_path, monkeypatch):
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f" {i}")), 512) for i in range(8)])
+    head = F.col("k") % 50 == 7
+    spark.range(6000).select((F.col("id") / 1500).cast("long").alias("doc_id"), (F.col("id") % 1500).alias("k"), F.lit(1).alias("page"), text.alias("text"), F.lit("Doc").alias("document_title")).withColumn("head", head).withColumn(
+        "text", F.when(head, "Head").otherwise(F.col("text"))
+    ).write.parquet(f"{tmp_path}/paragraphs")
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(chunking, "scratch", lambda spark, name: f"file://{shared}/{name}-{len(list(shared.glob('*')))}-{random.random()}")
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages() -> dict[int, int]:
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = max(stages(), default=-1)
+    size = 6000 * 49 // 50 * 1024
+    assert chunking.chunk_rows(spark.read.parquet(f"{tmp_path}/paragraphs")).agg(F.sum(F.length("raw_text"))).first()[0] > size
+    assert sum(n for at, n in stages().items() if at > before) < 1.3 * size  # 2.9 when texts went through each join
+    assert sum(f.stat().st_size for f in shared.rglob("*") if f.is_file()) < 0.1 * size  # 1.05 when they were written with the sums
+    assert len(list(shared.iterdir())) == 2  # the other tables are gone
+
+
 def test_quiz_requests(spark):
     bank = spark.createDataFrame([("ML" if i % 3 else "nlp", i) for i in range(30)], "topic string, id long")
     own = spark.createDataFrame([("n1", k, 100 + k) for k in (3, 1, 2)], "note_id string, nth long, id long")
